@@ -201,3 +201,21 @@ def in_batches(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int
                 yield out
 
     return run
+
+
+class Recent(dict):
+    """A bounded memo of ``make``: once ``size`` keys are new, the older generation is forgotten."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value

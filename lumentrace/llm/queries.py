@@ -5,18 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrace.llm import exact_dedup, minhash_dedup, substring_dedup, suffix_dedup
+from lumentrace.llm import bpe, exact_dedup, minhash_dedup, packing, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, which is installed at the same place on all executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), length=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    n = F.expr("length(ids) div 4").alias("n_tokens")
+    return out.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.grouped(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -30,7 +48,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_minhash_dedup, op5_substring_dedup, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_bpe, op4_minhash_dedup, op5_substring_dedup, op8_exact_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
