@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrace.llm import bpe, chat_format, exact_dedup, minhash_dedup, packing, substring_dedup, suffix_dedup
+from lumentrace.llm import bpe, chat_format, exact_dedup, minhash_dedup, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_bpe, op4_minhash_dedup, op5_substring_dedup, op6_chat_format, op8_exact_dedup)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_bpe, op4_minhash_dedup, op5_substring_dedup, op6_chat_format, op7_toxicity, op8_exact_dedup, op10_quality)}
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": r"""
         WITH t AS (
