@@ -27,7 +27,7 @@ from lumentrace.llm.labelled import fitted, fold, logistic, sample
 
 #: Most labelled rows of label 0 and of label 1 that the model is fitted on.
 TRAIN_ROWS = (4000, 2000)
-GRAM = 5
+GRAMS = (5, 8, 11)
 #: Least log ratio of document frequencies, and least share of toxic documents, of a segment.
 CONTRAST, SUPPORT = 3.0, 1 / 40
 DICTIONARY = 16384
@@ -43,11 +43,11 @@ def windows(text: str) -> list[bytes]:
 
 
 def grams(window: bytes) -> set[bytes]:
-    return {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)} or {window}
+    return {window[i : i + n] for n in GRAMS for i in range(len(window) - n + 1)} | {window}
 
 
 def segments(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """Byte strings that many toxic documents hold and few ordinary ones, widest support first."""
+    """Byte strings that many toxic documents hold and few ordinary ones, widest support first, then whole windows with them."""
     seen, other = Counter(), Counter()
     for doc in toxic:
         seen.update({g for w in doc for g in grams(w)})
@@ -58,7 +58,7 @@ def segments(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]
     floor = np.log(len(toxic) + 1) - np.log(len(ordinary) + 1)
     good = {g for g, n in seen.items() if np.log((n + 0.5) / (other[g] + 0.5)) - floor > CONTRAST}
     live = [(w, found) for doc in toxic for w in doc if (found := grams(w) & good)]
-    out = []
+    out, whole = [], []
     while live:
         gram, support = min(Counter(g for _, found in live for g in found).items(), key=lambda x: (-x[1], x[0]))
         if support < least:
@@ -80,7 +80,8 @@ def segments(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]
                 break
             segment = longer
         out.append(segment)
-    return out
+        whole += [(w, n) for w, n in Counter(hits).items() if n >= max(3, least // 4) and w != segment]
+    return out + [w for w, _ in sorted(whole, key=lambda x: (-x[1], x[0]))]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -128,7 +129,7 @@ def fit(ids: list[int], texts: list[str], y: np.ndarray) -> bytes:
         return pickle.dumps(plain)
     halves = [(toxic[h::2], ordinary[h::2]) for h in (0, 1)]
     found = segments([set(docs[i]) for i in halves[0][0]], [set(docs[i]) for i in halves[0][1]])
-    base, extra = _ordinary_content([docs[i] for i in halves[0][1]]), b"".join(found[::-1])
+    base, extra = _ordinary_content([docs[i] for i in halves[0][1]]), b"".join(found[::-1])[-DICTIONARY // 2 :]
     memo = Recent(Cells(base, extra), 1 << 30)
     cells = [np.fromiter((memo[w] for w in d), dtype=np.int64, count=len(d)) for d in docs]
     count = [sum((np.bincount(cells[i], minlength=LENGTHS * GAINS) for i in half), np.zeros(LENGTHS * GAINS)) for half in halves[1]]
