@@ -42,10 +42,10 @@ class FingerprintIndex:
         fresh = batch.mapInArrow(anchors_of(self.tokens), NODES).withColumn("old", F.lit(False))
         for run in self.runs:
             fresh = fresh.unionByName(run.select(*_RUN).withColumn("old", F.lit(True)))
-        merged = stored(judged(fresh, "earlier"), "fingerprints")
+        merged = stored(judged(fresh, "earlier").where("not old or open"), "fingerprints")
         release(self.spark)
         self.history = batch if self.history is None else self.history.unionByName(batch)
-        live = merged.where("hit or open").where("not old or open")
+        live = merged.where("hit or open")
         spans = refine(self.history, live, self.tokens, "earlier", "substring")
         self.runs.append(merged.where("first and not old"))
         if len(self.runs) > self.max_runs:
