@@ -43,7 +43,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends and lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -219,3 +219,41 @@ class Recent(dict):
             value = self.make(key)
         self[key] = value
         return value
+
+
+class IdFilter:
+    """A Bloom filter of doc_ids with a fixed size, to skip documents before their texts are worked on.
+
+    It never misses an id; with more ids than it has room for it lets more others pass, so what it lets through must still
+    be joined with the ids.
+    """
+
+    BITS, HASHES = 1 << 25, 4
+
+    def __init__(self, ids: DataFrame):
+        def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                at = np.unique(self._places(x.column(0).to_numpy(zero_copy_only=False)).ravel())
+                bit = np.uint64(1) << (at & np.uint64(63))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bit.view(np.int64))], names=["word", "bits"])
+
+        found = ids.mapInArrow(spots, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        table = np.zeros(self.BITS // 64, dtype=np.uint64)
+        table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        self.shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @classmethod
+    def _places(cls, ids: np.ndarray) -> np.ndarray:
+        h = mix(ids.astype(np.int64).view(np.uint64))
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return (h[:, None] + np.arange(cls.HASHES, dtype=np.uint64) * step[:, None]) & np.uint64(cls.BITS - 1)
+
+    def may_hold(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function of arrays of ids for use inside tasks."""
+        shared, places = self.shared, self._places
+
+        def test(ids: np.ndarray) -> np.ndarray:
+            at = places(ids)
+            return ((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+        return test

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import Rolling, drop_stored, in_batches, joined, mix, prepare, release, stored, with_ids, with_text, word_hashes, words
+from lumentrace.llm.common import IdFilter, Rolling, drop_stored, in_batches, joined, mix, prepare, release, stored, with_ids, with_text, word_hashes, words
 from lumentrace.llm.components import components
 
 BANDS, ROWS = 36, 6
@@ -128,14 +128,18 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The full shingle sets of some documents."""
+    """The full shingle sets of some documents; a filter of their ids spares the others' texts the work and the shuffle."""
+    wanted = IdFilter(ids).may_hold()
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        batch = batch.filter(pa.array(wanted(batch.column("doc_id").to_numpy(zero_copy_only=False))))
+        if not batch.num_rows:
+            return None
         items, edges = shingle_sets(batch.column("text"), k)
         raw = [items[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(edges).astype(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "n", "items"])
 
-    return with_text(docs).join(ids, "doc_id", "left_semi").mapInArrow(in_batches(step), SETS).dropDuplicates(["doc_id"])
+    return with_text(docs).mapInArrow(in_batches(step), SETS).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _alike(size: int, percent: int) -> float:
@@ -177,6 +181,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").mapInArrow(check, "a long, b long")
 
 
+def tile_hints(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The members of a tile that may be linked with one of another component, by sizes and signatures."""
+    group = group.drop_duplicates("doc_id")
+    comp, n = group["component"].to_numpy(), group["n"].to_numpy()
+    marks = np.frombuffer(b"".join(group["marks"]), dtype=np.uint8).reshape(-1, SIZE)
+    least, hit = _alike(SIZE, percent) * SIZE, np.zeros(len(n), dtype=bool)
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        other = np.flatnonzero((comp[rest] != comp[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent)) + i + 1
+        good = other[(marks[other] == marks[i]).sum(axis=1) >= least]
+        if len(good):
+            hit[i] = hit[good] = True
+    return group.loc[hit, ["key", "doc_id", "component"]]
+
+
 def tile_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Exact links between components inside one tile: a spanning forest of them."""
     group = group.drop_duplicates("doc_id").sort_values("doc_id")
@@ -254,19 +273,21 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     release(spark)
     links = stored(verified(pairs, sets, percent), "star-links")
     group = components(links)
-    drop_stored(spark, sets)
     release(spark)
     # what the stars left apart inside a bucket
     inside = bucket.select("key", "doc_id").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     inside = stored(inside, "inside")
     apart = inside.groupBy("key").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("key")
-    tiles = stored(tiled(inside.join(apart, "key", "left_semi")), "tiles")
-    rest = stored(sets_of(docs, tiles.select("doc_id").distinct(), k), "sets")
+    tiles = tiled(inside.join(apart, "key", "left_semi")).join(marks, "doc_id")
+    hints = stored(tiles.groupBy("key", "t", "u").applyInPandas(lambda g: tile_hints(g, percent), "key long, doc_id long, component long").distinct(), "hints")
     release(spark)
-    more = tiles.join(rest, "doc_id").groupBy("key", "t", "u").applyInPandas(lambda g: tile_links(g, percent), "a long, b long")
+    lacking = stored(hints.select("doc_id").distinct().join(ends, "doc_id", "left_anti"), "lacking")
+    rest = stored(sets_of(docs, lacking, k), "sets")
+    full = sets.unionByName(rest)
+    more = tiled(hints).join(full, "doc_id").groupBy("key", "t", "u").applyInPandas(lambda g: tile_links(g, percent), "a long, b long")
     links = stored(links.unionByName(more).distinct(), "all-links")
     group = stored(components(links).withColumnRenamed("id", "rep"), "groups")
-    for x in (reps, bucket, pairs, inside, tiles, rest):
+    for x in (reps, bucket, pairs, inside, hints, lacking, sets, rest):
         drop_stored(spark, x)
     release(spark)
     out = member.join(group, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
