@@ -25,7 +25,7 @@ from lumentrace.llm.common import Recent, prepare, text_steps, with_ids, with_te
 #: Costs of a cut, in tokens of padding: at a sentence's end inside a document, and inside a sentence.
 SENTENCE_CUT, HARD_CUT = 4, 16
 #: Tokens between cut points inside a sentence.
-HARD_STEP = 16
+HARD_STEP = 24
 #: Tokens that a task packs at a time; what the last sequence of a block holds goes on into the next block.
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
@@ -78,13 +78,12 @@ def plain_words(text: str) -> list[bytes]:
 
 
 def tokens_of(text: str, coder: Recent, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a document with its end id, and the places after its sentences."""
-    words = plain_words(text)
-    parts = [coder[w] for w in words]
-    ids = np.frombuffer(b"".join([*parts, struct.pack("<I", end_id)]), dtype="<u4")
-    ends = np.fromiter((w[-1] in b".!?" for w in words), dtype=bool, count=len(words))
-    places = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))[ends] // 4
-    return ids, places
+    """Ids of a document with its end id, and the places after its full stops, exclamation and question marks."""
+    ids = np.frombuffer(b"".join([coder[w] for w in plain_words(text)] + [struct.pack("<I", end_id)]), dtype="<u4")
+    stop = np.zeros(len(ids), dtype=bool)
+    for sign in (b".", b"!", b"?"):
+        stop |= ids == struct.unpack_from("<I", coder[sign])[0]
+    return ids, np.flatnonzero(stop) + 1
 
 
 def cut_points(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
