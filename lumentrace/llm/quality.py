@@ -9,7 +9,7 @@ and turns margins into probabilities.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +104,21 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: tupl
     return fitted(sample(docs, labels, label, rows, fold(5) != 0), fit)
 
 
+def _scorer(docs: DataFrame, fitted_model: bytes) -> Callable[[pa.Array], np.ndarray]:
+    """A function of text columns for use inside tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted_model)
+    loaded: list = []
+
+    def score(text: pa.Array) -> np.ndarray:
+        if not loaded:
+            loaded.append(pickle.loads(shared.value))
+        weight, square, b, slope, base = loaded[0]
+        margin = np.array([weight[x].sum() / max(1e-9, float(square[x].sum()) ** 0.5) + b if len(x) else b for x in features(text)], dtype=np.float64)
+        return 1 / (1 + np.exp(-np.clip(slope * margin + base, -30, 30)))
+
+    return score
+
+
 def scored(docs: DataFrame, fitted_model: bytes) -> DataFrame:
     """(doc_id, score): probability of label 1 of each whole text.
 
@@ -111,16 +126,10 @@ def scored(docs: DataFrame, fitted_model: bytes) -> DataFrame:
     other columns are not read.
     """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fitted_model)
-    loaded: list = []
+    score = _scorer(docs, fitted_model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not loaded:
-            loaded.append(pickle.loads(shared.value))
-        weight, square, b, slope, base = loaded[0]
-        margin = np.array([weight[x].sum() / max(1e-9, float(square[x].sum()) ** 0.5) + b if len(x) else b for x in features(batch.column("text"))], dtype=np.float64)
-        score = 1 / (1 + np.exp(-np.clip(slope * margin + base, -30, 30)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text")))], names=["doc_id", "score"])
 
     return with_ids(with_text(docs).mapInArrow(in_batches(step), "doc_id long, score double"))
 
@@ -132,3 +141,13 @@ def classified(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFr
     """
     out = scored(docs, model(docs, labels))
     return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches ``keep``; nothing is shuffled."""
+    score = _scorer(docs, model(docs, labels))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(score(batch.column("text")) >= keep))
+
+    return docs.mapInArrow(in_batches(step), docs.schema)

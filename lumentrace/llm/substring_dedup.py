@@ -81,12 +81,13 @@ def in_id_order(docs: DataFrame, batches: int) -> list[DataFrame]:
     return parts
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, rejoin: bool = True) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts earlier in the corpus.
 
     Words are runs of bytes other than ASCII white space. Earlier means a smaller doc_id, or the same document and an
     earlier start; windows are judged on the input. Documents enter the index in ``batches`` parts in order of doc_id.
-    Returns doc_id, n_words, n_removed, kept (words joined by one space). Null text has no words; a null doc_id counts as
+    Returns doc_id, n_words, n_removed, kept (words joined by one space;
+    without ``rejoin`` null where nothing is removed). Null text has no words; a null doc_id counts as
     smaller than all others; rows that repeat a doc_id with the same text count once; other columns are not read.
     """
     prepare(docs.sparkSession)
@@ -100,7 +101,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2) -> D
             found = (text or "").encode().split()
             gone = covered(step, i, len(found), window)
             kept = [w for w, g in zip(found, gone.tolist(), strict=True) if not g] if gone.any() else found
-            for to, x in zip(out, (len(found), int(gone.sum()), b" ".join(kept).decode()), strict=True):
+            joined = b" ".join(kept).decode() if rejoin or gone.any() else None
+            for to, x in zip(out, (len(found), int(gone.sum()), joined), strict=True):
                 to.append(x)
         arrays = [step.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept"])
