@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from lumentrace.plans import q_metrics
+
+MODULES = (q_metrics,)
+QUERIES: dict[str, Callable] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
+FLAGSHIP = "metrics_model_cluster"
