@@ -43,7 +43,7 @@ def scored_pairs(facts: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFr
     """
     triples = facts.select(*PAIR, "cluster").distinct().join(scores, PAIR, "left")
     names = metric_names(scores)
-    pairs = triples.groupBy(*PAIR).agg(*[F.first(m).alias(m) for m in names])
+    pairs = triples.groupBy(*PAIR).agg(F.count("*").alias("_n"), *[F.first(m).alias(m) for m in names]).drop("_n")
     return pairs, triples.where(in_cluster())
 
 
@@ -83,7 +83,7 @@ def model_metrics(facts: DataFrame, scores: DataFrame) -> DataFrame:
     pairs, triples = scored_pairs(facts, scores)
     grouped = triples.select(*PAIR).distinct().groupBy("model").agg(F.count("*").alias("size"))
     cells = pairs.groupBy("model").agg(F.count("*").alias("model_size"), *_means(names))
-    whole = pairs.agg(*_means(names, "all_"))
+    whole = pairs.agg(F.count("*").alias("all_size"), *_means(names, "all_"))
     out = cells.join(grouped, "model", "left").crossJoin(F.broadcast(whole))
     size = F.coalesce("size", F.lit(0)).cast("long")
     quality = [(F.col(f"quality_{m}") - F.col(f"all_{m}")).alias(f"quality_delta_{m}") for m in names]
