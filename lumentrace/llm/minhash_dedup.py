@@ -7,8 +7,9 @@
 2. Documents with equal sets are one class; only its smallest member goes on.
 3. ``BANDS`` bands of ``ROWS`` slots put representatives into buckets. In each bucket all members are compared with the
    smallest one: first the signatures, with six deviations of slack, then the full sets.
-4. Buckets whose members are still in several components are compared completely, in tiles, inside tasks. A tile emits
-   only a spanning forest of the exact links between components, never all pairs.
+4. Buckets whose members are still in several components are compared completely: those of a few members pair by pair,
+   each pair once for all its buckets; larger ones in tiles inside tasks. A tile emits only a spanning forest of the exact
+   links between components, never all pairs.
 
 A pair at similarity 0.85 misses all bands with a probability of 4e-8; at 0.8, of 4e-5.
 """
@@ -29,7 +30,9 @@ from lumentrace.llm.components import components
 
 BANDS, ROWS = 36, 6
 SIZE = BANDS * ROWS
-#: Members of a bucket that are compared with each other in one task.
+#: Members of a bucket up to which its pairs are compared one by one.
+FEW = 8
+#: Members of a larger bucket that are compared with each other in one task.
 TILE = 1500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FRACTION = np.uint64((1 << 48) - 1)
@@ -276,18 +279,24 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     release(spark)
     # what the stars left apart inside a bucket
     inside = bucket.select("key", "doc_id").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    inside = stored(inside, "inside")
-    apart = inside.groupBy("key").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("key")
-    tiles = tiled(inside.join(apart, "key", "left_semi")).join(marks, "doc_id")
+    inside = placed = stored(inside, "inside")
+    apart = inside.groupBy("key").agg((F.min("component") != F.max("component")).alias("apart"), F.count("*").alias("count")).where("apart")
+    inside = inside.join(apart.select("key", "count"), "key")
+    few, many = inside.where(F.col("count") <= FEW), inside.where(F.col("count") > FEW).drop("count")
+    left, right = (few.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    pairs_left = stored(near(left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct(), marks, percent), "pairs-left")
+    tiles = tiled(many).join(marks, "doc_id")
     hints = stored(tiles.groupBy("key", "t", "u").applyInPandas(lambda g: tile_hints(g, percent), "key long, doc_id long, component long").distinct(), "hints")
     release(spark)
-    lacking = stored(hints.select("doc_id").distinct().join(ends, "doc_id", "left_anti"), "lacking")
+    needed = pairs_left.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(hints.select("doc_id")).distinct()
+    lacking = stored(needed.join(ends, "doc_id", "left_anti"), "lacking")
     rest = stored(sets_of(docs, lacking, k), "sets")
     full = sets.unionByName(rest)
     more = tiled(hints).join(full, "doc_id").groupBy("key", "t", "u").applyInPandas(lambda g: tile_links(g, percent), "a long, b long")
+    more = more.unionByName(verified(pairs_left, full, percent))
     links = stored(links.unionByName(more).distinct(), "all-links")
     group = stored(components(links).withColumnRenamed("id", "rep"), "groups")
-    for x in (reps, bucket, pairs, inside, hints, lacking, sets, rest):
+    for x in (reps, bucket, pairs, placed, pairs_left, hints, lacking, sets, rest):
         drop_stored(spark, x)
     release(spark)
     out = member.join(group, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
