@@ -17,16 +17,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumentrace.llm.common import NULL_ID, prepare, release, stored, with_ids
 from lumentrace.llm.components import components
 
 BLOCKS = 8
 #: Dimensions of a block that its grid cuts.
-GRID = 3
+GRID = 2
 #: Vectors of a cell that one task compares with each other.
-TILE = 2000
-CELL = "block int, cell long, guest boolean, vid long, copies long, v binary"
+TILE = 8000
+CELL = "size int, block int, cell long, guest boolean, vid long, copies long, v binary"
 #: Slack for the single-precision steps before the exact check.
 SLACK = 1e-4
 
@@ -45,9 +46,16 @@ def shares(size: int, budget: float) -> np.ndarray:
     return budget * np.diff(edges(size)) / size
 
 
-def dealt(rows: pd.DataFrame, budget: float) -> pd.DataFrame:
-    """Rows of a batch at their own cells and, as guests, at the adjacent cells after them."""
-    v = np.stack([np.frombuffer(b, dtype=np.float64) for b in rows["v"]])
+def units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision from the vectors as they are stored."""
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def dealt(rows: pd.DataFrame, kind: str, budget: float) -> pd.DataFrame:
+    """Rows of vectors of one size at their own cells and, as guests, at the adjacent cells after them."""
+    v = units(rows["v"].tolist(), kind)
     turned = v @ rotation(v.shape[1])
     at, radius = edges(v.shape[1]), np.sqrt(shares(v.shape[1], budget)) + SLACK
     out = []
@@ -62,17 +70,29 @@ def dealt(rows: pd.DataFrame, budget: float) -> pd.DataFrame:
             # a guest can only meet vectors of that cell within one width of it
             gap = np.maximum(np.maximum(to - place, place - (to + 1)), 0)
             some = np.flatnonzero((gap**2).sum(axis=1) <= 1)
-            key = np.full(len(some), b, dtype=np.int64)
+            key = np.zeros(len(some), dtype=np.int64)
             for d in range(dims):
                 key = key * 1_000_003 + to[some, d]
-            out.append(pd.DataFrame({"block": b, "cell": key, "guest": any(step), "vid": rows["vid"].to_numpy()[some], "copies": rows["copies"].to_numpy()[some], "v": rows["v"].to_numpy()[some]}))
-    return pd.concat(out).astype({"block": "int32"})
+            out.append(rows.iloc[some].assign(block=b, cell=key, guest=any(step)))
+    return pd.concat(out)[[c.split()[0] for c in CELL.split(", ")]]
+
+
+def at_cells(classes: DataFrame, kind: str, budget: float, only_places: bool = False) -> DataFrame:
+    names = ["size", "block", "cell", "guest"] if only_places else [c.split()[0] for c in CELL.split(", ")]
+    schema = ", ".join(c for c in CELL.split(", ") if c.split()[0] in names)
+
+    def run(parts):
+        for rows in parts:
+            for _, same in rows.groupby("size"):
+                yield dealt(same, kind, budget)[names]
+
+    return classes.mapInPandas(run, schema)
 
 
-def cell_links(group: pd.DataFrame, budget: float, least: float) -> pd.DataFrame:
+def cell_links(group: pd.DataFrame, kind: str, budget: float, least: float) -> pd.DataFrame:
     """Links within one tile of a cell: counts of links of each vector, and a spanning forest (a, b)."""
     block = int(group["block"].iloc[0])
-    v = np.stack([np.frombuffer(b, dtype=np.float64) for b in group["v"]])
+    v = units(group["v"].tolist(), kind)
     size = v.shape[1]
     turned = (v @ rotation(size)).astype(np.float32)
     at, share = edges(size), shares(size, budget) + SLACK
@@ -119,25 +139,20 @@ def cell_links(group: pd.DataFrame, budget: float, least: float) -> pd.DataFrame
     return pd.concat([single, pairs])
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): unit vectors in double precision as bytes; v is null for vectors that link with nothing."""
+def stored_vectors(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """(vec_id, v) with the components as bytes, null for vectors that link with nothing, and the kind of the numbers."""
+    kind = "<f4" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "<f8"
 
     def run(parts):
         for rows in parts:
             out = []
             for x in rows["embedding"]:
-                u = None
-                if x is not None and len(x):
-                    y = np.array([np.nan if z is None else z for z in x], dtype=np.float64)
-                    top = np.abs(y).max()
-                    if np.isfinite(top) and top > 0:
-                        y /= top
-                        u = (y / np.sqrt((y * y).sum())).tobytes()
-                out.append(u)
+                y = np.array([np.nan if z is None else z for z in x] if x is not None else [], dtype=kind)
+                out.append(y.tobytes() if len(y) and np.isfinite(y).all() and y.any() else None)
             yield pd.DataFrame({"vec_id": rows["vec_id"], "v": out})
 
-    own = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return own.mapInPandas(run, "vec_id long, v binary")
+    own = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
+    return own.mapInPandas(run, "vec_id long, v binary"), kind
 
 
 def grouped(vectors: DataFrame, least: float = 0.95) -> DataFrame:
@@ -151,18 +166,18 @@ def grouped(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     spark = vectors.sparkSession
     prepare(spark)
     budget = 2 - 2 * least
-    table = stored(unit_vectors(vectors), "units")
-    classes = stored(table.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vid"), F.count("*").alias("copies")), "vectors")
-    cells = classes.withColumn("size", F.length("v")).repartition("size", "vid").mapInPandas(
-        lambda parts: (pd.concat([dealt(g, budget).assign(size=int(s)) for s, g in rows.groupby("size")]) for rows in parts if len(rows)), CELL + ", size int"
-    )
-    cells = stored(cells, "cells")
+    raw, kind = stored_vectors(vectors)
+    table = stored(raw, "raw-vectors")
+    classes = stored(table.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vid"), F.count("*").alias("copies")).withColumn("size", F.length("v")), "vectors")
+    # A block has at most (2 / radius + 3) ** GRID cells, as unit vectors lie within 1 of the origin: few enough to broadcast.
+    places = at_cells(classes, kind, budget, only_places=True)
+    count = places.groupBy("size", "block", "cell").agg(F.count("*").alias("n"), F.sum((~F.col("guest")).cast("int")).alias("hosts")).where("hosts > 0 and n > 1")
     # a cell with many vectors is compared in pairs of chunks
-    count = cells.groupBy("size", "block", "cell").agg(F.count("*").alias("n"), F.sum((~F.col("guest")).cast("int")).alias("hosts")).where("hosts > 0 and n > 1")
-    parts = cells.join(count, ["size", "block", "cell"]).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
+    parts = at_cells(classes, kind, budget).join(F.broadcast(count), ["size", "block", "cell"]).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
     parts = parts.withColumn("own", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    parts = parts.select(*cells.columns, F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    found = parts.groupBy("size", "block", "cell", "t", "u").applyInPandas(lambda g: cell_links(g, budget, least), "a long, b long, links long")
+    names = [c.split()[0] for c in CELL.split(", ")]
+    parts = parts.select(*names, F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    found = parts.groupBy("size", "block", "cell", "t", "u").applyInPandas(lambda g: cell_links(g, kind, budget, least), "a long, b long, links long")
     found = stored(found, "vector-links")
     release(spark)
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "vid")
