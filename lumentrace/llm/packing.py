@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from lumentrace.llm.bpe import byte_symbols
 from lumentrace.llm.common import Recent, prepare, text_steps, with_ids, with_text
 
-#: Costs of a cut, in tokens of padding: at a sentence's end inside a document, and inside a sentence.
-SENTENCE_CUT, HARD_CUT = 4, 16
-#: Tokens between cut points inside a sentence.
-HARD_STEP = 24
+#: Costs of a cut at a sentence's end inside a document, and inside a sentence, as parts of a sequence of padding.
+SENTENCE_CUT, HARD_CUT = 1 / 512, 1 / 128
+#: Tokens between cut points inside a sentence, and at most this part of a sequence.
+HARD_STEP, HARD_PART = 24, 1 / 64
 #: Tokens that a task packs at a time; what the last sequence of a block holds goes on into the next block.
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
@@ -86,18 +86,19 @@ def tokens_of(text: str, coder: Recent, end_id: int) -> tuple[np.ndarray, np.nda
     return ids, np.flatnonzero(stop) + 1
 
 
-def cut_points(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def cut_points(docs: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where the concatenated documents may be cut, with their penalties; 0 comes first."""
+    stride = max(1, min(HARD_STEP, int(length * HARD_PART)))
     at, cost, base = [np.zeros(1, dtype=np.int64)], [np.zeros(1)], 0
     for ids, places in docs:
         soft = np.unique(np.append(places[(places > 0) & (places < len(ids))], len(ids)))
         before = np.concatenate([[0], soft[:-1]])
-        inside = (soft - before - 1) // HARD_STEP
+        inside = (soft - before - 1) // stride
         first = np.cumsum(inside) - inside
         step = np.arange(int(inside.sum())) - np.repeat(first, inside) + 1
-        every = np.concatenate([soft, np.repeat(before, inside) + step * HARD_STEP])
-        penalty = np.full(len(every), float(HARD_CUT))
-        penalty[: len(soft)] = SENTENCE_CUT
+        every = np.concatenate([soft, np.repeat(before, inside) + step * stride])
+        penalty = np.full(len(every), length * HARD_CUT)
+        penalty[: len(soft)] = length * SENTENCE_CUT
         penalty[len(soft) - 1] = 0
         order = np.argsort(every, kind="stable")
         at.append(every[order] + base)
@@ -116,8 +117,8 @@ def closing(tokens: int, length: int) -> tuple[float, int]:
         return 0.0, tokens
     best = (float(length - tokens), tokens)
     power = 1 << (tokens.bit_length() - 1)
-    while power >= 32:
-        best = min(best, (HARD_CUT + closing(tokens - power, length)[0], power))
+    while power >= max(1, length // 64):
+        best = min(best, (length * HARD_CUT + closing(tokens - power, length)[0], power))
         power >>= 1
     return best
 
@@ -179,7 +180,7 @@ class Shard:
         """Rows of the finished sequences; without ``final`` the last sequence's tokens stay."""
         if not self.docs:
             return None
-        cuts = best_cuts(*cut_points([(d[3], d[4]) for d in self.docs]), self.length, final)
+        cuts = best_cuts(*cut_points([(d[3], d[4]) for d in self.docs], self.length), self.length, final)
         keep_from = cuts[-1] if final else (cuts[-2] if len(cuts) > 1 else 0)
         starts = np.concatenate([[0], np.cumsum([len(d[3]) for d in self.docs])])
         done = np.array([c for c in cuts if c <= keep_from], dtype=np.int64)
