@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import json_repair, text
 from lumentrace.operators import bootstrap, clustering, filters, grouping, metrics, ranking, reshape
 from lumentrace.operators.providers import CallCache, Provider, embedded, hashing_embedder
+from lumentrace.session import shared_path
 from lumentrace.sources import loaders
 
 # Columns that each method needs.
@@ -39,6 +40,14 @@ class Dataset:
 
 
 Stage = Callable[[Dataset], Dataset]
+#: Parts of a dataset that stages hand on as rows.
+PARTS = ("conversations", "scores", "answers", "properties", "failures", "members")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Pipeline:
@@ -69,11 +78,14 @@ class Pipeline:
         self.seconds[name] = time.time() - began
 
     def run(self, data: Dataset, after: Callable[[str, Dataset], None] | None = None) -> Dataset:
+        """Each stage's rows are written to the shared folder and read back, so later stages never repeat its work."""
         for name, stage in self.stages:
             with self.timed(name):
-                data = stage(data)
-                if not isinstance(data, Dataset):
+                made = stage(data)
+                if not isinstance(made, Dataset):
                     raise TypeError(f"stage {name} gave no Dataset")
+                fresh = {p: getattr(made, p) for p in PARTS if getattr(made, p) is not None and getattr(made, p) is not getattr(data, p)}
+                data = replace(made, **{p: written(df, f"{name}-{p}") for p, df in fresh.items()})
             if after:
                 after(name, data)
         return data
@@ -130,6 +142,7 @@ def parsing(most_failures_in_a_row: int = 10) -> Stage:
     def stage(data: Dataset) -> Dataset:
         rows = json_repair.parsed_rows(data.answers.withColumnRenamed("model", "answer_model"))
         rows = rows.withColumn("model", F.coalesce("answer_model", "model")).drop("answer_model")
+        rows = written(rows, "parsed")
         rows = rows.withColumn("property_id", F.sha2(F.concat_ws("|", "question_id", "model", F.col("pos").cast("string"), "property_description"), 256))
         failures = rows.where("error_type is not null")
         order = rows.groupBy("row_idx").agg((F.max(F.col("error_type").isNotNull().cast("int")) == 0).alias("ok")).withColumn("all", F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import json_repair, messages, text
 from lumentrace.operators import clustering, filters
 from lumentrace.plans.facts import rounded
-from lumentrace.session import table
+from lumentrace.session import shared_path, table
 from lumentrace.sources import traces
 
 QUERIES: dict = {}
@@ -214,14 +214,11 @@ def _offline(request: str) -> str:
 
 @query()
 def pipeline_explain(spark, sf_dir):
-    import uuid
-
     from lumentrace.operators.providers import CallCache
     from lumentrace.plans import pipeline
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/lumentrace-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.lit("?").alias("prompt"), F.concat(F.lit("m"), (F.col("item_id") % 2).cast("string")).alias("model"), F.col("text").alias("model_response"))
-    out = pipeline.explain(rows, _offline, CallCache(spark, f"{base}/calls-{uuid.uuid4().hex}"), min_cluster_size=2)
+    out = pipeline.explain(rows, _offline, CallCache(spark, shared_path(spark, "calls")), min_cluster_size=2)
     return out.tables["model_cluster_scores"].select("model", "cluster", "size", "proportion")
 
 
@@ -238,7 +235,7 @@ def stream_windowed_counts(spark, sf_dir):
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
     counted = streams.windowed_counts(stream.withColumn("at", F.col("ts").cast("timestamp")), "at", "event_type")
-    name, base = f"counts_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/lumentrace-{uuid.uuid4().hex}"
-    done = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    name = f"counts_{uuid.uuid4().hex}"
+    done = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_path(spark, name)).trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.table(name).select(F.expr("unix_timestamp(window_start) div 3600").alias("hour"), "event_type", "n")

@@ -220,3 +220,40 @@ def test_custom_sql_refuses_statements(spark):
     for bad in ("DROP TABLE x", "SELECT 1; SELECT 2"):
         with pytest.raises(ValueError, match="SELECT"):
             pipeline.custom_sql(df, bad)
+
+
+def test_names_and_coarse_labels(spark, tmp_path):
+    from lumentrace.operators import naming
+
+    cache = providers.CallCache(spark, f"file://{tmp_path}/n")
+    members = spark.createDataFrame([(0, "a b"), (0, "a c"), (1, "z")], "cluster_id long, property_description string")
+    got = {r.cluster_id: r.label for r in naming.named(members, lambda r: None if r.endswith("z") else '"first"', cache).collect()}
+    assert got == {0: "first", 1: "Unlabeled 1"}
+    labels = spark.createDataFrame([("x",), ("y",), ("w",)], "label string")
+    assert {r.label for r in naming.coarse_names(labels, lambda r: "1. big\n- small", cache, 2).collect()} == {"big", "small"}
+    pairs = naming.matched(labels, spark.createDataFrame([("big",)], "label string"), lambda r: "Big!" if r.endswith("x") else "?", cache)
+    assert {tuple(r) for r in pairs.collect()} == {("x", "big"), ("y", "Outliers"), ("w", "Outliers")}
+
+
+def test_reports(cells):
+    from lumentrace.operators import reports
+
+    table, models = metrics.model_cluster_metrics(*cells), metrics.model_metrics(*cells)
+    tidy = reports.error_bars(reports.tidy_cells(table, ["model", "cluster"]))
+    assert tidy.count() == 4 and {r.metric for r in tidy.collect()} == {"acc"}
+    assert "1. B: acc 1.000" in reports.summary_text(table, models, 4)
+    assert reports.payload({"model_cluster_scores": table})["models"] == ["A", "B"]
+    assert {r.place for r in reports.heatmap_order(table, "model", "proportion").collect()} == {1, 2}
+    assert reports.tracker_rows(metrics.with_metadata(table, cells[0])).where("examples like '[%'").count() == 4
+
+
+def test_run_from_config(spark, tmp_path):
+    from lumentrace.plans import runs
+
+    rows = [(f"q{i}", m, f"word{i % 2} said") for i in range(6) for m in ("m1", "m2")]
+    spark.createDataFrame(rows, "prompt string, model string, model_response string").write.parquet(f"file://{tmp_path}/in.parquet")
+    config = json.dumps({"data_path": f"file://{tmp_path}/in.parquet", "output_dir": f"file://{tmp_path}/out", "min_cluster_size": 2, "model_a": "m1", "model_b": "m2"})
+    provider = lambda r: json.dumps([{"property_description": r.rsplit("\n", 1)[-1].split()[0], "behavior_type": "Style"}])
+    out = runs.run(spark, config, provider, taxonomy=None)
+    assert {r.model for r in out.tables["model_scores"].collect()} == {"m1", "m2"}
+    assert loaders.load_metrics(spark, f"file://{tmp_path}/out/final")["model_cluster_scores"].count() > 0
