@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrace.operators.metrics import PAIR, metric_names, other_models_mean, ratio, scored_pairs
+from lumentrace.operators.metrics import metric_names, other_models_mean, ratio, scored_pairs
+from lumentrace.session import written
 
 LOW, HIGH = 0.025, 0.975
 
@@ -22,7 +23,8 @@ def numbered(facts: DataFrame) -> DataFrame:
     Numbers within ranges of ids plus the sizes of the ranges before, so no task holds all ids.
     """
     ids = facts.select("conversation_id").distinct()
-    parts = ids.repartitionByRange("conversation_id").withColumn("part", F.spark_partition_id())
+    # written, since ranges that are drawn twice may differ
+    parts = written(ids.repartitionByRange("conversation_id").withColumn("part", F.spark_partition_id()), "numbered")
     at = parts.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("conversation_id")) - 1)
     size = parts.groupBy("part").agg(F.count("*").alias("size"))
     before = size.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import json_repair, text
 from lumentrace.operators import bootstrap, clustering, filters, grouping, metrics, ranking, reshape
 from lumentrace.operators.providers import CallCache, Provider, embedded, hashing_embedder
-from lumentrace.session import shared_path
+from lumentrace.session import written
 from lumentrace.sources import loaders
 
 # Columns that each method needs.
@@ -44,12 +44,6 @@ Stage = Callable[[Dataset], Dataset]
 PARTS = ("conversations", "scores", "answers", "properties", "failures", "members")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Pipeline:
     """A list of stages, with the wall time of each kept."""
 
@@ -136,6 +130,18 @@ def extraction(provider: Provider, cache: CallCache, instructions: str = INSTRUC
     return stage
 
 
+def longest_failure_run(rows: DataFrame) -> int:
+    """Most answers in a row, in order of row_idx, that gave errors.
+
+    In a run the places among all answers and among the failed ones grow together, so their difference marks the run; both
+    are numbered by ranges, without a task that sees all answers.
+    """
+    answers = rows.groupBy(F.col("row_idx").alias("at")).agg(F.max(F.col("error_type").isNotNull()).alias("failed"))
+    failed = loaders.indexed(answers, "at").where("failed").select(F.col("row_idx").alias("place"))
+    runs = loaders.indexed(failed, "place").groupBy(F.col("place") - F.col("row_idx")).count()
+    return runs.agg(F.max("count")).first()[0] or 0
+
+
 def parsing(most_failures_in_a_row: int = 10) -> Stage:
     """Answers to properties and failures; RuntimeError where more answers than allowed fail in a row."""
 
@@ -145,8 +151,7 @@ def parsing(most_failures_in_a_row: int = 10) -> Stage:
         rows = written(rows, "parsed")
         rows = rows.withColumn("property_id", F.sha2(F.concat_ws("|", "question_id", "model", F.col("pos").cast("string"), "property_description"), 256))
         failures = rows.where("error_type is not null")
-        order = rows.groupBy("row_idx").agg((F.max(F.col("error_type").isNotNull().cast("int")) == 0).alias("ok")).withColumn("all", F.lit(0))
-        longest = ranking.failure_runs(order, ["all"], ["row_idx"]).agg(F.max("run_length")).first()[0] or 0
+        longest = longest_failure_run(rows)
         if longest > most_failures_in_a_row:
             raise RuntimeError(f"{longest} answers in a row could not be parsed")
         return replace(data, properties=rows.where("error_type is null").drop("error_type"), failures=failures)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumentrace.session import written
+
 
 def load(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """A table by its suffix: csv with header, jsonl, json (one document), or parquet."""
@@ -59,9 +61,8 @@ def resolve(spark: SparkSession, rows: list[dict] | None = None, path: str | Non
 
 def indexed(df: DataFrame, *order: str) -> DataFrame:
     """Rows with row_idx from 0 in the given order; a conversation without question_id is known by it."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    from pyspark.sql import Window
-
+    # written, since ranges that are drawn twice may differ
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "indexed")
     at = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     size = parts.groupBy("_part").agg(F.count("*").alias("_size"))
     before = size.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
