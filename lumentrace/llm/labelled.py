@@ -38,7 +38,8 @@ def fitted(rows: DataFrame, fit: Callable[[list[int], list[str], np.ndarray], by
         texts = [t or "" for t in all_rows["text"]]
         yield pd.DataFrame({"model": [fit(all_rows["doc_id"].tolist(), texts, all_rows["y"].to_numpy(dtype=np.int64))]})
 
-    return bytes(rows.repartition(1).mapInPandas(run, "model binary").first()[0])
+    made = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return bytes(made[0]) if made else fit([], [], np.zeros(0, dtype=np.int64))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
