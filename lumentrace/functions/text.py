@@ -6,7 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Prefixes of list items, tried in this order.
-ITEM_PREFIXES = (r"^\d+[.)]\s+", r"^\(\d+\)\s+", r"^[a-zA-Z][.)]\s+", r"^\([a-zA-Z]\)\s+", r"^[ivxIVX]+[.)]\s+", r"^[-*•]\s+")
+ITEM_PREFIXES = (
+    r"^\s*\d+\.\s*",
+    r"^\s*\d+\)\s*",
+    r"^\s*[a-zA-Z]\.\s*",
+    r"^\s*[a-zA-Z]\)\s*",
+    r"^\s*[ivxlc]+\.\s*",
+    r"^\s*[IVXLC]+\.\s*",
+    r"^\s*[•·◦▪▫‣⁃]\s*",
+    r"^\s*[-+]\s*",
+    r"^\s*\*(?!\*)\s*",
+    r"^\s*[→⟶]\s*",
+)
 # Powers of 1024 by unit.
 UNITS = {"B": 0, "KB": 1, "MB": 2, "GB": 3, "TB": 4}
 

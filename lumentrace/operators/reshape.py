@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words in the names of numeric columns that are taken for scores.
-SCORE_WORDS = ("score", "rating", "quality", "accuracy", "helpfulness", "reward", "grade", "correct", "metric")
+# Words in the names of numeric columns that are taken for scores, and columns that never are.
+SCORE_WORDS = ("score", "rating", "quality", "helpfulness", "accuracy", "correctness", "fluency", "coherence", "relevance")
+NO_SCORES = ("question_id", "id", "size", "cluster_id")
 
 
 def rename(df: DataFrame, mapping: dict[str, str], required: list[str]) -> DataFrame:
@@ -31,9 +32,9 @@ def scores_to_columns(df: DataFrame, metrics: list[str], column: str = "score",
 
 
 def score_columns(df: DataFrame) -> list[str]:
-    """Numeric columns whose names tell of scores and not of ids."""
+    """Numeric columns whose names tell of scores and not of ids or sizes."""
     numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")]
-    return [c for c in numeric if any(w in c.lower() for w in SCORE_WORDS) and not c.lower().endswith("id")]
+    return [c for c in numeric if any(w in c.lower() for w in SCORE_WORDS) and c not in NO_SCORES and not c.endswith("_id")]
 
 
 def parsed_score(column: str, missing_is_zero: bool = False) -> Column:
