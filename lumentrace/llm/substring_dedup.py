@@ -36,22 +36,33 @@ class FingerprintIndex:
         self.runs: list[DataFrame] = []
         self.history: DataFrame | None = None
 
-    def ingest(self, batch: DataFrame) -> list[DataFrame]:
-        """Add ``batch`` and return tables of (doc_id, pos, n): its word windows that also start earlier."""
+    def ingest(self, batch: DataFrame, remember: bool = True) -> list[DataFrame]:
+        """Add ``batch`` and return tables of (doc_id, pos, n): its word windows that also start earlier.
+
+        Without ``remember`` the batch is only judged: no later batch will meet it.
+        """
         batch = with_text(batch)
         fresh = batch.mapInArrow(anchors_of(self.tokens), NODES).withColumn("old", F.lit(False))
         for run in self.runs:
             fresh = fresh.unionByName(run.select(*_RUN).withColumn("old", F.lit(True)))
-        merged = stored(judged(fresh, "earlier").where("not old or open"), "fingerprints")
+        merged = judged(fresh, "earlier").where("not old or open")
+        if remember:
+            merged = stored(merged, "fingerprints")
+            self.runs.append(merged.where("first and not old"))
+        live = stored(merged.where("hit or open"), "decided")
         release(self.spark)
         self.history = batch if self.history is None else self.history.unionByName(batch)
-        live = merged.where("hit or open")
         spans = refine(self.history, live, self.tokens, "earlier", "substring")
-        self.runs.append(merged.where("first and not old"))
         if len(self.runs) > self.max_runs:
             self.compact()
         return spans
 
+    def close(self) -> None:
+        """Delete the runs."""
+        for run in self.runs:
+            drop_stored(self.spark, run)
+        self.runs = []
+
     def compact(self) -> None:
         """Merge all runs into one that is sorted by key."""
         whole = self.runs[0]
@@ -93,7 +104,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, rejo
     prepare(docs.sparkSession)
     docs = with_text(docs)
     index = FingerprintIndex(docs.sparkSession, window)
-    spans = [s for part in in_id_order(docs, batches) for s in index.ingest(part)]
+    parts = in_id_order(docs, batches)
+    spans = [s for i, part in enumerate(parts) for s in index.ingest(part, remember=i + 1 < len(parts))]
+    index.close()
+    release(docs.sparkSession)
 
     def cut(step: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], []]
