@@ -109,11 +109,13 @@ def cell_links(group: pd.DataFrame, kind: str, budget: float, least: float) -> p
             parent[i] = i = parent[parent[i]]
         return i
 
+    # with its squared length and a one beside each vector, one product gives distance less share
+    own = turned[:, at[block] : at[block + 1]]
+    length, one = (own**2).sum(axis=1, keepdims=True), np.ones((len(v), 1), dtype=np.float32)
+    rights, lefts = np.hstack([own, one, length - np.float32(share[block])])[right].T.copy(), np.hstack([-2 * own, length, one])
     for low in range(0, len(left), 512):
         rows = left[low : low + 512]
-        x, y = turned[rows, at[block] : at[block + 1]], turned[right, at[block] : at[block + 1]]
-        near = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * (x @ y.T) <= share[block]
-        i, j = np.nonzero(near)
+        i, j = np.divmod(np.flatnonzero(lefts[rows] @ rights <= 0), len(right))
         i, j = rows[i], right[j]
         meet = (host[i] | host[j]) & (i != j) & ((i < j) | ~host[j] | (side[i] != side[j]))
         i, j = i[meet], j[meet]
