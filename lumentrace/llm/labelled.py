@@ -17,18 +17,31 @@ def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def _labelled(labels: DataFrame, label: str, train: Column) -> DataFrame:
+    """(doc_id, y) of the labelled ids for which ``train`` holds; null labels and ids are not used."""
+    return labels.where(train).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int], train: Column) -> DataFrame:
     """(doc_id, text, y): at most rows[0] documents of label 0 and rows[1] of label 1, the first by a hash of doc_id.
 
     Only ``labels`` rows for which ``train`` holds are used; null labels and ids are not. The ids are few by these
     bounds, so they are broadcast and the documents are not shuffled.
     """
-    one = labels.where(train).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    one = _labelled(labels, label, train)
     order = F.xxhash64("doc_id", F.lit(17))
     some = [one.where(F.col("y") == y).orderBy(order, "doc_id").limit(n) for y, n in enumerate(rows)]
     return with_text(docs).join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
 
 
+def odds_shift(labels: DataFrame, label: str, rows: tuple[int, int], train: Column) -> float:
+    """Log odds of label 1 among all labels that ``sample`` draws from, less those in the sample; 0 where no bound binds."""
+    counted = {r.y: r["count"] for r in _labelled(labels, label, train).groupBy("y").count().collect()}
+    whole = [counted.get(y, 0) for y in (0, 1)]
+    drawn = [min(n, most) for n, most in zip(whole, rows, strict=True)]
+    return float(np.log((whole[1] + 1) / (whole[0] + 1)) - np.log((drawn[1] + 1) / (drawn[0] + 1)))
+
+
 def fitted(rows: DataFrame, fit: Callable[[list[int], list[str], np.ndarray], bytes]) -> bytes:
     """The model that ``fit(ids, texts, y)`` makes of a bounded sample, computed in one task."""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentrace.llm.common import byte_values, in_batches, joined, mix, prepare, with_ids, with_text, word_hashes, words
-from lumentrace.llm.labelled import fitted, fold, logistic, sample
+from lumentrace.llm.labelled import fitted, fold, logistic, odds_shift, sample
 
 BITS = 18
 #: Most labelled rows of label 0 and of label 1 that the model is fitted on.
@@ -74,13 +75,16 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray
     return w, b
 
 
-def fit(ids: list[int], texts: list[str], y: np.ndarray) -> bytes:
-    """A pickled model: weight times ratio and squared ratio of each feature, the constant, and the calibration."""
+def fit(ids: list[int], texts: list[str], y: np.ndarray, shift: float = 0.0) -> bytes:
+    """A pickled model: weight times ratio and squared ratio of each feature, the constant, and the calibration.
+
+    ``shift`` is added to the calibrated log odds; it makes up for a sample with other odds than all labels.
+    """
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n0 or not n1:
         share = (n1 + 1) / (n0 + n1 + 2)
         zero = np.zeros(1 << BITS, dtype=np.float32)
-        return pickle.dumps((zero, zero, 0.0, 0.0, float(np.log(share / (1 - share)))))
+        return pickle.dumps((zero, zero, 0.0, 0.0, float(np.log(share / (1 - share))) + shift))
     rows = [x for at in range(0, len(texts), 200) for x in features(pa.array(texts[at : at + 200]))]
     count = np.zeros((2, 1 << BITS))
     for x, label in zip(rows, y, strict=True):
@@ -95,13 +99,17 @@ def fit(ids: list[int], texts: list[str], y: np.ndarray) -> bytes:
     tuned = np.flatnonzero(aside) if aside.any() else used
     margin = np.array([w[rows[i]] @ values[i] + b for i in tuned])
     slope, base = logistic(margin[:, None], y[tuned])
-    return pickle.dumps(((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), b, float(slope), float(base)))
+    return pickle.dumps(((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), b, float(slope), float(base) + shift))
 
 
 def model(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: tuple[int, int] = TRAIN_ROWS) -> bytes:
-    """Fit on at most ``rows`` labelled documents of each class outside the held-out fold (crc32 of the id mod 5 is 0)."""
+    """Fit on at most ``rows`` labelled documents of each class outside the held-out fold (crc32 of the id mod 5 is 0).
+
+    Scores are at the odds of all these labels, whatever the sample's.
+    """
     prepare(docs.sparkSession)
-    return fitted(sample(docs, labels, label, rows, fold(5) != 0), fit)
+    train = fold(5) != 0
+    return fitted(sample(docs, labels, label, rows, train), partial(fit, shift=odds_shift(labels, label, rows, train)))
 
 
 def _scorer(docs: DataFrame, fitted_model: bytes) -> Callable[[pa.Array], np.ndarray]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentrace.llm.common import Recent, in_batches, prepare, with_ids, with_text
-from lumentrace.llm.labelled import fitted, fold, logistic, sample
+from lumentrace.llm.labelled import fitted, fold, logistic, odds_shift, sample
 
 #: Most labelled rows of label 0 and of label 1 that the model is fitted on.
 TRAIN_ROWS = (4000, 2000)
@@ -119,10 +120,13 @@ def _ordinary_content(docs: list[list[bytes]]) -> bytes:
         return b"".join(samples)[-DICTIONARY:] or b" the "
 
 
-def fit(ids: list[int], texts: list[str], y: np.ndarray) -> bytes:
-    """A pickled model: the two dictionaries, the log ratio of each cell, and the logistic weights."""
+def fit(ids: list[int], texts: list[str], y: np.ndarray, shift: float = 0.0) -> bytes:
+    """A pickled model: the two dictionaries, the log ratio of each cell, and the logistic weights.
+
+    ``shift`` is added to the calibrated log odds; it makes up for a sample with other odds than all labels.
+    """
     share = (y.sum() + 1) / (len(y) + 2)
-    plain = (b" the ordinary", b" the ordinary", np.zeros(LENGTHS * GAINS), np.array([0.0, 0.0, np.log(share / (1 - share))]))
+    plain = (b" the ordinary", b" the ordinary", np.zeros(LENGTHS * GAINS), np.array([0.0, 0.0, np.log(share / (1 - share)) + shift]))
     docs = [windows(t) for t in texts]
     toxic, ordinary = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if len(toxic) < 4 or len(ordinary) < 4:
@@ -137,13 +141,17 @@ def fit(ids: list[int], texts: list[str], y: np.ndarray) -> bytes:
     ratio = np.log((count[0] + 0.3) / total[0]) - np.log((count[1] + 0.3 * total[1] / total[0]) / total[1])
     x = np.array([evidence(ratio[c]) for c in cells])
     tuned = np.concatenate(halves[1])
-    return pickle.dumps((base, extra, ratio, logistic(x[tuned], y[tuned])))
+    return pickle.dumps((base, extra, ratio, logistic(x[tuned], y[tuned]) + np.array([0.0, 0.0, shift])))
 
 
 def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> bytes:
-    """Fit on at most ``rows`` labelled documents of each class outside the held-out fold (crc32 of the id mod 3 is 1)."""
+    """Fit on at most ``rows`` labelled documents of each class outside the held-out fold (crc32 of the id mod 3 is 1).
+
+    Scores are at the odds of all these labels, whatever the sample's.
+    """
     prepare(docs.sparkSession)
-    return fitted(sample(docs, labels, label, rows, fold(3) != 1), fit)
+    train = fold(3) != 1
+    return fitted(sample(docs, labels, label, rows, train), partial(fit, shift=odds_shift(labels, label, rows, train)))
 
 
 def scored(docs: DataFrame, fitted_model: bytes) -> DataFrame:

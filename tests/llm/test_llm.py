@@ -317,6 +317,32 @@ def test_classifiers_without_labels(spark, module):
     assert {round(r.score, 6) for r in module.classified(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def noisy(spark, size=3000, share=0.85):
+    """Documents of eight words, two in five of them junk for label 0 of ``quality`` and one in four for label 1: often in doubt."""
+    rnd = random.Random(12)
+    good = [rnd.random() < share for _ in range(size)]
+    texts = [" ".join(rnd.choice(["blockhead"] * (2 if g else 4) + ["the", "river", "stone", "green", "walks", "over"]) for _ in range(8)) for g in good]
+    labels = spark.createDataFrame([(i, int(g), int(not g)) for i, g in enumerate(good)], "doc_id long, quality int, toxic int")
+    return frame(spark, texts), labels
+
+
+@pytest.mark.parametrize(("module", "label", "rows"), [(quality, "quality", (200, 200)), (toxicity, "toxic", (200, 200))])
+def test_scores_keep_their_level_when_caps_bind(spark, module, label, rows):
+    docs, labels = noisy(spark)
+    share = labels.agg(F.avg(label)).first()[0]
+    level = lambda model: module.scored(docs, model).agg(F.avg("score")).first()[0]
+    assert level(module.model(docs, labels)) == pytest.approx(share, abs=0.05)
+    assert level(module.model(docs, labels, rows=rows)) == pytest.approx(share, abs=0.1)
+
+
+@pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_share_of_one_class_is_that_of_all_labels(spark, module, label):
+    docs, labels = noisy(spark, 200)
+    one = labels.where(F.col(label) == 0)
+    got = module.scored(docs, module.model(docs, one, rows=(10, 10))).first().score
+    assert got == pytest.approx(module.scored(docs, module.model(docs, one)).first().score, rel=1e-6)
+
+
 def test_empty_tables_and_null_ids(spark):
     empty = frame(spark, [])
     odd = spark.createDataFrame([(None, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (3, "a b c d e f g h i j")], "doc_id long, text string")
