@@ -6,11 +6,13 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentrace.llm import exact_dedup, minhash_dedup, packing, quality, substring_dedup
-from lumentrace.llm.common import stored
+from lumentrace.llm.common import NULL_ID, stored, text_hash
 from lumentrace.llm.queries import table, vocabulary
 
 
@@ -19,6 +21,18 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def _by_row(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with ids that no two rows share, and a function that puts the own ids back.
+
+    Where ids repeat or are null the rows are written once in order of doc_id under row numbers.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs, lambda rows: rows
+    order = ["doc_id", text_hash(), *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    rows = docs.withColumn("_own", F.col("doc_id")).repartitionByRange("doc_id", text_hash()).sortWithinPartitions(*order).withColumn("doc_id", F.monotonically_increasing_id())
+    return stored(rows, "rows"), lambda rows: rows.withColumn("doc_id", F.col("_own")).drop("_own")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it is fitted on the labelled ones among ``docs``."""
     return quality.kept(docs, table(spark, sf_dir, "labels"))
@@ -26,18 +40,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the smallest doc_id."""
-    return _without(docs, exact_dedup.deduplicate(docs).where("not kept"))
+    docs, own = _by_row(docs)
+    return own(_without(docs, exact_dedup.deduplicate(docs).where("not kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
-    return _without(docs, minhash_dedup.grouped(docs, k=5, percent=80).where("not kept"))
+    docs, own = _by_row(docs)
+    return own(_without(docs, minhash_dedup.grouped(docs, k=5, percent=80).where("not kept")))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of 20-word windows that occur earlier; what loses nothing keeps its text as it is."""
-    cut = substring_dedup.remove_repeats(docs, rejoin=False).where("n_removed > 0").select("doc_id", "kept")
-    out = docs.join(cut, "doc_id", "left")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id")
+    cut = substring_dedup.remove_repeats(docs, rejoin=False, once=True).where("n_removed > 0").select(key, F.col("text_hash").alias("_hash"), "kept")
+    out = docs.select("*", key, text_hash().alias("_hash")).join(cut, ["_id", "_hash"], "left")
     text = F.coalesce("kept", "text")
     size = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
     return out.withColumns({"text": text, "n_chars": size}).select(*docs.columns)

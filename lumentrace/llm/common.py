@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text handed to a Python worker at a time; a batch of long documents must fit beside the executor.
@@ -192,6 +192,34 @@ def with_ids(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(NULL_ID)) for c in columns or ("doc_id",)})
 
 
+def text_hash() -> Column:
+    """A 64-bit hash of ``text``; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def one_a_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) rows under unique keys in order of doc_id, and what the keys stand for.
+
+    Unique ids are their own keys, and the second table is None. Else each distinct (doc_id, text) is written once under a
+    row number in place of the id, texts of one id in order of their hash; the second table is (doc_id, hash, text, row).
+    """
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, None
+    own = docs.groupBy("doc_id", text_hash().alias("hash")).agg(F.min("text").alias("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    keys = stored(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return keys.select(F.col("row").alias("doc_id"), "text"), keys
+
+
+def own_ids(out: DataFrame, keys: DataFrame | None, docs: DataFrame | None = None) -> DataFrame:
+    """Results by the keys of ``one_a_text`` with doc_ids again; with ``docs`` one for each of its rows."""
+    if keys is None:
+        return out
+    of = keys.select("doc_id", "hash", "row")
+    if docs is not None:
+        of = docs.select("doc_id", text_hash().alias("hash")).join(of, ["doc_id", "hash"])
+    return of.join(out.withColumnRenamed("doc_id", "row"), "row").select(*out.columns)
+
+
 def in_batches(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = STEP_BYTES) -> Callable:
     """A mapInArrow function that applies ``f`` to slices of bounded bytes."""
 

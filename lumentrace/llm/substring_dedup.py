@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import drop_stored, in_batches, prepare, release, stored, with_ids, with_text
+from lumentrace.llm.common import drop_stored, in_batches, one_a_text, own_ids, prepare, release, stored, text_hash, with_ids, with_text
 from lumentrace.llm.windows import NODES, Tokens, anchors_of, attach, covered, judged, refine
 
 WINDOW = 20
@@ -28,7 +28,8 @@ def word_tokens(window: int) -> Tokens:
 class FingerprintIndex:
     """Fingerprints of the documents seen so far, and the deduplication of new batches against them.
 
-    Batches must come in increasing order of doc_id, since the occurrence with the smaller (doc_id, start) stays.
+    Batches must come in increasing order of doc_id, since the occurrence with the smaller (doc_id, start) stays, and a
+    doc_id must not repeat; ``remove_repeats`` sees to both.
     """
 
     def __init__(self, spark, window: int = WINDOW, max_runs: int = 4):
@@ -92,17 +93,20 @@ def in_id_order(docs: DataFrame, batches: int) -> list[DataFrame]:
     return parts
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, rejoin: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, rejoin: bool = True, once: bool = False) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts earlier in the corpus.
 
     Words are runs of bytes other than ASCII white space. Earlier means a smaller doc_id, or the same document and an
     earlier start; windows are judged on the input. Documents enter the index in ``batches`` parts in order of doc_id.
     Returns doc_id, n_words, n_removed, kept (words joined by one space;
     without ``rejoin`` null where nothing is removed). Null text has no words; a null doc_id counts as
-    smaller than all others; rows that repeat a doc_id with the same text count once; other columns are not read.
+    smaller than all others; rows that repeat a doc_id with the same text count once and get the same result; different
+    texts under one doc_id are documents in order of a hash; other columns are not read. With ``once`` each distinct
+    (doc_id, text) gives one row, with the text's hash as a fifth column.
     """
     prepare(docs.sparkSession)
-    docs = with_text(docs)
+    rows = with_text(docs)
+    docs, keys = one_a_text(rows)
     index = FingerprintIndex(docs.sparkSession, window)
     parts = in_id_order(docs, batches)
     spans = [s for i, part in enumerate(parts) for s in index.ingest(part, remember=i + 1 < len(parts))]
@@ -119,6 +123,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, rejo
             for to, x in zip(out, (len(found), int(gone.sum()), joined), strict=True):
                 to.append(x)
         arrays = [step.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept"])
+        names = ["doc_id", "n_words", "n_removed", "kept"]
+        return pa.RecordBatch.from_arrays([*arrays, step.column("text_hash")] if once else arrays, names=[*names, "text_hash"] if once else names)
 
-    return with_ids(attach(docs, spans).mapInArrow(in_batches(cut), OUT))
+    found = attach(docs, spans)
+    if once:
+        return with_ids(own_ids(found.withColumn("text_hash", text_hash()).mapInArrow(in_batches(cut), f"{OUT}, text_hash long"), keys))
+    return with_ids(own_ids(found.mapInArrow(in_batches(cut), OUT), keys, rows))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumentrace.llm.common import in_batches, prepare, release, stored, with_ids, with_text
+from lumentrace.llm.common import in_batches, one_a_text, own_ids, prepare, release, stored, with_ids, with_text
 from lumentrace.llm.windows import NODES, Tokens, anchors_of, attach, covered, judged, refine
 
 THRESHOLD = 400
@@ -35,10 +35,13 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, since a cut may split a
     character). Null text counts as empty; a text below the threshold keeps all; overlapping occurrences count;
-    matches never cross documents. ``doc_id`` is the key: rows that repeat one with the same text count once.
+    matches never cross documents. Rows that repeat a doc_id with the same text count once and get the same result;
+    different texts under one doc_id are documents of their own.
     Other columns are not read. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
+    rows = with_text(docs)
+    docs, keys = one_a_text(rows)
     spans = repeated_spans(docs, threshold)
 
     def cut(step: pa.RecordBatch) -> pa.RecordBatch:
@@ -53,5 +56,5 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         arrays = [step.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return with_ids(attach(docs, spans).mapInArrow(in_batches(cut), OUT))
+    return with_ids(own_ids(attach(docs, spans).mapInArrow(in_batches(cut), OUT), keys, rows))
 

@@ -72,6 +72,55 @@ def test_substring_dedup(spark, texts, batches):
         assert (got[d].n_words, got[d].n_removed, got[d].kept) == (len(w), sum(gone), kept), t
 
 
+def sharing_ids(spark):
+    """Documents some of which repeat an id with the same text, with another one, or have none; and their words."""
+    rnd = random.Random(21)
+    say = lambda n: " ".join(rnd.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) + str(rnd.randint(0, 99)) for _ in range(n))
+    a, b, c, d = (say(40) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (2, c), (None, d), (None, say(30)), (None, None), (None, d), (5, say(9) + " " + c + " " + say(3)), (6, say(25)), (7, d)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_substring_dedup_of_shared_ids(spark):
+    rows, docs = sharing_ids(spark)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs, 20).collect())
+    want = Counter()
+    for i, t in rows:
+        w = plain(t).split()
+        gone = len(w) if i == 7 else 40 if i == 5 else 0
+        want[(i, len(w), gone, " ".join([] if i == 7 else w[:9] + w[49:] if i == 5 else w))] += 1
+    assert got == want
+
+
+def test_suffix_dedup_of_shared_ids(spark):
+    rows, docs = sharing_ids(spark)
+    got = Counter((r.doc_id, r.n_bytes, bytes(r.kept).decode()) for r in suffix_dedup.remove_repeats(docs, 60).collect())
+    once = set((i, plain(t)) for i, t in rows)
+    seen = Counter(t[k : k + 60] for _, t in once for k in range(len(t) - 59))
+    want = Counter()
+    for i, t in ((i, plain(t)) for i, t in rows):
+        gone = {x for k in range(len(t) - 59) if seen[t[k : k + 60]] > 1 for x in range(k, k + 60)}
+        want[(i, len(t), "".join(x for k, x in enumerate(t) if k not in gone))] += 1
+    assert got == want and any(len(k) < n for _, n, k in got)
+
+
+def test_pipeline_stages_of_shared_ids(spark):
+    import corpus_pipeline
+
+    rows, _ = sharing_ids(spark)
+    docs = spark.createDataFrame([(i, t, "en", len(plain(t))) for i, t in rows], "doc_id long, text string, lang string, n_chars long").repartition(3)
+    told = lambda x: Counter((r.doc_id, r.text, r.n_chars) for r in x.collect())
+    cut = told(corpus_pipeline.cut_repeats(spark, docs, ""))
+    words = rows[8][1].split()
+    new = lambda i, t: "" if i == 7 else " ".join(words[:9] + words[49:]) if i == 5 else t
+    assert cut == Counter((i, new(i, t), len(plain(new(i, t)))) for i, t in rows)
+    # each text stays once, under the smallest id, and no text goes with another one's copy
+    first = {t: (i, t, len(plain(t))) for i, t in reversed(rows)}
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and told(out) == Counter(first.values())
+
+
 def test_fingerprint_runs_compact(spark, texts):
     index = substring_dedup.FingerprintIndex(spark, 8, max_runs=1)
     docs = frame(spark, texts)
