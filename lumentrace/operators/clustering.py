@@ -30,6 +30,12 @@ def standardised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return long.join(F.broadcast(stats), "dim").select(key, "dim", ((F.col("x") - F.col("mean")) / (F.col("sd") + 1e-8)).alias("z"))
 
 
+def mean_vectors(vectors: DataFrame, label: str, vector: str) -> DataFrame:
+    """(label, vector): the mean of all vectors of each label."""
+    means = vectors.select(label, F.posexplode(vector).alias("dim", "x")).groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias(vector))
+
+
 def nearest(fine: DataFrame, coarse: DataFrame, fine_id: str, coarse_id: str, vector: str = "embedding") -> DataFrame:
     """The coarse row of the largest cosine for each fine row, ties to the smaller id.
 

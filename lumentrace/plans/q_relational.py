@@ -141,6 +141,13 @@ def join_substring_theta(spark, sf_dir):
     return joins.containing(pages, items, "url", "item")
 
 
+@query("""SELECT page_id, url, item FROM (SELECT page_id, url, b.item, row_number() OVER (PARTITION BY page_id, url ORDER BY b.item) AS n FROM pages
+    JOIN (SELECT DISTINCT substr(url, 9, 12) AS item FROM pages) b ON contains(url, b.item)) WHERE n = 1""")
+def join_substring_theta_whole(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return joins.containing(pages, pages.select(F.substring("url", 9, 12).alias("item")).distinct(), "url", "item")
+
+
 @query("""SELECT doc_id, lang AS prompt, source AS model FROM documents WHERE lang IN
     (SELECT lang FROM documents WHERE source IN ('src1', 'src2') GROUP BY lang HAVING count(DISTINCT source) = 2)""")
 def join_semi_paired(spark, sf_dir):

@@ -121,6 +121,11 @@ def json_diagnosis(spark, sf_dir):
     return _answers(spark, sf_dir).where("row_idx % 6 in (4, 5)").select("row_idx", json_repair.diagnosis().alias("problem"))
 
 
+@query("SELECT event_id AS row_idx, CASE WHEN event_id % 6 = 0 THEN 'invalid JSON' WHEN event_id % 6 <= 3 THEN 'no code fence' ELSE 'no brackets' END AS problem FROM events")
+def json_diagnosis_whole(spark, sf_dir):
+    return _answers(spark, sf_dir).select("row_idx", json_repair.diagnosis().alias("problem"))
+
+
 @query(f"SELECT event_id AS row_idx FROM events WHERE event_id % 6 <= 2 AND event_type IS NOT NULL")
 def validated_properties(spark, sf_dir):
     rows = json_repair.parsed_rows(_answers(spark, sf_dir)).where("error_type is null")
@@ -141,19 +146,27 @@ def conversation_to_text(spark, sf_dir):
     return messages.rendered(table(spark, sf_dir, "conversations")).select("conv_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-def _agentic(spark, sf_dir):
+def _agentic(rows):
     """Turn rows as messages in JSON with a tool call and an image on some."""
-    rows = table(spark, sf_dir, "conversations").where("turn < 2")
     call = F.lit('[{"id":"1","type":"function","function":{"name":"look","arguments":"{}"}}]')
     content = F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text")))
     one = F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","content":'), F.when(F.col("turn") == 0, F.to_json(F.array("text"))).otherwise(content), F.lit(',"tool_calls":'), call, F.lit("}"))
     return rows.select("conv_id", "turn", F.concat(F.lit("["), one, F.lit("]")).alias("raw"))
 
 
+def _tool_texts(rows):
+    out = messages.with_segments(_agentic(rows), "raw")
+    return out.select("conv_id", "turn", F.size(F.flatten(F.transform("messages", lambda m: m["segments"]))).alias("n_segments"), messages.has_image(F.col("messages")).alias("has_image"), F.sha2(messages.as_text(F.col("messages")).cast("binary"), 256).alias("text_sha256"))
+
+
 @query("SELECT conv_id, turn, 2 AS n_segments, false AS has_image, sha256('=== ' || upper(role) || ' ===' || chr(10) || text || chr(10) || '[call look({})]') AS text_sha256 FROM conversations WHERE turn < 2")
 def tool_calls_to_text(spark, sf_dir):
-    out = messages.with_segments(_agentic(spark, sf_dir), "raw")
-    return out.select("conv_id", "turn", F.size(F.flatten(F.transform("messages", lambda m: m["segments"]))).alias("n_segments"), messages.has_image(F.col("messages")).alias("has_image"), F.sha2(messages.as_text(F.col("messages")).cast("binary"), 256).alias("text_sha256"))
+    return _tool_texts(table(spark, sf_dir, "conversations").where("turn < 2"))
+
+
+@query("SELECT conv_id, turn, 2 AS n_segments, false AS has_image, sha256('=== ' || upper(role) || ' ===' || chr(10) || text || chr(10) || '[call look({})]') AS text_sha256 FROM conversations")
+def tool_calls_to_text_whole(spark, sf_dir):
+    return _tool_texts(table(spark, sf_dir, "conversations"))
 
 
 @query("SELECT conv_id AS trace_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations WHERE role <> 'system' AND text <> '' GROUP BY 1")
@@ -185,6 +198,14 @@ def cosine_assign_nearest(spark, sf_dir):
     return rounded(clustering.nearest(e, coarse, "vec_id", "c_id"))
 
 
+@query("""WITH l AS (SELECT label AS c_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT c_id, dim, avg(x) AS x FROM l GROUP BY 1, 2),
+    c AS (SELECT c_id, list(x ORDER BY dim) AS c FROM m GROUP BY 1), p AS (SELECT vec_id, c_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS s FROM embeddings, c)
+    SELECT vec_id, c_id, round(s, 6) + 0.0 AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c_id) AS n FROM p) WHERE n = 1""")
+def cosine_assign_nearest_whole(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return rounded(clustering.nearest(e, clustering.mean_vectors(e, "label", "embedding").withColumnRenamed("label", "c_id"), "vec_id", "c_id"))
+
+
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
 def l2_norms(spark, sf_dir):
     return rounded(table(spark, sf_dir, "embeddings").select("vec_id", clustering.norm(F.col("embedding")).alias("norm")), 5)
