@@ -1,10 +1,13 @@
-"""Session settings that the engine's plans count on."""
+"""Session settings that the engine's plans count on, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -13,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
+#: Shuffle files of an execution go as it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_local: dict[str, str] = {}
 
 
 def build(master: str = "local[*]", partitions: int | None = None, **extra: str) -> SparkSession:
@@ -27,17 +33,67 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while; one that this Spark does not let change stays as it is."""
+    old = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, value)
+    except AnalysisException:
+        yield
+        return
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    out = jvm.org.apache.hadoop.fs.Path(path)
+    return out, out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; one is made where it is unset."""
+    """A new path below ``spark.checkpoint.dir``, which driver and executors share; what is left there goes when the driver ends.
+
+    Where it is unset a local master gets a temporary folder; on a cluster that is an error, as executors would each write to
+    a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        base = _local[context.applicationId]
+    out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path, files = _hadoop_path(spark, out)
+    files.deleteOnExit(path)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of the shared folder: computed once, with no lineage to repeat."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with setting(spark, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it; one that is not there is left at that."""
+    at, files = _hadoop_path(spark, path)
+    files.delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables of ``written`` that no later step reads; other frames have none of their own."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
