@@ -18,7 +18,7 @@ SETTINGS = {
 }
 #: Shuffle files of an execution go as it ends, not when the driver happens to collect garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_local: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def build(master: str = "local[*]", partitions: int | None = None, **extra: str) -> SparkSession:
@@ -57,24 +57,30 @@ def _hadoop_path(spark: SparkSession, path: str):
     return out, out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, which driver and executors share; what is left there goes when the driver ends.
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``; it is deleted as the driver ends.
 
-    Where it is unset a local master gets a temporary folder; on a cluster that is an error, as executors would each write to
-    a disk of their own.
+    Where the setting is missing a local master gets a temporary folder; on a cluster that is an error, as executors would
+    each write to a disk of their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if context.applicationId not in _local:
-            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="shared-")
-        base = _local[context.applicationId]
-    out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path, files = _hadoop_path(spark, out)
-    files.deleteOnExit(path)
-    return out
+    context = spark.sparkContext
+    if context.applicationId not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="shared-")
+        out = f"{base.rstrip('/')}/lumentrace-{uuid.uuid4().hex}"
+        path, files = _hadoop_path(spark, out)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders[context.applicationId] = out
+    return _folders[context.applicationId]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in a folder that driver and executors share; what is left there goes as the driver ends."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
