@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumentrace.llm.common import in_batches, one_a_text, own_ids, prepare, release, stored, with_ids, with_text
-from lumentrace.llm.windows import NODES, Tokens, anchors_of, attach, covered, judged, refine
+from lumentrace.llm.common import in_batches, one_a_text, own_ids, with_ids, with_text, written
+from lumentrace.llm.windows import NODES, Tokens, anchors_of, attach, covered, judged, refine, texts_by_id
 
 THRESHOLD = 400
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -22,12 +22,14 @@ def byte_tokens(threshold: int) -> Tokens:
     return Tokens("bytes", threshold, max(1, min(32, threshold)), (16, 1))
 
 
-def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> list[DataFrame]:
-    """Tables of (doc_id, pos, n): byte windows [pos, pos + n - 1 + threshold) all of which also start elsewhere."""
+def repeated_spans(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, spans) of (doc_id, text) rows with unique ids.
+
+    A span (pos, n) stands for the byte windows [pos, pos + n - 1 + threshold), all of which also start elsewhere.
+    """
     tokens = byte_tokens(threshold)
-    first = stored(judged(with_text(docs).mapInArrow(anchors_of(tokens), NODES), "any").where("hit or open"), "suffix-first")
-    release(docs.sparkSession)
-    return refine(docs, first, tokens, "any", "suffix")
+    first = written(judged(texts.mapInArrow(anchors_of(tokens), NODES), "any").where("hit or open"), "suffix-first")
+    return refine(texts, first, tokens, "any", "suffix")[0]
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -36,13 +38,13 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, since a cut may split a
     character). Null text counts as empty; a text below the threshold keeps all; overlapping occurrences count;
     matches never cross documents. Rows that repeat a doc_id with the same text count once and get the same result;
-    different texts under one doc_id are documents of their own.
+    different texts under one doc_id are documents of their own, and so are those without one.
     Other columns are not read. An empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
     rows = with_text(docs)
-    docs, keys = one_a_text(rows)
-    spans = repeated_spans(docs, threshold)
+    own, keys = one_a_text(rows)
+    texts = texts_by_id(own).rows
+    spans = repeated_spans(texts, threshold)
 
     def cut(step: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
@@ -56,5 +58,4 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         arrays = [step.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return with_ids(own_ids(attach(docs, spans).mapInArrow(in_batches(cut), OUT), keys, rows))
-
+    return with_ids(own_ids(attach(texts, spans).mapInArrow(in_batches(cut), OUT), keys, rows))

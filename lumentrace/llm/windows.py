@@ -10,7 +10,10 @@ anchor form a node. A depth-limited most-significant-first refinement then decid
 * what is left is cut into narrower nodes and meets the next pass, down to single windows.
 
 Only the first node of each union class goes on, so a group of copies costs one row in later passes. Within a task, equal
-nodes are combined before the shuffle. Keys are pairs of independent 64-bit hashes.
+nodes are combined before the shuffle. A node's key is its core's hash modulo 2**64, by which nodes meet, and its union's
+hash modulo the prime 2**61 - 1, on which equality rests.
+
+Texts lie in buckets of doc_id, so the passes join nodes to them without moving a text again.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import Rolling, byte_values, joined, mix, release, sliding_argmin, stored, text_steps, with_text, word_hashes, words
+from lumentrace.llm.common import Buckets, PrimeRolling, Rolling, bucketed, byte_values, joined, mix, sliding_argmin, text_steps, word_hashes, words, written
 
 NODES = "core long, uni long, doc_id long, anchor int, pos int, n int, cnt int"
 #: Nodes that a task gathers before it combines equal ones.
@@ -41,19 +44,19 @@ class Tokens:
     steps: tuple[int, ...]
 
     def hashes(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each token of all texts, and where each text starts (and ends)."""
+        """Two 64-bit hashes of each token of all texts, the second for equality, and where each text starts (and ends)."""
         data, starts = joined(text)
         if self.kind == "bytes":
             # the space after each text stays as a token that no valid window reaches
             return byte_values(0)[data], byte_values(1)[data], starts
         begin, end, first = words(data, starts)
-        return word_hashes(data, begin, end, seed=0), word_hashes(data, begin, end, seed=1), first
+        return word_hashes(data, begin, end), word_hashes(data, begin, end, prime=True), first
 
     def counts(self, first: np.ndarray) -> np.ndarray:
         return np.diff(first) - (1 if self.kind == "bytes" else 0)
 
 
-def _emit(parts: list[tuple[np.ndarray, ...]], mode: str) -> Iterator[pa.RecordBatch]:
+def _emit(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Nodes of a task with equal ones combined: a first node that counts them; later ones have cnt 0 and a spread key."""
     if not parts:
         return
@@ -81,7 +84,7 @@ def anchors_of(tokens: Tokens) -> Callable:
             ids = step.column("doc_id").to_numpy(zero_copy_only=False)
             h, g, first = tokens.hashes(step.column("text"))
             count = tokens.counts(first)
-            r, q = Rolling(h, 0), Rolling(g, 1)
+            r, q = Rolling(h), PrimeRolling(g)
             m = len(h) - tokens.gram + 1
             if m < 1:
                 continue
@@ -103,9 +106,9 @@ def anchors_of(tokens: Tokens) -> Callable:
             parts.append((grams[a], q.of(s, s + n - 1 + tokens.width), ids[doc].astype(np.int64), a - base, s - base, n))
             held += len(s)
             if held >= COMBINE:
-                yield from _emit(parts, "")
+                yield from _emit(parts)
                 parts, held = [], 0
-        yield from _emit(parts, "")
+        yield from _emit(parts)
 
     return run
 
@@ -118,7 +121,7 @@ def narrower(tokens: Tokens, step_width: int) -> Callable:
         for step in text_steps(batches):
             ids = step.column("doc_id").to_numpy(zero_copy_only=False)
             h, g, first = tokens.hashes(step.column("text"))
-            r, q = Rolling(h, 0), Rolling(g, 1)
+            r, q = Rolling(h), PrimeRolling(g)
             nodes = step.column("nodes")
             off = nodes.offsets.to_numpy()
             flat = nodes.flatten()
@@ -139,9 +142,9 @@ def narrower(tokens: Tokens, step_width: int) -> Callable:
             parts.append((core, uni, ids[row[k]].astype(np.int64), anchor[k], first_window - b, hi - lo + 1))
             held += len(k)
             if held >= COMBINE:
-                yield from _emit(parts, "")
+                yield from _emit(parts)
                 parts, held = [], 0
-        yield from _emit(parts, "")
+        yield from _emit(parts)
 
     return run
 
@@ -149,7 +152,8 @@ def narrower(tokens: Tokens, step_width: int) -> Callable:
 def judged(nodes: DataFrame, mode: str) -> DataFrame:
     """Each node with ``hit`` (all its windows repeat), ``first`` (of its union class) and ``open`` (goes to the next pass).
 
-    mode ``any``: a window is a hit if it occurs elsewhere; ``earlier``: if it occurs at a smaller (doc_id, start).
+    mode ``any``: a window is a hit if it occurs elsewhere; ``earlier``: if it occurs at a smaller (doc_id, start). Nodes
+    are ordered by core, union and place; a frequent core's rows stream through their task.
     """
     by = Window.partitionBy("core", "uni")
     core = Window.partitionBy("core")
@@ -161,33 +165,33 @@ def judged(nodes: DataFrame, mode: str) -> DataFrame:
     return out.select(*nodes.columns, hit.alias("hit"), (live & (F.col("rank") == 1)).alias("first"), (live & (F.col("rank") == 1) & F.col("several")).alias("open"))
 
 
-def refine(docs: DataFrame, judged_nodes: DataFrame, tokens: Tokens, mode: str, name: str) -> list[DataFrame]:
-    """The later passes: tables of (doc_id, pos, n) of windows that repeat, the first pass's included."""
-    spark = docs.sparkSession
-    spans = [judged_nodes.where("hit").select("doc_id", "pos", "n")]
+def texts_by_id(docs: DataFrame) -> Buckets:
+    """(doc_id, text) rows with unique ids, in buckets of doc_id."""
+    return bucketed(docs, "doc_id", "texts")
+
+
+def refine(texts: DataFrame, judged_nodes: DataFrame, tokens: Tokens, mode: str, name: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The later passes: (doc_id, spans) with all windows that repeat, the first pass's included, and the tables behind it."""
+    spans, made = judged_nodes.where("hit").select("doc_id", "pos", "n"), []
     for width in tokens.steps:
         todo = judged_nodes.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("nodes"))
-        cut = with_text(docs).join(todo, "doc_id").mapInArrow(narrower(tokens, width), NODES)
-        judged_nodes = stored(judged(cut, mode).where("hit or open"), f"{name}-{width}")
-        release(spark)
-        spans.append(judged_nodes.where("hit").select("doc_id", "pos", "n"))
-    return spans
+        cut = texts.join(todo.hint("shuffle_hash"), "doc_id").mapInArrow(narrower(tokens, width), NODES)
+        judged_nodes = written(judged(cut, mode).where("hit or open"), f"{name}-{width}")
+        made.append(judged_nodes)
+        spans = spans.unionByName(judged_nodes.where("hit").select("doc_id", "pos", "n"))
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans")), made
 
 
-def attach(docs: DataFrame, spans: list[DataFrame]) -> DataFrame:
+def attach(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, spans) with the repeated windows of each document, null where there are none."""
-    found = spans[0]
-    for more in spans[1:]:
-        found = found.unionByName(more)
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    return with_text(docs).join(found, "doc_id", "left")
+    return texts.join(spans.hint("shuffle_hash"), "doc_id", "left")
 
 
 def covered(step: pa.RecordBatch, row: int, size: int, width: int) -> np.ndarray:
     """Which of the ``size`` tokens of a row some repeated window covers."""
-    nodes = step.column("spans")[row].as_py() or ()
-    change = np.zeros(size + 1, dtype=np.int64)
-    for x in nodes:
-        change[x["pos"]] += 1
-        change[min(size, x["pos"] + x["n"] - 1 + width)] -= 1
+    found = step.column("spans")[row].values
+    if not size or found is None or not len(found):
+        return np.zeros(size, dtype=bool)
+    pos, n = (found.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pos", "n"))
+    change = np.bincount(pos, minlength=size + 1) - np.bincount(np.minimum(size, pos + n - 1 + width), minlength=size + 1)
     return np.cumsum(change)[:size] > 0
