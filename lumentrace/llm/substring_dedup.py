@@ -1,24 +1,31 @@
 """Incremental substring deduplication over words with a log-structured fingerprint index.
 
-The index is a list of immutable runs in the shared folder. A run holds the fingerprints of the windows of the batches
-that it covers, sorted by key: one row for each anchor node (module ``windows``) that was the first of its class. A new
-batch's fingerprints are merged with the rows of all runs; hits are verified by an independent 64-bit hash of the whole
-node and, where nodes only share an anchor, window by window on the texts. The batch's own first nodes become a new run,
-and once there are more than ``max_runs`` they are compacted into one.
+The index is a folder of immutable runs. A run holds the fingerprints of the windows of some batches, one row for each
+anchor node (module ``windows``) that was the first of its class, in buckets of its key and sorted by it. A new batch is
+bucketed and sorted the same way and merge-joined with each run, so no run is ever shuffled or sorted again; only its rows
+with a key of the batch are read on. Equality is verified by the hash of the whole node, and where nodes only share an
+anchor, window by window on the texts. The batch's own first nodes become a new run; once there are more than ``max_runs``
+they are compacted into one. A run's folder name tells the batches it covers, so an index can be opened again by its path,
+also after a compaction that was cut short.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import drop_stored, in_batches, one_a_text, own_ids, prepare, release, stored, text_hash, with_ids, with_text
-from lumentrace.llm.windows import NODES, Tokens, anchors_of, attach, covered, judged, refine
+from lumentrace.llm.common import Buckets, bucketed, discard, in_batches, one_a_text, opened, own_ids, remove, shared_path, text_hash, with_ids, with_text, written
+from lumentrace.llm.windows import NODES, Tokens, anchors_of, attach, covered, refine, texts_by_id
 
 WINDOW = 20
 OUT = "doc_id long, n_words long, n_removed long, kept string"
-_RUN = [x.split()[0] for x in NODES.split(", ")]
+_COLUMNS = [x.split()[0] for x in NODES.split(", ")]
+#: Batches in which ``remove_repeats`` feeds its documents: the third makes the runs too many, the fourth meets the compacted one.
+BATCHES, RUNS = 4, 2
 
 
 def word_tokens(window: int) -> Tokens:
@@ -29,49 +36,85 @@ class FingerprintIndex:
     """Fingerprints of the documents seen so far, and the deduplication of new batches against them.
 
     Batches must come in increasing order of doc_id, since the occurrence with the smaller (doc_id, start) stays, and a
-    doc_id must not repeat; ``remove_repeats`` sees to both.
+    doc_id must not repeat; ``remove_repeats`` sees to both. ``path`` holds the runs; runs that lie there are taken up.
     """
 
-    def __init__(self, spark, window: int = WINDOW, max_runs: int = 4):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, max_runs: int = RUNS, path: str | None = None):
         self.spark, self.tokens, self.max_runs = spark, word_tokens(window), max_runs
-        self.runs: list[DataFrame] = []
-        self.history: DataFrame | None = None
-
-    def ingest(self, batch: DataFrame, remember: bool = True) -> list[DataFrame]:
-        """Add ``batch`` and return tables of (doc_id, pos, n): its word windows that also start earlier.
-
-        Without ``remember`` the batch is only judged: no later batch will meet it.
+        self.path = path or shared_path(spark, "fingerprints")
+        self.runs: list[tuple[int, int, Buckets]] = []
+        self._take_up()
+
+    def _take_up(self) -> None:
+        """The complete runs at the path; ones whose batches a longer run covers are left over from its compaction and go."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+        found = []
+        for name in names:
+            m = re.fullmatch(r"run-(\d+)-(\d+)-of-(\d+)", name)
+            if m and files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")):
+                found.append(tuple(map(int, m.groups())))
+            elif m:
+                remove(self.spark, f"{self.path}/{name}")
+        for low, high, count in sorted(found):
+            place = f"{self.path}/run-{low}-{high}-of-{count}"
+            if any((a, b) != (low, high) and a <= low and high <= b for a, b, _ in found):
+                remove(self.spark, place)
+            else:
+                self.runs.append((low, high, opened(self.spark, place, NODES, "core", ("uni",), count)))
+
+    def _run(self, rows: DataFrame, low: int, high: int, count: int) -> tuple[int, int, Buckets]:
+        return low, high, bucketed(rows.select(*_COLUMNS), "core", "run", ("uni",), f"{self.path}/run-{low}-{high}-of-{count}", count)
+
+    def ingest(self, batch: DataFrame) -> DataFrame:
+        """Add ``batch`` (doc_id, text); returns its decided nodes and the earlier ones that have to be looked at again.
+
+        ``hit`` marks nodes all of whose windows also start earlier, ``open`` those that ``refine`` must cut.
         """
-        batch = with_text(batch)
-        fresh = batch.mapInArrow(anchors_of(self.tokens), NODES).withColumn("old", F.lit(False))
-        for run in self.runs:
-            fresh = fresh.unionByName(run.select(*_RUN).withColumn("old", F.lit(True)))
-        merged = judged(fresh, "earlier").where("not old or open")
-        if remember:
-            merged = stored(merged, "fingerprints")
-            self.runs.append(merged.where("first and not old"))
-        live = stored(merged.where("hit or open"), "decided")
-        release(self.spark)
-        self.history = batch if self.history is None else self.history.unionByName(batch)
-        spans = refine(self.history, live, self.tokens, "earlier", "substring")
+        number = max((high for _, high, _ in self.runs), default=-1) + 1
+        fresh = bucketed(batch.mapInArrow(anchors_of(self.tokens), NODES), "core", "fresh", ("uni",))
+        live = fresh.rows.where("cnt > 0")
+        met = [run.rows.join(live.select("core"), "core", "left_semi").select(*_COLUMNS) for _, _, run in self.runs]
+        old = written(reduce(DataFrame.unionByName, met), "met") if met else self.spark.createDataFrame([], NODES)
+        by, core = Window.partitionBy("core", "uni"), Window.partitionBy("core")
+        rows = fresh.rows.withColumn("rank", F.row_number().over(by.orderBy("doc_id", "pos", F.col("cnt").desc())))
+        rows = rows.withColumn("least", F.min("uni").over(core)).withColumn("most", F.max("uni").over(core))
+        rows = rows.join(old.select("core", "uni", F.lit(True).alias("seen")), ["core", "uni"], "left")
+        rows = rows.join(old.groupBy("core").agg(F.min("uni").alias("old_least"), F.max("uni").alias("old_most")), "core", "left")
+        first = (F.col("cnt") > 0) & (F.col("rank") == 1) & F.col("seen").isNull()
+        several = F.least("least", "old_least") != F.greatest("most", "old_most")
+        ranked = written(rows.select(*_COLUMNS, (~first).alias("hit"), (first & several).alias("open"), first.alias("first")), "ranked")
+        of_batch = live.groupBy("core").agg(F.min("uni").alias("least"), F.max("uni").alias("most"))
+        again = old.join(of_batch, "core").where("least <> uni or most <> uni").select(*_COLUMNS, F.lit(False).alias("hit"), F.lit(True).alias("open"))
+        decided = written(ranked.where("hit or open").drop("first").unionByName(again), "decided")
+        self.runs.append(self._run(ranked.where("first"), number, number, fresh.count))
+        fresh.drop()
+        discard(old, ranked) if met else discard(ranked)
         if len(self.runs) > self.max_runs:
             self.compact()
-        return spans
+        return decided
 
-    def close(self) -> None:
-        """Delete the runs."""
-        for run in self.runs:
-            drop_stored(self.spark, run)
-        self.runs = []
+    def spans(self, decided: list[DataFrame], texts: DataFrame) -> DataFrame:
+        """(doc_id, spans) of the word windows that also start earlier; ``texts`` are all documents that were ingested."""
+        nodes = reduce(DataFrame.unionByName, decided)
+        # a node that several later batches met is one
+        nodes = nodes.where("hit").unionByName(nodes.where("open").dropDuplicates(["doc_id", "anchor"]))
+        return refine(texts, nodes, self.tokens, "earlier", "substring")[0]
 
     def compact(self) -> None:
-        """Merge all runs into one that is sorted by key."""
-        whole = self.runs[0]
-        for run in self.runs[1:]:
-            whole = whole.unionByName(run)
-        old, self.runs = self.runs, [stored(whole.repartition("core").sortWithinPartitions("core", "uni"), "run")]
-        for run in old:
-            drop_stored(self.spark, run)
+        """Merge all runs into one; the old ones go once it is complete."""
+        old = self.runs
+        rows = reduce(DataFrame.unionByName, [run.rows for _, _, run in old])
+        self.runs = [self._run(rows, old[0][0], old[-1][1], old[-1][2].count)]
+        for _, _, run in old:
+            run.drop()
+
+    def close(self, keep: bool = False) -> None:
+        """Let go of the runs, and delete them unless they are to be opened again."""
+        for _, _, run in self.runs:
+            run.forget() if keep else run.drop()
+        self.runs = []
 
 
 def in_id_order(docs: DataFrame, batches: int) -> list[DataFrame]:
@@ -93,7 +136,7 @@ def in_id_order(docs: DataFrame, batches: int) -> list[DataFrame]:
     return parts
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, rejoin: bool = True, once: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, rejoin: bool = True, once: bool = False) -> DataFrame:
     """Remove each word covered by a ``window``-word sequence that also starts earlier in the corpus.
 
     Words are runs of bytes other than ASCII white space. Earlier means a smaller doc_id, or the same document and an
@@ -101,17 +144,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, rejo
     Returns doc_id, n_words, n_removed, kept (words joined by one space;
     without ``rejoin`` null where nothing is removed). Null text has no words; a null doc_id counts as
     smaller than all others; rows that repeat a doc_id with the same text count once and get the same result; different
-    texts under one doc_id are documents in order of a hash; other columns are not read. With ``once`` each distinct
-    (doc_id, text) gives one row, with the text's hash as a fifth column.
+    texts under one doc_id are documents in order of a hash; other columns are not read; an empty table gives an empty
+    result. With ``once`` each distinct (doc_id, text) gives one row, with the text's hash as a fifth column.
     """
-    prepare(docs.sparkSession)
     rows = with_text(docs)
-    docs, keys = one_a_text(rows)
+    own, keys = one_a_text(rows)
+    texts = texts_by_id(own).rows
     index = FingerprintIndex(docs.sparkSession, window)
-    parts = in_id_order(docs, batches)
-    spans = [s for i, part in enumerate(parts) for s in index.ingest(part, remember=i + 1 < len(parts))]
+    decided = [index.ingest(part) for part in in_id_order(texts, batches)]
+    spans = index.spans(decided, texts)
     index.close()
-    release(docs.sparkSession)
 
     def cut(step: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[], [], []]
@@ -126,7 +168,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = 2, rejo
         names = ["doc_id", "n_words", "n_removed", "kept"]
         return pa.RecordBatch.from_arrays([*arrays, step.column("text_hash")] if once else arrays, names=[*names, "text_hash"] if once else names)
 
-    found = attach(docs, spans)
+    found = attach(texts, spans)
     if once:
         return with_ids(own_ids(found.withColumn("text_hash", text_hash()).mapInArrow(in_batches(cut), f"{OUT}, text_hash long"), keys))
     return with_ids(own_ids(found.mapInArrow(in_batches(cut), OUT), keys, rows))
