@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import drop_stored, stored
+from lumentrace.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,17 +14,16 @@ def components(links: DataFrame) -> DataFrame:
     Each round points every node's larger neighbours, then its smaller ones, at the least neighbour, until nothing
     changes; the number of rounds grows with the logarithm of the longest path. Each round is a table in the shared folder.
     """
-    spark = links.sparkSession
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
+        new = written(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
         same = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
-        drop_stored(spark, edges)
+        discard(edges)
         edges = new
         if same:
             break

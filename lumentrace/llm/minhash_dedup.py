@@ -11,6 +11,8 @@
    each pair once for all its buckets; larger ones in tiles inside tasks. A tile emits only a spanning forest of the exact
    links between components, never all pairs.
 
+Links are confirmed on the texts themselves: shingles are numbered by their words, not hashed.
+
 A pair at similarity 0.85 misses all bands with a probability of 4e-8; at 0.8, of 4e-5.
 """
 
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import IdFilter, Rolling, drop_stored, in_batches, joined, mix, prepare, release, stored, with_ids, with_text, word_hashes, words
+from lumentrace.llm.common import IdFilter, PrimeRolling, discard, in_batches, joined, mix, one_a_text, text_hash, with_ids, with_text, word_hashes, words, written
 from lumentrace.llm.components import components
 
 BANDS, ROWS = 36, 6
@@ -37,14 +39,14 @@ TILE = 1500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FRACTION = np.uint64((1 << 48) - 1)
 SIGNED = "doc_id long, n long, digest binary, marks binary, bands array<long>"
-SETS = "doc_id long, n long, items binary"
+TEXTS = "doc_id long, text string"
 
 
 def shingle_sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, end to end, and where each text's begin (and end)."""
     data, starts = joined(text)
     begin, end, first = words(data, starts)
-    h = Rolling(word_hashes(data, begin, end, lower=True))
+    h = PrimeRolling(word_hashes(data, begin, end, lower=True, prime=True))
     count = np.diff(first)
     n = np.where(count >= k, count - k + 1, np.minimum(count, 1))
     doc = np.repeat(np.arange(len(count)), n)
@@ -130,19 +132,36 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return with_text(docs).mapInArrow(in_batches(step), SIGNED)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """The full shingle sets of some documents; a filter of their ids spares the others' texts the work and the shuffle."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some documents; a filter of their ids spares the others' texts the shuffle."""
     wanted = IdFilter(ids).may_hold()
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        batch = batch.filter(pa.array(wanted(batch.column("doc_id").to_numpy(zero_copy_only=False))))
-        if not batch.num_rows:
-            return None
-        items, edges = shingle_sets(batch.column("text"), k)
-        raw = [items[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(edges).astype(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "n", "items"])
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.filter(pa.array(wanted(x.column("doc_id").to_numpy(zero_copy_only=False)), pa.bool_()))
+
+    return docs.mapInArrow(some, TEXTS).join(ids, "doc_id", "left_semi")
+
+
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+class Shingles:
+    """Numbers the shingles of the texts given to it: equal numbers are equal words, lower-cased, in equal order."""
+
+    def __init__(self, k: int):
+        self.k, self.word = k, {}
+        self.known: list[dict] = [{} for _ in range(k)]
 
-    return with_text(docs).mapInArrow(in_batches(step), SETS).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    def __call__(self, text: str | None) -> np.ndarray:
+        word = self.word
+        ids = [word.setdefault(w, len(word)) for w in (text or "").encode().translate(_LOWER).split()]
+        if len(ids) < self.k:
+            # a whole sequence of fewer words never equals k words
+            known = self.known[len(ids)]
+            return np.array([-1 - known.setdefault(tuple(ids), len(known)) * self.k - len(ids)] if ids else [], dtype=np.int64)
+        known = self.known[0]
+        return np.fromiter({known.setdefault(x, len(known)) for x in zip(*(ids[i:] for i in range(self.k)), strict=False)}, dtype=np.int64)
 
 
 def _alike(size: int, percent: int) -> float:
@@ -167,16 +186,20 @@ def near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(check, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
+    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, u = None, Shingles(k), np.zeros(0, dtype=np.int64)
         for x in batches:
             good = []
-            for p, q in zip(x.column("ia"), x.column("ib"), strict=True):
-                u, v = np.frombuffer(p.as_py(), dtype=np.uint64), np.frombuffer(q.as_py(), dtype=np.uint64)
+            for a, p, q in zip(x.column("a").to_pylist(), x.column("ta"), x.column("tb"), strict=True):
+                if a != last:  # rows with one left document follow each other
+                    last, number = a, Shingles(k)
+                    u = number(p.as_py())
+                v = number(q.as_py())
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 good.append(100 * both >= percent * (len(u) + len(v) - both))
             yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -199,14 +222,16 @@ def tile_hints(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return group.loc[hit, ["key", "doc_id", "component"]]
 
 
-def tile_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+def tile_links(group: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
     """Exact links between components inside one tile: a spanning forest of them."""
     group = group.drop_duplicates("doc_id").sort_values("doc_id")
-    ids, comp, n = group["doc_id"].to_numpy(), group["component"].to_numpy(), group["n"].to_numpy()
+    ids, comp = group["doc_id"].to_numpy(), group["component"].to_numpy()
     none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
     if len(np.unique(comp)) < 2:
         return none
-    items = np.frombuffer(b"".join(group["items"]), dtype=np.uint64)
+    number = Shingles(k)
+    sets = [number(t) for t in group["text"]]
+    items, n = np.concatenate(sets), np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(ids)), n)
     _, word, uses = np.unique(items, return_inverse=True, return_counts=True)
     shared = uses[word] > 1
@@ -253,51 +278,58 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     shingles, or the whole sequence as one where there are fewer words. Documents are linked when
     100 * intersection >= ``percent`` * union of their full sets. Documents without words, null text among them, are
     linked with nothing. component_id is the smallest doc_id reachable, kept whether it is the document itself; a null
-    doc_id counts as smaller than all others. Rows that repeat a doc_id each get a row. Other columns are not read; an
-    empty table gives an empty result.
+    doc_id counts as smaller than all others. Rows that repeat a doc_id each get a row; with different texts they are
+    documents of their own, linked by what each of them says. Other columns are not read; an empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    table = stored(signed(docs, k), "signed")
+    rows = with_text(docs)
+    own, keys = one_a_text(rows)
+    found = _by_key(own, k, percent)
+    if keys is not None:
+        name = keys.select(F.col("row").alias("component_id"), F.col("doc_id").alias("component"))
+        of = rows.select("doc_id", text_hash().alias("hash")).join(keys.select("doc_id", "hash", "row"), ["doc_id", "hash"])
+        found = of.join(found.withColumnRenamed("doc_id", "row"), "row").join(name, "component_id").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return with_ids(found.withColumn("kept", F.col("doc_id") == F.col("component_id")), "doc_id", "component_id")
+
+
+def _by_key(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of (doc_id, text) rows with unique ids."""
+    table = written(signed(docs, k), "signed")
     classes = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = stored(table.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    reps = stored(table.join(member.where("doc_id = rep and n > 0").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
-    drop_stored(spark, table)
-    release(spark)
+    member = written(table.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    reps = written(table.join(member.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi"), "reps")
+    discard(table)
     marks = reps.select("doc_id", "n", "marks")
     bands = reps.select("doc_id", F.explode("bands").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("count")).where("count > 1").select("key", "hub")
-    bucket = stored(bands.join(hubs, "key"), "buckets")
+    bucket = written(bands.join(hubs, "key"), "buckets")
     stars = bucket.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = stored(near(stars, marks, percent), "pairs")
-    release(spark)
+    pairs = written(near(stars, marks, percent), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(sets_of(docs, ends, k), "sets")
-    release(spark)
-    links = stored(verified(pairs, sets, percent), "star-links")
-    group = components(links)
-    release(spark)
+    texts = written(texts_of(docs, ends), "texts")
+    links = written(verified(pairs, texts, k, percent), "star-links")
+    group = written(components(links), "groups")
     # what the stars left apart inside a bucket
     inside = bucket.select("key", "doc_id").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    inside = placed = stored(inside, "inside")
+    inside = placed = written(inside, "inside")
     apart = inside.groupBy("key").agg((F.min("component") != F.max("component")).alias("apart"), F.count("*").alias("count")).where("apart")
     inside = inside.join(apart.select("key", "count"), "key")
     few, many = inside.where(F.col("count") <= FEW), inside.where(F.col("count") > FEW).drop("count")
     left, right = (few.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    pairs_left = stored(near(left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct(), marks, percent), "pairs-left")
+    pairs_left = written(near(left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct(), marks, percent), "pairs-left")
     tiles = tiled(many).join(marks, "doc_id")
-    hints = stored(tiles.groupBy("key", "t", "u").applyInPandas(lambda g: tile_hints(g, percent), "key long, doc_id long, component long").distinct(), "hints")
-    release(spark)
+    hints = written(tiles.groupBy("key", "t", "u").applyInPandas(lambda g: tile_hints(g, percent), "key long, doc_id long, component long").distinct(), "hints")
     needed = pairs_left.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(hints.select("doc_id")).distinct()
-    lacking = stored(needed.join(ends, "doc_id", "left_anti"), "lacking")
-    rest = stored(sets_of(docs, lacking, k), "sets")
-    full = sets.unionByName(rest)
-    more = tiled(hints).join(full, "doc_id").groupBy("key", "t", "u").applyInPandas(lambda g: tile_links(g, percent), "a long, b long")
-    more = more.unionByName(verified(pairs_left, full, percent))
-    links = stored(links.unionByName(more).distinct(), "all-links")
-    group = stored(components(links).withColumnRenamed("id", "rep"), "groups")
-    for x in (reps, bucket, pairs, placed, pairs_left, hints, lacking, sets, rest):
-        drop_stored(spark, x)
-    release(spark)
-    out = member.join(group, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return with_ids(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "doc_id", "component_id")
+    lacking = written(needed.join(ends, "doc_id", "left_anti"), "lacking")
+    rest = written(texts_of(docs, lacking), "texts")
+    full = texts.unionByName(rest)
+    more = tiled(hints).join(full, "doc_id").groupBy("key", "t", "u").applyInPandas(lambda g: tile_links(g, k, percent), "a long, b long")
+    more = written(more.unionByName(verified(pairs_left, full, k, percent)).distinct(), "more-links")
+    # the stars' components are known; only what links them is followed once more
+    over = more.join(group.withColumnRenamed("id", "a").withColumnRenamed("component", "ca"), "a", "left").join(group.withColumnRenamed("id", "b").withColumnRenamed("component", "cb"), "b", "left")
+    over = written(components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "joined")
+    ids = group.unionByName(over.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    ids = ids.join(over.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    last = written(ids.withColumnRenamed("id", "rep"), "components")
+    discard(reps, bucket, pairs, placed, pairs_left, hints, lacking, texts, rest, links, group, more, over)
+    return member.join(last, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
