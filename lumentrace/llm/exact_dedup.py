@@ -1,24 +1,28 @@
 """Exact deduplication with a cuckoo-filter index over the digests of normalised texts.
 
 The index is split into buckets by digest. A bucket holds a cuckoo filter (two candidate cells of four 16-bit
-fingerprints per digest) and its content, the full digests with their group. A filter hit is verified against the
-content; a miss proves a digest new without looking there. Digests can be deleted again. When an insertion finds no free
-slot after ``MAX_KICKS`` displacements the filter is doubled and rebuilt from the stored keys.
+fingerprints per digest) and its content, the full digests with their group. Batches of documents are inserted one after
+another: a filter hit is verified against the content and joins the group there; a miss proves a digest new without looking.
+Digests can be deleted again. When an insertion finds no free slot after ``MAX_KICKS`` displacements the filter is doubled
+and rebuilt from the stored keys; when the buckets hold more digests than they are meant for, their number is doubled and
+they are dealt anew, from the stored keys as well.
 """
 
 from __future__ import annotations
 
-import math
 from array import array
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import drop_stored, prepare, stored, with_ids, with_text
+from lumentrace.llm.common import NULL_ID, discard, with_ids, with_text, written
 
-#: Distinct digests that a bucket is sized for.
-BUCKET_KEYS = 100_000
+#: Distinct digests that a bucket holds on average, at most, and the buckets of a new index.
+BUCKET_KEYS, FIRST_BUCKETS = 50_000, 8
+#: Batches in which ``deduplicate`` feeds its documents.
+BATCHES = 4
 MAX_KICKS = 200
 SLOTS = 4
 STATE = "bucket int, digest string, keep_id long, group_size long, cells int, filter binary"
@@ -156,36 +160,52 @@ def digests(docs: DataFrame) -> DataFrame:
 class DedupIndex:
     """Live digests over all batches, in tables of the shared folder."""
 
-    def __init__(self, spark: SparkSession, expected_rows: int):
-        self.spark = spark
-        self.buckets = max(1, math.ceil(expected_rows / BUCKET_KEYS) * 8)
-        self.state = spark.createDataFrame([], STATE)
-        self.members = spark.createDataFrame([], "doc_id long, digest string")
+    def __init__(self, spark: SparkSession, buckets: int = FIRST_BUCKETS):
+        self.spark, self.buckets = spark, buckets
+        self.state: DataFrame | None = None
+        self.members: list[DataFrame] = []
 
     def _bucket(self):
         return F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(self.buckets)).cast("int").alias("bucket")
 
+    def _grown(self, extra: int) -> DataFrame:
+        """The state with room for ``extra`` digests; with more buckets than before it is the keys alone, and filters are made anew."""
+        if self.state is None:
+            return self.spark.createDataFrame([], STATE)
+        keys, before = self.state.where("digest is not null"), self.buckets
+        need = keys.count() + extra
+        while need > self.buckets * BUCKET_KEYS:
+            self.buckets *= 2
+        return self.state if self.buckets == before else keys.withColumn("bucket", self._bucket())
+
     def _apply(self, change: DataFrame, f) -> None:
-        old = self.state
-        new = old.groupBy("bucket").cogroup(change.select(self._bucket(), "digest", "keep_id", "size").groupBy("bucket")).applyInPandas(f, STATE)
-        self.state = stored(new, "cuckoo")
-        drop_stored(self.spark, old)
-
-    def insert(self, docs: DataFrame) -> DataFrame:
-        """Add a batch; rows of a digest are combined before the shuffle, so a large group reaches its bucket as a few rows."""
-        rows = stored(digests(docs), "digests")
+        change = written(change, "change")
+        old, before = self.state, self._grown(change.count())
+        new = before.groupBy("bucket").cogroup(change.select(self._bucket(), "digest", "keep_id", "size").groupBy("bucket")).applyInPandas(f, STATE)
+        self.state = written(new, "cuckoo")
+        discard(change)
+        if old is not None:
+            discard(old)
+
+    def insert(self, rows: DataFrame) -> None:
+        """Add a batch of ``digests``; rows of a digest are combined before the shuffle, so a large group reaches its bucket as a few rows."""
         self._apply(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("size")), _insert)
-        self.members = self.members.unionByName(rows)
-        return rows
+        self.members.append(rows)
 
     def delete(self, ids: DataFrame) -> None:
         """Remove documents by doc_id; a digest with no live row left leaves the filter."""
-        gone = self.members.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        rest = self.members.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
-        sizes = gone.groupBy("digest").agg(F.count("*").alias("size"))
+        gone = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")).distinct()
+        rows = self.live()
+        out, rest = rows.join(gone, "doc_id", "left_semi"), rows.join(gone, "doc_id", "left_anti")
+        sizes = out.groupBy("digest").agg(F.count("*").alias("size"))
         left = rest.join(sizes.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
         self._apply(sizes.join(left, "digest", "left"), _delete)
-        self.members = stored(rest, "members")
+        self.members = [written(rest, "members")]
+
+    def live(self) -> DataFrame:
+        """(doc_id, digest) of the documents that are in."""
+        out = self.spark.createDataFrame([], "doc_id long, digest string")
+        return reduce(DataFrame.unionByName, (m.select("doc_id", "digest") for m in self.members), out)
 
     def groups(self, rows: DataFrame) -> DataFrame:
         """(doc_id, keep_id, group_size, kept, text_sha256) of the given (doc_id, digest) rows."""
@@ -194,14 +214,17 @@ class DedupIndex:
         return with_ids(out, "doc_id", "keep_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """One row per document with the group of equal texts that it belongs to; the smallest doc_id of a group stays.
 
+    Documents enter the index in ``batches`` parts by a hash of doc_id, so most copies meet their group by a filter hit.
     Returns doc_id, keep_id, group_size, kept, text_sha256. Texts are equal when identical after each run of ASCII white
     space is replaced by one space; null counts as empty, and empty texts form a group. A null doc_id counts as smaller
     than all others; rows with the same doc_id and text are both kept if that id stays. Other columns are not read. An
     empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
-    index = DedupIndex(docs.sparkSession, docs.count())
-    return index.groups(index.insert(docs))
+    rows = written(digests(docs), "digests")
+    index = DedupIndex(docs.sparkSession)
+    for i in range(batches):
+        index.insert(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
+    return index.groups(rows)
