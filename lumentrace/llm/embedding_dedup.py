@@ -2,34 +2,30 @@
 
 Unit vectors are rotated at random and split into blocks of a few dimensions. If the squared distance of two vectors is at
 most the budget, then in some block it is at most the block's proportional share; so a range join of each block under its
-share finds every pair. A block's vectors are dealt to the cells of a grid over its first dimensions, with cells as wide as
-the block's radius: partners lie in the same or in adjacent cells, and each vector is sent to its own cell and, as a guest,
-to half of the adjacent ones. Within a cell the block distances select candidates, which whole vectors verify in double
-precision. A pair that several blocks find counts only in the first. Cells give counts and a spanning forest of links, so a
+share finds every pair. A block's vectors are dealt to slabs along its first dimension, twice as wide as the block's radius:
+partners lie in the same or in adjacent slabs, and each vector is sent to its own slab and, as a guest, to the one before if
+it lies within a radius of it. Within a slab the block distances select candidates, which whole vectors verify in double
+precision. A pair that several blocks find counts only in the first. Slabs give counts and a spanning forest of links, so a
 large group of close vectors is never written out as pairs; equal vectors are one to begin with.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumentrace.llm.common import NULL_ID, prepare, release, stored, with_ids
+from lumentrace.llm.common import NULL_ID, discard, with_ids, written
 from lumentrace.llm.components import components
 
-BLOCKS = 8
-#: Dimensions of a block that its grid cuts.
-GRID = 2
-#: Vectors of a cell that one task compares with each other.
-TILE = 8000
-CELL = "size int, block int, cell long, guest boolean, vid long, copies long, v binary"
-#: Slack for the single-precision steps before the exact check.
-SLACK = 1e-4
+BLOCKS = 4
+#: Vectors of a slab that one task compares with each other, and pairs that it looks at in one step.
+TILE, PAIRS = 16384, 1 << 21
+CELL = "size int, cell long, guest boolean, vid long, copies int, v binary"
+#: Slack of squared distances for the single-precision product, and for sums in double precision.
+SLACK, EPSILON = 1e-4, 1e-9
 
 
 def rotation(size: int, seed: int = 7) -> np.ndarray:
@@ -43,7 +39,7 @@ def edges(size: int) -> np.ndarray:
 
 
 def shares(size: int, budget: float) -> np.ndarray:
-    return budget * np.diff(edges(size)) / size
+    return (budget + EPSILON) * np.diff(edges(size)) / size
 
 
 def units(raw: list[bytes], kind: str) -> np.ndarray:
@@ -54,31 +50,21 @@ def units(raw: list[bytes], kind: str) -> np.ndarray:
 
 
 def dealt(rows: pd.DataFrame, kind: str, budget: float) -> pd.DataFrame:
-    """Rows of vectors of one size at their own cells and, as guests, at the adjacent cells after them."""
+    """Rows of vectors of one size at their own slabs and, as guests, at the ones before."""
     v = units(rows["v"].tolist(), kind)
-    turned = v @ rotation(v.shape[1])
-    at, radius = edges(v.shape[1]), np.sqrt(shares(v.shape[1], budget)) + SLACK
+    at, size = edges(v.shape[1]), v.shape[1]
+    place = (v @ rotation(size)[:, at[:-1]]) / (2 * np.sqrt(shares(size, budget)) + SLACK)
     out = []
     for b in range(len(at) - 1):
-        dims = min(GRID, at[b + 1] - at[b])
-        place = turned[:, at[b] : at[b] + dims] / radius[b]
-        own = np.floor(place).astype(np.int64)
-        for step in itertools.product((-1, 0, 1), repeat=dims):
-            if step < (0,) * dims:
-                continue
-            to = own + np.array(step)
-            # a guest can only meet vectors of that cell within one width of it
-            gap = np.maximum(np.maximum(to - place, place - (to + 1)), 0)
-            some = np.flatnonzero((gap**2).sum(axis=1) <= 1)
-            key = np.zeros(len(some), dtype=np.int64)
-            for d in range(dims):
-                key = key * 1_000_003 + to[some, d]
-            out.append(rows.iloc[some].assign(block=b, cell=key, guest=any(step)))
+        own = np.floor(place[:, b]).astype(np.int64)
+        # a guest can only meet vectors of the slab before within half its width
+        near = np.flatnonzero(place[:, b] - own <= 0.5 + SLACK)
+        out += [rows.assign(cell=own * BLOCKS + b, guest=False), rows.iloc[near].assign(cell=(own[near] - 1) * BLOCKS + b, guest=True)]
     return pd.concat(out)[[c.split()[0] for c in CELL.split(", ")]]
 
 
 def at_cells(classes: DataFrame, kind: str, budget: float, only_places: bool = False) -> DataFrame:
-    names = ["size", "block", "cell", "guest"] if only_places else [c.split()[0] for c in CELL.split(", ")]
+    names = ["size", "cell", "guest"] if only_places else [c.split()[0] for c in CELL.split(", ")]
     schema = ", ".join(c for c in CELL.split(", ") if c.split()[0] in names)
 
     def run(parts):
@@ -89,54 +75,75 @@ def at_cells(classes: DataFrame, kind: str, budget: float, only_places: bool = F
     return classes.mapInPandas(run, schema)
 
 
+class Forest:
+    """Union-find over the members of a tile."""
+
+    def __init__(self, size: int):
+        self.parent, self.links = np.arange(size), []
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return self.parent
+            self.parent = up
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Take up the links (i, j), which need not be all new."""
+        while len(i):
+            root = self.roots()
+            a, b = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            apart = np.flatnonzero(a != b)
+            # of the links that would hang the same tree up, one is taken at a time
+            b, lead = np.unique(b[apart], return_index=True)
+            taken = apart[lead]
+            self.parent[b] = a[taken]
+            self.links += zip(i[taken].tolist(), j[taken].tolist(), strict=True)
+            i, j = i[apart], j[apart]
+
+
 def cell_links(group: pd.DataFrame, kind: str, budget: float, least: float) -> pd.DataFrame:
-    """Links within one tile of a cell: counts of links of each vector, and a spanning forest (a, b)."""
-    block = int(group["block"].iloc[0])
+    """Links within one tile of a slab: counts of links of each vector, and a spanning forest (a, b)."""
+    block = int(group["cell"].iloc[0]) % BLOCKS
     v = units(group["v"].tolist(), kind)
     size = v.shape[1]
-    turned = (v @ rotation(size)).astype(np.float32)
-    at, share = edges(size), shares(size, budget) + SLACK
-    vid, copies = group["vid"].to_numpy(), group["copies"].to_numpy()
-    host, side = ~group["guest"].to_numpy(), group["side"].to_numpy()
-    # pairs of two members of the cell, or of a member and a guest; with two sides only pairs across them
+    turned = v @ rotation(size)
+    at, share = edges(size), shares(size, budget)
+    vid, copies = group["vid"].to_numpy(), group["copies"].to_numpy(dtype=np.int64)
+    host, side = ~group["guest"].to_numpy(), group["side"].to_numpy().astype(np.int8)
+    # pairs of two members of the slab, or of a member and a guest; with two sides only pairs across them
     left, right = (np.flatnonzero(host & (side == 0)), np.arange(len(v))) if (side == 0).all() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    counts = np.zeros(len(v), dtype=np.int64)
-    parent = np.arange(len(v))
-    forest = []
+    counts, forest = np.zeros(len(v), dtype=np.int64), Forest(len(v))
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
+    def within(i: np.ndarray, j: np.ndarray, b: int) -> np.ndarray:
+        """Whether block b finds the pairs; the same two vectors give the same answer in every tile."""
+        return ((turned[i, at[b] : at[b + 1]] - turned[j, at[b] : at[b + 1]]) ** 2).sum(axis=1) <= share[b]
 
     # with its squared length and a one beside each vector, one product gives distance less share
-    own = turned[:, at[block] : at[block + 1]]
+    own = turned[:, at[block] : at[block + 1]].astype(np.float32)
     length, one = (own**2).sum(axis=1, keepdims=True), np.ones((len(v), 1), dtype=np.float32)
-    rights, lefts = np.hstack([own, one, length - np.float32(share[block])])[right].T.copy(), np.hstack([-2 * own, length, one])
-    for low in range(0, len(left), 512):
-        rows = left[low : low + 512]
+    rights, lefts = np.hstack([own, one, length - np.float32(share[block] + SLACK)])[right].T.copy(), np.hstack([-2 * own, length, one])
+    step = max(1, PAIRS // max(1, len(right)))
+    for low in range(0, len(left), step):
+        rows = left[low : low + step]
         i, j = np.divmod(np.flatnonzero(lefts[rows] @ rights <= 0), len(right))
         i, j = rows[i], right[j]
         meet = (host[i] | host[j]) & (i != j) & ((i < j) | ~host[j] | (side[i] != side[j]))
         i, j = i[meet], j[meet]
-        for b in range(block):
-            gap = ((turned[i, at[b] : at[b + 1]] - turned[j, at[b] : at[b + 1]]) ** 2).sum(axis=1)
-            first = gap > share[b]
-            i, j = i[first], j[first]
-        good = np.concatenate([(v[i[k : k + 65536]] * v[j[k : k + 65536]]).sum(axis=1) >= least for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, dtype=bool)
-        i, j = i[good], j[good]
-        np.add.at(counts, i, copies[j])
-        np.add.at(counts, j, copies[i])
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = find(p), find(q)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                forest.append((p, q))
+        for k in range(0, len(i), 65536):
+            p, q = i[k : k + 65536], j[k : k + 65536]
+            good = within(p, q, block)
+            for b in range(block):
+                good[good] = ~within(p[good], q[good], b)
+            good[good] = (v[p[good]] * v[q[good]]).sum(axis=1) >= least
+            p, q = p[good], q[good]
+            counts += np.bincount(p, copies[q], len(v)).astype(np.int64) + np.bincount(q, copies[p], len(v)).astype(np.int64)
+            forest.join(p, q)
     some = np.flatnonzero(counts)
     single = pd.DataFrame({"a": vid[some], "b": pd.array([None] * len(some), dtype="Int64"), "links": counts[some]})
-    if not forest:
+    if not forest.links:
         return single
-    p, q = np.array(forest).T
+    p, q = np.array(forest.links).T
     pairs = pd.DataFrame({"a": vid[p], "b": pd.array(vid[q], dtype="Int64"), "links": 0})
     return pd.concat([single, pairs])
 
@@ -165,26 +172,25 @@ def grouped(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     counts other vectors linked directly; component_id is the smallest vec_id reachable. A null vec_id counts as smaller
     than all others; rows that repeat a vec_id are linked rows of their own. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    prepare(spark)
     budget = 2 - 2 * least
     raw, kind = stored_vectors(vectors)
-    table = stored(raw, "raw-vectors")
-    classes = stored(table.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vid"), F.count("*").alias("copies")).withColumn("size", F.length("v")), "vectors")
-    # A block has at most (2 / radius + 3) ** GRID cells, as unit vectors lie within 1 of the origin: few enough to broadcast.
+    table = written(raw, "raw-vectors")
+    classes = table.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vid"), F.count("*").cast("int").alias("copies"))
+    classes = written(classes.withColumn("size", F.length("v")), "vectors")
+    # A block has at most 1 / radius + 2 slabs, as unit vectors lie within 1 of the origin: few enough to broadcast.
     places = at_cells(classes, kind, budget, only_places=True)
-    count = places.groupBy("size", "block", "cell").agg(F.count("*").alias("n"), F.sum((~F.col("guest")).cast("int")).alias("hosts")).where("hosts > 0 and n > 1")
-    # a cell with many vectors is compared in pairs of chunks
-    parts = at_cells(classes, kind, budget).join(F.broadcast(count), ["size", "block", "cell"]).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
+    count = places.groupBy("size", "cell").agg(F.count("*").alias("n"), F.sum((~F.col("guest")).cast("int")).alias("hosts")).where("hosts > 0 and n > 1")
+    # a slab with many vectors is compared in pairs of chunks
+    parts = at_cells(classes, kind, budget).join(F.broadcast(count), ["size", "cell"]).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
     parts = parts.withColumn("own", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    names = [c.split()[0] for c in CELL.split(", ")]
-    parts = parts.select(*names, F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    found = parts.groupBy("size", "block", "cell", "t", "u").applyInPandas(lambda g: cell_links(g, kind, budget, least), "a long, b long, links long")
-    found = stored(found, "vector-links")
-    release(spark)
+    tile = F.least("own", "other") * (1 << 20) + F.greatest("own", "other")
+    parts = parts.select("cell", "size", "guest", "vid", "copies", "v", tile.alias("tile"), (F.col("own") > F.col("other")).alias("side"))
+    found = parts.groupBy("size", "cell", "tile").applyInPandas(lambda g: cell_links(g, kind, budget, least), "a long, b long, links long")
+    found = written(found, "vector-links")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "vid")
-    group = stored(components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "vid"), "groups")
-    of_class = classes.join(links, "vid", "left").join(group, "vid", "left")
+    group = written(components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "vid"), "groups")
+    of_class = written(classes.join(links, "vid", "left").join(group, "vid", "left"), "of-class")
+    discard(classes, found, group)
     out = table.join(of_class, "v", "left")
     n_links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
     out = out.select("vec_id", n_links.cast("long").alias("n_links"), F.coalesce("component", "vid", "vec_id").alias("component_id"))
