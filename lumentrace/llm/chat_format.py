@@ -1,8 +1,9 @@
 """Chat formatting with DataFrame functions only.
 
 A layout is known by the fingerprint of its nested field paths. The fingerprint selects a declarative mapping that turns
-prompt, instruction and message layouts into canonical turns (role, text). A frame with typed columns is fingerprinted
-once by its schema; a column of JSON documents row by row, so layouts may be mixed.
+prompt, instruction and message layouts into canonical turns (role, text). Fingerprints are taken of what a layout's fields
+look like in the data, so further fields, also inside messages, don't change them. Each row is fingerprinted: JSON documents
+by their own shape, so layouts may be mixed in a column, and rows of typed columns by their schema.
 
 Formatted text marks a turn as ``<|im_start|>role\\n text <|im_end|>\\n`` (without the spaces). Inside texts a backslash is
 doubled and ``<|`` becomes ``<\\|``, so every ``<|`` of the output is a mark and the step can be undone. Roles are
@@ -11,6 +12,7 @@ percent-encoded. The loss mask is a list of spans of code points that cover the
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,54 +67,72 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def _signature(paths) -> str:
-    """The shape that ``schema_of_variant`` gives a JSON document with these paths, scalar types left out."""
-    tree: dict = {}
-    for p in paths:
-        head, _, rest = p.partition("[].")
-        tree.setdefault(head, []).extend([rest] if rest else [])
-    return "OBJECT<" + ", ".join(f"{k}: ARRAY<OBJECT<{', '.join(f'{x}: _' for x in sorted(v))}>>" if v else f"{k}: _" for k, v in sorted(tree.items())) + ">"
+#: Names that speakers go by, and the canonical roles; other roles stay as they are.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "prompter": "user"}
 
 
-def fingerprint(signature: Column) -> Column:
-    """64-bit fingerprint of a shape, for which types of scalars don't matter."""
-    return F.xxhash64(F.regexp_replace(signature, r": (?!ARRAY|OBJECT)[A-Z]+(\([0-9,]+\))?", ": _"))
+def fingerprint(paths: Column) -> Column:
+    """64-bit fingerprint of a set of nested field paths."""
+    return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
 
 
-def _typed(expr: str, source) -> str:
-    import re
+def _of(layout: Layout) -> Column:
+    return fingerprint(F.array(*(F.lit(p) for p in layout.paths)))
+
+
+def _said_by(turns: Column, canonical: bool) -> Column:
+    names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+    role = lambda m: F.coalesce(names[F.lower(m["role"])], m["role"]) if canonical else m["role"]
+    return F.transform(turns, lambda m: F.struct(role(m).alias("role"), m["text"].alias("text")))
+
 
+def _typed(expr: str, source) -> str:
     return re.sub(r"\{(\w+):((?:[^{}])+)\}", lambda m: source(m[1], m[2]), expr)
 
 
+def _has(path: str) -> Column:
+    """Whether a JSON document in column v has a nested field; an array has its elements' fields if one of them does, or none stands in it."""
+    head, _, rest = path.partition("[].")
+    if not rest:
+        return F.schema_of_variant(F.try_variant_get("v", f"$.{head}", "variant")).isNotNull()
+    items = F.try_variant_get("v", f"$.{head}", "array<variant>")
+    return F.when(F.size(items) == 0, F.lit(True)).otherwise(F.exists(items, lambda m: F.try_variant_get(m, f"$.{rest}", "variant").isNotNull()))
+
+
 def turns_of_json(df: DataFrame, column: str, id_column: str) -> DataFrame:
     """(conv_id, layout, turns) of JSON documents, each in a layout of its own; unknown ones get null layout and no turns.
 
-    Text that is no JSON, null and documents of other shapes are kept as such rows, never dropped.
+    For each layout the paths that a document has among the layout's are fingerprinted; of the layouts whose own fingerprint
+    comes out the one with most paths is taken. A message's content that is no string is kept as its JSON. Text that is no
+    JSON, null and documents of other shapes are kept as rows without turns, never dropped. Speakers' names become roles.
     """
-    v = df.select(F.col(id_column).alias("conv_id"), F.try_parse_json(F.col(column)).alias("v")).withColumn("print", fingerprint(F.schema_of_variant("v")))
+    v = df.select(F.col(id_column).alias("conv_id"), F.try_parse_json(F.col(column).cast("string")).alias("v"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for x in LAYOUTS[1:]:
-        own = F.col("print") == fingerprint(F.lit(_signature(x.paths)))
+    for x in sorted(LAYOUTS[1:], key=lambda x: len(x.paths)):
+        found = F.array_compact(F.array(*(F.when(_has(p), F.lit(p)) for p in x.paths)))
+        own = fingerprint(found) == _of(x)
         layout = F.when(own, x.name).otherwise(layout)
         turns = F.when(own, F.expr(_typed(x.turns, lambda f, kind: f"try_variant_get(v, '$.{f}', '{kind}')"))).otherwise(turns)
-    return v.select("conv_id", layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
+    return v.select("conv_id", layout.alias("layout"), F.coalesce(_said_by(turns, True), F.array().cast(TURNS)).alias("turns"))
 
 
 def turn_rows(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) of a frame in any known layout; other columns than the layout's are allowed.
 
-    The most specific layout whose paths all occur in the schema is taken; ValueError if there is none. Null text and null
-    roles count as empty.
+    The schema's paths are fingerprinted as each layout would see them, and the layout with most paths whose own fingerprint
+    comes out is taken; ValueError if there is none. Null text and null roles count as empty. Rows that are turns already
+    keep their roles as they are; elsewhere speakers' names become roles.
     """
     have = set(field_paths(df.schema))
-    fits = [x for x in LAYOUTS if set(x.paths) <= have]
+    seen = [(x, fingerprint(F.array(*(F.lit(p) for p in x.paths if p in have)).cast("array<string>"))) for x in LAYOUTS]
+    prints = df.sparkSession.range(1).select(*(F.struct(own.alias("own"), _of(x).alias("layout")) for x, own in seen)).first()
+    fits = [x for (x, _), p in zip(seen, prints, strict=True) if p.own == p.layout]
     if not fits:
         raise ValueError(f"no known layout in fields {sorted(have)}")
     layout = max(fits, key=lambda x: len(x.paths))
     if not layout.turns:
         return df.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    turns = F.expr(_typed(layout.turns, lambda f, kind: f"`{f}`"))
+    turns = _said_by(F.expr(_typed(layout.turns, lambda f, kind: f"`{f}`")), True)
     rows = df.select(F.col(id_column).alias("conv_id"), F.posexplode_outer(turns).alias("turn", "m"))
     return rows.where("m is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("m.role", F.lit("")).alias("role"), F.coalesce("m.text", F.lit("")).alias("text"))
 
