@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumentrace.llm.common import Recent, in_batches, prepare, with_ids, with_text
+from lumentrace.llm.common import Recent, in_batches, with_ids, with_text
 
 # The pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -157,7 +157,6 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     ``vocabulary`` is the path of a byte-level BPE file, the same on all executors. Null text counts as empty and gives no
     ids; every row gives a row, repeated ones too; a null doc_id stays null; other columns are not read.
     """
-    prepare(docs.sparkSession)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = coder(vocabulary)

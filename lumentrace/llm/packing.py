@@ -1,8 +1,8 @@
 """Order-preserving packing of documents into fixed-length training sequences by dynamic programming.
 
 Documents stand in order of doc_id. A sequence is a stretch of at most ``length`` tokens between two cut points, and a
-cut point lies at the end of a document, of a sentence, or, inside long sentences, at every ``HARD_STEP`` tokens. The
-cost of a packing is its padding plus a penalty for each cut that truncates a document; the best predecessor of a cut is
+cut point lies at the end of a document or of a sentence. Only a sentence of more than ``LONG_PART`` of a sequence, which
+mostly stands for text without sentences, may be cut inside, at every ``HARD_STEP`` tokens. The cost of a packing is its padding plus a penalty for each cut that truncates a document; the best predecessor of a cut is
 the least of (cost + position) over a window that slides with the cut, kept in a monotone queue, so the work is linear.
 """
 
@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lumentrace.llm.bpe import byte_symbols
-from lumentrace.llm.common import Recent, prepare, text_steps, with_ids, with_text
+from lumentrace.llm.common import Recent, text_steps, with_ids, with_text
 
 #: Costs of a cut at a sentence's end inside a document, and inside a sentence, as parts of a sequence of padding.
-SENTENCE_CUT, HARD_CUT = 1 / 512, 1 / 128
-#: Tokens between cut points inside a sentence, and at most this part of a sequence.
-HARD_STEP, HARD_PART = 24, 1 / 64
+SENTENCE_CUT, HARD_CUT = 1 / 512, 1 / 32
+#: Tokens between cut points inside a long sentence, at most this part of a sequence, and the part from which a sentence is long.
+HARD_STEP, HARD_PART, LONG_PART = 24, 1 / 64, 1 / 16
 #: Tokens that a task packs at a time; what the last sequence of a block holds goes on into the next block.
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
@@ -93,7 +93,7 @@ def cut_points(docs: list[tuple[np.ndarray, np.ndarray]], length: int) -> tuple[
     for ids, places in docs:
         soft = np.unique(np.append(places[(places > 0) & (places < len(ids))], len(ids)))
         before = np.concatenate([[0], soft[:-1]])
-        inside = (soft - before - 1) // stride
+        inside = np.where(soft - before > length * LONG_PART, (soft - before - 1) // stride, 0)
         first = np.cumsum(inside) - inside
         step = np.arange(int(inside.sum())) - np.repeat(first, inside) + 1
         every = np.concatenate([soft, np.repeat(before, inside) + step * stride])
@@ -220,7 +220,6 @@ def packed(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1
     size is a power of two where that is cheaper than padding. Null or empty text gives the end id alone; a null doc_id
     comes first; repeated rows are packed each; other columns are not read; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(vocabulary)
