@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams: one to three bytes, words, and words that repeat the one before (a bigram and a
-trigram whose terms are equal). Each indicator is scaled by the log-count ratio of the two classes, the vector is brought to
+Features are indicators of n-grams: one to three bytes, one and two words, and runs of two and three equal words, whichever
+word it is. Each indicator is scaled by the log-count ratio of the two classes, the vector is brought to
 unit length, and a linear hinge-loss model is fitted by dual coordinate descent. A fifth of the sample is left out of that
 and turns margins into probabilities.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import byte_values, in_batches, joined, mix, prepare, with_ids, with_text, word_hashes, words
+from lumentrace.llm.common import byte_values, in_batches, joined, mix, with_ids, with_text, word_hashes, words
 from lumentrace.llm.labelled import fitted, fold, logistic, odds_shift, sample
 
 BITS = 18
@@ -37,7 +37,9 @@ def features(text: pa.Array) -> Iterator[np.ndarray]:
         sums = sums[: len(data) - n] + tables[n][data[n:]]
         grams.append((mix(sums + np.uint64(n)) >> shift).astype(np.int64))
     begin, end, first = words(data, starts)
-    terms = (word_hashes(data, begin, end, seed=1) >> shift).astype(np.int64)
+    hashes = word_hashes(data, begin, end)
+    terms = (hashes >> shift).astype(np.int64)
+    pairs = (mix(hashes[:-1] * np.uint64(3) + hashes[1:]) >> shift).astype(np.int64)
     same = np.zeros(len(terms), dtype=bool)
     same[1:] = terms[1:] == terms[:-1]
     twice = same.copy()
@@ -48,11 +50,17 @@ def features(text: pa.Array) -> Iterator[np.ndarray]:
         for n in range(3):
             flags[grams[n][a : max(a, b - n)]] = True
         flags[terms[f:g]] = True
+        flags[pairs[f : max(f, g - 1)]] = True
         if g - f > 1 and same[f + 1 : g].any():
             flags[1] = True
             if g - f > 2 and twice[f + 2 : g].any():
                 flags[2] = True
-        ids = np.flatnonzero(flags)
+        # a short text's ids are few: sort them instead of looking through all flags
+        if b - a < 1 << (BITS - 7):
+            used = np.concatenate([*(grams[n][a : max(a, b - n)] for n in range(3)), terms[f:g], pairs[f : max(f, g - 1)], [1, 2]])
+            ids = np.unique(used[flags[used]])
+        else:
+            ids = np.flatnonzero(flags)
         flags[ids] = False
         yield ids
 
@@ -107,7 +115,6 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: tupl
 
     Scores are at the odds of all these labels, whatever the sample's.
     """
-    prepare(docs.sparkSession)
     train = fold(5) != 0
     return fitted(sample(docs, labels, label, rows, train), partial(fit, shift=odds_shift(labels, label, rows, train)))
 
@@ -133,7 +140,6 @@ def scored(docs: DataFrame, fitted_model: bytes) -> DataFrame:
     Null or empty text has no features and gets the score of the constant; every row gives a row; a null doc_id stays null;
     other columns are not read.
     """
-    prepare(docs.sparkSession)
     score = _scorer(docs, fitted_model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -145,14 +151,19 @@ def scored(docs: DataFrame, fitted_model: bytes) -> DataFrame:
 def classified(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; predicted is 1 where the score reaches ``keep``.
 
-    Without labels of both classes every score is their smoothed share.
+    Without labels of both classes every score is their smoothed share. Labels that are null, have no doc_id or belong to no
+    document are not used; of several labels of an id the largest counts. Rows that repeat a doc_id are scored each by its
+    own text. A null doc_id gives a null held_out. An empty ``documents`` gives an empty result.
     """
     out = scored(docs, model(docs, labels))
     return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= keep).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score reaches ``keep``; nothing is shuffled."""
+    """The rows of ``docs``, with all their columns, whose score reaches ``keep``; nothing is shuffled.
+
+    Rows are kept or not each by its own text, null as an empty one; ids play no part, so null and repeated ones are fine.
+    """
     score = _scorer(docs, model(docs, labels))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import Recent, in_batches, prepare, with_ids, with_text
+from lumentrace.llm.common import Recent, in_batches, with_ids, with_text
 from lumentrace.llm.labelled import fitted, fold, logistic, odds_shift, sample
 
 #: Most labelled rows of label 0 and of label 1 that the model is fitted on.
@@ -113,7 +113,7 @@ def evidence(ratios: np.ndarray) -> tuple[float, float]:
 
 
 def _ordinary_content(docs: list[list[bytes]]) -> bytes:
-    samples = [b"".join(d[i : i + 40]) for d in docs for i in range(0, min(len(d), 400), 40)]
+    samples = [b"".join(d[i : i + 40]) for d in docs for i in range(0, len(d), 40)]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, k=16, d=6, level=3).as_bytes()[-(DICTIONARY - 900) :]
     except zstandard.ZstdError:  # too few or too small samples to train on
@@ -149,7 +149,6 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[
 
     Scores are at the odds of all these labels, whatever the sample's.
     """
-    prepare(docs.sparkSession)
     train = fold(3) != 1
     return fitted(sample(docs, labels, label, rows, train), partial(fit, shift=odds_shift(labels, label, rows, train)))
 
@@ -160,7 +159,6 @@ def scored(docs: DataFrame, fitted_model: bytes) -> DataFrame:
     Null or empty text has no windows and so no evidence; every row gives a row; a null doc_id stays null; other columns
     are not read.
     """
-    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fitted_model)
     loaded: list = []
 
@@ -180,7 +178,10 @@ def scored(docs: DataFrame, fitted_model: bytes) -> DataFrame:
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; predicted is 1 where the score reaches ``threshold``.
 
-    With fewer than four labelled documents of a class every score is the classes' smoothed share.
+    With fewer than four labelled documents of a class every score is the classes' smoothed share. Labels that are null,
+    have no doc_id or belong to no document are not used; of several labels of an id the largest counts. Rows that repeat a
+    doc_id are scored each by its own text. A null doc_id gives a null held_out. An empty ``documents`` gives an empty
+    result.
     """
     out = scored(docs, model(docs, labels))
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
