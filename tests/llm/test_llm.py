@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumentrace.llm import bpe, chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, quality, queries, substring_dedup, suffix_dedup, toxicity
+from lumentrace.llm import bpe, chat_format, embedding_dedup, exact_dedup, minhash_dedup, packing, quality, queries, substring_dedup, suffix_dedup, toxicity, windows
 from lumentrace.llm.components import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -121,12 +121,61 @@ def test_pipeline_stages_of_shared_ids(spark):
         assert out.columns == docs.columns and told(out) == Counter(first.values())
 
 
-def test_fingerprint_runs_compact(spark, texts):
-    index = substring_dedup.FingerprintIndex(spark, 8, max_runs=1)
+def test_index_compacts_and_opens_again(spark, texts, tmp_path):
+    """Five batches in two sessions of an index with a compaction decide what one pass over all decides."""
+    path = f"file://{tmp_path}/index"
+    index = substring_dedup.FingerprintIndex(spark, 8, max_runs=2, path=path)
+    rows = windows.texts_by_id(frame(spark, texts).select("doc_id", "text")).rows
+    parts = substring_dedup.in_id_order(rows, 5)
+    decided = [index.ingest(p) for p in parts[:3]]
+    assert [(low, high) for low, high, _ in index.runs] == [(0, 2)]
+    index.close(keep=True)
+    # what a compaction cut short would leave, and one whose old runs are still there
+    (tmp_path / "index" / "run-0-5-of-4").mkdir()
+    index = substring_dedup.FingerprintIndex(spark, 8, max_runs=2, path=path)
+    assert [(low, high) for low, high, _ in index.runs] == [(0, 2)] and not (tmp_path / "index" / "run-0-5-of-4").exists()
+    decided += [index.ingest(p) for p in parts[3:]]
+    got = {r.doc_id: {(x.pos + i) for x in r.spans for i in range(x.n)} for r in index.spans(decided, rows).collect()}
+    seen, want = set(), {}
+    for d, t in enumerate(texts):
+        w = plain(t).split()
+        for i in range(len(w) - 7):
+            key = tuple(w[i : i + 8])
+            if key in seen:
+                want.setdefault(d, set()).add(i)
+            seen.add(key)
+    assert got == want
+    index.close()
+    assert not list((tmp_path / "index").glob("run-*"))
+
+
+def thue_morse():
+    """Two words of 1,024 bytes whose polynomial hashes modulo 2**64 agree for every odd base."""
+    t = [0]
+    for _ in range(10):
+        t += [1 - x for x in t]
+    return "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+
+
+def test_equality_is_not_fooled(spark):
+    one, two = thue_morse()
+    words = [f"w{i}" for i in range(20)]
+    texts = [" ".join([*words[:10], x, *words[11:]]) for x in (one, two)]
     docs = frame(spark, texts)
-    for part in substring_dedup.in_id_order(docs.select("doc_id", "text"), 3):
-        index.ingest(part)
-    assert len(index.runs) <= 2 and index.runs[0].count() > 0
+    assert [r.component_id for r in minhash_dedup.grouped(docs, 3, 85).orderBy("doc_id").collect()] == [0, 1]
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs).collect()] == [0, 0]
+    assert [r.n_removed for r in suffix_dedup.remove_repeats(docs, 1060).collect()] == [0, 0]
+    numbers = minhash_dedup.Shingles(3)
+    assert len(np.intersect1d(numbers(texts[0]), numbers(texts[1]))) == 15 and not set(numbers("a b")) & set(numbers("b a"))
+
+
+def test_near_copies_of_shared_ids(spark):
+    rnd = random.Random(3)
+    say = lambda: " ".join(f"w{rnd.randint(0, 999)}" for _ in range(60))
+    t, u, v = say(), say(), say()
+    rows = [(1, t), (1, u), (2, t + " end"), (3, u + " end"), (None, v), (5, v + " end"), (None, v), (6, say())]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.grouped(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == Counter({(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (None, None, True): 2, (5, None, False): 1, (6, 6, True): 1})
 
 
 def shingles(t, k):
@@ -199,13 +248,20 @@ def test_cuckoo_filter_resizes_and_deletes():
     assert sum(bucket.filter.holds(exact_dedup.filter_key(d)) for d in digests[::2]) < 30
 
 
-def test_index_inserts_and_deletes(spark):
-    index = exact_dedup.DedupIndex(spark, 10)
-    rows = index.insert(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string"))
-    more = index.insert(spark.createDataFrame([(4, "a"), (5, "c")], "doc_id long, text string"))
-    assert {(r.doc_id, r.keep_id, r.group_size) for r in index.groups(rows.union(more)).collect()} == {(1, 1, 3), (2, 1, 3), (4, 1, 3), (3, 3, 1), (5, 5, 1)}
+def test_index_inserts_deletes_and_grows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 2)
+    put = lambda rows: index.insert(exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")))
+    told = lambda: {(r.doc_id, r.keep_id, r.group_size) for r in index.groups(index.live()).collect()}
+    index = exact_dedup.DedupIndex(spark, 1)
+    put([(1, "a"), (2, "a"), (3, "b")])
+    put([(4, "a"), (5, "c")])
+    assert index.buckets == 2 and told() == {(1, 1, 3), (2, 1, 3), (4, 1, 3), (3, 3, 1), (5, 5, 1)}
     index.delete(spark.createDataFrame([(1,), (3,)], "doc_id long"))
-    assert {(r.doc_id, r.keep_id, r.group_size) for r in index.groups(index.members).collect()} == {(2, 2, 2), (4, 2, 2), (5, 5, 1)}
+    assert told() == {(2, 2, 2), (4, 2, 2), (5, 5, 1)}
+    put([(3, "b"), (None, "a")])
+    assert told() == {(2, None, 3), (4, None, 3), (None, None, 3), (5, 5, 1), (3, 3, 1)}
+    index.delete(spark.createDataFrame([(None,), (2,), (4,)], "doc_id long"))
+    assert told() == {(5, 5, 1), (3, 3, 1)}
 
 
 def test_packing(spark, texts):
@@ -302,9 +358,14 @@ def test_chat_layouts(spark):
     ]
     df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(9, "broken"), (10, None)], "id long, j string")
     got = {r.conv_id: (r.layout, [tuple(t) for t in r.turns]) for r in chat_format.turns_of_json(df, "j", "id").collect()}
-    assert got[0] == ("messages", [("user", "q"), ("assistant", "r")]) and got[1] == ("speakers", [("human", "v")])
+    assert got[0] == ("messages", [("user", "q"), ("assistant", "r")]) and got[1] == ("speakers", [("user", "v")])
     assert got[2] == ("prompt and response", [("user", "p"), ("assistant", None)]) and got[3][1] == [("user", "i\n\nn"), ("assistant", "o")]
     assert got[4] == got[9] == got[10] == (None, [])
+    # further fields, also in messages, content that is no string, and no messages
+    more = ['{"id": 7, "messages": [{"role": "user", "content": "q", "name": "z"}]}', '{"messages": [{"role": "user", "content": [1]}]}', '{"messages": []}', '{"prompt": "p", "response": "r", "system": "s", "n": 1}', '{"messages": "no"}']
+    got_more = [(r.layout, [tuple(t) for t in r.turns]) for r in chat_format.turns_of_json(spark.createDataFrame(list(enumerate(more)), "id long, j string").coalesce(1), "j", "id").orderBy("conv_id").collect()]
+    assert got_more[0] == ("messages", [("user", "q")]) and got_more[1] == ("messages", [("user", "[1]")]) and got_more[2][0] in ("messages", "messages with text")
+    assert got_more[3][1] == [("system", "s"), ("user", "p"), ("assistant", "r")] and got_more[4] == (None, [])
     typed = spark.createDataFrame([(1, "p", "r", 5)], "conv_id long, prompt string, response string, more int")
     assert [tuple(r) for r in chat_format.turn_rows(typed).orderBy("turn").collect()] == [(1, 0, "user", "p"), (1, 1, "assistant", "r")]
     with pytest.raises(ValueError, match="no known layout"):

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from lumentrace.llm.common import stored
+from lumentrace.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +12,7 @@ def test_stages(spark):
     docs = corpus_pipeline.table(spark, SF, "documents")
     columns, seen = docs.columns, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stored(stage(spark, docs, SF), name)
+        docs = written(stage(spark, docs, SF), name)
         assert docs.columns == columns
         seen.append({r.doc_id: r.text for r in docs.collect()})
     original = {r.doc_id: r.text or "" for r in corpus_pipeline.table(spark, SF, "documents").collect()}
