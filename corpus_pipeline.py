@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentrace.llm import exact_dedup, minhash_dedup, packing, quality, substring_dedup
-from lumentrace.llm.common import NULL_ID, stored, text_hash
+from lumentrace.llm.common import NULL_ID, discard, text_hash, written
 from lumentrace.llm.queries import table, vocabulary
 
 
@@ -30,38 +30,52 @@ def _by_row(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame
         return docs, lambda rows: rows
     order = ["doc_id", text_hash(), *(c for c in docs.columns if c not in ("doc_id", "text"))]
     rows = docs.withColumn("_own", F.col("doc_id")).repartitionByRange("doc_id", text_hash()).sortWithinPartitions(*order).withColumn("doc_id", F.monotonically_increasing_id())
-    return stored(rows, "rows"), lambda rows: rows.withColumn("doc_id", F.col("_own")).drop("_own")
+    return written(rows, "rows"), lambda rows: rows.withColumn("doc_id", F.col("_own")).drop("_own")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it is fitted on the labelled ones among ``docs``."""
+    """Documents that the quality classifier does not reject; it is fitted on the labelled ones among ``docs``.
+
+    Rows are judged each by its own text, null as an empty one; null and repeated ids are kept with their rows.
+    """
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the smallest doc_id."""
+    """One document of each group of equal texts, the one with the smallest doc_id; a null id is smaller than all others.
+
+    Of rows that share an id each stands for itself, and one of those with equal texts stays. Null texts are equal to empty
+    ones, so one of all of them stays.
+    """
     docs, own = _by_row(docs)
     return own(_without(docs, exact_dedup.deduplicate(docs).where("not kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles, the one with the smallest id.
+
+    Null and repeated ids count as in ``drop_copies``. Texts without words are linked with nothing and stay.
+    """
     docs, own = _by_row(docs)
     return own(_without(docs, minhash_dedup.grouped(docs, k=5, percent=80).where("not kept")))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of 20-word windows that occur earlier; what loses nothing keeps its text as it is."""
+    """Documents without the words of 20-word windows that occur earlier; what loses nothing keeps its text as it is.
+
+    Every row stays, with an empty text where all words go; a null text stays null. Rows that repeat an id with one text
+    don't cut each other.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id")
-    cut = substring_dedup.remove_repeats(docs, rejoin=False, once=True).where("n_removed > 0").select(key, F.col("text_hash").alias("_hash"), "kept")
+    cut = substring_dedup.remove_repeats(docs, rejoin=False, once=True).where("n_removed > 0").select(key, F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept"))
     out = docs.select("*", key, text_hash().alias("_hash")).join(cut, ["_id", "_hash"], "left")
-    text = F.coalesce("kept", "text")
-    size = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    text = F.coalesce("_kept", "text")
+    size = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
     return out.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens, with their ids."""
+    """Pieces of documents in sequences of at most 2048 tokens, with their ids; every row is packed, null text as an empty one."""
     return packing.packed(docs, vocabulary("word_bpe_49k.json"), length=2048, end_id=1)
 
 
@@ -73,7 +87,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
