@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lumentrace.llm.common import Buckets, bucketed, discard, in_batches, one_a_text, opened, own_ids, remove, shared_path, text_hash, with_ids, with_text, written
 from lumentrace.llm.windows import NODES, Tokens, anchors_of, attach, covered, refine, texts_by_id
+from lumentrace.session import setting
 
 WINDOW = 20
 OUT = "doc_id long, n_words long, n_removed long, kept string"
@@ -84,7 +85,9 @@ class FingerprintIndex:
         rows = rows.join(old.groupBy("core").agg(F.min("uni").alias("old_least"), F.max("uni").alias("old_most")), "core", "left")
         first = (F.col("cnt") > 0) & (F.col("rank") == 1) & F.col("seen").isNull()
         several = F.least("least", "old_least") != F.greatest("most", "old_most")
-        ranked = written(rows.select(*_COLUMNS, (~first).alias("hit"), (first & several).alias("open"), first.alias("first")), "ranked")
+        # rows of a core lie together, which is all that joins on core and union need
+        with setting(self.spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+            ranked = written(rows.select(*_COLUMNS, (~first).alias("hit"), (first & several).alias("open"), first.alias("first")), "ranked")
         of_batch = live.groupBy("core").agg(F.min("uni").alias("least"), F.max("uni").alias("most"))
         again = old.join(of_batch, "core").where("least <> uni or most <> uni").select(*_COLUMNS, F.lit(False).alias("hit"), F.lit(True).alias("open"))
         decided = written(ranked.where("hit or open").drop("first").unionByName(again), "decided")
