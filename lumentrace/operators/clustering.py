@@ -1,4 +1,10 @@
-"""Vectors and text clusters."""
+"""Vectors and text clusters.
+
+Density clusters are found by all pairs of blocks of points: core distances from the nearest neighbours in each pair, then
+the minimum spanning tree under mutual reachability from the trees of all pairs, since an edge that is not in the tree of
+some pair is the longest of a circle and in no tree of the whole. Work grows with the square of a stratum's distinct values,
+in tasks of bounded size; only the tree, one edge a value, is walked in one task for each stratum.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct values of a stratum that one task clusters; the others join the cluster of their nearest clustered value.
-MAX_POINTS = 5000
+from lumentrace.session import discard, written
+from lumentrace.sources import loaders
+
+#: Values of a block; a task compares those of two blocks.
+BLOCK = 1500
+#: Edges from which a task keeps the tree, before the last task of a stratum.
+REDUCE = 500_000
 
 
 def norm(v: Column) -> Column:
@@ -52,35 +63,65 @@ def components_rule(n: int, d: int) -> int:
     return min(100, d - 1, n - 1) if n >= 100 and (n > 5000 or d > 200) else 0
 
 
-def mutual_tree(x: np.ndarray, min_samples: int) -> np.ndarray:
-    """Edges (a, b, distance) of the minimum spanning tree under mutual reachability, shortest first (Prim)."""
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T), 0))
+
+
+def nearest_distances(x: np.ndarray, y: np.ndarray, k: int, same: bool) -> np.ndarray:
+    """The k least distances of each row of x to those of y, ascending; ``same`` if they are one block, a row not counting for itself."""
+    out = []
+    for low in range(0, len(x), 256):
+        away = distances(x[low : low + 256], y)
+        if same:
+            away[np.arange(len(away)), low + np.arange(len(away))] = np.inf
+        out.append(np.sort(np.partition(away, min(k, away.shape[1]) - 1, axis=1)[:, :k], axis=1))
+    return np.concatenate(out)
+
+
+def mutual_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b, distance) of a minimum spanning tree under mutual reachability (Prim)."""
     n = len(x)
     square = (x * x).sum(axis=1)
-    away = lambda i: np.sqrt(np.maximum(square + square[i] - 2 * (x @ x[i]), 0))
-    k = min(min_samples, n - 1)
-    core = np.array([np.partition(away(i), k)[k] for i in range(n)])
     best, source, out = np.full(n, np.inf), np.zeros(n, dtype=int), np.zeros(n, dtype=bool)
-    edges, at = [], 0
+    a, b, d, at = np.zeros(n - 1, dtype=int), np.zeros(n - 1, dtype=int), np.zeros(n - 1), 0
     out[0] = True
-    for _ in range(n - 1):
-        reach = np.maximum(np.maximum(away(at), core), core[at])
+    for k in range(n - 1):
+        away = np.sqrt(np.maximum(square + square[at] - 2 * (x @ x[at]), 0))
+        reach = np.maximum(np.maximum(away, core), core[at])
         closer = ~out & (reach < best)
         best[closer], source[closer] = reach[closer], at
         at = int(np.argmin(np.where(out, np.inf, best)))
         out[at] = True
-        edges.append((source[at], at, best[at]))
-    edges.sort(key=lambda e: (e[2], e[0], e[1]))
-    return np.array(edges)
+        a[k], b[k], d[k] = source[at], at, best[at]
+    return a, b, d
+
+
+def shortest_tree(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the edges make the minimum spanning forest, shortest first (Kruskal); ties by their ends."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = ends[: len(a)].tolist(), ends[len(a) :].tolist()
+    parent, out = list(range(len(names))), []
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
 
+    for k in np.lexsort((np.maximum(a, b), np.minimum(a, b), d)).tolist():
+        x, y = find(p[k]), find(q[k])
+        if x != y:
+            parent[y] = x
+            out.append(k)
+    return np.array(out, dtype=int)
 
-def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int = 1) -> np.ndarray:
-    """HDBSCAN* labels with excess of mass; -1 is noise.
+
+def tree_clusters(n: int, edges: list[tuple[int, int, float]], min_cluster_size: int) -> np.ndarray:
+    """HDBSCAN* labels with excess of mass from the tree's edges, shortest first; -1 is noise.
 
     The hierarchy of the mutual-reachability tree is walked from the top. A split into two parts of at least
     ``min_cluster_size`` makes two clusters; smaller parts fall out as noise. A cluster is chosen if it is more stable than
     its descendants together.
     """
-    n = len(x)
     if n <= min_cluster_size:
         return np.full(n, -1)
     parent, node, size = list(range(n)), list(range(n)), [1] * n
@@ -91,7 +132,7 @@ def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int = 1)
             parent[i] = i = parent[parent[i]]
         return i
 
-    for a, b, d in mutual_tree(x, min_samples):
+    for a, b, d in edges:
         p, q = find(int(a)), find(int(b))
         left.append(node[p]), right.append(node[q]), height.append(float(d)), weight.append(size[p] + size[q])
         parent[q], size[p], node[p] = p, size[p] + size[q], len(left) - 1
@@ -144,51 +185,102 @@ def density_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int = 1)
     return labels
 
 
-def prepared(x: np.ndarray) -> np.ndarray:
-    """Standardised vectors, reduced by the components rule."""
-    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-8) if len(x) > 1 else x
-    if keep := components_rule(*z.shape):
-        z = z - z.mean(axis=0)
-        z = z @ np.linalg.svd(z, full_matrices=False)[2][:keep].T
-    return z
+def _moments(points: DataFrame) -> DataFrame:
+    """(sid, mean, sd, basis): what standardises each stratum's vectors and, by the components rule, projects them."""
+
+    def parts(batches):
+        seen: dict = {}
+        for rows in batches:
+            for sid, some in rows.groupby("sid"):
+                x = np.stack(some["x"].to_numpy()).astype(np.float64)
+                n, total, cross = seen.get(sid, (0, 0.0, 0.0))
+                seen[sid] = n + len(x), total + x.sum(axis=0), cross + x.T @ x
+        for sid, (n, total, cross) in seen.items():
+            yield pd.DataFrame({"sid": [sid], "n": [n], "total": [total.tolist()], "cross": [cross.ravel().tolist()]})
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        n, total = int(rows["n"].sum()), np.stack(rows["total"].to_numpy()).sum(axis=0)
+        d = len(total)
+        mean = total / n
+        cov = np.stack(rows["cross"].to_numpy()).sum(axis=0).reshape(d, d) / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-8 if n > 1 else np.ones(d)
+        mean = mean if n > 1 else np.zeros(d)
+        keep, basis = components_rule(n, d), np.zeros((d, 0))
+        if keep:
+            basis = np.linalg.eigh(cov / np.outer(sd, sd))[1][:, ::-1][:, :keep]
+        return pd.DataFrame({"sid": [rows["sid"].iloc[0]], "mean": [mean.tolist()], "sd": [sd.tolist()], "basis": [basis.ravel().tolist()]})
+
+    sums = points.select("sid", "x").mapInPandas(parts, "sid long, n long, total array<double>, cross array<double>")
+    return sums.groupBy("sid").applyInPandas(whole, "sid long, mean array<double>, sd array<double>, basis array<double>")
+
+
+def _scaled(key: tuple, rows: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows):
+        return rows
+    x = (np.stack(rows["x"].to_numpy()).astype(np.float64) - by["mean"].iloc[0]) / by["sd"].iloc[0]
+    if len(basis := by["basis"].iloc[0]):
+        x = x @ np.asarray(basis).reshape(x.shape[1], -1)
+    return rows.assign(x=list(x))
+
+
+def _tile_cores(g: pd.DataFrame) -> pd.DataFrame:
+    t, u, k = int(g["t"].iloc[0]), int(g["u"].iloc[0]), int(g["k"].iloc[0])
+    x, a, b = np.stack(g["x"].to_numpy()), (g["blk"] == t).to_numpy(), (g["blk"] == u).to_numpy()
+    vid = g["vid"].to_numpy()
+    if t == u:
+        return pd.DataFrame({"vid": vid, "near": list(nearest_distances(x, x, k, True))})
+    if not a.any() or not b.any():
+        return pd.DataFrame({"vid": vid[:0], "near": []})
+    return pd.DataFrame({"vid": np.concatenate([vid[a], vid[b]]), "near": [*nearest_distances(x[a], x[b], k, False), *nearest_distances(x[b], x[a], k, False)]})
+
+
+def _tile_tree(g: pd.DataFrame) -> pd.DataFrame:
+    vid = g["vid"].to_numpy()
+    a, b, d = mutual_tree(np.stack(g["x"].to_numpy()), g["core"].to_numpy())
+    return pd.DataFrame({"sid": g["sid"].iloc[0], "a": vid[a], "b": vid[b], "d": d})
+
+
+def _kept_edges(g: pd.DataFrame) -> pd.DataFrame:
+    return g.iloc[shortest_tree(*(g[c].to_numpy() for c in "abd"))][["sid", "a", "b", "d"]]
 
 
-def cluster_strata(values: DataFrame, min_cluster_size: int, min_samples: int = 1, scale: bool = True, max_points: int = MAX_POINTS) -> DataFrame:
+def cluster_strata(values: DataFrame, min_cluster_size: int, min_samples: int = 1, scale: bool = True, block: int = BLOCK) -> DataFrame:
     """(stratum, value, cluster): density clusters of each stratum's distinct values (stratum, value, embedding); -1 is noise.
 
-    At most ``max_points`` values of a stratum, the first by a hash, are clustered in one task; each of the others takes
-    the label of its nearest clustered value. A null stratum is a stratum of its own.
+    All values take part, whatever their number. Clusters are numbered from 0 in order of their first value. A null stratum
+    is a stratum of its own; values without an embedding are noise.
     """
-    one = values.groupBy("stratum", "value").agg(F.first("embedding").alias("embedding"))
-    order = Window.partitionBy("stratum").orderBy(F.xxhash64("value"), "value")
-    dealt = one.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / max_points).cast("int"))
-    core = dealt.where("chunk = 0")
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("value").reset_index(drop=True)
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        labels = density_clusters(prepared(x) if scale else x, max(2, min_cluster_size), min_samples)
-        return rows[["stratum", "value"]].assign(cluster=labels)
-
-    kinds = {f.name: f.dataType.simpleString() for f in one.schema}
-    schema = f"stratum {kinds['stratum']}, value {kinds['value']}, cluster long"
-    labels = core.groupBy("stratum").applyInPandas(fit, schema)
-
-    def follow(key: tuple, rows: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(seen):
-            return pd.DataFrame({"stratum": [], "value": [], "cluster": []})
-        x, y = (np.stack(t.to_numpy()).astype(np.float64) for t in (rows["embedding"], seen["known"]))
-        at = np.argmin((y**2).sum(axis=1)[None, :] - 2 * x @ y.T, axis=1)
-        return rows[["stratum", "value"]].assign(cluster=seen["cluster"].to_numpy()[at])
-
-    chunks = dealt.where("chunk > 0")
-    same = F.col("c.stratum").eqNullSafe(F.col("l.stratum")) & (F.col("c.value") == F.col("l.value"))
-    known = core.alias("c").join(labels.alias("l"), same).select("c.stratum", "c.value", "c.embedding", "l.cluster")
-    numbers = chunks.select("stratum", "chunk").distinct()
-    spread = known.alias("k").join(numbers.alias("n"), F.col("k.stratum").eqNullSafe(F.col("n.stratum")))
-    spread = spread.select(F.col("k.stratum").alias("s"), F.col("n.chunk").alias("c"), F.col("k.embedding").alias("known"), F.col("k.cluster").alias("cluster"))
-    rest = chunks.groupBy("stratum", "chunk").cogroup(spread.groupBy("s", "c")).applyInPandas(follow, schema)
-    return labels.unionByName(rest)
+    one = values.groupBy("stratum", "value").agg(F.first("embedding", ignorenulls=True).alias("x"))
+    rows = written(loaders.indexed(one, "stratum", "value").withColumnRenamed("row_idx", "vid"), "values")
+    strata = rows.where("x is not null").groupBy("stratum").agg(F.min("vid").alias("sid"), F.count("*").alias("n"))
+    strata = strata.withColumns({"blocks": F.ceil(F.col("n") / block).cast("int"), "k": F.least(F.lit(min_samples), F.col("n") - 1).cast("int")})
+    of = strata.withColumnRenamed("stratum", "_s")
+    points = rows.where("x is not null").join(of, F.col("stratum").eqNullSafe(F.col("_s"))).where("n > 1")
+    points = points.select("sid", "vid", F.col("x").cast("array<double>").alias("x"), "n", "k", "blocks", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("blk"))
+    if scale:
+        by = _moments(points).join(strata.select("sid", "blocks"), "sid").withColumn("blk", F.explode(F.expr("sequence(0, blocks - 1)")))
+        points = points.groupBy("sid", "blk").cogroup(by.groupBy("sid", "blk")).applyInPandas(_scaled, points.schema)
+    points = written(points, "points")
+    tiles = points.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"t": F.least("blk", "other"), "u": F.greatest("blk", "other")})
+    near = tiles.groupBy("sid", "t", "u").applyInPandas(_tile_cores, "vid long, near array<double>")
+    core = near.groupBy("vid").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    core = written(points.select("vid", "k").join(core, "vid").select("vid", F.col("near")[F.col("k") - 1].alias("core")), "cores")
+    pairs = tiles.where("t < u or blocks = 1").join(core, "vid")
+    edges = written(pairs.groupBy("sid", "t", "u").applyInPandas(_tile_tree, "sid long, a long, b long, d double"), "edges")
+    size = edges.groupBy("sid").agg(F.ceil(F.count("*") / REDUCE).cast("int").alias("parts"))
+    edges = edges.join(size, "sid").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
+    tree = edges.groupBy("sid", "part").applyInPandas(_kept_edges, "sid long, a long, b long, d double")
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        g = _kept_edges(g)
+        ids = np.unique(np.concatenate([g["a"].to_numpy(), g["b"].to_numpy()]))
+        a, b = np.searchsorted(ids, g["a"].to_numpy()), np.searchsorted(ids, g["b"].to_numpy())
+        labels = tree_clusters(len(ids), list(zip(a.tolist(), b.tolist(), g["d"].tolist(), strict=True)), max(2, min_cluster_size))
+        return pd.DataFrame({"vid": ids, "cluster": labels})
+
+    labels = written(tree.groupBy("sid").applyInPandas(fit, "vid long, cluster long"), "labels")
+    discard(points, core)
+    return rows.join(labels, "vid", "left").select("stratum", "value", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def taxonomy_assigned(properties: DataFrame, taxonomy: DataFrame, category: str = "category") -> DataFrame:

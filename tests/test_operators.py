@@ -142,21 +142,57 @@ def test_traces(spark):
     assert [(r.name, r.description) for r in traces.tools(found).collect()] == [("t", "d")]
 
 
+def plain_clusters(x, least, samples=1):
+    """HDBSCAN* of all points at once."""
+    core = clustering.nearest_distances(x, x, samples, True)[:, samples - 1]
+    a, b, d = clustering.mutual_tree(x, core)
+    order = clustering.shortest_tree(a, b, d)
+    return clustering.tree_clusters(len(x), list(zip(a[order], b[order], d[order], strict=True)), least)
+
+
 def test_density_clusters_find_blobs():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in ((0, 0), (5, 5), (0, 5))] + [rng.uniform(20, 90, (4, 2))])
-    labels = clustering.density_clusters(x, 10)
+    labels = plain_clusters(x, 10)
     assert [len(set(labels[k : k + 30])) for k in (0, 30, 60)] == [1, 1, 1] and len(set(labels[:90])) == 3
-    assert (clustering.density_clusters(x[:5], 10) == -1).all()
+    assert (plain_clusters(x[:5], 10) == -1).all()
     assert clustering.components_rule(50, 500) == 0 and clustering.components_rule(200, 500) == 100
 
 
-def test_large_strata_follow_their_sample(spark):
+def test_shortest_tree_spans_at_least_cost():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3))
+    away = clustering.distances(x, x)
+    a, b = np.triu_indices(60, 1)
+    whole = clustering.shortest_tree(a, b, away[a, b])
+    core = np.zeros(60)
+    assert len(whole) == 59 and away[a, b][whole].sum() == pytest.approx(clustering.mutual_tree(x, core)[2].sum())
+
+
+@pytest.mark.parametrize(("size", "block", "samples"), [(150, 20, 1), (150, 40, 4), (5200, 1500, 1)])
+def test_strata_are_clustered_whole(spark, monkeypatch, size, block, samples):
+    """Block pairs and reduced edges give what one pass over all points gives, and blobs of strata don't mix."""
+    monkeypatch.setattr(clustering, "REDUCE", 100)
     rng = np.random.default_rng(1)
-    rows = [("s", i, (rng.normal((i % 2) * 9, 0.1, 2)).tolist()) for i in range(120)]
-    df = spark.createDataFrame(rows, "stratum string, value long, embedding array<double>")
-    found = clustering.cluster_strata(df, 5, scale=False, max_points=40).collect()
-    assert len(found) == 120 and len({(r.value % 2, r.cluster) for r in found}) == 2
+    x = np.concatenate([rng.normal(rng.uniform(0, 60, 2), 0.8, (size // 10, 2)) for _ in range(10)])
+    rows = [("s", i, v.tolist()) for i, v in enumerate(x)] + [(None, 1, [0.0, 0.0]), (None, 2, None), ("t", 3, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "stratum string, value long, embedding array<double>").repartition(5)
+    found = {(r.stratum, r.value): r.cluster for r in clustering.cluster_strata(df, 8, samples, scale=False, block=block).collect()}
+    want = plain_clusters(x, 8, samples)
+    assert [found[("s", i)] for i in range(size)] == want.tolist() and len(set(want.tolist())) > 2
+    assert found[(None, 1)] == found[(None, 2)] == found[("t", 3)] == -1 and len(found) == size + 3
+
+
+def test_strata_are_scaled_and_projected(spark):
+    """Many dimensions are standardised and projected on the leading components, which keeps two blobs apart."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (160, 220)) * rng.uniform(1, 100, 220)
+    x[::2] += 60
+    df = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "stratum string, value long, embedding array<double>")
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-8)
+    z = z @ np.linalg.svd(z, full_matrices=False)[2][:100].T
+    found = {r.value: r.cluster for r in clustering.cluster_strata(df, 5, block=50).collect()}
+    assert [found[i] for i in range(160)] == plain_clusters(z, 5).tolist()
 
 
 def test_call_cache_calls_once(spark, tmp_path):
