@@ -1,6 +1,7 @@
 """JSON objects out of model answers that wrap, break or embellish them.
 
-``try_parse_json`` handles clean answers JVM-side; only what it rejects goes through the scanner, in Arrow batches.
+Answers that are clean JSON of the expected shape are taken apart by variant functions; only the others go through the
+scanner, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,12 +88,43 @@ def properties_of(value: object) -> tuple[list[dict], str | None]:
     return (inner, None) if inner else ([], EMPTY_LIST_RESPONSE)
 
 
+def _kind(value) -> Column:
+    """STRING, BOOLEAN, VOID, OBJECT<...>, ARRAY<...> and so on; null where there is no value at all."""
+    return F.schema_of_variant(value)
+
+
+def _clean_items(v: Column) -> Column:
+    """The property objects of a parsed answer in which every field is text, a boolean or null and evidence lists texts; else null.
+
+    On these the scanner and the variant functions agree to the letter; numbers and nested values it writes its own way.
+    """
+    inner = F.try_variant_get(v, "$.properties", "variant")
+    items = F.when(~F.startswith(_kind(v), F.lit("OBJECT")), F.try_variant_get(v, "$", "array<variant>"))
+    items = items.when(_kind(inner).isNull(), F.array(v)).otherwise(F.try_variant_get(v, "$.properties", "array<variant>"))
+
+    def plain(x: Column) -> Column:
+        field = lambda f: F.coalesce(_kind(F.try_variant_get(x, f"$.{f}", "variant")), F.lit("VOID"))
+        good = F.startswith(_kind(x), F.lit("OBJECT")) & field("evidence").isin("STRING", "VOID", "ARRAY<STRING>")
+        for f in FIELDS:
+            good = good & field(f).isin("STRING", "BOOLEAN", "VOID")
+        return good
+
+    return F.when((F.size(items) > 0) & F.forall(items, plain), items)
+
+
 def parsed_rows(answers: DataFrame, response: str = "raw_response") -> DataFrame:
     """The input's columns with one row for each property of an answer, or one row that tells the error.
 
     Adds pos, the property's fields as text, evidence as a list of strings, and error_type.
     """
     others = [c for c in answers.columns if c not in PARSED.names]
+    r = F.col(response).cast("string")
+    bare = ~F.contains(r, F.lit("```")) & F.ltrim(r).rlike(r"^[\[{]")
+    split = answers.select(*others, F.when(bare, F.try_parse_json(r)).alias("_v")).withColumn("_items", F.when(F.col("_v").isNotNull(), _clean_items(F.col("_v")))).drop("_v")
+    item = split.where("_items is not null").select(*others, F.posexplode("_items").alias("pos", "_x"))
+    get = lambda f, kind="string": F.try_variant_get("_x", f"$.{f}", kind)
+    evidence = F.when(_kind(get("evidence", "variant")) == "STRING", F.array(get("evidence"))).otherwise(get("evidence", "array<string>"))
+    easy = item.select(*others, F.col("pos").cast("int").alias("pos"), *[get(f).alias(f) for f in FIELDS], evidence.alias("evidence"), F.lit(None).cast("string").alias("error_type"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -109,7 +141,7 @@ def parsed_rows(answers: DataFrame, response: str = "raw_response") -> DataFrame
             yield pd.concat([rows[others].iloc[source].reset_index(drop=True), made], axis=1)
 
     schema = T.StructType([answers.schema[c] for c in others] + PARSED.fields)
-    return answers.mapInPandas(run, schema)
+    return easy.unionByName(split.where("_items is null").drop("_items").mapInPandas(run, schema))
 
 
 def diagnosis(response: str = "raw_response"):

@@ -1,66 +1,78 @@
 """Bootstrap confidence intervals of the behaviour metrics.
 
 A replicate draws as many conversations, with replacement, as there are. Draws come from a hash of (replicate, draw), so
-they are the same whatever the partitions. Facts meet the draws on the conversation's number and are summed by
-(replicate, group) in one aggregation that combines before the shuffle. Proportions of undrawn cells are 0; means of
+they are the same whatever the partitions. The draws are turned once into a list of replicates for each conversation, which
+facts meet in a join of their own size; what they say in each replicate is summed by (replicate, group) in one aggregation
+that combines before the shuffle, so nothing is shuffled once for each replicate but the draws themselves. Proportions of undrawn cells are 0; means of
 undrawn cells are missing and are left out of the intervals, with ``n_valid`` telling how many replicates remain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumentrace.operators.metrics import metric_names, other_models_mean, ratio, scored_pairs
 from lumentrace.session import written
+from lumentrace.sources import loaders
 
 LOW, HIGH = 0.025, 0.975
 
 
 def numbered(facts: DataFrame) -> DataFrame:
-    """(conversation_id, conv_idx): conversations numbered from 0 in order of id.
+    """(conversation_id, conv_idx): conversations numbered from 0 in order of id."""
+    return loaders.indexed(facts.select("conversation_id").distinct(), "conversation_id").withColumnRenamed("row_idx", "conv_idx")
 
-    Numbers within ranges of ids plus the sizes of the ranges before, so no task holds all ids.
-    """
-    ids = facts.select("conversation_id").distinct()
-    # written, since ranges that are drawn twice may differ
-    parts = written(ids.repartitionByRange("conversation_id").withColumn("part", F.spark_partition_id()), "numbered")
-    at = parts.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("conversation_id")) - 1)
-    size = parts.groupBy("part").agg(F.count("*").alias("size"))
-    before = size.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return at.join(F.broadcast(before), "part").select("conversation_id", (F.col("before") + F.col("at")).cast("long").alias("conv_idx"))
+
+def trials(spark, n: int, replicates: int) -> DataFrame:
+    """(rep, conv_idx): one row for each draw of each replicate from ``n`` conversations."""
+    if not n:
+        return spark.createDataFrame([], "rep long, conv_idx long")
+    trial = spark.range(n * replicates).select(F.expr(f"id div {n}").alias("rep"), (F.col("id") % n).alias("d"))
+    at = F.conv(F.substring(F.md5(F.concat(F.col("rep").cast("string"), F.lit("-"), F.col("d").cast("string"))), 1, 8), 16, 10).cast("long") % n
+    return trial.select("rep", at.alias("conv_idx"))
 
 
 def draws(spark, n: int, replicates: int) -> DataFrame:
     """(rep, conv_idx, w): how often each replicate draws each of ``n`` conversations; undrawn ones have no row."""
-    if not n:
-        return spark.createDataFrame([], "rep long, conv_idx long, w long")
-    trial = spark.range(n * replicates).select(F.expr(f"id div {n}").alias("rep"), (F.col("id") % n).alias("d"))
-    drawn = F.conv(F.substring(F.md5(F.concat(F.col("rep").cast("string"), F.lit("-"), F.col("d").cast("string"))), 1, 8), 16, 10).cast("long") % n
-    return trial.select("rep", drawn.alias("conv_idx")).groupBy("rep", "conv_idx").agg(F.count("*").alias("w"))
+    return trials(spark, n, replicates).groupBy("rep", "conv_idx").agg(F.count("*").alias("w"))
 
 
-def weighted_means(names: list[str]) -> list[Column]:
-    """Weighted mean of each metric over the rows that have it, null where none is drawn."""
-    return [F.try_divide(F.sum(F.col("w") * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), F.col("w"))).cast("double")).alias(m) for m in names]
+def drawn(facts: DataFrame, replicates: int) -> DataFrame:
+    """(conversation_id, reps): the replicates that draw each conversation, as often as they draw it; undrawn ones have no row.
 
+    Written, so that the interval tables of an analysis may share it.
+    """
+    ids = numbered(facts)
+    lists = trials(facts.sparkSession, ids.count(), replicates).groupBy("conv_idx").agg(F.collect_list("rep").alias("reps"))
+    return written(lists.join(ids, "conv_idx").select("conversation_id", "reps"), "drawn")
 
-def replicates_of(facts: DataFrame, scores: DataFrame, replicates: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def repeated(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows of drawn conversations, one for each draw, with its replicate."""
+    return rows.join(lists, "conversation_id").withColumn("rep", F.explode("reps")).drop("reps")
+
+
+def means(names: list[str]) -> list[Column]:
+    """Mean of each metric over the rows that have it, null where none is drawn."""
+    return [F.avg(m).alias(m) for m in names]
+
+
+def replicates_of(facts: DataFrame, scores: DataFrame, replicates: int, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per replicate the cells of (model, cluster), the models, and all rows, with sizes and means."""
     spark, names = facts.sparkSession, metric_names(scores)
     pairs, triples = scored_pairs(facts, scores)
-    ids = numbered(facts)
-    drawn = draws(spark, ids.count(), replicates).join(ids, "conv_idx").select("rep", "conversation_id", "w")
-    cm, cmc = pairs.join(drawn, "conversation_id"), triples.join(drawn, "conversation_id")
-    cells = cmc.groupBy("rep", "model", "cluster").agg(F.sum("w").alias("size"), *weighted_means(names))
-    models = cm.groupBy("rep", "model").agg(F.sum("w").alias("model_size"), *[c.alias(f"model_{m}") for c, m in zip(weighted_means(names), names, strict=True)])
+    lists = lists if lists is not None else drawn(facts, replicates)
+    cm, cmc = repeated(pairs, lists), repeated(triples, lists)
+    cells = cmc.groupBy("rep", "model", "cluster").agg(F.count("*").alias("size"), *means(names))
+    models = cm.groupBy("rep", "model").agg(F.count("*").alias("model_size"), *[c.alias(f"model_{m}") for c, m in zip(means(names), names, strict=True)])
     grid = pairs.select("model").distinct().crossJoin(triples.select("cluster").distinct()).crossJoin(spark.range(replicates).withColumnRenamed("id", "rep"))
     cells = grid.join(cells, ["rep", "model", "cluster"], "left").join(models, ["rep", "model"], "left")
     cells = cells.withColumn("size", F.coalesce("size", F.lit(0))).withColumn("proportion", ratio(F.col("size"), F.col("model_size")))
     cells = cells.withColumn("proportion_delta", F.col("proportion") - other_models_mean("proportion", "rep", "cluster"))
     for m in names:
         cells = cells.withColumns({f"quality_{m}": F.col(m), f"quality_delta_{m}": F.col(m) - F.col(f"model_{m}")})
-    whole = cm.groupBy("rep").agg(F.sum("w").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(weighted_means(names), names, strict=True)])
+    whole = cm.groupBy("rep").agg(F.count("*").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(means(names), names, strict=True)])
     return cells, models, whole
 
 
@@ -71,16 +83,16 @@ def intervals(values: DataFrame, by: list[str], columns: list[str]) -> DataFrame
     return out.select(*by, "measure", F.col("p")[0].alias("ci_lower"), F.col("p")[1].alias("ci_upper"), "ci_mean", "n_valid")
 
 
-def model_cluster_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100) -> DataFrame:
+def model_cluster_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100, lists: DataFrame | None = None) -> DataFrame:
     """Intervals of proportion, proportion_delta, quality_* and quality_delta_* of every model and cluster."""
-    cells, _, _ = replicates_of(facts, scores, replicates)
+    cells, _, _ = replicates_of(facts, scores, replicates, lists)
     names = metric_names(scores)
     return intervals(cells, ["model", "cluster"], ["proportion", "proportion_delta", *[f"quality_{m}" for m in names], *[f"quality_delta_{m}" for m in names]])
 
 
-def model_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100) -> DataFrame:
+def model_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100, lists: DataFrame | None = None) -> DataFrame:
     """Intervals of each model's quality and of its distance from all rows."""
-    _, models, whole = replicates_of(facts, scores, replicates)
+    _, models, whole = replicates_of(facts, scores, replicates, lists)
     names = metric_names(scores)
     out = models.join(whole, "rep")
     for m in names:
@@ -88,14 +100,13 @@ def model_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100)
     return intervals(out, ["model"], [*[f"quality_{m}" for m in names], *[f"quality_delta_{m}" for m in names]])
 
 
-def cluster_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100) -> DataFrame:
+def cluster_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100, lists: DataFrame | None = None) -> DataFrame:
     """Intervals of each cluster's proportion and quality over all models."""
     spark, names = facts.sparkSession, metric_names(scores)
     pairs, triples = scored_pairs(facts, scores)
-    ids = numbered(facts)
-    drawn = draws(spark, ids.count(), replicates).join(ids, "conv_idx").select("rep", "conversation_id", "w")
-    whole = pairs.join(drawn, "conversation_id").groupBy("rep").agg(F.sum("w").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(weighted_means(names), names, strict=True)])
-    cells = triples.join(drawn, "conversation_id").groupBy("rep", "cluster").agg(F.sum("w").alias("size"), *weighted_means(names))
+    lists = lists if lists is not None else drawn(facts, replicates)
+    whole = repeated(pairs, lists).groupBy("rep").agg(F.count("*").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(means(names), names, strict=True)])
+    cells = repeated(triples, lists).groupBy("rep", "cluster").agg(F.count("*").alias("size"), *means(names))
     grid = triples.select("cluster").distinct().crossJoin(spark.range(replicates).withColumnRenamed("id", "rep"))
     out = grid.join(cells, ["rep", "cluster"], "left").join(whole, "rep").withColumn("proportion", ratio(F.coalesce("size", F.lit(0)), F.col("all_size")))
     for m in names:

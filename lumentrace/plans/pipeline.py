@@ -200,9 +200,10 @@ def metric_tables(replicates: int = 0) -> Stage:
         scores = data.scores if data.scores is not None else facts.select("conversation_id", "model").distinct()
         tables = {"model_cluster_scores": metrics.model_cluster_metrics(facts, scores), "cluster_scores": metrics.cluster_metrics(facts, scores), "model_scores": metrics.model_metrics(facts, scores)}
         if replicates:
-            tables["model_cluster_scores"] = bootstrap.attached(tables["model_cluster_scores"], bootstrap.model_cluster_intervals(facts, scores, replicates), ["model", "cluster"])
-            tables["cluster_scores"] = bootstrap.attached(tables["cluster_scores"], bootstrap.cluster_intervals(facts, scores, replicates), ["cluster"])
-            tables["model_scores"] = bootstrap.attached(tables["model_scores"], bootstrap.model_intervals(facts, scores, replicates), ["model"])
+            lists = bootstrap.drawn(facts, replicates)
+            tables["model_cluster_scores"] = bootstrap.attached(tables["model_cluster_scores"], bootstrap.model_cluster_intervals(facts, scores, replicates, lists), ["model", "cluster"])
+            tables["cluster_scores"] = bootstrap.attached(tables["cluster_scores"], bootstrap.cluster_intervals(facts, scores, replicates, lists), ["cluster"])
+            tables["model_scores"] = bootstrap.attached(tables["model_scores"], bootstrap.model_intervals(facts, scores, replicates, lists), ["model"])
         return replace(data, tables=tables)
 
     return stage

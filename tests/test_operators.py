@@ -46,6 +46,7 @@ def test_bootstrap_weights_and_significance(cells):
     facts, scores = cells
     drawn = bootstrap.draws(facts.sparkSession, 4, 10).groupBy("rep").agg(F.sum("w").alias("w")).collect()
     assert [r.w for r in drawn] == [4] * 10
+    assert sum(len(r.reps) for r in bootstrap.drawn(facts, 10).collect()) == 40
     ci = bootstrap.model_cluster_intervals(facts, scores, 10)
     full = bootstrap.attached(metrics.model_cluster_metrics(facts, scores), ci, ["model", "cluster"]).collect()
     for r in full:
@@ -293,3 +294,18 @@ def test_run_from_config(spark, tmp_path):
     out = runs.run(spark, config, provider, taxonomy=None)
     assert {r.model for r in out.tables["model_scores"].collect()} == {"m1", "m2"}
     assert loaders.load_metrics(spark, f"file://{tmp_path}/out/final")["model_cluster_scores"].count() > 0
+
+
+def test_clean_answers_and_scanned_ones_agree(spark, monkeypatch):
+    """What variant functions take apart is what the scanner would make of it."""
+    p = {"property_description": "d", "category": None, "contains_errors": True, "evidence": ["a", "b"], "model": "m", "extra": 1}
+    answers = [
+        json.dumps([p]), json.dumps(p), json.dumps({"properties": [p, {**p, "evidence": "one"}]}), f"  {json.dumps([p])}\n", "[]", "{}", '{"properties": []}', '{"properties": "no"}', "[1]",
+        json.dumps([{**p, "reason": 1.0}]), json.dumps([{**p, "evidence": [1, None]}]), json.dumps([{**p, "evidence": []}]), json.dumps([{**p, "reason": "```json [] ```"}]),
+        "say: " + json.dumps([p]), '"text"', "3", "null", "", None, '[{"reason": "a", "reason": "b"}]', "[{},]", '{"properties": null}', json.dumps([p, 2]), json.dumps([{**p, "category": {"a": 1}}]), '{"a": NaN}',
+    ]
+    df = spark.createDataFrame(list(enumerate(answers)), "n long, raw_response string")
+    told = lambda: sorted(map(str, json_repair.parsed_rows(df).collect()))
+    both = told()
+    monkeypatch.setattr(json_repair, "_clean_items", lambda v: F.lit(None).cast("array<variant>"))
+    assert both == told()
