@@ -109,3 +109,9 @@ def is_outlier(label: Column) -> Column:
 
 def shortened(text: Column, limit: int = 2000, mark: str = "... [truncated]") -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))).otherwise(text)
+
+
+def prompt_key(prompt: Column) -> Column:
+    """A prompt as a key: JSON objects and arrays with sorted keys and no spaces between, other text as it is."""
+    v = F.try_parse_json(prompt)
+    return F.when(F.rlike(F.ltrim(prompt), F.lit(r"^[\[{]")) & v.isNotNull(), F.to_json(v)).otherwise(prompt)

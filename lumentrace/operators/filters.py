@@ -76,3 +76,10 @@ def reject_unknown_models(df: DataFrame) -> DataFrame:
     """The rows, with an error at run time where a model is called unknown."""
     check = F.assert_true(F.coalesce(F.lower("model") != "unknown", F.lit(True)), F.lit("a property has the model 'unknown'"))
     return df.where(check.isNull())
+
+
+def of_type_and_impact(properties: DataFrame, behavior: str | None = None, impacts: tuple[str, ...] = ("high", "medium"), column: str = "impact") -> DataFrame:
+    """Properties whose behaviour type holds a text, in any case, and whose impact, where there is such a column, is one of some."""
+    if behavior:
+        properties = properties.where(F.contains(F.lower("behavior_type"), F.lit(behavior.lower())))
+    return properties.where(F.lower(F.trim(column)).isin(*impacts)) if column in properties.columns else properties

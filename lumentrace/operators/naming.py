@@ -11,6 +11,7 @@ from lumentrace.operators.providers import CallCache, Provider
 
 NAME_ASK = "Give a short name that fits all of these behaviours and answer with the name alone."
 COARSE_ASK = "Group these names under at most {n} broader names. Answer with one broader name on each line."
+PRETTY_ASK = "Put a summary of at most four words before this name and answer with 'summary: name' alone."
 MATCH_ASK = "Which of the options fits the name best? Answer with the option alone, or with Outliers if none fits."
 
 
@@ -35,6 +36,23 @@ def coarse_names(names: DataFrame, provider: Provider, cache: CallCache, most: i
     return cache.complete(ask, "request", provider).select(F.explode(F.transform(lines, text.list_item)).alias("label")).where("label <> ''").distinct()
 
 
+def prettified(names: DataFrame, provider: Provider, cache: CallCache) -> DataFrame:
+    """(cluster id, label) with a short summary in bold before each label, one call for each distinct label; labels of failed calls and outliers stay."""
+    asks = names.select("label").distinct().where(~text.is_outlier(F.col("label"))).withColumn("request", text.sections(PRETTY_ASK, name=F.col("label")))
+    said = cache.complete(asks, "request", provider)
+    summary = F.trim(F.regexp_replace(F.substring_index("response", ":", 1), r"[*\"]", ""))
+    pretty = said.where(F.contains("response", F.lit(":")) & (summary != "")).select("label", F.concat(F.lit("**"), summary, F.lit(":** "), F.col("label")).alias("_pretty"))
+    return names.join(pretty, "label", "left").withColumn("label", F.coalesce("_pretty", "label")).drop("_pretty").select(*names.columns)
+
+
+def under_coarse(members: DataFrame, most: int, provider: Provider, cache: CallCache) -> DataFrame:
+    """Members under at most ``most`` broader names of their labels; outliers, and labels that fit none, are outliers."""
+    fine = members.where(~text.is_outlier(F.col("cluster_label"))).select(F.col("cluster_label").alias("label")).distinct()
+    pairs = matched(fine, coarse_names(fine, provider, cache, most), provider, cache)
+    out = members.join(pairs.withColumnRenamed("label", "cluster_label"), "cluster_label", "left")
+    return out.withColumn("cluster_label", F.coalesce("coarse", "cluster_label")).select(*members.columns)
+
+
 def matched(fine: DataFrame, coarse: DataFrame, provider: Provider, cache: CallCache) -> DataFrame:
     """(label, coarse): the option that an answer names for each fine label; Outliers where it names none or there are none."""
     options = coarse.agg(F.sort_array(F.collect_set("label")).alias("options"))

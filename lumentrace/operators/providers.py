@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -14,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 Provider = Callable[[str], str | None]
 
@@ -47,24 +47,28 @@ def called(requests: DataFrame, provider: Provider, workers: int = 8) -> DataFra
 
 
 class CallCache:
-    """A Parquet table of (key, request, response); failures are not kept, so they are tried again."""
+    """A folder of Parquet tables of (key, request, response), one for each round of calls; failures are not kept, so they are tried again.
+
+    A frame reads the tables that there were when it was made, by their own paths: Spark takes two reads of one path for the
+    same scan, and a plan with an older read in it would answer the newer one with the older files.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def table(self) -> DataFrame:
         schema = "key string, request string, response string"
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        pattern = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/calls-*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        paths = sorted(str(f.getPath().getParent()) for f in found or ())
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def complete(self, df: DataFrame, request: str, provider: Provider, to: str = "response") -> DataFrame:
         """``df`` with the response to each request; null where the provider failed or the request is null."""
         keyed = df.withColumn("_key", F.sha2(F.col(request), 256))
         wanted = keyed.where(F.col(request).isNotNull()).select(F.col("_key").alias("key"), F.col(request).alias("request")).distinct()
         todo = wanted.join(self.table().select("key"), "key", "left_anti")
-        called(todo, provider).where("response is not null").write.mode("append").parquet(self.path)
+        called(todo, provider).where("response is not null").write.parquet(f"{self.path}/calls-{uuid.uuid4().hex}")
         return keyed.join(self.table().select(F.col("key").alias("_key"), F.col("response").alias(to)), "_key", "left").drop("_key")
 
 

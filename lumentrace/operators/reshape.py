@@ -108,3 +108,15 @@ def quality_metrics(columns: list[str]) -> list[str]:
     """Names of quality metrics in the columns of a metric table, without deltas and intervals."""
     rest = [c.removeprefix("quality_") for c in columns if c.startswith("quality_") and not c.startswith("quality_delta_")]
     return sorted(c for c in rest if "_ci_" not in c and not c.endswith("_significant"))
+
+
+def flattened(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
+    """A struct's leaves as columns with dotted names; a null struct gives nulls."""
+    from pyspark.sql import types as T
+
+    def leaves(kind: T.DataType, path: list[str]) -> list[list[str]]:
+        return [x for f in kind for x in leaves(f.dataType, [*path, f.name])] if isinstance(kind, T.StructType) else [path]
+
+    found = leaves(df.schema[column].dataType, [])
+    get = lambda path: F.col(".".join(f"`{x}`" for x in (column, *path)))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != column], *[get(p).alias(prefix + ".".join(p)) for p in found])

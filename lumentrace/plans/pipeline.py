@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentrace.functions import json_repair, text
-from lumentrace.operators import bootstrap, clustering, filters, grouping, metrics, ranking, reshape
+from lumentrace.operators import bootstrap, clustering, filters, grouping, metrics, naming, ranking, reshape
 from lumentrace.operators.providers import CallCache, Provider, embedded, hashing_embedder
 from lumentrace.session import written
 from lumentrace.sources import loaders
@@ -19,6 +20,7 @@ from lumentrace.sources import loaders
 # Columns that each method needs.
 REQUIRED = {"single_model": ["prompt", "model", "model_response"], "side_by_side": ["prompt", "model_a", "model_b", "model_a_response", "model_b_response"]}
 
+PAIR_INSTRUCTIONS = "Compare the two answers. List the behaviours in which they differ as a JSON array of objects with model (Model A or Model B), behavior_type, property_description, category, evidence, reason, contains_errors and unexpected_behavior."
 INSTRUCTIONS = "List the behaviours that stand out in this answer as a JSON array of objects with behavior_type, property_description, category, evidence, reason, contains_errors and unexpected_behavior."
 
 
@@ -26,11 +28,13 @@ INSTRUCTIONS = "List the behaviours that stand out in this answer as a JSON arra
 class Dataset:
     """What flows between stages; every part is lazy.
 
-    conversations: question_id, model (and response columns); scores: conversation_id, model, metrics...; properties: one
-    row each; failures: answers without a property; members: property_id, cluster_id, cluster_label; tables: metric tables.
+    conversations: question_id, model (and response columns); battles: question_id with both models and answers, where they
+    were compared; scores: conversation_id, model, metrics...; properties: one row each; failures: answers without a
+    property; members: property_id, cluster_id, cluster_label; tables: metric tables.
     """
 
     conversations: DataFrame
+    battles: DataFrame | None = None
     scores: DataFrame | None = None
     answers: DataFrame | None = None
     properties: DataFrame | None = None
@@ -40,8 +44,10 @@ class Dataset:
 
 
 Stage = Callable[[Dataset], Dataset]
+#: Functions that call other code or read files, and so have no place in a user's expression.
+OUTSIDE = {"java_method", "reflect", "try_reflect", "read_files"}
 #: Parts of a dataset that stages hand on as rows.
-PARTS = ("conversations", "scores", "answers", "properties", "failures", "members")
+PARTS = ("conversations", "battles", "scores", "answers", "properties", "failures", "members")
 
 
 class Pipeline:
@@ -71,9 +77,20 @@ class Pipeline:
         yield
         self.seconds[name] = time.time() - began
 
-    def run(self, data: Dataset, after: Callable[[str, Dataset], None] | None = None) -> Dataset:
-        """Each stage's rows are written to the shared folder and read back, so later stages never repeat its work."""
-        for name, stage in self.stages:
+    def run(self, data: Dataset, after: Callable[[str, Dataset], None] | None = None, progress: Callable[[str, float], None] | None = None) -> Dataset:
+        """Each stage's rows are written to the shared folder and read back, so later stages never repeat its work.
+
+        ``progress`` is told each stage's name and the part of the stages done before it, and at the end 'done' and 1; what
+        it raises doesn't stop the run.
+        """
+
+        def tell(name: str, done: float) -> None:
+            if progress:
+                with contextlib.suppress(Exception):  # a listener's failure is its own
+                    progress(name, done)
+
+        for at, (name, stage) in enumerate(self.stages):
+            tell(name, at / len(self.stages))
             with self.timed(name):
                 made = stage(data)
                 if not isinstance(made, Dataset):
@@ -82,6 +99,7 @@ class Pipeline:
                 data = replace(made, **{p: written(df, f"{name}-{p}") for p, df in fresh.items()})
             if after:
                 after(name, data)
+        tell("done", 1.0)
         return data
 
 
@@ -103,7 +121,9 @@ def prepare(df: DataFrame, method: str, mapping: dict[str, str] | None = None, s
 
 def dataset(df: DataFrame, method: str) -> Dataset:
     """Conversations with one row for each (question, model), and their scores by metric."""
+    battles = None
     if method == "side_by_side":
+        battles = df.select("question_id", "prompt", "row_idx", "model_a", "model_b", *[F.col(c).cast("string").alias(c) for c in ("model_a_response", "model_b_response")])
         if "winner" in df.columns and "score_a" not in df.columns:
             a, b = reshape.winner_scores()
             df = df.withColumns({"score_a": F.create_map(F.lit("winner"), a), "score_b": F.create_map(F.lit("winner"), b)})
@@ -116,13 +136,17 @@ def dataset(df: DataFrame, method: str) -> Dataset:
         long = df.select(F.col("question_id").alias("conversation_id"), "model", F.explode("score").alias("metric", "value")).where("value is not null")
         names = sorted(r[0] for r in long.select("metric").distinct().collect())
         scores = long.groupBy("conversation_id", "model").pivot("metric", names or ["score"]).agg(F.avg(F.col("value").cast("double")))
-    return Dataset(df.select(*kept), scores)
+    return Dataset(df.select(*kept), battles, scores)
 
 
-def extraction(provider: Provider, cache: CallCache, instructions: str = INSTRUCTIONS) -> Stage:
-    """One model call for each conversation."""
+def extraction(provider: Provider, cache: CallCache, instructions: str = INSTRUCTIONS, pair_instructions: str = PAIR_INSTRUCTIONS) -> Stage:
+    """One model call for each conversation, or for each battle, which shows both answers and neither model's name."""
 
     def stage(data: Dataset) -> Dataset:
+        if data.battles is not None:
+            asked = text.sections(pair_instructions, prompt=F.col("prompt"), model_a_answer=F.col("model_a_response"), model_b_answer=F.col("model_b_response"))
+            answers = cache.complete(data.battles.withColumn("request", asked), "request", provider, "raw_response")
+            return replace(data, answers=answers.drop("request", "model_a_response", "model_b_response"))
         prompt = text.sections(instructions, prompt=F.col("prompt"), answer=F.col("model_response").cast("string"))
         answers = cache.complete(data.conversations.withColumn("request", prompt), "request", provider, "raw_response").drop("request")
         return replace(data, answers=answers)
@@ -131,23 +155,32 @@ def extraction(provider: Provider, cache: CallCache, instructions: str = INSTRUC
 
 
 def longest_failure_run(rows: DataFrame) -> int:
-    """Most answers in a row, in order of row_idx, that gave errors.
+    """Most answers in a row, in order of row_idx, that gave nothing but errors.
 
     In a run the places among all answers and among the failed ones grow together, so their difference marks the run; both
     are numbered by ranges, without a task that sees all answers.
     """
-    answers = rows.groupBy(F.col("row_idx").alias("at")).agg(F.max(F.col("error_type").isNotNull()).alias("failed"))
+    answers = rows.groupBy(F.col("row_idx").alias("at")).agg(F.min(F.col("error_type").isNotNull()).alias("failed"))
     failed = loaders.indexed(answers, "at").where("failed").select(F.col("row_idx").alias("place"))
     runs = loaders.indexed(failed, "place").groupBy(F.col("place") - F.col("row_idx")).count()
     return runs.agg(F.max("count")).first()[0] or 0
 
 
 def parsing(most_failures_in_a_row: int = 10) -> Stage:
-    """Answers to properties and failures; RuntimeError where more answers than allowed fail in a row."""
+    """Answers to properties and failures; RuntimeError where more answers than allowed fail in a row.
+
+    A property of a battle belongs to the model that it means; one that means neither is a failure.
+    """
 
     def stage(data: Dataset) -> Dataset:
-        rows = json_repair.parsed_rows(data.answers.withColumnRenamed("model", "answer_model"))
-        rows = rows.withColumn("model", F.coalesce("answer_model", "model")).drop("answer_model")
+        if data.battles is not None:
+            rows = json_repair.parsed_rows(data.answers)
+            meant = text.model_of(F.col("model"), F.col("model_a"), F.col("model_b"))
+            lost = F.col("error_type").isNull() & (F.coalesce(meant, F.lit("unknown")) == "unknown")
+            rows = rows.withColumns({"model": meant, "error_type": F.when(lost, json_repair.UNKNOWN_MODEL_MAPPING).otherwise(F.col("error_type"))})
+        else:
+            rows = json_repair.parsed_rows(data.answers.withColumnRenamed("model", "answer_model"))
+            rows = rows.withColumn("model", F.coalesce("answer_model", "model")).drop("answer_model")
         rows = written(rows, "parsed")
         rows = rows.withColumn("property_id", F.sha2(F.concat_ws("|", "question_id", "model", F.col("pos").cast("string"), "property_description"), 256))
         failures = rows.where("error_type is not null")
@@ -164,6 +197,29 @@ def validation(data: Dataset) -> Dataset:
     return replace(data, properties=good, failures=loaders.union([data.failures, bad.withColumn("error_type", F.lit("INVALID_PROPERTY"))]) if data.failures is not None else bad)
 
 
+def hierarchical_clustering(provider: Provider, cache: CallCache, min_cluster_size: int = 5, groupby: str | None = "behavior_type", embed=None, coarse: int | None = None, pretty: bool = False) -> Stage:
+    """Density clusters with names from a provider and outliers given another chance; with ``coarse`` under at most so many broader names.
+
+    Names that several clusters share make one cluster. A provider that fails leaves 'Unlabeled' names and fine ones as they are.
+    """
+    density = density_clustering(min_cluster_size, groupby, embed)
+
+    def stage(data: Dataset) -> Dataset:
+        members = written(density(data).members, "members")
+        names = written(naming.named(members.where("cluster_id <> -1"), provider, cache), "names")
+        if pretty:
+            names = written(naming.prettified(names, provider, cache), "names")
+        named = members.drop("cluster_label").join(names.withColumnRenamed("label", "cluster_label"), "cluster_id", "left")
+        named = named.withColumn("cluster_label", F.coalesce("cluster_label", F.lit("Outliers")))
+        out = written(naming.regrouped_outliers(named, min_cluster_size, provider, cache).select(*members.columns), "regrouped")
+        if coarse:
+            out = naming.under_coarse(out, coarse, provider, cache)
+        ids = F.when(text.is_outlier(F.col("cluster_label")), -1).otherwise(F.xxhash64("cluster_label").bitwiseAND(F.lit((1 << 62) - 1)))
+        return replace(data, members=out.withColumn("cluster_id", ids.cast("long")))
+
+    return stage
+
+
 def density_clustering(min_cluster_size: int = 5, groupby: str | None = "behavior_type", embed=None) -> Stage:
     """Clusters of descriptions within each stratum, named by their first description; small ones are outliers."""
 
@@ -238,6 +294,28 @@ def label(df: DataFrame, provider: Provider, cache: CallCache, taxonomy: list[st
     return explain(df, provider, cache, "single_model", label_pipeline(provider, cache, taxonomy, replicates), **prepared)
 
 
+def cluster_job(properties: DataFrame, scores: DataFrame | None = None, clusterer: Stage | None = None, replicates: int = 0, progress: Callable[[str, float], None] | None = None) -> Dataset:
+    """Clusters and metrics of given properties (property_id, question_id, model, property_description, behavior_type).
+
+    Invalid properties become failures; the default clusterer is ``density_clustering``.
+    """
+    failures = properties.limit(0).withColumn("error_type", F.lit(None).cast("string"))
+    data = Dataset(properties.select("question_id", "model").distinct(), scores=scores, properties=properties, failures=failures)
+    return Pipeline([("validate", validation), ("cluster", clusterer or density_clustering()), ("metrics", metric_tables(replicates))]).run(data, progress=progress)
+
+
+#: Clusterers and metrics by name; a clusterer takes keyword arguments and gives a stage that sets ``members``, a metric one that sets ``tables``.
+CLUSTERERS: dict[str, Callable[..., Stage]] = {"density": density_clustering, "hdbscan": density_clustering, "hierarchical": hierarchical_clustering, "taxonomy": taxonomy_clustering, "dummy": lambda: identity}
+METRICS: dict[str, Callable[..., Stage]] = {"single_model": metric_tables, "side_by_side": metric_tables}
+
+
+def chosen(kind: dict[str, Callable[..., Stage]], name: str, **given) -> Stage:
+    """The stage that a registry has under a name; ValueError tells the names that there are."""
+    if name not in kind:
+        raise ValueError(f"{name!r} is none of {', '.join(sorted(kind))}")
+    return kind[name](**given)
+
+
 def metrics_only(members: DataFrame, scores: DataFrame | None = None, replicates: int = 0) -> dict[str, DataFrame]:
     """Metric tables of saved cluster members."""
     return metric_tables(replicates)(Dataset(members, scores, members=members)).tables
@@ -262,7 +340,10 @@ def parse_summary(data: Dataset) -> DataFrame:
 
 
 def custom_sql(df: DataFrame, sql: str) -> DataFrame:
-    """A SELECT over ``df``; other statements are refused."""
-    if not sql.lstrip().lower().startswith(("select", "with")) or ";" in sql:
+    """A SELECT over ``df``; other statements are refused, and functions that reach out of the query."""
+    bare = re.sub(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\"""", "''", sql).lower()
+    if not bare.lstrip().startswith(("select", "with")) or ";" in bare:
         raise ValueError("only one SELECT is allowed")
+    if found := sorted(set(re.findall(r"\w+", bare)) & OUTSIDE) or re.findall(r"\busing\s+''", bare):
+        raise ValueError(f"not allowed: {', '.join(found)}")
     return df.sparkSession.sql(sql, df=df)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,3 +134,49 @@ def load_metrics(spark: SparkSession, path: str) -> dict[str, DataFrame | None]:
 
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def results_page(spark: SparkSession, path: str, name: str, page: int = 0, size: int = 100, order: str = "row_idx") -> DataFrame | None:
+    """A page of a table in a folder of results, from parquet or else JSON lines; rows without a description are left out; None if it is not there."""
+    from pyspark.sql.utils import AnalysisException
+
+    for read, suffix in ((spark.read.parquet, "parquet"), (spark.read.json, "jsonl")):
+        try:
+            df = read(f"{path}/{name}.{suffix}")
+        except AnalysisException:
+            continue
+        if "property_description" in df.columns:
+            df = df.where(F.coalesce(F.trim("property_description"), F.lit("")) != "")
+        by = [c for c in (order, "question_id", "property_id", *df.columns) if c in df.columns]
+        return df.orderBy(*dict.fromkeys(by)).offset(page * size).limit(size)
+    return None
+
+
+def save_events(rows: DataFrame, path: str, kind: str = "property") -> None:
+    """One JSON line for each row, with its kind, for readers that take results line by line."""
+    rows.select(F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*rows.columns).alias(kind))).alias("value")).write.mode("overwrite").text(path)
+
+
+def as_input(conversations: DataFrame) -> DataFrame:
+    """Conversations of a dataset (question_id, prompt, model, model_response, scores...) under the names of input columns, scores as one JSON text."""
+    known = [c for c in ("question_id", "prompt", "model", "model_response") if c in conversations.columns]
+    numbers = [c for c, t in conversations.dtypes if t in ("double", "float") and c not in known]
+    return conversations.select(*known, *([F.to_json(F.struct(*numbers)).alias("score")] if numbers else []))
+
+
+def literals_to_json(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of text in which objects stand as Python literals, with those as JSON; other text stays as it is."""
+    @F.pandas_udf("string")
+    def convert(values: pd.Series) -> pd.Series:
+        def one(x: str | None) -> str | None:
+            if x is None or not x.lstrip().startswith(("{", "[", "(")):
+                return x
+            try:
+                return json.dumps(ast.literal_eval(x.strip()), ensure_ascii=False)
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                return x
+
+        return values.map(one)
+
+    plain = lambda c: F.try_parse_json(c).isNotNull() | ~F.rlike(F.ltrim(c), F.lit(r"^[\[{(]"))
+    return df.withColumns({c: F.when(plain(F.col(c)), F.col(c)).otherwise(convert(F.col(c))) for c in columns})

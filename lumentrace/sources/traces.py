@@ -142,3 +142,15 @@ def battles(rows: DataFrame, least: int = 0) -> DataFrame:
         rare = one.groupBy("model_a").count().where(F.col("count") < least).select(F.col("model_a").alias("_m"))
         one = one.join(rare, F.col("model_a") == F.col("_m"), "left_anti").join(rare, F.col("model_b") == F.col("_m"), "left_anti")
     return one
+
+
+def trajectory_text(messages: Column, roles: bool = True) -> Column:
+    """An array of (role, content) as lines, each with its role before it; messages without content have none."""
+    said = F.filter(messages, lambda m: m["content"].isNotNull())
+    return F.array_join(F.transform(said, lambda m: F.concat(m["role"], F.lit(": "), m["content"]) if roles else m["content"]), "\n")
+
+
+def user_profile(messages: Column) -> Column:
+    """The first tool message that is a JSON object and tells of a name, an e-mail address or payment, as a variant; null if there is none."""
+    fits = F.filter(messages, lambda m: (m["role"] == "tool") & F.rlike(m["content"], F.lit(r"^\s*\{")) & F.rlike(F.lower(m["content"]), F.lit("name|email|payment")) & F.try_parse_json(m["content"]).isNotNull())
+    return F.try_parse_json(F.get(fits, F.lit(0))["content"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from lumentrace.functions import json_repair
 from lumentrace.operators import filters
@@ -43,13 +44,21 @@ def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", n
 
 
 def merged(stream: DataFrame, path: str, checkpoint: str, key: list[str], now: bool = True):
-    """Each batch's rows, once for each key within the batch, appended to a parquet table with the batch's number.
+    """Rows whose key no earlier batch brought, once for each key, appended to a parquet table with the batch's number.
 
-    A batch that is repeated after a failure overwrites its own part, so no row is written twice.
+    A batch that is repeated after a failure looks only at the batches before it and overwrites its own part, so no row is
+    written twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh = batch.dropDuplicates(key)
+        try:
+            seen = batch.sparkSession.read.parquet(path).where(F.col("batch") < number)
+        except AnalysisException:  # nothing has been written
+            seen = None
+        if seen is not None:
+            fresh = fresh.join(seen.select(*key), key, "left_anti")
+        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if now else writer).start()

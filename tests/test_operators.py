@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumentrace.functions import json_repair, messages, text
-from lumentrace.operators import bootstrap, clustering, filters, joins, metrics, providers, ranking, reshape
+from lumentrace.operators import bootstrap, clustering, filters, joins, metrics, naming, prompts, providers, ranking, reshape
 from lumentrace.plans import pipeline
 from lumentrace.sources import loaders, traces
 
@@ -214,7 +214,8 @@ def test_explain_side_by_side(spark, tmp_path):
     df = spark.createDataFrame(rows, "question_id string, prompt string, model_a string, model_b string, model_a_response string, model_b_response string, winner string")
 
     def provider(request):
-        return json.dumps([{"property_description": request.rsplit("\n", 1)[-1].split()[0], "behavior_type": "Style"}])
+        assert "m1" not in request and "red apple" in request and "blue pear" in request
+        return json.dumps([{"model": "Model A", "property_description": "red", "behavior_type": "Style"}, {"model": "model b", "property_description": "blue", "behavior_type": "Style"}])
 
     out = pipeline.explain(df, provider, providers.CallCache(spark, f"file://{tmp_path}/c"), min_cluster_size=2)
     cells = {(r.model, r.cluster): r for r in out.tables["model_cluster_scores"].collect()}
@@ -290,7 +291,7 @@ def test_run_from_config(spark, tmp_path):
     rows = [(f"q{i}", m, f"word{i % 2} said") for i in range(6) for m in ("m1", "m2")]
     spark.createDataFrame(rows, "prompt string, model string, model_response string").write.parquet(f"file://{tmp_path}/in.parquet")
     config = json.dumps({"data_path": f"file://{tmp_path}/in.parquet", "output_dir": f"file://{tmp_path}/out", "min_cluster_size": 2, "model_a": "m1", "model_b": "m2"})
-    provider = lambda r: json.dumps([{"property_description": r.rsplit("\n", 1)[-1].split()[0], "behavior_type": "Style"}])
+    provider = lambda r: json.dumps([{"property_description": r.rsplit("\n", 1)[-1].split()[0], "behavior_type": "Style", "model": m} for m in ("Model A", "Model B")])
     out = runs.run(spark, config, provider, taxonomy=None)
     assert {r.model for r in out.tables["model_scores"].collect()} == {"m1", "m2"}
     assert loaders.load_metrics(spark, f"file://{tmp_path}/out/final")["model_cluster_scores"].count() > 0
@@ -309,3 +310,59 @@ def test_clean_answers_and_scanned_ones_agree(spark, monkeypatch):
     both = told()
     monkeypatch.setattr(json_repair, "_clean_items", lambda v: F.lit(None).cast("array<variant>"))
     assert both == told()
+
+
+def test_hierarchical_clusters_and_progress(spark, tmp_path):
+    """Names come from a provider, outliers get another chance, broader names at the end; a listener is told of the stages."""
+    rows = [(f"p{i}", f"q{i}", "m", f"{('red', 'green')[i % 2]} {w}", "Style") for i, w in enumerate(["apple", "apple pie"] * 12)] + [("p90", "q90", "m", " ", "Style"), ("p91", "q91", "m", "x", "Neutral")]
+    props = spark.createDataFrame(rows, "property_id string, question_id string, model string, property_description string, behavior_type string")
+
+    def provider(request):
+        if request.startswith(naming.NAME_ASK):
+            return "Fruit " + request.rsplit("\n", 1)[-1].split()[0]
+        if request.startswith(naming.PRETTY_ASK):
+            return "summary: x"
+        return "Fruit" if "Fruit" in request else None
+
+    seen = []
+    stage = pipeline.chosen(pipeline.CLUSTERERS, "hierarchical", provider=provider, cache=providers.CallCache(spark, f"file://{tmp_path}/c"), min_cluster_size=3)
+    out = pipeline.cluster_job(props, clusterer=stage, progress=lambda n, d: seen.append((n, round(d, 2))))
+    assert seen == [("validate", 0.0), ("cluster", 0.33), ("metrics", 0.67), ("done", 1.0)]
+    assert out.failures.count() == 2 and out.members.count() == 24 and out.tables["cluster_scores"].count() >= 1
+    names = spark.createDataFrame([(1, "Fruit red"), (-1, "Outliers")], "cluster_id long, label string")
+    pretty = naming.prettified(names, provider, providers.CallCache(spark, f"file://{tmp_path}/d")).collect()
+    assert {r.label for r in pretty} == {"**summary:** Fruit red", "Outliers"}
+    members = spark.createDataFrame([("p1", "a1", 5), ("p2", "a2", 6), ("p3", "Outliers", -1)], "property_id string, cluster_label string, cluster_id long")
+    ask = lambda r: "A" if r.startswith(naming.MATCH_ASK) else "all A"
+    coarse = naming.under_coarse(members, 1, ask, providers.CallCache(spark, f"file://{tmp_path}/e")).collect()
+    assert {(r.property_id, r.cluster_label) for r in coarse} <= {("p1", "all A"), ("p2", "all A"), ("p1", "Outliers"), ("p2", "Outliers"), ("p3", "Outliers")}
+    with pytest.raises(ValueError, match="none of"):
+        pipeline.chosen(pipeline.METRICS, "nowhere")
+
+
+def test_custom_sql_is_one_harmless_select(spark):
+    df = spark.createDataFrame([(1, "a;b")], "n long, s string")
+    assert pipeline.custom_sql(df, "SELECT count(*) AS c FROM {df} WHERE s = 'a;b'").first().c == 1
+    assert pipeline.custom_sql(df, "SELECT a.n FROM {df} a JOIN {df} b USING (n)").count() == 1
+    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT TRANSFORM(n) USING 'rm' FROM {df}"):
+        with pytest.raises(ValueError):
+            pipeline.custom_sql(df, bad)
+
+
+def test_prompts(spark):
+    assert "Model A" in prompts.template("side_by_side") and "{" not in prompts.template(task="do {this}").replace("{this}", "")
+    assert "The task: sums" in prompts.resolved(task="sums") and prompts.resolved(prompt="about {task}", task="x") == "about x" and prompts.resolved(prompt="mine", known={"mine": "M"}) == "M"
+    with pytest.raises(ValueError, match="none of"):
+        prompts.resolved(prompt="unknown")
+    assert "- a: first" in prompts.taxonomy_prompt({"a": "first", "b": ""}) and "one of a, b" in prompts.taxonomy_prompt(["a", "b"])
+    talks = spark.createDataFrame([(str(i), "m", f"said {i}") for i in range(9)], "question_id string, model string, model_response string")
+    assert len(prompts.sampled_traces(talks, 4)) == 4 and prompts.sampled_traces(talks, 4) == prompts.sampled_traces(talks.repartition(5), 4)
+    calls = []
+
+    def provider(request):
+        calls.append(request)
+        return "wide task" if request.startswith("Describe") else None if "goal" in request else "mended" if request.startswith("This prompt") else "part"
+
+    out = prompts.generated("sums", talks, provider, verify=lambda p: None if p == "mended" else "bad", naming={"name": "N"})
+    assert out == {"task": "wide task", "extraction": "mended", "name": "part"}
+    assert prompts.generated("sums", talks, lambda r: None, verify=lambda p: "bad")["extraction"] == prompts.resolved(task="sums")

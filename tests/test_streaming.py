@@ -30,6 +30,9 @@ def test_merged_batches_and_sessions(spark, tmp_path):
     source = streams.json_source(spark, f"file://{path}", "id long, at timestamp, u string")
     streams.merged(source, f"file://{tmp_path}/m", f"file://{tmp_path}/ck", ["id"]).awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/m").count() == 2
-    batch = spark.read.schema("id long, at timestamp, u string").json(f"file://{path}")
+    (path / "b.json").write_text('{"id": 2, "at": "2024-01-01T05:00:00Z", "u": "y"}\n{"id": 3, "at": "2024-01-01T06:00:00Z", "u": "y"}')
+    streams.merged(source, f"file://{tmp_path}/m", f"file://{tmp_path}/ck", ["id"]).awaitTermination()
+    assert sorted((r.id, r.u) for r in spark.read.parquet(f"file://{tmp_path}/m").collect()) == [(1, "x"), (2, "x"), (3, "y")]
+    batch = spark.read.schema("id long, at timestamp, u string").json(f"file://{path}/a.json")
     assert sorted(r.n for r in streams.sessions(batch, "at", "u").collect()) == [1, 2]
     assert streams.windowed_counts(batch, "at", "u").agg(F.sum("n")).first()[0] == 3
