@@ -170,13 +170,18 @@ def grouped(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     Vectors are linked when their cosine, in double precision, is at least ``least``. Null, empty and zero vectors, and ones
     with null or non-finite components, are linked with nothing; vectors of different sizes are never linked. n_links
     counts other vectors linked directly; component_id is the smallest vec_id reachable. A null vec_id counts as smaller
-    than all others; rows that repeat a vec_id are linked rows of their own. Other columns are not read.
+    than all others; rows that repeat a vec_id are rows of their own, linked by what each of them holds. Other columns are
+    not read. An empty table gives an empty result.
     """
     budget = 2 - 2 * least
     raw, kind = stored_vectors(vectors)
     table = written(raw, "raw-vectors")
-    classes = table.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vid"), F.count("*").cast("int").alias("copies"))
-    classes = written(classes.withColumn("size", F.length("v")), "vectors")
+    classes = table.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").cast("int").alias("copies"))
+    classes = written(classes.withColumns({"size": F.length("v"), "vid": F.col("least")}), "vectors")
+    if not classes.groupBy("least").count().where("count > 1").isEmpty():
+        # different vectors share an id or have none: they go by numbers in order of their ids
+        numbered = classes.repartitionByRange("least", "v").sortWithinPartitions("least", "v").withColumn("vid", F.monotonically_increasing_id())
+        classes = written(numbered, "vectors")
     # A block has at most 1 / radius + 2 slabs, as unit vectors lie within 1 of the origin: few enough to broadcast.
     places = at_cells(classes, kind, budget, only_places=True)
     count = places.groupBy("size", "cell").agg(F.count("*").alias("n"), F.sum((~F.col("guest")).cast("int")).alias("hosts")).where("hosts > 0 and n > 1")
@@ -188,10 +193,12 @@ def grouped(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     found = parts.groupBy("size", "cell", "tile").applyInPandas(lambda g: cell_links(g, kind, budget, least), "a long, b long, links long")
     found = written(found, "vector-links")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "vid")
-    group = written(components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "vid"), "groups")
+    forest = written(components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "vid"), "groups")
+    top = classes.select(F.col("vid").alias("component"), F.col("least").alias("top"))
+    group = forest.join(top, "component").select("vid", "top")
     of_class = written(classes.join(links, "vid", "left").join(group, "vid", "left"), "of-class")
-    discard(classes, found, group)
+    discard(classes, found, forest)
     out = table.join(of_class, "v", "left")
     n_links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    out = out.select("vec_id", n_links.cast("long").alias("n_links"), F.coalesce("component", "vid", "vec_id").alias("component_id"))
+    out = out.select("vec_id", n_links.cast("long").alias("n_links"), F.coalesce("top", "least", "vec_id").alias("component_id"))
     return with_ids(out.withColumn("kept", F.col("vec_id") == F.col("component_id")), "vec_id", "component_id")
