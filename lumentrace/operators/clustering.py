@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumentrace.session import discard, written
@@ -294,5 +294,5 @@ def taxonomy_assigned(properties: DataFrame, taxonomy: DataFrame, category: str
 def merged_labels(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Rows with the merged name of their label (label, merged), and ids in order of the merged names."""
     out = rows.join(names, "label", "left").withColumn("label", F.coalesce("merged", "label")).drop("merged")
-    ids = out.select("label").distinct().withColumn("cluster_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
+    ids = loaders.indexed(out.select("label").distinct(), "label").withColumnRenamed("row_idx", "cluster_id")
     return out.join(ids, "label")

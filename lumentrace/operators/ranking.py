@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrace.sources import loaders
+
 
 def keep_first(df: DataFrame, key: list[str], *order: str | Column) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
@@ -36,9 +38,9 @@ def examples(rows: DataFrame, by: list[str], order: str, n: int = 3) -> DataFram
 
 
 def renumbered(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Rows with a dense id of their key in order of first appearance; the ids are made on the distinct keys."""
+    """Rows with a dense id of their key in order of first appearance; the distinct keys are numbered by ranges."""
     firsts = rows.groupBy(*key).agg(F.min(order).alias("_first"))
-    ids = firsts.withColumn("new_id", F.row_number().over(Window.orderBy("_first", *key)) - 1).drop("_first")
+    ids = loaders.indexed(firsts, "_first", *key).withColumn("new_id", F.col("row_idx").cast("int")).drop("_first", "row_idx")
     return rows.join(ids, key)
 
 
