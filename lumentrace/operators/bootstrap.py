@@ -39,23 +39,25 @@ def draws(spark, n: int, replicates: int) -> DataFrame:
 
 
 def drawn(facts: DataFrame, replicates: int) -> DataFrame:
-    """(conversation_id, reps): the replicates that draw each conversation, as often as they draw it; undrawn ones have no row.
+    """(conversation_id, reps): the replicates (rep, w) that draw each conversation, with how often; undrawn ones have no row.
 
     Written, so that the interval tables of an analysis may share it.
     """
     ids = numbered(facts)
-    lists = trials(facts.sparkSession, ids.count(), replicates).groupBy("conv_idx").agg(F.collect_list("rep").alias("reps"))
+    # one exchange by conversation serves the counts and the lists
+    counts = trials(facts.sparkSession, ids.count(), replicates).repartition("conv_idx").groupBy("conv_idx", "rep").agg(F.count("*").cast("int").alias("w"))
+    lists = counts.groupBy("conv_idx").agg(F.collect_list(F.struct("rep", "w")).alias("reps"))
     return written(lists.join(ids, "conv_idx").select("conversation_id", "reps"), "drawn")
 
 
 def repeated(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """Rows of drawn conversations, one for each draw, with its replicate."""
-    return rows.join(lists, "conversation_id").withColumn("rep", F.explode("reps")).drop("reps")
+    """Rows of drawn conversations, one for each replicate, with the replicate and its weight."""
+    return rows.join(lists, "conversation_id").select(*rows.columns, F.inline("reps"))
 
 
 def means(names: list[str]) -> list[Column]:
-    """Mean of each metric over the rows that have it, null where none is drawn."""
-    return [F.avg(m).alias(m) for m in names]
+    """Weighted mean of each metric over the rows that have it, null where none is drawn."""
+    return [F.try_divide(F.sum(F.col("w") * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), F.col("w"))).cast("double")).alias(m) for m in names]
 
 
 def replicates_of(facts: DataFrame, scores: DataFrame, replicates: int, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -64,15 +66,15 @@ def replicates_of(facts: DataFrame, scores: DataFrame, replicates: int, lists: D
     pairs, triples = scored_pairs(facts, scores)
     lists = lists if lists is not None else drawn(facts, replicates)
     cm, cmc = repeated(pairs, lists), repeated(triples, lists)
-    cells = cmc.groupBy("rep", "model", "cluster").agg(F.count("*").alias("size"), *means(names))
-    models = cm.groupBy("rep", "model").agg(F.count("*").alias("model_size"), *[c.alias(f"model_{m}") for c, m in zip(means(names), names, strict=True)])
+    cells = cmc.groupBy("rep", "model", "cluster").agg(F.sum("w").alias("size"), *means(names))
+    models = cm.groupBy("rep", "model").agg(F.sum("w").alias("model_size"), *[c.alias(f"model_{m}") for c, m in zip(means(names), names, strict=True)])
     grid = pairs.select("model").distinct().crossJoin(triples.select("cluster").distinct()).crossJoin(spark.range(replicates).withColumnRenamed("id", "rep"))
     cells = grid.join(cells, ["rep", "model", "cluster"], "left").join(models, ["rep", "model"], "left")
     cells = cells.withColumn("size", F.coalesce("size", F.lit(0))).withColumn("proportion", ratio(F.col("size"), F.col("model_size")))
     cells = cells.withColumn("proportion_delta", F.col("proportion") - other_models_mean("proportion", "rep", "cluster"))
     for m in names:
         cells = cells.withColumns({f"quality_{m}": F.col(m), f"quality_delta_{m}": F.col(m) - F.col(f"model_{m}")})
-    whole = cm.groupBy("rep").agg(F.count("*").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(means(names), names, strict=True)])
+    whole = cm.groupBy("rep").agg(F.sum("w").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(means(names), names, strict=True)])
     return cells, models, whole
 
 
@@ -105,8 +107,8 @@ def cluster_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100
     spark, names = facts.sparkSession, metric_names(scores)
     pairs, triples = scored_pairs(facts, scores)
     lists = lists if lists is not None else drawn(facts, replicates)
-    whole = repeated(pairs, lists).groupBy("rep").agg(F.count("*").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(means(names), names, strict=True)])
-    cells = repeated(triples, lists).groupBy("rep", "cluster").agg(F.count("*").alias("size"), *means(names))
+    whole = repeated(pairs, lists).groupBy("rep").agg(F.sum("w").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(means(names), names, strict=True)])
+    cells = repeated(triples, lists).groupBy("rep", "cluster").agg(F.sum("w").alias("size"), *means(names))
     grid = triples.select("cluster").distinct().crossJoin(spark.range(replicates).withColumnRenamed("id", "rep"))
     out = grid.join(cells, ["rep", "cluster"], "left").join(whole, "rep").withColumn("proportion", ratio(F.coalesce("size", F.lit(0)), F.col("all_size")))
     for m in names:
