@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lumentrace.functions import text
 from lumentrace.operators import clustering, ranking
 from lumentrace.operators.providers import CallCache, Provider
+from lumentrace.session import written
+from lumentrace.sources import loaders
 
 NAME_ASK = "Give a short name that fits all of these behaviours and answer with the name alone."
 COARSE_ASK = "Group these names under at most {n} broader names. Answer with one broader name on each line."
@@ -25,15 +27,25 @@ def named(members: DataFrame, provider: Provider, cache: CallCache, by: str = "c
     return cache.complete(asks, "request", provider).select(by, F.when(F.coalesce(label, F.lit("")) != "", label).otherwise(unnamed).alias("label"))
 
 
-def coarse_names(names: DataFrame, provider: Provider, cache: CallCache, most: int = 20) -> DataFrame:
-    """(label): broader names of a list of names. A list of at most ``most`` stays as it is, also where the call fails."""
+def coarse_names(names: DataFrame, provider: Provider, cache: CallCache, most: int = 20, chunk: int = 500) -> DataFrame:
+    """(label): broader names of a list of names. A list of at most ``most`` stays as it is, also where the call fails.
+
+    A call sees at most ``chunk`` names in order; the names that several calls give are grouped again while they get fewer.
+    """
     one = names.select("label").distinct()
-    if one.limit(most + 1).count() <= most:
-        return one
-    ask = one.agg(F.array_join(F.sort_array(F.collect_list("label")), "\n").alias("names"))
-    ask = ask.withColumn("request", text.sections(COARSE_ASK.replace("{n}", str(most)), names=F.col("names")))
-    lines = F.split(F.coalesce(F.col("response"), F.col("names")), "\n")
-    return cache.complete(ask, "request", provider).select(F.explode(F.transform(lines, text.list_item)).alias("label")).where("label <> ''").distinct()
+    while True:
+        if one.limit(most + 1).count() <= most:
+            return one
+        rows = loaders.indexed(one, "label").withColumn("part", F.expr(f"row_idx div {chunk}"))
+        size = rows.count()
+        ask = rows.groupBy("part").agg(F.array_join(F.sort_array(F.collect_list("label")), "\n").alias("names"))
+        ask = ask.withColumn("request", text.sections(COARSE_ASK.replace("{n}", str(most)), names=F.col("names")))
+        lines = F.split(F.coalesce(F.col("response"), F.col("names")), "\n")
+        found = cache.complete(ask, "request", provider).select(F.explode(F.transform(lines, text.list_item)).alias("label")).where("label <> ''")
+        found = written(found.distinct(), "names")
+        if size <= chunk or found.count() >= size:
+            return found
+        one = found
 
 
 def prettified(names: DataFrame, provider: Provider, cache: CallCache) -> DataFrame:

@@ -366,3 +366,15 @@ def test_prompts(spark):
     out = prompts.generated("sums", talks, provider, verify=lambda p: None if p == "mended" else "bad", naming={"name": "N"})
     assert out == {"task": "wide task", "extraction": "mended", "name": "part"}
     assert prompts.generated("sums", talks, lambda r: None, verify=lambda p: "bad")["extraction"] == prompts.resolved(task="sums")
+
+
+def test_many_names_are_grouped_in_calls_of_bounded_size(spark, tmp_path):
+    names = spark.createDataFrame([(f"{c}{i}",) for c in "abc" for i in range(10)], "label string")
+
+    def provider(request):
+        listed = request.rsplit("[names]\n", 1)[-1].split("\n")
+        assert len(listed) <= 12
+        return "\n".join(sorted({f"group {x[0] if len(x) < 4 else x[-1]}" for x in listed}))
+
+    found = naming.coarse_names(names, provider, providers.CallCache(spark, f"file://{tmp_path}/c"), most=2, chunk=12)
+    assert {r.label for r in found.collect()} == {"group a", "group b", "group c"}
