@@ -73,7 +73,8 @@ def fill_template(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", text.filled(F.lit("About {name}: {x} {comment}"), name=F.col("n_name"), comment=F.lit(None).cast("string")).alias("prompt"))
 
 
-@query()
+@query("""WITH w AS (SELECT item_id, list_filter(string_split(text, ' '), lambda w: w <> '') AS words FROM benchmark)
+    SELECT item_id, CASE WHEN len(words) = 0 THEN '' WHEN words IS NOT NULL THEN list_reduce(words, lambda acc, w: CASE WHEN length(split_part(acc, '<br>', -1)) + 1 + length(w) <= 50 THEN acc || ' ' || w ELSE acc || '<br>' || w END) END AS text FROM w""")
 def wrap_text(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.wrapped(F.col("text")).alias("text"))
 
