@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from lumentrace.operators import bootstrap, metrics
 from lumentrace.plans.facts import DOC_OBS, OBS, doc_obs, obs, rounded
 
-REPLICATES = 20
-#: Replicates of the ``_whole`` queries, the operators' default.
-WHOLE = 100
+#: The operators' default.
+REPLICATES = 100
 
 
 def metrics_model_cluster(spark, sf_dir):
@@ -88,37 +87,6 @@ def bootstrap_missing_scores(spark, sf_dir):
     return rounded(bootstrap.model_intervals(*doc_obs(spark, sf_dir), REPLICATES))
 
 
-def bootstrap_draws_whole(spark, sf_dir):
-    facts, _ = obs(spark, sf_dir)
-    return bootstrap.draws(spark, facts.select("conversation_id").distinct().count(), WHOLE)
-
-
-def bootstrap_model_cluster_ci_whole(spark, sf_dir):
-    return rounded(bootstrap.model_cluster_intervals(*obs(spark, sf_dir), WHOLE))
-
-
-def bootstrap_cluster_ci_whole(spark, sf_dir):
-    return rounded(bootstrap.cluster_intervals(*obs(spark, sf_dir), WHOLE))
-
-
-def bootstrap_model_ci_whole(spark, sf_dir):
-    return rounded(bootstrap.model_intervals(*obs(spark, sf_dir), WHOLE))
-
-
-def bootstrap_salience_ci_whole(spark, sf_dir):
-    return rounded(bootstrap.model_cluster_intervals(*obs(spark, sf_dir), WHOLE).where("measure = 'proportion_delta'").drop("measure"))
-
-
-def bootstrap_significance_whole(spark, sf_dir):
-    facts, scores = obs(spark, sf_dir)
-    full = bootstrap.attached(metrics.model_cluster_metrics(facts, scores), bootstrap.model_cluster_intervals(facts, scores, WHOLE), ["model", "cluster"])
-    return full.select("model", "cluster", "proportion_delta_significant", "quality_delta_discount_significant", "quality_delta_quantity_significant")
-
-
-def bootstrap_missing_scores_whole(spark, sf_dir):
-    return rounded(bootstrap.model_intervals(*doc_obs(spark, sf_dir), WHOLE))
-
-
 def _means(names, prefix):
     return ", ".join(f"avg({m}) AS {prefix}{m}" for m in names)
 
@@ -184,7 +152,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         metrics_model_cluster, metrics_missing_scores, metrics_cluster, metrics_model, metrics_salience, metrics_dense_cross, metrics_subset, metrics_totals_by_model, metric_keys_inferred,
-        bootstrap_draws_whole, bootstrap_model_cluster_ci_whole, bootstrap_cluster_ci_whole, bootstrap_model_ci_whole, bootstrap_salience_ci_whole, bootstrap_significance_whole, bootstrap_missing_scores_whole,
         metrics_examples, bootstrap_draws, bootstrap_model_cluster_ci, bootstrap_cluster_ci, bootstrap_model_ci, bootstrap_salience_ci, bootstrap_significance, bootstrap_missing_scores,
     )
 }
@@ -224,7 +191,3 @@ ORACLE_SQL = {
         FROM reps GROUP BY 1, 2""",
     "bootstrap_missing_scores": _replicates(DOC_OBS, ["quality", "toxic"]) + _intervals("model_reps", "model", ["quality_quality", "quality_toxic", "quality_delta_quality", "quality_delta_toxic"]),
 }
-
-# the SQL of the ``_whole`` queries differs in the number of replicates only
-for _name in [n for n in ORACLE_SQL if n.startswith("bootstrap_")]:
-    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(f"range(n * {REPLICATES})", f"range(n * {WHOLE})").replace(f"range({REPLICATES})", f"range({WHOLE})")
