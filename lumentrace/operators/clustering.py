@@ -48,14 +48,18 @@ def mean_vectors(vectors: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def nearest(fine: DataFrame, coarse: DataFrame, fine_id: str, coarse_id: str, vector: str = "embedding") -> DataFrame:
-    """The coarse row of the largest cosine for each fine row, ties to the smaller id.
+    """The coarse row of the largest cosine for each fine row, ties to the smaller id, whatever the type of the ids.
 
-    ``coarse`` is a list of labels, a stated set against all rows; Spark broadcasts it if it is small.
+    ``coarse`` is a list of labels, a stated set against all rows; Spark broadcasts it if it is small. A fine row that has
+    no cosine with any (null, zero or not finite) gets the smallest id and no cosine.
     """
-    c = coarse.select(F.col(coarse_id), F.col(vector).alias("_c"))
-    pairs = fine.crossJoin(c).select(fine_id, coarse_id, F.round(cosine(F.col(vector), F.col("_c")), 9).alias("cosine"))
-    best = pairs.groupBy(fine_id).agg(F.max(F.struct("cosine", (-F.col(coarse_id)).alias("neg"))).alias("b"))
-    return best.select(fine_id, (-F.col("b.neg")).alias(coarse_id), F.col("b.cosine").alias("cosine"))
+    c = coarse.select(F.col(coarse_id), F.col(vector).alias("_c"), norm(F.col(vector)).alias("_m"))
+    f = fine.select(F.col(fine_id), F.col(vector).alias("_f"), norm(F.col(vector)).alias("_n"))
+    away = -F.round(F.try_divide(dot(F.col("_f"), F.col("_c")), F.col("_n") * F.col("_m")), 9)
+    # farther than any cosine can be
+    pairs = f.crossJoin(c).select(fine_id, coarse_id, F.coalesce(F.nanvl(away, F.lit(None).cast("double")), F.lit(2.0)).alias("away"))
+    best = pairs.groupBy(fine_id).agg(F.min(F.struct("away", coarse_id)).alias("b"))
+    return best.select(fine_id, F.col(f"b.{coarse_id}").alias(coarse_id), F.when(F.col("b.away") <= 1.5, -F.col("b.away")).alias("cosine"))
 
 
 def components_rule(n: int, d: int) -> int:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrace.sources import loaders
+
 
 def preview(df: DataFrame, by: str, columns: list[str] | None = None) -> DataFrame:
     """Count and mean of the numeric columns for each value, null included."""
@@ -36,11 +38,18 @@ def size_statistics(rows: DataFrame, outlier: str = "Outliers") -> DataFrame:
     )
 
 
-def clusters_of(rows: DataFrame) -> DataFrame:
-    """Clusters with their members as aligned arrays in order of row_idx, and the label of the first."""
-    w = F.sort_array(F.collect_list(F.struct("row_idx", "property_id", "property_description", "question_id", "cluster_label")))
-    out = rows.groupBy("cluster_id").agg(w.alias("m"))
-    return out.select("cluster_id", F.col("m.cluster_label")[0].alias("cluster_label"), F.size("m").cast("long").alias("size"), F.col("m.property_id").alias("property_ids"), F.col("m.property_description").alias("property_descriptions"), F.col("m.question_id").alias("question_ids"))
+def clusters_of(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Clusters with their members as aligned arrays in order of row_idx, and the label of the first.
+
+    A row holds at most ``most`` members, so a cluster of more takes several rows; ``first`` is the place of a row's first
+    member in its cluster, ``size`` the size of the cluster. Rows without a cluster_id make one cluster of their own.
+    """
+    at = loaders.indexed(rows.withColumnRenamed("row_idx", "_order"), "cluster_id", "_order", "property_id")
+    whole = at.groupBy(F.col("cluster_id").alias("_id")).agg(F.min("row_idx").alias("_start"), F.count("*").alias("size"), F.min_by("cluster_label", "row_idx").alias("_label"))
+    placed = at.join(whole, F.col("cluster_id").eqNullSafe(F.col("_id"))).withColumn("_first", F.expr(f"(row_idx - _start) div {most} * {most}"))
+    members = F.sort_array(F.collect_list(F.struct("row_idx", "property_id", "property_description", "question_id")))
+    out = placed.groupBy("cluster_id", F.col("_first").alias("first")).agg(F.first("_label").alias("cluster_label"), F.first("size").alias("size"), members.alias("m"))
+    return out.select("cluster_id", "cluster_label", "size", "first", F.col("m.property_id").alias("property_ids"), F.col("m.property_description").alias("property_descriptions"), F.col("m.question_id").alias("question_ids"))
 
 
 def labelled(taxonomy: DataFrame, rows: DataFrame) -> DataFrame:

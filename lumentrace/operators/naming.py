@@ -76,9 +76,8 @@ def matched(fine: DataFrame, coarse: DataFrame, provider: Provider, cache: CallC
 
 def matched_by_vectors(fine: DataFrame, coarse: DataFrame) -> DataFrame:
     """(label, coarse) by the largest cosine of (label, embedding) rows; Outliers if there is no coarse label."""
-    ids = coarse.select(F.xxhash64("label").alias("c_id"), F.col("label").alias("coarse"), "embedding")
-    near = clustering.nearest(fine.withColumnRenamed("label", "f_id"), ids, "f_id", "c_id").join(ids.select("c_id", "coarse"), "c_id")
-    return fine.select("label").distinct().join(near.select(F.col("f_id").alias("label"), "coarse"), "label", "left").withColumn("coarse", F.coalesce("coarse", F.lit("Outliers")))
+    near = clustering.nearest(fine.withColumnRenamed("label", "_fine"), coarse.withColumnRenamed("label", "coarse"), "_fine", "coarse")
+    return fine.select("label").distinct().join(near.select(F.col("_fine").alias("label"), "coarse"), "label", "left").withColumn("coarse", F.coalesce("coarse", F.lit("Outliers")))
 
 
 def regrouped_outliers(members: DataFrame, least: int, provider: Provider, cache: CallCache) -> DataFrame:

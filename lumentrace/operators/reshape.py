@@ -61,10 +61,12 @@ def side_to_tidy(df: DataFrame, keep: list[str], values: list[str]) -> DataFrame
 
 
 def exploded_members(clusters: DataFrame) -> DataFrame:
-    """Aligned member lists as rows with their positions; shorter lists give nulls."""
+    """Aligned member lists as rows with their positions; shorter lists give nulls. Positions go on from ``first`` where a cluster takes several rows."""
+    place = F.col("member_pos") + F.col("first") if "first" in clusters.columns else F.col("member_pos")
     zipped = F.arrays_zip("property_ids", "property_descriptions", "question_ids")
-    rows = clusters.select("cluster_id", "cluster_label", F.posexplode_outer(zipped).alias("member_pos", "m"))
-    return rows.select("cluster_id", "cluster_label", "member_pos", F.col("m.property_ids").alias("property_id"), F.col("m.property_descriptions").alias("property_description"), F.col("m.question_ids").alias("question_id"))
+    kept = [c for c in ("cluster_id", "cluster_label", "first") if c in clusters.columns]
+    rows = clusters.select(*kept, F.posexplode_outer(zipped).alias("member_pos", "m"))
+    return rows.select("cluster_id", "cluster_label", place.alias("member_pos"), F.col("m.property_ids").alias("property_id"), F.col("m.property_descriptions").alias("property_description"), F.col("m.question_ids").alias("question_id"))
 
 
 def sanitized(name: str | Column) -> Column:

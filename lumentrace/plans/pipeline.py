@@ -318,7 +318,7 @@ def chosen(kind: dict[str, Callable[..., Stage]], name: str, **given) -> Stage:
 
 def metrics_only(members: DataFrame, scores: DataFrame | None = None, replicates: int = 0) -> dict[str, DataFrame]:
     """Metric tables of saved cluster members."""
-    return metric_tables(replicates)(Dataset(members, scores, members=members)).tables
+    return metric_tables(replicates)(Dataset(members, scores=scores, members=members)).tables
 
 
 def snapshot(path: str) -> Callable[[str, Dataset], None]:

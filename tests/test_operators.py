@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumentrace.functions import json_repair, messages, text
-from lumentrace.operators import bootstrap, clustering, filters, joins, metrics, naming, prompts, providers, ranking, reshape
+from lumentrace.operators import bootstrap, clustering, filters, grouping, joins, metrics, naming, prompts, providers, ranking, reshape
 from lumentrace.plans import pipeline
 from lumentrace.sources import loaders, traces
 
@@ -378,3 +378,26 @@ def test_many_names_are_grouped_in_calls_of_bounded_size(spark, tmp_path):
 
     found = naming.coarse_names(names, provider, providers.CallCache(spark, f"file://{tmp_path}/c"), most=2, chunk=12)
     assert {r.label for r in found.collect()} == {"group a", "group b", "group c"}
+
+
+def test_nearest_takes_any_ids_and_vectors_without_cosine(spark):
+    fine = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [0.0, 0.0]), ("c", None), ("d", [float("nan"), 1.0]), ("e", [1.0, 1.0])], "f string, embedding array<double>")
+    coarse = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("z", [0.0, 0.0])], "c string, embedding array<double>")
+    got = {r.f: (r.c, None if r.cosine is None else round(r.cosine, 3)) for r in clustering.nearest(fine, coarse, "f", "c").collect()}
+    assert got == {"a": ("x", 0.995), "b": ("x", None), "c": ("x", None), "d": ("x", None), "e": ("x", 0.707)}
+
+
+def test_clusters_of_more_members_than_a_row_holds(spark):
+    rows = spark.createDataFrame([(None if i % 5 == 4 else i % 2, f"l{i % 2}", i, f"p{i:02}", "d", "q") for i in range(20)], "cluster_id int, cluster_label string, row_idx long, property_id string, property_description string, question_id string")
+    out = grouping.clusters_of(rows, most=3)
+    assert sorted((r.cluster_id, r.first, r.size, len(r.property_ids)) for r in out.where("cluster_id is not null").collect()) == [(0, 0, 8, 3), (0, 3, 8, 3), (0, 6, 8, 2), (1, 0, 8, 3), (1, 3, 8, 3), (1, 6, 8, 2)]
+    assert sorted((r["first"], r["size"]) for r in out.where("cluster_id is null").collect()) == [(0, 4), (3, 4)]
+    back = reshape.exploded_members(out).where("cluster_id = 1").orderBy("member_pos").collect()
+    assert [(r.member_pos, r.property_id) for r in back] == list(enumerate(["p01", "p03", "p05", "p07", "p11", "p13", "p15", "p17"]))
+    assert grouping.clusters_of(rows.limit(0)).count() == 0
+
+
+def test_metrics_of_saved_members_keep_their_scores(spark):
+    members = spark.createDataFrame([("q1", "m", "c", "p1"), ("q2", "m", "c", "p2")], "question_id string, model string, cluster_label string, property_id string")
+    scores = spark.createDataFrame([("q1", "m", 1.0), ("q2", "m", 2.0)], "conversation_id string, model string, good double")
+    assert pipeline.metrics_only(members, scores)["model_scores"].first().quality_good == 1.5
