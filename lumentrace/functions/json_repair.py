@@ -173,3 +173,14 @@ def schema_error(value: object, side_by_side: bool = False) -> str | None:
             if not isinstance(item[field], kind) and not (field == "evidence" and isinstance(item[field], list)):
                 return f"item {i}: {field} is no {kind.__name__}"
     return None
+
+
+def schema_errors(response: str = "raw_response", side_by_side: bool = False) -> Column:
+    """``schema_error`` of a column of answers; 'no JSON' where nothing can be parsed, null where all is as it should be."""
+
+    @F.pandas_udf("string")
+    def check(answers: pd.Series) -> pd.Series:
+        values = answers.map(tolerant)
+        return pd.Series(["no JSON" if v is None else schema_error(v, side_by_side) for v in values], index=answers.index, dtype=object)
+
+    return check(F.col(response))

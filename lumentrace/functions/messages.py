@@ -5,7 +5,9 @@ Shapes differ from row to row, so messages travel as JSON text and are normalise
 
 from __future__ import annotations
 
+import ast
 import json
+import pprint
 from collections.abc import Iterator
 
 import pandas as pd
@@ -148,3 +150,20 @@ def rendered(rows: DataFrame) -> DataFrame:
     line = F.concat(F.lit("=== "), F.upper("role"), F.lit(" ===\n"), F.coalesce("text", F.lit("(empty)")))
     ordered = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda m: m["line"]), "\n\n").alias("text"))
+
+
+def printed(value: Column) -> Column:
+    """Text that is a dictionary in Python's notation laid out in lines of 80 characters with sorted keys; other text as it is."""
+
+    @F.pandas_udf("string")
+    def lay_out(values: pd.Series) -> pd.Series:
+        def one(x: str | None) -> str | None:
+            try:
+                found = ast.literal_eval(x)
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                return x
+            return pprint.pformat(found, width=80) if isinstance(found, dict) else x
+
+        return values.map(one)
+
+    return F.when(F.rlike(value, F.lit(r"^[ \t]*\{")), lay_out(value)).otherwise(value)

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from lumentrace.functions import messages, text
+from lumentrace.functions import json_repair, messages, text
 from lumentrace.operators import clustering, filters, grouping, naming, providers, reports, reshape
 from lumentrace.plans import pipeline, q_metrics, q_pipeline, q_text, runs
 from lumentrace.plans.facts import obs, rounded
@@ -188,6 +188,25 @@ def messages_with_images(spark, sf_dir):
     return found.select("id", "has_image", at(0).alias("before"), at(1).alias("image"), at(2).alias("after"), F.size("parts").alias("n"), messages.image_text(at(1)).alias("shown"))
 
 
+@query("SELECT event_id AS row_idx, CASE event_id % 6 WHEN 3 THEN NULL WHEN 4 THEN 'no JSON' WHEN 0 THEN 'item 0 lacks category' WHEN 1 THEN 'item 0 lacks category' ELSE 'not a list' END AS problem FROM events")
+def answer_schema_errors(spark, sf_dir):
+    """How answers differ from a list of whole properties."""
+    return q_text._answers(spark, sf_dir).select("row_idx", json_repair.schema_errors().alias("problem"))
+
+
+_LONG = "o_orderkey % 3 = 0"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 2 THEN 'order ' || o_custkey
+    ELSE concat('{{"key": ', o_custkey, ',', CASE WHEN {_LONG} THEN chr(10) END, ' "status": "', repeat(o_orderstatus, CASE WHEN {_LONG} THEN 80 ELSE 1 END), '"}}').replace('"', chr(39)) END AS text FROM orders""")
+def printed_dictionaries(spark, sf_dir):
+    """Dictionaries with sorted keys, long ones in several lines, and other text."""
+    status = F.repeat(F.col("o_orderstatus"), F.when(F.expr(_LONG), 80).otherwise(1))
+    given = F.concat(F.lit("{'status': '"), status, F.lit("', 'key': "), F.col("o_custkey").cast("string"), F.lit("}"))
+    value = F.when(F.col("o_orderkey") % 3 == 2, F.concat(F.lit("order "), F.col("o_custkey").cast("string"))).otherwise(given)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), messages.printed(value).alias("text"))
+
+
 @query("SELECT c_custkey AS id, left(c_mktsegment, 2) AS label, dense_rank() OVER (ORDER BY left(c_mktsegment, 2)) - 1 AS cluster_id FROM customer")
 def labels_merged(spark, sf_dir):
     """Labels under merged names, with ids in order of those."""
