@@ -35,6 +35,7 @@ OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequen
 _coders: dict[str, Recent] = {}
 _LOWER_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 _AFTER_SIGN = re.compile("[^\\w \\t-\\r][.,]|_[.,]|[\u0130\u0250-\U0010ffff]").search
+_MARKED = re.compile("[A-Z][\u0300-\U0010ffff]").search
 
 
 def word_ids(vocabulary: str) -> Recent:
@@ -64,13 +65,18 @@ def word_ids(vocabulary: str) -> Recent:
 def plain_words(text: str) -> list[bytes]:
     """Words of a text, brought to fewer forms without a change of their ids.
 
-    The normaliser lower-cases, so ASCII capitals may go first, but for texts that may hold special tokens. Letters and
-    signs are separate pieces, so a comma or full stop may leave the letter or digit before it, but for texts in which one
-    follows another sign or a character whose normal form might end in a mark.
+    The normaliser composes marks with their letters, then lower-cases. So ASCII capitals may go first, but for texts that may
+    hold special tokens and for words in which a capital might stand before a mark, all of which lie at U+0300 or after, as
+    some capitals compose where their small letters don't. Letters and signs are separate pieces, so a comma or full stop may
+    leave the letter or digit before it, but for texts in which one follows another sign or a character whose normal form
+    might end in a mark.
     """
     if "<|" in text:
         return text.encode().split()
-    if not _AFTER_SIGN(text):
+    if _AFTER_SIGN(text):
+        if _MARKED(text):
+            return [w if _MARKED(w.decode()) else w.lower() for w in text.encode().split()]
+    else:
         text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
         if text.endswith("."):
             text = text[:-1] + " ."
