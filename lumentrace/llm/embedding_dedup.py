@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +75,11 @@ def at_cells(classes: DataFrame, kind: str, budget: float, only_places: bool = F
     return classes.mapInPandas(run, schema)
 
 
+def tile(own: Column, other: Column) -> Column:
+    """The number of a pair of chunks, whichever comes first; a slab may have up to 2**31 of them."""
+    return F.least(own, other).cast("long") * (1 << 32) + F.greatest(own, other)
+
+
 class Forest:
     """Union-find over the members of a tile."""
 
@@ -188,8 +193,7 @@ def grouped(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     # a slab with many vectors is compared in pairs of chunks
     parts = at_cells(classes, kind, budget).join(F.broadcast(count), ["size", "cell"]).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
     parts = parts.withColumn("own", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    tile = F.least("own", "other") * (1 << 20) + F.greatest("own", "other")
-    parts = parts.select("cell", "size", "guest", "vid", "copies", "v", tile.alias("tile"), (F.col("own") > F.col("other")).alias("side"))
+    parts = parts.select("cell", "size", "guest", "vid", "copies", "v", tile(F.col("own"), F.col("other")).alias("tile"), (F.col("own") > F.col("other")).alias("side"))
     found = parts.groupBy("size", "cell", "tile").applyInPandas(lambda g: cell_links(g, kind, budget, least), "a long, b long, links long")
     found = written(found, "vector-links")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "vid")
