@@ -31,6 +31,7 @@ TRAIN_ROWS = (4000, 2000)
 GRAMS = (5, 8, 11)
 #: Least log ratio of document frequencies, and least share of toxic documents, of a segment.
 CONTRAST, SUPPORT = 3.0, 1 / 40
+#: Bytes of the ordinary dictionary; the segments of the toxic one all follow it, as many as the bounded sample gives.
 DICTIONARY = 16384
 TAIL = bytes(64)
 LENGTHS, GAINS = 32, 32
@@ -86,8 +87,9 @@ def segments(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """A compressor that reaches all of its dictionary, however long."""
     parameters = zstandard.ZstdCompressionParameters(
-        window_log=15, hash_log=16, chain_log=16, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
+        window_log=max(15, (len(content) + 1024).bit_length()), hash_log=16, chain_log=16, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
     )
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=parameters)
@@ -133,7 +135,7 @@ def fit(ids: list[int], texts: list[str], y: np.ndarray, shift: float = 0.0) ->
         return pickle.dumps(plain)
     halves = [(toxic[h::2], ordinary[h::2]) for h in (0, 1)]
     found = segments([set(docs[i]) for i in halves[0][0]], [set(docs[i]) for i in halves[0][1]])
-    base, extra = _ordinary_content([docs[i] for i in halves[0][1]]), b"".join(found[::-1])[-DICTIONARY // 2 :]
+    base, extra = _ordinary_content([docs[i] for i in halves[0][1]]), b"".join(found[::-1])
     memo = Recent(Cells(base, extra), 1 << 30)
     cells = [np.fromiter((memo[w] for w in d), dtype=np.int64, count=len(d)) for d in docs]
     count = [sum((np.bincount(cells[i], minlength=LENGTHS * GAINS) for i in half), np.zeros(LENGTHS * GAINS)) for half in halves[1]]
