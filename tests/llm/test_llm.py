@@ -473,3 +473,24 @@ def test_features_are_indicators():
 
 def test_queries_are_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(re.findall(r"\d+", n)[0])) == [n for k in range(1, 11) for n in queries.QUERIES if n.startswith(f"op{k}_")]
+
+
+def test_packing_capitals_before_marks():
+    """Ids of every ASCII capital before every combining mark, and before all characters below them, are the library's."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    after = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M" or 0x80 <= c < 0x300]
+    tokenizer, coder = Tokenizer.from_file(WORD), packing.word_ids(WORD)
+    texts = [f"x {chr(c)}{m}y, Z{m} {chr(c)}." for c in range(65, 91) for m in after]
+    for text, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert packing.tokens_of(text, coder, 1)[0].tolist() == [*e.ids, 1], ascii(text)
+
+
+def test_tiles_of_many_chunks(spark):
+    """Numbers of pairs of chunks are told apart beyond the range of an int."""
+    n = 100_000
+    pairs = spark.range(0, n, 777).selectExpr("cast(id as int) as own", "cast(99999 - id as int) as other")
+    tiles = [(min(r.own, r.other), max(r.own, r.other), r.t) for r in pairs.select("own", "other", embedding_dedup.tile(F.col("own"), F.col("other")).alias("t")).collect()]
+    assert len({t for *_, t in tiles}) == len({x[:2] for x in tiles})
