@@ -1,21 +1,38 @@
 """From raw documents to packed training sequences: the corpus pipeline over the operators of ``lumentrace.llm``.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns of
-``documents``. ``run`` writes every stage's output to the shared folder and reads it back.
+``documents``. ``run`` writes every stage's output to the shared folder and reads it back. Further columns of ``docs``, whatever
+their names and types, stay as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumentrace.llm import exact_dedup, minhash_dedup, packing, quality, substring_dedup
 from lumentrace.llm.common import NULL_ID, discard, text_hash, written
 from lumentrace.llm.queries import table, vocabulary
 
 
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of a column, whatever the case of letters."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _same(docs: DataFrame) -> list[Column]:
+    """The columns as they are, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` but for the rows with the ids of ``dropped``."""
     return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -28,9 +45,10 @@ def _by_row(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame
     """
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs, lambda rows: rows
-    order = ["doc_id", text_hash(), *(c for c in docs.columns if c not in ("doc_id", "text"))]
-    rows = docs.withColumn("_own", F.col("doc_id")).repartitionByRange("doc_id", text_hash()).sortWithinPartitions(*order).withColumn("doc_id", F.monotonically_increasing_id())
-    return written(rows, "rows"), lambda rows: rows.withColumn("doc_id", F.col("_own")).drop("_own")
+    (own,) = _fresh(docs, "own_id")
+    rest = [c for c, f in zip(_same(docs), docs.schema.fields, strict=True) if f.name not in ("doc_id", "text") and not isinstance(f.dataType, T.MapType | T.VariantType)]
+    rows = docs.withColumn(own, F.col("doc_id")).repartitionByRange("doc_id", text_hash()).sortWithinPartitions("doc_id", text_hash(), *rest).withColumn("doc_id", F.monotonically_increasing_id())
+    return written(rows, "rows"), lambda rows: rows.withColumn("doc_id", F.col(own)).drop(own)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,12 +84,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays, with an empty text where all words go; a null text stays null. Rows that repeat an id with one text
     don't cut each other.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id")
-    cut = substring_dedup.remove_repeats(docs, rejoin=False, once=True).where("n_removed > 0").select(key, F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept"))
-    out = docs.select("*", key, text_hash().alias("_hash")).join(cut, ["_id", "_hash"], "left")
-    text = F.coalesce("_kept", "text")
-    size = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+    own, hashed, kept = _fresh(docs, "own_id", "own_hash", "own_kept")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(own)
+    cut = substring_dedup.remove_repeats(docs, rejoin=False, once=True).where("n_removed > 0").select(key, F.col("text_hash").alias(hashed), F.col("kept").alias(kept))
+    out = docs.select("*", key, text_hash().alias(hashed)).join(cut, [own, hashed], "left")
+    text = F.coalesce(kept, "text")
+    size = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns({"text": text, "n_chars": size}).select(*_same(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
