@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lumentrace.llm.common import discard, written
 
 #: Most conversations of a node inside a shard, and the most nodes of the top beyond that.
-MEMBERS, TOP = 1000, 20_000
+MEMBERS, TOP = 50, 20_000
 #: Messages that a queue holds in memory; more go to sorted runs on disk.
 QUEUE = 200_000
 #: Runs of a queue that lie open at a time; more are merged into one.
