@@ -231,17 +231,20 @@ def test_classifiers_on_empty_documents(spark, module):
 
 
 def test_stages_on_clashing_columns_nulls_and_empty_tables(spark):
-    names = ["kept", "score", "spans", "rank", "hit", "digest", "_kept2"]
-    rows = [(1, "a b c d", "en", 7, *"1234567"), (2, None, None, 0, *"1234567"), (None, "", "en", 0, *"1234567"), (3, "a b c d", "en", 7, *"7654321"), (3, "e f", "en", 3, *"7654321")]
-    schema = "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    names = ["kept", "score", "spans", "rank", "hit", "digest", "_kept", "_own", "_id", "_hash", "own_id", "Own_Hash", "own_kept", "row", "hash", "`a.b`", "n_removed", "text_hash"]
+    a, b = [f"a{i}" for i in range(len(names))], [f"b{i}" for i in range(len(names))]
+    rows = [(1, "a b c d", "en", 7, {1: 1}, *a), (2, None, None, 0, {}, *a), (None, "", "en", 0, None, *a), (3, "a b c d", "en", 7, {3: 3}, *b), (3, "e f", "en", 3, {4: 4}, *b)]
+    schema = "doc_id long, text string, lang string, n_chars long, m map<int,int>, " + ", ".join(f"{n} string" for n in names)
     full = spark.createDataFrame(rows, schema)
     want = {"drop_copies": [1, None, 3], "drop_near_copies": [1, 2, None, 3], "cut_repeats": [1, 2, None, 3, 3]}
     for docs in (full, full.limit(0)):
         for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.cut_repeats):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
-            found = sorted(str(r.doc_id) for r in out.collect())
+            rows_out = out.collect()
+            found = sorted(str(r.doc_id) for r in rows_out)
             assert found == (sorted(map(str, want[stage.__name__])) if docs is full else [])
+            assert all(list(r)[5:] == (b if r.doc_id == 3 else a) for r in rows_out)
         assert corpus_pipeline.pack(spark, docs, SF).count() == (5 if docs is full else 0)
 
 
