@@ -2,8 +2,9 @@
 
 Density clusters are found by all pairs of blocks of points: core distances from the nearest neighbours in each pair, then
 the minimum spanning tree under mutual reachability from the trees of all pairs, since an edge that is not in the tree of
-some pair is the longest of a circle and in no tree of the whole. Work grows with the square of a stratum's distinct values,
-in tasks of bounded size; only the tree, one edge a value, is walked in one task for each stratum.
+some pair is the longest of a circle and in no tree of the whole. Borůvka's rounds over these edges give the tree of the
+whole (``spanning``). Work grows with the square of a stratum's distinct values, in tasks of bounded size; only the tree,
+which has one edge less than the stratum has values, is walked in one task for each stratum.
 """
 
 from __future__ import annotations
@@ -13,13 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrace.operators import spanning
 from lumentrace.session import discard, written
 from lumentrace.sources import loaders
 
 #: Values of a block; a task compares those of two blocks.
 BLOCK = 1500
-#: Edges from which a task keeps the tree, before the last task of a stratum.
-REDUCE = 500_000
 
 
 def norm(v: Column) -> Column:
@@ -119,12 +119,13 @@ def shortest_tree(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=int)
 
 
-def tree_clusters(n: int, edges: list[tuple[int, int, float]], min_cluster_size: int) -> np.ndarray:
+def tree_clusters(n: int, edges: list[tuple[int, int, float]], min_cluster_size: int, epsilon: float = 0.0) -> np.ndarray:
     """HDBSCAN* labels with excess of mass from the tree's edges, shortest first; -1 is noise.
 
     The hierarchy of the mutual-reachability tree is walked from the top. A split into two parts of at least
     ``min_cluster_size`` makes two clusters; smaller parts fall out as noise. A cluster is chosen if it is more stable than
-    its descendants together.
+    its descendants together. One that splits off at a distance below ``epsilon`` is given up for the nearest ancestor that
+    splits off above it, or for the highest below the root, so clusters closer than that stay together.
     """
     if n <= min_cluster_size:
         return np.full(n, -1)
@@ -176,6 +177,13 @@ def tree_clusters(n: int, edges: list[tuple[int, int, float]], min_cluster_size:
             chosen[c] = True
         else:
             value[c] = below
+    if epsilon > 0:
+        above = {k: c for c, below in enumerate(children) for k in below}
+        for c in [c for c, one in enumerate(chosen) if one]:
+            chosen[c] = False
+            while above[c] and birth[c] * epsilon > 1:
+                c = above[c]
+            chosen[c] = True
     labels, todo, found = np.full(n, -1), [0], []
     while todo:
         c = todo.pop()
@@ -245,14 +253,36 @@ def _tile_tree(g: pd.DataFrame) -> pd.DataFrame:
 
 
 def _kept_edges(g: pd.DataFrame) -> pd.DataFrame:
-    return g.iloc[shortest_tree(*(g[c].to_numpy() for c in "abd"))][["sid", "a", "b", "d"]]
+    return g.iloc[shortest_tree(*(g[c].to_numpy() for c in "pqd"))][["sid", "a", "b", "d"]]
+
+
+def _labels(g: pd.DataFrame, min_cluster_size: int, epsilon: float) -> pd.DataFrame:
+    """(vid, cluster) of a stratum from the edges of its tree."""
+    g = g.sort_values(["d", "a", "b"])
+    ids = np.unique(np.concatenate([g["a"].to_numpy(), g["b"].to_numpy()]))
+    a, b = np.searchsorted(ids, g["a"].to_numpy()), np.searchsorted(ids, g["b"].to_numpy())
+    return pd.DataFrame({"vid": ids, "cluster": tree_clusters(len(ids), list(zip(a.tolist(), b.tolist(), g["d"].tolist(), strict=True)), max(2, min_cluster_size), epsilon)})
 
 
-def cluster_strata(values: DataFrame, min_cluster_size: int, min_samples: int = 1, scale: bool = True, block: int = BLOCK) -> DataFrame:
+def strata_trees(points: DataFrame, reduce_to: int = spanning.REDUCE) -> DataFrame:
+    """(sid, a, b, d): the spanning tree of each stratum of points (sid, vid, x, k, blocks, blk), one edge less than points."""
+    tiles = points.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"t": F.least("blk", "other"), "u": F.greatest("blk", "other")})
+    near = tiles.groupBy("sid", "t", "u").applyInPandas(_tile_cores, "vid long, near array<double>")
+    core = near.groupBy("vid").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    core = written(points.select("vid", "k").join(core, "vid").select("vid", F.col("near")[F.col("k") - 1].alias("core")), "cores")
+    pairs = tiles.where("t < u or blocks = 1").join(core, "vid")
+    edges = written(pairs.groupBy("sid", "t", "u").applyInPandas(_tile_tree, "sid long, a long, b long, d double"), "edges")
+    tree = written(spanning.forest(edges, _kept_edges, reduce_to), "trees")
+    discard(core, edges)
+    return tree
+
+
+def cluster_strata(values: DataFrame, min_cluster_size: int, min_samples: int = 1, scale: bool = True, block: int = BLOCK, epsilon: float = 0.0, reduce_to: int = spanning.REDUCE) -> DataFrame:
     """(stratum, value, cluster): density clusters of each stratum's distinct values (stratum, value, embedding); -1 is noise.
 
     All values take part, whatever their number. Clusters are numbered from 0 in order of their first value. A null stratum
-    is a stratum of its own; values without an embedding are noise.
+    is a stratum of its own; values without an embedding are noise. Clusters that are closer than ``epsilon`` stay together;
+    it is a distance of the standardised vectors if they are scaled.
     """
     one = values.groupBy("stratum", "value").agg(F.first("embedding", ignorenulls=True).alias("x"))
     rows = written(loaders.indexed(one, "stratum", "value").withColumnRenamed("row_idx", "vid"), "values")
@@ -265,25 +295,9 @@ def cluster_strata(values: DataFrame, min_cluster_size: int, min_samples: int =
         by = _moments(points).join(strata.select("sid", "blocks"), "sid").withColumn("blk", F.explode(F.expr("sequence(0, blocks - 1)")))
         points = points.groupBy("sid", "blk").cogroup(by.groupBy("sid", "blk")).applyInPandas(_scaled, points.schema)
     points = written(points, "points")
-    tiles = points.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"t": F.least("blk", "other"), "u": F.greatest("blk", "other")})
-    near = tiles.groupBy("sid", "t", "u").applyInPandas(_tile_cores, "vid long, near array<double>")
-    core = near.groupBy("vid").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    core = written(points.select("vid", "k").join(core, "vid").select("vid", F.col("near")[F.col("k") - 1].alias("core")), "cores")
-    pairs = tiles.where("t < u or blocks = 1").join(core, "vid")
-    edges = written(pairs.groupBy("sid", "t", "u").applyInPandas(_tile_tree, "sid long, a long, b long, d double"), "edges")
-    size = edges.groupBy("sid").agg(F.ceil(F.count("*") / REDUCE).cast("int").alias("parts"))
-    edges = edges.join(size, "sid").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
-    tree = edges.groupBy("sid", "part").applyInPandas(_kept_edges, "sid long, a long, b long, d double")
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = _kept_edges(g)
-        ids = np.unique(np.concatenate([g["a"].to_numpy(), g["b"].to_numpy()]))
-        a, b = np.searchsorted(ids, g["a"].to_numpy()), np.searchsorted(ids, g["b"].to_numpy())
-        labels = tree_clusters(len(ids), list(zip(a.tolist(), b.tolist(), g["d"].tolist(), strict=True)), max(2, min_cluster_size))
-        return pd.DataFrame({"vid": ids, "cluster": labels})
-
-    labels = written(tree.groupBy("sid").applyInPandas(fit, "vid long, cluster long"), "labels")
-    discard(points, core)
+    tree = strata_trees(points, reduce_to)
+    labels = written(tree.groupBy("sid").applyInPandas(lambda g: _labels(g, min_cluster_size, epsilon), "vid long, cluster long"), "labels")
+    discard(points, tree)
     return rows.join(labels, "vid", "left").select("stratum", "value", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 

@@ -1,8 +1,10 @@
 """Hand-made cases of the metric, filter, join, JSON, text and clustering operators."""
 
 import json
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,15 +172,57 @@ def test_shortest_tree_spans_at_least_cost():
     assert len(whole) == 59 and away[a, b][whole].sum() == pytest.approx(clustering.mutual_tree(x, core)[2].sum())
 
 
+def plain_blocks(spark, x, block):
+    """Points of one stratum in blocks, as ``strata_trees`` takes them."""
+    n, blocks = len(x), -(-len(x) // block)
+    rows = [(7, i, v.tolist(), 1, blocks, i % blocks) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "sid long, vid long, x array<double>, k int, blocks int, blk int").repartition(5), n
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_tree_of_rounds_has_one_edge_less_than_points(spark, monkeypatch, small):
+    """With many more edges than a task may finish, rounds leave n - 1 of them, as short together as those of one pass."""
+    monkeypatch.setattr(clustering.spanning, "SMALL", small)
+    x = np.random.default_rng(9).normal(size=(900, 12))
+    points, n = plain_blocks(spark, x, 60)
+    tree = clustering.strata_trees(points, reduce_to=100).toPandas()
+    want = clustering.mutual_tree(x, clustering.nearest_distances(x, x, 1, True)[:, 0])[2]
+    assert len(tree) == n - 1 and tree["d"].sum() == pytest.approx(want.sum())
+    names = pd.unique(tree[["a", "b"]].to_numpy().ravel())
+    assert len(names) == n and len(clustering.shortest_tree(tree["a"].to_numpy(), tree["b"].to_numpy(), tree["d"].to_numpy())) == n - 1
+
+
+def test_forest_of_ties_and_groups(spark):
+    """Equal lengths, repeated links, loops and groups apart: a spanning forest of least length for each."""
+    rnd = random.Random(4)
+    links = [(s, 100 * s + rnd.randrange(40), 100 * s + rnd.randrange(40), float(rnd.randrange(3))) for s in range(3) for _ in range(300)]
+    got = clustering.spanning.forest(spark.createDataFrame(links, "sid long, a long, b long, d double"), clustering._kept_edges, 5).toPandas()
+    for s in range(3):
+        a, b, d = map(np.array, zip(*[x[1:] for x in links if x[0] == s and x[1] != x[2]], strict=True))
+        want, found = clustering.shortest_tree(a, b, d), got[got["sid"] == s]
+        assert len(found) == len(want) and found["d"].sum() == d[want].sum()
+
+
+def test_clusters_closer_than_epsilon_stay_together():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in ((0, 0), (2, 0), (30, 0), (32, 0), (60, 60))])
+    core = clustering.nearest_distances(x, x, 1, True)[:, 0]
+    a, b, d = clustering.mutual_tree(x, core)
+    order = clustering.shortest_tree(a, b, d)
+    edges = list(zip(a[order], b[order], d[order], strict=True))
+    blobs = lambda epsilon: [sorted(set(labels[k : k + 30])) for labels in [clustering.tree_clusters(150, edges, 10, epsilon)] for k in range(0, 150, 30)]
+    assert blobs(0) == blobs(1.0) == [[0], [1], [2], [3], [4]] and blobs(5.0) == [[0], [0], [1], [1], [2]]
+    assert len({x for b in blobs(1000.0) for x in b}) == 2
+
+
 @pytest.mark.parametrize(("size", "block", "samples"), [(150, 20, 1), (150, 40, 4), (5200, 1500, 1)])
-def test_strata_are_clustered_whole(spark, monkeypatch, size, block, samples):
+def test_strata_are_clustered_whole(spark, size, block, samples):
     """Block pairs and reduced edges give what one pass over all points gives, and blobs of strata don't mix."""
-    monkeypatch.setattr(clustering, "REDUCE", 100)
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(rng.uniform(0, 60, 2), 0.8, (size // 10, 2)) for _ in range(10)])
     rows = [("s", i, v.tolist()) for i, v in enumerate(x)] + [(None, 1, [0.0, 0.0]), (None, 2, None), ("t", 3, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "stratum string, value long, embedding array<double>").repartition(5)
-    found = {(r.stratum, r.value): r.cluster for r in clustering.cluster_strata(df, 8, samples, scale=False, block=block).collect()}
+    found = {(r.stratum, r.value): r.cluster for r in clustering.cluster_strata(df, 8, samples, scale=False, block=block, reduce_to=100).collect()}
     want = plain_clusters(x, 8, samples)
     assert [found[("s", i)] for i in range(size)] == want.tolist() and len(set(want.tolist())) > 2
     assert found[(None, 1)] == found[(None, 2)] == found[("t", 3)] == -1 and len(found) == size + 3
