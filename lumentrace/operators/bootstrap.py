@@ -1,22 +1,31 @@
 """Bootstrap confidence intervals of the behaviour metrics.
 
 A replicate draws as many conversations, with replacement, as there are. Draws come from a hash of (replicate, draw), so
-they are the same whatever the partitions. The draws are turned once into a list of replicates for each conversation, which
-facts meet in a join of their own size; what they say in each replicate is summed by (replicate, group) in one aggregation
-that combines before the shuffle, so nothing is shuffled once for each replicate but the draws themselves. Proportions of undrawn cells are 0; means of
-undrawn cells are missing and are left out of the intervals, with ``n_valid`` telling how many replicates remain.
+they are the same whatever the partitions. They are turned once into an array of weights for each conversation, one number
+a replicate, which facts meet in a join of their own size. A group's rows are summed as such arrays, so a cell is one row
+with all its replicates, and only the draws themselves are shuffled once for each replicate. Proportions of undrawn cells
+are 0; means of undrawn cells are missing and are left out of the intervals, with ``n_valid`` telling how many replicates
+remain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumentrace.operators.metrics import metric_names, other_models_mean, ratio, scored_pairs
-from lumentrace.session import written
+from lumentrace.operators.metrics import in_cluster, metric_names, pairs_of, scored_triples
+from lumentrace.session import discard, written
 from lumentrace.sources import loaders
 
 LOW, HIGH = 0.025, 0.975
+#: Bytes of sums that a task holds before it passes them on.
+HELD = 64 << 20
 
 
 def numbered(facts: DataFrame) -> DataFrame:
@@ -38,82 +47,230 @@ def draws(spark, n: int, replicates: int) -> DataFrame:
     return trials(spark, n, replicates).groupBy("rep", "conv_idx").agg(F.count("*").alias("w"))
 
 
+def _weights(replicates: int) -> Callable:
+    """Of sorted draws (conv_idx, rep) a row for each conversation, with how often each replicate draws it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, dtype=np.int64), np.zeros((0, replicates), dtype=np.int32)
+        for batch in batches:
+            ids, spot = np.unique(batch.column("conv_idx").to_numpy(), return_inverse=True)
+            counts = np.zeros((len(ids), replicates), dtype=np.int32)
+            np.add.at(counts, (spot, batch.column("rep").to_numpy()), 1)
+            if len(held[0]) and len(ids) and held[0][-1] == ids[0]:
+                counts[0] += held[1][-1]
+                held = held[0][:-1], held[1][:-1]
+            ids, counts = np.concatenate([held[0], ids]), np.concatenate([held[1], counts])
+            # the last conversation may go on in the next batch
+            if len(ids) > 1:
+                yield batch_of(ids[:-1], counts[:-1])
+            held = ids[-1:], counts[-1:]
+        if len(held[0]):
+            yield batch_of(*held)
+
+    def batch_of(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), _lists(counts)], names=["conv_idx", "weights"])
+
+    return run
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an array of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
+
+
 def drawn(facts: DataFrame, replicates: int) -> DataFrame:
-    """(conversation_id, reps): the replicates (rep, w) that draw each conversation, with how often; undrawn ones have no row.
+    """(conversation_id, weights): how often each replicate draws each conversation, as an array; undrawn ones have no row.
 
     Written, so that the interval tables of an analysis may share it.
     """
     ids = numbered(facts)
-    # one exchange by conversation serves the counts and the lists
-    counts = trials(facts.sparkSession, ids.count(), replicates).repartition("conv_idx").groupBy("conv_idx", "rep").agg(F.count("*").cast("int").alias("w"))
-    lists = counts.groupBy("conv_idx").agg(F.collect_list(F.struct("rep", "w")).alias("reps"))
-    return written(lists.join(ids, "conv_idx").select("conversation_id", "reps"), "drawn")
+    draws = trials(facts.sparkSession, ids.count(), replicates).repartition("conv_idx").sortWithinPartitions("conv_idx")
+    return written(draws.mapInArrow(_weights(replicates), "conv_idx long, weights array<int>").join(ids, "conv_idx").select("conversation_id", "weights"), "drawn")
+
+
+class Sums:
+    """Vectors summed by key, in order of the keys' first rows."""
+
+    def __init__(self, by: list[str], schema: pa.Schema):
+        self.by, self.schema, self.held = by, schema, {}
+
+    def add(self, keys: pa.RecordBatch, rows: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        """``rows(order, starts)`` gives the sums of the rows in that order between those starts."""
+        n = keys.num_rows
+        codes = pd.DataFrame(keys.to_pydict()).groupby(self.by, dropna=False, sort=False).ngroup().to_numpy() if self.by else np.zeros(n, dtype=np.int64)
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        for key, vector in zip(self._keys(keys, order[starts]), rows(order, starts), strict=True):
+            if key in self.held:
+                self.held[key] += vector
+            else:
+                self.held[key] = vector.copy()
+
+    def _keys(self, keys: pa.RecordBatch, at: np.ndarray) -> list[tuple]:
+        return list(zip(*(keys.column(c).take(pa.array(at)).to_pylist() for c in self.by), strict=True)) if self.by else [()]
+
+    def batch(self, leave: int = 0) -> pa.RecordBatch | None:
+        """The sums, all but those of the last ``leave`` keys, which stay."""
+        out = list(self.held)[: len(self.held) - leave]
+        if not out:
+            return None
+        vectors = _lists(np.stack([self.held.pop(k) for k in out]))
+        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in out], self.schema.field(c).type) for i, c in enumerate(self.by)), vectors], names=[*self.by, "sums"])
+
+
+def group_sums(rows: DataFrame, by: list[str], names: list[str], lists: DataFrame, replicates: int) -> DataFrame:
+    """(by..., sums): for each group, replicate by replicate, the drawn rows, then of each metric the weighted sum and the weight of its rows.
+
+    A row meets its conversation's weights once and is never repeated. Tasks sum the vectors of their rows by group before the
+    shuffle, so a group sends one vector a task (or a few, if a task has many groups), however many rows it has.
+    """
+    width = replicates * (1 + 2 * len(names))
+    most = max(64, HELD // (8 * width))
+    weights = F.coalesce("weights", F.array_repeat(F.lit(0), replicates)).alias("weights")
+    joined = rows.select("conversation_id", *by, *(F.col(m).cast("double").alias(m) for m in names)).join(lists, "conversation_id", "left").select(*by, *names, weights)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            sums = sums or Sums(by, batch.schema)
+            w = _matrix(batch.column("weights"))
+            x = [batch.column(m).to_numpy(zero_copy_only=False) for m in names]
+
+            def added(order: np.ndarray, starts: np.ndarray, w=w, x=x) -> np.ndarray:
+                parts = [w]
+                for v in x:
+                    parts += [w * np.nan_to_num(v)[:, None], w * ~np.isnan(v)[:, None]]
+                return np.concatenate([np.add.reduceat(p[order], starts, axis=0) for p in parts], axis=1)
 
+            if batch.num_rows:
+                sums.add(batch.select(by), added)
+            if len(sums.held) > most:
+                yield sums.batch()
+        if sums and (out := sums.batch()) is not None:
+            yield out
 
-def repeated(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """Rows of drawn conversations, one for each replicate, with the replicate and its weight."""
-    return rows.join(lists, "conversation_id").select(*rows.columns, F.inline("reps"))
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            sums = sums or Sums(by, batch.schema)
+            v = _matrix(batch.column("sums"))
+            if batch.num_rows:
+                sums.add(batch.select(by), lambda order, starts, v=v: np.add.reduceat(v[order], starts, axis=0))
+            if (out := sums.batch(leave=1)) is not None:
+                yield out
+        if sums and (out := sums.batch()) is not None:
+            yield out
 
+    schema = T.StructType([*(joined.schema[c] for c in by), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    parts = joined.mapInArrow(first, schema)
+    parts = parts.repartition(*by).sortWithinPartitions(*by) if by else parts.repartition(1)
+    return parts.mapInArrow(second, schema)
 
-def means(names: list[str]) -> list[Column]:
-    """Weighted mean of each metric over the rows that have it, null where none is drawn."""
-    return [F.try_divide(F.sum(F.col("w") * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), F.col("w"))).cast("double")).alias(m) for m in names]
 
+def _split(sums: np.ndarray, metrics: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes (row, replicate) and means (metric, row, replicate) of vectors of ``group_sums``; a mean of nothing is not a number."""
+    parts = sums.reshape(len(sums), 1 + 2 * metrics, -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        means = parts[:, 1::2] / parts[:, 2::2]
+    return parts[:, 0], means.transpose(1, 0, 2)
 
-def replicates_of(facts: DataFrame, scores: DataFrame, replicates: int, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per replicate the cells of (model, cluster), the models, and all rows, with sizes and means."""
-    spark, names = facts.sparkSession, metric_names(scores)
-    pairs, triples = scored_pairs(facts, scores)
+
+def _intervals(keys: pd.DataFrame, measures: dict[str, np.ndarray]) -> pd.DataFrame:
+    """Rows (keys..., measure, ci_lower, ci_upper, ci_mean, n_valid) of arrays (row, replicate); those without a valid replicate have none."""
+    out = []
+    for name, x in measures.items():
+        n = (~np.isnan(x)).sum(axis=1)
+        some = np.flatnonzero(n)
+        x = x[some]
+        whole = (n[some] == x.shape[1]).all()
+        low, high = (np.percentile if whole else np.nanpercentile)(x, [100 * LOW, 100 * HIGH], axis=1) if len(some) else np.zeros((2, 0))
+        out.append(keys.iloc[some].assign(measure=name, ci_lower=low, ci_upper=high, ci_mean=np.nanmean(x, axis=1) if len(some) else low, n_valid=n[some].astype(np.int64)))
+    return pd.concat(out)
+
+
+def _parted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, 0 where b is 0."""
+    return np.divide(a, b, out=np.zeros_like(a), where=b != 0)
+
+
+def _interval_schema(table: DataFrame, by: list[str]) -> T.StructType:
+    rest = [T.StructField("measure", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("ci_lower", "ci_upper", "ci_mean")), T.StructField("n_valid", T.LongType())]
+    return T.StructType([*(table.schema[c] for c in by), *rest])
+
+
+def _sums_by(level: str, facts: DataFrame, scores: DataFrame, replicates: int, lists: DataFrame | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Written sums of the cells of a level (model-cluster, cluster or none) and of each model, from triples that are written once."""
+    names = metric_names(scores)
     lists = lists if lists is not None else drawn(facts, replicates)
-    cm, cmc = repeated(pairs, lists), repeated(triples, lists)
-    cells = cmc.groupBy("rep", "model", "cluster").agg(F.sum("w").alias("size"), *means(names))
-    models = cm.groupBy("rep", "model").agg(F.sum("w").alias("model_size"), *[c.alias(f"model_{m}") for c, m in zip(means(names), names, strict=True)])
-    grid = pairs.select("model").distinct().crossJoin(triples.select("cluster").distinct()).crossJoin(spark.range(replicates).withColumnRenamed("id", "rep"))
-    cells = grid.join(cells, ["rep", "model", "cluster"], "left").join(models, ["rep", "model"], "left")
-    cells = cells.withColumn("size", F.coalesce("size", F.lit(0))).withColumn("proportion", ratio(F.col("size"), F.col("model_size")))
-    cells = cells.withColumn("proportion_delta", F.col("proportion") - other_models_mean("proportion", "rep", "cluster"))
-    for m in names:
-        cells = cells.withColumns({f"quality_{m}": F.col(m), f"quality_delta_{m}": F.col(m) - F.col(f"model_{m}")})
-    whole = cm.groupBy("rep").agg(F.sum("w").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(means(names), names, strict=True)])
-    return cells, models, whole
-
-
-def intervals(values: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Long table (by..., measure, ci_lower, ci_upper, ci_mean, n_valid) over the replicates of each group."""
-    long = values.unpivot([*by, "rep"], columns, "measure", "value").where("value is not null")
-    out = long.groupBy(*by, "measure").agg(F.percentile("value", F.array(F.lit(LOW), F.lit(HIGH))).alias("p"), F.avg("value").alias("ci_mean"), F.count("*").alias("n_valid"))
-    return out.select(*by, "measure", F.col("p")[0].alias("ci_lower"), F.col("p")[1].alias("ci_upper"), "ci_mean", "n_valid")
+    triples = written(scored_triples(facts, scores), "triples")
+    models = written(group_sums(pairs_of(triples, names), ["model"], names, lists, replicates), "model-sums")
+    by = {"model-cluster": ["cluster", "model"], "cluster": ["cluster"]}.get(level)
+    cells = written(group_sums(triples.where(in_cluster()), by, names, lists, replicates), "cell-sums") if by else models
+    discard(triples)
+    return cells, models, names
+
+
+def _whole(models: DataFrame) -> DataFrame:
+    """(all): the vector of all rows, from those of the models."""
+    summed = F.aggregate(F.collect_list(F.struct("dim", "x")), F.lit(0.0), lambda a, p: a + p["x"])
+    by_place = models.select(F.posexplode("sums").alias("dim", "x")).groupBy("dim").agg(summed.alias("x"))
+    return by_place.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("all"))
 
 
 def model_cluster_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100, lists: DataFrame | None = None) -> DataFrame:
-    """Intervals of proportion, proportion_delta, quality_* and quality_delta_* of every model and cluster."""
-    cells, _, _ = replicates_of(facts, scores, replicates, lists)
-    names = metric_names(scores)
-    return intervals(cells, ["model", "cluster"], ["proportion", "proportion_delta", *[f"quality_{m}" for m in names], *[f"quality_delta_{m}" for m in names]])
+    """Intervals of proportion, proportion_delta, quality_* and quality_delta_* of every model and cluster, absent pairs too.
+
+    Every cluster meets all models, a broadcast list of as many rows as there are models, and is finished in one task.
+    """
+    cells, models, names = _sums_by("model-cluster", facts, scores, replicates, lists)
+    of = models.select("model", F.col("sums").alias("model_sums"))
+    dense = cells.select("cluster").distinct().crossJoin(F.broadcast(of)).join(cells, ["cluster", "model"], "left")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(rows["model_sums"].to_numpy())
+        c = np.stack([s if s is not None else np.zeros(m.shape[1]) for s in rows["sums"]])
+        (size, means), (model_size, model_means) = _split(c, len(names)), _split(m, len(names))
+        share = _parted(size, model_size)
+        others = (share.sum(axis=0) - share) / (len(share) - 1) if len(share) > 1 else 0.0
+        measures = {"proportion": share, "proportion_delta": share - others}
+        measures |= {f"quality_{n}": means[i] for i, n in enumerate(names)} | {f"quality_delta_{n}": means[i] - model_means[i] for i, n in enumerate(names)}
+        return _intervals(rows[["model", "cluster"]], measures)
+
+    return dense.groupBy("cluster").applyInPandas(run, _interval_schema(dense, ["model", "cluster"]))
 
 
 def model_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100, lists: DataFrame | None = None) -> DataFrame:
     """Intervals of each model's quality and of its distance from all rows."""
-    _, models, whole = replicates_of(facts, scores, replicates, lists)
-    names = metric_names(scores)
-    out = models.join(whole, "rep")
-    for m in names:
-        out = out.withColumns({f"quality_{m}": F.col(f"model_{m}"), f"quality_delta_{m}": F.col(f"model_{m}") - F.col(f"all_{m}")})
-    return intervals(out, ["model"], [*[f"quality_{m}" for m in names], *[f"quality_delta_{m}" for m in names]])
+    _, models, names = _sums_by("none", facts, scores, replicates, lists)
+    rows = models.crossJoin(F.broadcast(_whole(models)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            if len(some):
+                (_, means), (_, all_means) = (_split(np.stack(some[c].to_numpy()), len(names)) for c in ("sums", "all"))
+                yield _intervals(some[["model"]], {f"quality_{n}": means[i] for i, n in enumerate(names)} | {f"quality_delta_{n}": means[i] - all_means[i] for i, n in enumerate(names)})
+
+    return rows.mapInPandas(run, _interval_schema(rows, ["model"]))
 
 
 def cluster_intervals(facts: DataFrame, scores: DataFrame, replicates: int = 100, lists: DataFrame | None = None) -> DataFrame:
     """Intervals of each cluster's proportion and quality over all models."""
-    spark, names = facts.sparkSession, metric_names(scores)
-    pairs, triples = scored_pairs(facts, scores)
-    lists = lists if lists is not None else drawn(facts, replicates)
-    whole = repeated(pairs, lists).groupBy("rep").agg(F.sum("w").alias("all_size"), *[c.alias(f"all_{m}") for c, m in zip(means(names), names, strict=True)])
-    cells = repeated(triples, lists).groupBy("rep", "cluster").agg(F.sum("w").alias("size"), *means(names))
-    grid = triples.select("cluster").distinct().crossJoin(spark.range(replicates).withColumnRenamed("id", "rep"))
-    out = grid.join(cells, ["rep", "cluster"], "left").join(whole, "rep").withColumn("proportion", ratio(F.coalesce("size", F.lit(0)), F.col("all_size")))
-    for m in names:
-        out = out.withColumns({f"quality_{m}": F.col(m), f"quality_delta_{m}": F.col(m) - F.col(f"all_{m}")})
-    return intervals(out, ["cluster"], ["proportion", *[f"quality_{m}" for m in names], *[f"quality_delta_{m}" for m in names]])
+    cells, models, names = _sums_by("cluster", facts, scores, replicates, lists)
+    rows = cells.crossJoin(F.broadcast(_whole(models)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            if len(some):
+                (size, means), (all_size, all_means) = (_split(np.stack(some[c].to_numpy()), len(names)) for c in ("sums", "all"))
+                measures = {"proportion": _parted(size, all_size)}
+                measures |= {f"quality_{n}": means[i] for i, n in enumerate(names)} | {f"quality_delta_{n}": means[i] - all_means[i] for i, n in enumerate(names)}
+                yield _intervals(some[["cluster"]], measures)
+
+    return rows.mapInPandas(run, _interval_schema(rows, ["cluster"]))
 
 
 def attached(cells: DataFrame, ci: DataFrame, by: list[str], overwrite: bool = False) -> DataFrame:

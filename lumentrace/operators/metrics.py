@@ -36,15 +36,23 @@ def other_models_mean(value: str, *by: str) -> Column:
     return F.coalesce(F.try_divide(F.sum(value).over(w) - F.col(value), (F.count("*").over(w) - 1).cast("double")), F.lit(0.0))
 
 
+def scored_triples(facts: DataFrame, scores: DataFrame) -> DataFrame:
+    """Distinct (conversation, model, cluster) rows with the score columns."""
+    return facts.select(*PAIR, "cluster").distinct().join(scores, PAIR, "left")
+
+
+def pairs_of(triples: DataFrame, names: list[str]) -> DataFrame:
+    """The (conversation, model) rows of scored triples, with the score columns."""
+    return triples.groupBy(*PAIR).agg(F.count("*").alias("_n"), *[F.first(m).alias(m) for m in names]).drop("_n")
+
+
 def scored_pairs(facts: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conversation, model) rows and (conversation, model, cluster) rows, both with the score columns.
 
     Facts are reduced to distinct triples once; the pairs come from those, and one join brings the scores.
     """
-    triples = facts.select(*PAIR, "cluster").distinct().join(scores, PAIR, "left")
-    names = metric_names(scores)
-    pairs = triples.groupBy(*PAIR).agg(F.count("*").alias("_n"), *[F.first(m).alias(m) for m in names]).drop("_n")
-    return pairs, triples.where(in_cluster())
+    triples = scored_triples(facts, scores)
+    return pairs_of(triples, metric_names(scores)), triples.where(in_cluster())
 
 
 def _means(names: list[str], prefix: str = "quality_") -> list[Column]:
