@@ -116,20 +116,21 @@ def siblings(digit: Column, path: Column) -> Column:
     return F.array_join(F.transform(path, others), "")
 
 
-def manifest(docs: DataFrame) -> DataFrame:
-    """(doc_id, leaf, tampered_leaf, subroot, root, digit, path): one row for each row of ``docs``.
-
-    ``tampered_leaf`` is the leaf that the row would have with the A-Z of its text in lower case. ``path`` are the steps to the
-    root: the run that holds the node, ``digit`` of the next step, and the root of the language where the step ends there. Null
-    languages are a tree of their own, the first. Rows that share a doc_id, or have none (first of all), stand in order of
-    their leaves; rows equal in all columns have equal leaves and a proof each. An empty table gives no rows. Columns with
-    other names than those of ``documents`` are not read.
+def manifest(docs: DataFrame, **also: Column) -> DataFrame:
+    """(doc_id, leaf, subroot, root, digit, path) and what ``also`` names: one row for each row of ``docs``.
+
+    ``also`` are columns computed from those of ``docs``. ``path`` are the steps to the root: the run that holds the node,
+    ``digit`` of the next step, and the root of the language where the step ends there. Null languages are a tree of their
+    own, the first. Rows that share a doc_id, or have none (first of all), stand in order of their leaves; rows equal in all
+    columns have equal leaves and a proof each. An empty table gives no rows. Columns with other names than those of
+    ``documents`` are not read.
     """
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
     tree = F.coalesce(F.concat(F.lit("1"), F.col("lang").cast("string")), F.lit("0"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tree.alias("tree"), leaf(*columns, F.col("text")).alias("hash"), leaf(*columns, low).alias("tampered_leaf"))
-    rows = numbered(rows, "tree", "doc_id", "hash")
+    hashed = leaf(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")))
+    # written first, as ranges are drawn from a pass of its own
+    own = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tree.alias("tree"), hashed.alias("hash"), *(c.alias(n) for n, c in also.items())), "hashes")
+    rows = numbered(own, "tree", "doc_id", "hash")
+    discard(own)
     levels = grown(rows.select("tree", "place", "total", "hash"))
     lone = rows.where("total = 1").select("tree", F.lit(0).alias("level"), "place", "total", "hash", F.lit(None).cast("string").alias("run"))
     inner = lone
@@ -159,10 +160,10 @@ def manifest(docs: DataFrame) -> DataFrame:
     discard(*levels, *over, heads)
 
     at = [F.when(F.col("total") > 1, 1).otherwise(0).alias("level"), F.when(F.col("total") > 1, F.expr(f"place div {RUN}")).otherwise(F.col("place")).alias("up")]
-    found = rows.select("doc_id", "tree", F.col("hash").alias("leaf"), "tampered_leaf", (F.col("place") % RUN).alias("digit"), *at)
+    found = rows.select("doc_id", "tree", F.col("hash").alias("leaf"), *also, (F.col("place") % RUN).alias("digit"), *at)
     found = found.join(proofs.withColumnRenamed("place", "up"), ["tree", "level", "up"])
     subroot = F.filter(F.transform("path", lambda s: s["subroot"]), lambda s: s.isNotNull())[0]
-    return found.select("doc_id", "leaf", "tampered_leaf", subroot.alias("subroot"), root.alias("root"), "digit", "path")
+    return found.select("doc_id", "leaf", *also, subroot.alias("subroot"), root.alias("root"), "digit", "path")
 
 
 def proved(docs: DataFrame) -> DataFrame:
@@ -171,9 +172,10 @@ def proved(docs: DataFrame) -> DataFrame:
     Of the ids whose CRC-32 three divides the text is tampered with: A-Z in lower case. A text without A-Z stays what it is
     and verifies; so does a null one. A null id's decimal is null, so its row is not tampered with.
     """
-    rows = manifest(docs)
-    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
-    given = F.when(tampered, F.col("tampered_leaf")).otherwise(F.col("leaf"))
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = manifest(docs, tampered_leaf=F.when(tampered, leaf(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), low)))
+    given = F.coalesce("tampered_leaf", "leaf")
     proof = digest(siblings(F.col("digit"), F.col("path")))
     out = rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded(given, F.col("digit"), F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
