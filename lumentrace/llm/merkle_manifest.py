@@ -15,13 +15,15 @@ All of it is SQL functions on columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import discard, written
+from lumentrace.llm.common import discard, let, written
 
-#: Children of a node.
-RUN = 8
+#: Children of a node, levels of a tree that one pass makes, and rows that one range numbers.
+RUN, LEVELS, FEW = 8, 3, 1 << 15
 #: Bytes of the ancestors of a join, as bounded by their number and that of the runs they hold, up to which they are broadcast.
 BROADCAST = 8 << 20
 _HEX = 64
@@ -45,9 +47,10 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     """``rows`` with ``place``, from 0 by ``order`` within each group, and ``total``, the rows of the group; a written table.
 
     A group may hold most rows: ranges of (group, order) are sorted side by side, and only the count of each group in each
-    range is summed along the ranges.
+    range is summed along the ranges. Up to ``FEW`` rows are one range.
     """
-    spots = written(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("spot", F.monotonically_increasing_id()), "spots")
+    ranges = rows.coalesce(1) if rows.count() <= FEW else rows.repartitionByRange(group, *order)
+    spots = written(ranges.sortWithinPartitions(group, *order).withColumn("spot", F.monotonically_increasing_id()), "spots")
     part = F.call_function("shiftright", F.col("spot"), F.lit(33)).alias("part")
     parts = spots.groupBy(group, part).agg(F.min("spot").alias("low"), F.count("*").alias("n"))
     along = Window.partitionBy(group)
@@ -58,21 +61,41 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return out
 
 
+def _runs(hashes: Column) -> Column:
+    """The joined hashes of every ``RUN`` consecutive nodes."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(hashes) - 1), F.lit(RUN))
+    return F.transform(starts, lambda i: F.array_join(F.slice(hashes, i + 1, F.lit(RUN)), ""))
+
+
+def _above(hashes: Column, level: int, place: Column, total: Column, left: int = LEVELS) -> Column:
+    """Nodes (level, place, total, hash, run) of the next ``left`` levels over consecutive nodes, the first of them at ``place``."""
+    up, ends = F.floor(place / RUN).cast("long"), F.ceil(total / RUN).cast("long")
+
+    def of(pair: Column) -> Column:
+        node = lambda run, i: F.struct(F.lit(level).alias("level"), (up + i).alias("place"), ends.alias("total"), F.get(pair["hashes"], i).alias("hash"), run.alias("run"))
+        here = F.filter(F.transform(pair["runs"], node), lambda n: total > 1)
+        return here if left == 1 else F.concat(here, _above(pair["hashes"], level + 1, up, ends, left - 1))
+
+    return let(_runs(hashes), lambda runs: let(F.struct(runs.alias("runs"), F.transform(runs, digest).alias("hashes")), of))
+
+
 def grown(leaves: DataFrame, first: int = 1) -> list[DataFrame]:
-    """Written tables (tree, level, place, total, hash, run, children) of the levels above ``leaves`` (tree, place, total, hash).
+    """Written tables (tree, level, place, total, hash, run) of the levels above ``leaves`` (tree, place, total, hash).
 
-    ``total`` counts the nodes of a tree's level; a tree ends with the level that has one. ``run`` is the joined hashes of the children.
+    ``total`` counts the nodes of a tree's level; a tree ends with the level that has one. ``run`` is the joined hashes of
+    the children. A pass makes ``LEVELS`` levels: it groups the nodes that have an ancestor so far above, RUN ** LEVELS at most.
     """
     out, below, level = [], leaves, first
     most = leaves.agg(F.max("total")).first()[0] or 0
     while most > 1:
-        up = F.expr(f"place div {RUN}").alias("up")
-        runs = below.where("total > 1").groupBy("tree", up).agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("run"))
-        run = F.array_join(F.transform("run", lambda x: x["hash"]), "")
-        ends = F.ceil(F.col("total") / RUN).cast("long")
-        below = written(runs.select("tree", F.lit(level).alias("level"), F.col("up").alias("place"), ends.alias("total"), digest(run).alias("hash"), run.alias("run")), "level")
-        out.append(below)
-        most, level = -(-most // RUN), level + 1
+        part = F.expr(f"place div {RUN**LEVELS}").alias("part")
+        groups = below.where("total > 1").groupBy("tree", part).agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("nodes"))
+        nodes = let(F.transform("nodes", lambda n: n["hash"]), lambda hashes: _above(hashes, level, F.col("part") * RUN**LEVELS, F.col("total")))
+        made = written(groups.select("tree", F.inline(nodes)), "levels")
+        out.append(made)
+        for _ in range(LEVELS):
+            most, level = -(-most // RUN), level + (most > 1)
+        below = made.where(F.col("level") == level - 1)
     return out
 
 
@@ -136,12 +159,12 @@ def manifest(docs: DataFrame, **also: Column) -> DataFrame:
     inner = lone
     for level in levels:
         inner = inner.unionByName(level)
-    height = len(levels)
+    height = inner.agg(F.max("level")).first()[0] or 0
     heads = numbered(inner.where("total = 1").select(F.lit("").alias("tree"), F.col("tree").alias("of"), "hash"), "tree", "of")
     over = grown(heads.select("tree", "place", "total", "hash"), height + 1)
-    last = heads.where("total = 1") if not over else over[-1]
-    root = last.select("hash").first()
-    root = F.lit(root["hash"] if root else None)
+    tops = [x.where("total = 1").select("level", "hash") for x in over] or [heads.where("total = 1").select(F.lit(height).alias("level"), "hash")]
+    top = reduce(DataFrame.unionByName, tops).first()
+    root, most = F.lit(top["hash"] if top else None), top["level"] if top else 0
 
     several = F.col("head_total") > 1
     is_head = F.col("total") == 1
@@ -156,7 +179,7 @@ def manifest(docs: DataFrame, **also: Column) -> DataFrame:
     step = F.struct("run", (F.col("own") % RUN).alias("digit"), "subroot")
     up_place = F.when(F.col("goes").isNotNull(), F.expr(f"own div {RUN}"))
     nodes = inner.select("tree", "level", "place", F.array(step).alias("path"), F.col("goes")["tree"].alias("up_tree"), F.col("goes")["level"].alias("up_level"), up_place.alias("up_place"))
-    proofs = paths(nodes, height + len(over))
+    proofs = paths(nodes, most)
     discard(*levels, *over, heads)
 
     at = [F.when(F.col("total") > 1, 1).otherwise(0).alias("level"), F.when(F.col("total") > 1, F.expr(f"place div {RUN}")).otherwise(F.col("place")).alias("up")]

@@ -15,13 +15,12 @@ All of it is SQL functions on columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import with_ids, with_text
+from lumentrace.llm.common import let, with_ids, with_text
 
 #: Characters after which a piece ends with the word, where no sentence or paragraph ends before.
 PIECE = 48
@@ -36,11 +35,6 @@ _ONES = sum(1 << (SPACING * i) for i in range(LANES))
 _MASK, _CARRY = _ONES * ((1 << BITS) - 1), _ONES << BITS
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, also where ``f`` uses it inside other functions of higher order."""
-    return F.transform(F.array(value), f)[0]
-
-
 def pieces(text: Column) -> Column:
     """The text in pieces, which joined give it again; where they end depends on nothing that stands after them."""
     return F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
