@@ -293,6 +293,60 @@ def event_sessions(spark, sf_dir):
     return streams.sessions(e, "at", "user_id", "6 hours").select("user_id", F.unix_timestamp("session_start").alias("began"), F.unix_timestamp("session_end").alias("ended"), "n")
 
 
+#: Steps of five days; every tenth event comes two steps late.
+_STEPS = """e AS (SELECT *, floor(epoch(ts) / 432000)::BIGINT AS own, floor(epoch(ts) / 432000)::BIGINT + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS step,
+        floor(epoch(ts) / 3600)::BIGINT AS hour FROM events WHERE ts IS NOT NULL)"""
+
+
+def _in_steps(spark, sf_dir, source: str, late: bool) -> None:
+    """The events as files of their own, two for each step of five days, in order of the steps."""
+    e = table(spark, sf_dir, "events").where("ts is not null").select("event_id", F.col("ts").cast("timestamp").alias("at"), "user_id", "event_type")
+    step = F.expr("unix_timestamp(at) div 432000") + (F.when(F.col("event_id") % 10 == 0, 2).otherwise(0) if late else 0)
+    e = e.withColumn("step", step)
+    for r in e.select("step").distinct().orderBy("step").collect():
+        e.where(F.col("step") == r["step"]).drop("step").repartition(2).write.mode("append").parquet(source)
+
+
+@query(f"""WITH {_STEPS}, s AS (SELECT step, max(ts) AS most FROM e GROUP BY step),
+    w AS (SELECT step, floor(epoch_ms(max(most) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)) / 3600000.0 - 2) AS closed FROM s)
+    SELECT hour, event_type, count(*) AS n FROM e JOIN w USING (step) WHERE (closed IS NULL OR hour + 1 > closed) AND hour + 1 <= (SELECT epoch_ms(max(ts)) / 3600000.0 - 2 FROM e) GROUP BY 1, 2""")
+def stream_late_counts(spark, sf_dir):
+    """Hourly counts that go out as the watermark, two hours behind, closes the hours; rows that come later than that are dropped.
+
+    A batch drops the rows of hours that were closed when the batch before it began, so by what had come two batches ago;
+    hours that never close give no row.
+    """
+    source, found = shared_path(spark, "steps"), shared_path(spark, "counts")
+    _in_steps(spark, sf_dir, source, late=True)
+    stream = streams.file_source(spark, source, "event_id long, at timestamp, user_id long, event_type string", files_per_trigger=2)
+    streams.start_with_state(streams.windowed_counts(stream, "at", "event_type"), found, shared_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(found).select(F.expr("unix_timestamp(window_start) div 3600").alias("hour"), "event_type", "n")
+
+
+@query("""SELECT a.event_id AS view_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase'
+    AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR""")
+def stream_pairs(spark, sf_dir):
+    """Views with the purchases of the same user in the six hours after them, from two streams."""
+    source, found = shared_path(spark, "steps"), shared_path(spark, "pairs")
+    _in_steps(spark, sf_dir, source, late=False)
+    stream = lambda: streams.file_source(spark, source, "event_id long, at timestamp, user_id long, event_type string", files_per_trigger=2)
+    views = stream().where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("at").alias("viewed"), "user_id")
+    bought = stream().where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("at").alias("bought"), "user_id")
+    pairs = streams.paired(views, bought, "user_id", "viewed", "bought", "6 hours")
+    streams.start_with_state(pairs.select("view_id", "purchase_id"), found, shared_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(found)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events WHERE ts IS NOT NULL")
+def stream_merged_late(spark, sf_dir):
+    """Each (user, kind) once, of events of which every tenth comes days late; keys live until the stream is 60 days past them."""
+    source, found = shared_path(spark, "steps"), shared_path(spark, "merged")
+    _in_steps(spark, sf_dir, source, late=True)
+    stream = streams.file_source(spark, source, "event_id long, at timestamp, user_id long, event_type string", files_per_trigger=2)
+    streams.merged(stream, found, shared_path(spark, "checkpoint"), ["user_id", "event_type"], ts="at", ttl="60 days").awaitTermination()
+    return spark.read.parquet(found).select("user_id", "event_type")
+
+
 # --- pipelines ---
 
 

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from lumentrace.functions import json_repair
 from lumentrace.operators import filters
+from lumentrace.session import setting
+
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def file_source(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
+    """Files of a folder in order of their modification."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(kind).load(path)
 
 
 def json_source(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    return file_source(spark, path, schema, "json", files_per_trigger)
 
 
 def properties(answers: DataFrame) -> DataFrame:
@@ -43,22 +50,31 @@ def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", n
     return writer.format("parquet").option("path", path).start()
 
 
-def merged(stream: DataFrame, path: str, checkpoint: str, key: list[str], now: bool = True):
-    """Rows whose key no earlier batch brought, once for each key, appended to a parquet table with the batch's number.
+def first_rows(stream: DataFrame, key: list[str], ts: str | None = None, ttl: str = "1 day") -> DataFrame:
+    """Rows whose key no earlier row brought, once for each key, by the state of the keys alone.
+
+    Keys are remembered for ever, or, with a time ``ts``, until the latest time of the stream is ``ttl`` past a key's first
+    row and as much again; then they may come again, and rows that are later than ``ttl`` are dropped. Null keys are keys.
+    """
+    return once(stream, ts, key, ttl) if ts else stream.dropDuplicates(key)
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, within: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Rows of two streams with one key, the right one no earlier than the left one and at most ``within`` later.
 
-    A batch that is repeated after a failure looks only at the batches before it and overwrites its own part, so no row is
-    written twice.
+    Both times are watermarks, so a row's state goes once no partner can come. The right key goes; other names must differ.
     """
+    a, b = left.withWatermark(left_ts, late), right.withWatermark(right_ts, late).withColumnRenamed(key, "right_key")
+    in_time = (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col(key) == F.col("right_key")) & in_time).drop("right_key")
+
+
+def start_with_state(stream: DataFrame, path: str, checkpoint: str, now: bool = True):
+    """As ``start``, with the state of keys in RocksDB on the executors' disks in place of their memory."""
+    with setting(stream.sparkSession, PROVIDER, ROCKS):
+        return start(stream, path, checkpoint, "append", now)
+
 
-    def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(key)
-        try:
-            seen = batch.sparkSession.read.parquet(path).where(F.col("batch") < number)
-        except AnalysisException:  # nothing has been written
-            seen = None
-        if seen is not None:
-            fresh = fresh.join(seen.select(*key), key, "left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if now else writer).start()
+def merged(stream: DataFrame, path: str, checkpoint: str, key: list[str], now: bool = True, ts: str | None = None, ttl: str = "1 day"):
+    """``first_rows`` written to a parquet table: what it holds is never read, and the sink's log keeps a repeated batch out."""
+    return start_with_state(first_rows(stream, key, ts, ttl), path, checkpoint, now)

@@ -36,3 +36,25 @@ def test_merged_batches_and_sessions(spark, tmp_path):
     batch = spark.read.schema("id long, at timestamp, u string").json(f"file://{path}/a.json")
     assert sorted(r.n for r in streams.sessions(batch, "at", "u").collect()) == [1, 2]
     assert streams.windowed_counts(batch, "at", "u").agg(F.sum("n")).first()[0] == 3
+
+
+def test_keys_live_for_a_while(spark, tmp_path):
+    """A key comes again once its time to live has passed; rows later than that are dropped; the target is not read."""
+    path = tmp_path / "in"
+    path.mkdir()
+    schema = "id long, at timestamp"
+    run = lambda: streams.merged(streams.json_source(spark, f"file://{path}", schema, 1), f"file://{tmp_path}/m", f"file://{tmp_path}/ck", ["id"], ts="at", ttl="1 hour")
+    for name, rows in {"a": [(1, "00:00"), (1, "00:10"), (2, "00:20")], "b": [(1, "00:30"), (3, "09:00")], "c": [(1, "09:10"), (4, "00:40")]}.items():
+        (path / f"{name}.json").write_text("\n".join(json.dumps({"id": i, "at": f"2024-01-01T{t}:00Z"}) for i, t in rows))
+        query = run()
+        query.awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/m").collect()) == [1, 1, 2, 3]
+
+
+def test_streams_are_paired_in_time(spark, tmp_path):
+    for name, rows in {"left": [(1, "00:00"), (2, "01:00")], "right": [(1, "00:30"), (1, "02:00"), (2, "00:59"), (3, "01:00")]}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text("\n".join(json.dumps({"u": u, f"{name}_at": f"2024-01-01T{t}:00Z"}) for u, t in rows))
+    left, right = (streams.json_source(spark, f"file://{tmp_path}/{n}", f"u long, {n}_at timestamp") for n in ("left", "right"))
+    streams.start_with_state(streams.paired(left, right, "u", "left_at", "right_at"), f"file://{tmp_path}/p", f"file://{tmp_path}/ck").awaitTermination()
+    assert [(r.u, r.right_at.minute) for r in spark.read.parquet(f"file://{tmp_path}/p").collect()] == [(1, 30)]
