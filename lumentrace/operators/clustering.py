@@ -9,10 +9,15 @@ which has one edge less than the stratum has values, is walked in one task for e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumentrace.operators import spanning
 from lumentrace.session import discard, written
@@ -20,6 +25,8 @@ from lumentrace.sources import loaders
 
 #: Values of a block; a task compares those of two blocks.
 BLOCK = 1500
+#: Bytes of vectors that are broadcast at a time, and products that a task makes in one step.
+BROADCAST, PRODUCTS = 32 << 20, 1 << 22
 
 
 def norm(v: Column) -> Column:
@@ -47,19 +54,63 @@ def mean_vectors(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias(vector))
 
 
-def nearest(fine: DataFrame, coarse: DataFrame, fine_id: str, coarse_id: str, vector: str = "embedding") -> DataFrame:
+def _packed(lists: pa.Array, size: int) -> np.ndarray:
+    """Unit vectors of lists of ``size`` numbers; those of other lists, and of ones that are null, zero or not finite, are not numbers."""
+    out = np.full((len(lists), size), np.nan)
+    fit = pc.fill_null(pc.equal(pc.list_value_length(lists), size), False)
+    out[fit.to_numpy(zero_copy_only=False)] = lists.filter(fit).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.sqrt((out * out).sum(axis=1))[:, None]
+
+
+def closest(fine: DataFrame, coarse: DataFrame, fine_id: str, coarse_id: str, most: int = 1, vector: str = "embedding", block_bytes: int = BROADCAST) -> DataFrame:
+    """(fine_id, near): for each fine id the ``most`` coarse rows of the largest cosines, as structs (away, coarse_id), nearest first.
+
+    ``away`` is the negative cosine, rounded to nine digits; equal ones stand in order of the coarse id, whatever its type. A
+    pair without a cosine has 2, which is farther than any can be. Coarse vectors are packed into matrices of at most
+    ``block_bytes``, one after the other broadcast to all fine rows, which take products in Arrow batches; what each matrix
+    finds is combined at the end, so neither side needs to fit in a task.
+    """
+    spark = fine.sparkSession
+    fine = fine.select(F.col(fine_id), F.col(vector).cast("array<double>").alias("_v"))
+    held = written(loaders.indexed(coarse.select(F.col(coarse_id), F.col(vector).cast("array<double>").alias("_v")), coarse_id), "coarse")
+    n, size = held.agg(F.count("*"), F.max(F.size("_v"))).first()
+    per = max(1, block_bytes // (8 * max(1, size or 1)))
+    schema = T.StructType([fine.schema[fine_id], T.StructField("away", T.DoubleType()), held.schema[coarse_id]])
+    found = spark.createDataFrame([], schema)
+    for low in range(0, n, per):
+        block = held.where(F.col("row_idx").between(low, low + per - 1)).orderBy("row_idx").select(coarse_id, "_v").toArrow().combine_chunks()
+        ids = block.column(coarse_id).combine_chunks()
+        shared = spark.sparkContext.broadcast((ids, _packed(block.column("_v").combine_chunks(), size or 1)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            for batch in batches:
+                step = max(1, PRODUCTS // len(matrix))
+                for at in range(0, batch.num_rows, step):
+                    some = batch.slice(at, step)
+                    away = -np.round(_packed(some.column("_v"), matrix.shape[1]) @ matrix.T, 9)
+                    away[~np.isfinite(away)] = 2.0
+                    k = min(most, len(matrix))
+                    best = away.argmin(axis=1)[:, None] if k == 1 else np.argsort(away, axis=1, kind="stable")[:, :k]
+                    of = np.repeat(np.arange(some.num_rows), k)
+                    yield pa.RecordBatch.from_arrays([some.column(fine_id).take(pa.array(of)), pa.array(np.take_along_axis(away, best, axis=1).ravel() + 0.0), ids.take(pa.array(best.ravel()))], names=schema.names)
+
+        found = found.unionByName(fine.mapInArrow(run, schema))
+    pair = F.struct("away", coarse_id)
+    if most == 1:
+        return found.groupBy(fine_id).agg(F.array(F.min(pair)).alias("near"))
+    return found.groupBy(fine_id).agg(F.slice(F.array_sort(F.collect_set(pair)), 1, most).alias("near"))
+
+
+def nearest(fine: DataFrame, coarse: DataFrame, fine_id: str, coarse_id: str, vector: str = "embedding", block_bytes: int = BROADCAST) -> DataFrame:
     """The coarse row of the largest cosine for each fine row, ties to the smaller id, whatever the type of the ids.
 
-    ``coarse`` is a list of labels, a stated set against all rows; Spark broadcasts it if it is small. A fine row that has
-    no cosine with any (null, zero or not finite) gets the smallest id and no cosine.
+    A fine row that has no cosine with any (null, zero or not finite) gets the smallest id and no cosine.
     """
-    c = coarse.select(F.col(coarse_id), F.col(vector).alias("_c"), norm(F.col(vector)).alias("_m"))
-    f = fine.select(F.col(fine_id), F.col(vector).alias("_f"), norm(F.col(vector)).alias("_n"))
-    away = -F.round(F.try_divide(dot(F.col("_f"), F.col("_c")), F.col("_n") * F.col("_m")), 9)
-    # farther than any cosine can be
-    pairs = f.crossJoin(c).select(fine_id, coarse_id, F.coalesce(F.nanvl(away, F.lit(None).cast("double")), F.lit(2.0)).alias("away"))
-    best = pairs.groupBy(fine_id).agg(F.min(F.struct("away", coarse_id)).alias("b"))
-    return best.select(fine_id, F.col(f"b.{coarse_id}").alias(coarse_id), F.when(F.col("b.away") <= 1.5, -F.col("b.away")).alias("cosine"))
+    best = closest(fine, coarse, fine_id, coarse_id, 1, vector, block_bytes)
+    away = F.col("near")[0]["away"]
+    return best.select(fine_id, F.col("near")[0][coarse_id].alias(coarse_id), F.when(away <= 1.5, -away).alias("cosine"))
 
 
 def components_rule(n: int, d: int) -> int:

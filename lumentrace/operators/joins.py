@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrace.session import written
+
 
 def conversations_with_properties(conversations: DataFrame, properties: DataFrame, side_by_side: bool = False) -> DataFrame:
     """Every conversation with its properties; those without keep a row of nulls.
@@ -43,25 +45,38 @@ def by_id_or_base(left: DataFrame, right: DataFrame, key: str = "id", sep: str =
     return out.select(*left.columns, F.coalesce("matched_id", "_id").alias("matched_id"), how.alias("match"), *[F.when(hit, F.col(v)).otherwise(F.col(f"_{v}")).alias(v) for v in values])
 
 
-#: Rows and bytes up to which the small side of a containment join is broadcast.
-SMALL_ROWS = 10_000
+def _grams(text: Column, size: int | Column) -> Column:
+    """The distinct runs of ``size`` characters of a text; none of a shorter one."""
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
 
 
 def containing(left: DataFrame, right: DataFrame, text: str, part: str, gram: int = 4) -> DataFrame:
-    """Pairs where ``text`` contains ``part``, one for each left row: the smallest part.
+    """Pairs where ``text`` contains ``part``, one for each left row: the smallest part. Equal left rows give a row each.
 
-    A containment join has no equality to hash. Every part that is contained shares its first ``gram`` characters with some
-    place of the text, so rows meet on those; parts shorter than that, of which there are few distinct ones, are compared
-    with all texts.
+    A containment join has no equality to hash, so rows meet on runs of ``gram`` characters. Each part goes by its rarest one,
+    by how many texts hold it, so parts with a common beginning don't meet all texts that share it; one that no text holds
+    rules the part out. Parts shorter than that meet the texts on all runs of their own length, which is equality. Empty and
+    null parts are in no text.
     """
-    keyed = left.withColumn("_at", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - gram + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(gram))))))
-    parts = right.withColumn("_at", F.substring(part, 1, gram))
-    long = keyed.join(parts.where(F.length(part) >= gram), "_at").where(F.contains(text, part)).drop("_at")
-    short = right.where((F.length(part) < gram) & (F.length(part) > 0)).select(*right.columns)
-    brief = left.join(short, F.contains(left[text], short[part]))
-    pairs = long.select(*left.columns, *right.columns).unionByName(brief.select(*left.columns, *right.columns))
-    rank = F.row_number().over(Window.partitionBy(*left.columns).orderBy(part))
-    return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    rows = written(left.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    parts = written(right.where(F.length(part) > 0).distinct().withColumn("_part", F.monotonically_increasing_id()), "parts")
+    own = parts.where(F.length(part) >= gram).select("_part", F.explode(_grams(F.col(part), gram)).alias("_at"))
+    seen = rows.select("_row", F.explode(_grams(F.col(text), gram)).alias("_at"))
+    counts = seen.join(own.select("_at").distinct(), "_at", "left_semi").groupBy("_at").agg(F.count("*").alias("_n"))
+    # a run without a count is in no text
+    rarest = own.join(counts, "_at", "left").groupBy("_part").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_at").alias("at"))).alias("k")).where("k.n > 0")
+    long = rarest.select("_part", F.col("k.at").alias("_at")).join(seen, "_at").select("_row", "_part")
+    brief = parts.where(F.length(part) < gram).select("_part", F.col(part).alias("_at"), F.length(part).alias("_size"))
+    sizes = brief.agg(F.sort_array(F.collect_set("_size"))).first()[0]
+    pairs = long
+    for size in sizes:
+        held = rows.select("_row", F.explode(_grams(F.col(text), size)).alias("_at"))
+        pairs = pairs.unionByName(held.join(brief.where(F.col("_size") == size), "_at").select("_row", "_part"))
+    met = pairs.join(rows.select("_row", text), "_row").join(parts, "_part").where(F.contains(F.col(text), F.col(part)))
+    best = met.groupBy("_row").agg(F.min(F.struct(F.col(part).alias("_by"), *[F.col(c).alias(f"_{c}") for c in right.columns])).alias("_best"))
+    return rows.join(best, "_row").select(*[rows[c] for c in left.columns], *[F.col("_best")[f"_{c}"].alias(c) for c in right.columns])
 
 
 def answered_by_all(df: DataFrame, models: list[str], prompt: str = "prompt") -> DataFrame:

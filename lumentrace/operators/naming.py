@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from lumentrace.functions import text
 from lumentrace.operators import clustering, ranking
-from lumentrace.operators.providers import CallCache, Provider
+from lumentrace.operators.providers import CallCache, Embedder, Provider, embedded, hashing_embedder
 from lumentrace.session import written
 from lumentrace.sources import loaders
 
 NAME_ASK = "Give a short name that fits all of these behaviours and answer with the name alone."
 COARSE_ASK = "Group these names under at most {n} broader names. Answer with one broader name on each line."
 PRETTY_ASK = "Put a summary of at most four words before this name and answer with 'summary: name' alone."
+#: Options that a request to match holds at most.
+OPTIONS = 200
 MATCH_ASK = "Which of the options fits the name best? Answer with the option alone, or with Outliers if none fits."
 
 
@@ -65,10 +67,21 @@ def under_coarse(members: DataFrame, most: int, provider: Provider, cache: CallC
     return out.withColumn("cluster_label", F.coalesce("coarse", "cluster_label")).select(*members.columns)
 
 
-def matched(fine: DataFrame, coarse: DataFrame, provider: Provider, cache: CallCache) -> DataFrame:
-    """(label, coarse): the option that an answer names for each fine label; Outliers where it names none or there are none."""
-    options = coarse.agg(F.sort_array(F.collect_set("label")).alias("options"))
-    asks = fine.select("label").distinct().crossJoin(F.broadcast(options))
+def matched(fine: DataFrame, coarse: DataFrame, provider: Provider, cache: CallCache, most: int = OPTIONS, embed: Embedder | None = None) -> DataFrame:
+    """(label, coarse): the option that an answer names for each fine label; Outliers where it names none or there are none.
+
+    A request holds at most ``most`` options: where there are more, those whose vectors are closest to the label's, so its
+    size does not grow with their number. ``embed`` makes the vectors, by default from the labels' words.
+    """
+    one, options = fine.select("label").distinct(), coarse.select(F.col("label").alias("option")).where("option is not null").distinct()
+    if (n := options.limit(most + 1).count()) > most:
+        make = embed or hashing_embedder()
+        vectors = lambda df, name: written(embedded(df.select(name), name, make), "vectors")
+        near = clustering.closest(vectors(one, "label"), vectors(options, "option"), "label", "option", most)
+        asks = near.select("label", F.sort_array(F.transform("near", lambda x: x["option"])).alias("options"))
+    else:
+        listed = options.agg(F.sort_array(F.collect_set("option")).alias("options"))
+        asks = one.crossJoin(F.broadcast(listed)) if n else one.withColumn("options", F.array().cast("array<string>"))
     asks = asks.withColumn("request", text.sections(MATCH_ASK, options=F.array_join("options", "\n"), name=F.col("label")))
     chosen = text.matched_label(F.col("response"), F.col("options"))
     return cache.complete(asks, "request", provider).select("label", F.coalesce(chosen, F.lit("Outliers")).alias("coarse"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Provider = Callable[[str], str | None]
+Embedder = Callable[[str], np.ndarray]
 
 
 def retried(provider: Provider, tries: int = 3, wait: float = 0.0) -> Provider:
@@ -94,4 +95,6 @@ def embedded(df: DataFrame, text: str, embed: Callable[[str], np.ndarray], to: s
             yield rows.assign(**{to: [embed(t).astype(np.float32).tolist() for t in rows[text]]})
 
     one = df.where(F.col(text).isNotNull()).select(text).distinct().mapInPandas(run, f"{text} string, {to} array<float>")
-    return df.join(one, text, "left")
+    # long texts meet on their hashes
+    keyed = lambda rows: rows.withColumn("_hash", F.xxhash64(text))
+    return keyed(df).join(keyed(one), ["_hash", text], "left").select(*df.columns, to)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import json_repair, text
 from lumentrace.operators import bootstrap, clustering, filters, grouping, metrics, naming, ranking, reshape
 from lumentrace.operators.providers import CallCache, Provider, embedded, hashing_embedder
+from lumentrace.plans.expressions import custom_sql
 from lumentrace.session import written
 from lumentrace.sources import loaders
 
@@ -44,8 +44,6 @@ class Dataset:
 
 
 Stage = Callable[[Dataset], Dataset]
-#: Functions that call other code or read files, and so have no place in a user's expression.
-OUTSIDE = {"java_method", "reflect", "try_reflect", "read_files"}
 #: Parts of a dataset that stages hand on as rows.
 PARTS = ("conversations", "battles", "scores", "answers", "properties", "failures", "members")
 
@@ -337,13 +335,3 @@ def snapshot(path: str) -> Callable[[str, Dataset], None]:
 def parse_summary(data: Dataset) -> DataFrame:
     """Failures by type."""
     return grouping.counts(data.failures, "error_type")
-
-
-def custom_sql(df: DataFrame, sql: str) -> DataFrame:
-    """A SELECT over ``df``; other statements are refused, and functions that reach out of the query."""
-    bare = re.sub(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\"""", "''", sql).lower()
-    if not bare.lstrip().startswith(("select", "with")) or ";" in bare:
-        raise ValueError("only one SELECT is allowed")
-    if found := sorted(set(re.findall(r"\w+", bare)) & OUTSIDE) or re.findall(r"\busing\s+''", bare):
-        raise ValueError(f"not allowed: {', '.join(found)}")
-    return df.sparkSession.sql(sql, df=df)

@@ -384,13 +384,72 @@ def test_hierarchical_clusters_and_progress(spark, tmp_path):
         pipeline.chosen(pipeline.METRICS, "nowhere")
 
 
-def test_custom_sql_is_one_harmless_select(spark):
-    df = spark.createDataFrame([(1, "a;b")], "n long, s string")
-    assert pipeline.custom_sql(df, "SELECT count(*) AS c FROM {df} WHERE s = 'a;b'").first().c == 1
-    assert pipeline.custom_sql(df, "SELECT a.n FROM {df} a JOIN {df} b USING (n)").count() == 1
-    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT TRANSFORM(n) USING 'rm' FROM {df}"):
+def test_custom_sql_is_one_harmless_select(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a;b"), (2, "c")], "n long, s string")
+    df.write.parquet(f"{tmp_path}/t")
+    df.createOrReplaceTempView("a_view")
+    good = {
+        "SELECT count(*) AS c FROM {df} WHERE s = 'a;b'": 1, "SELECT a.n FROM {df} a JOIN {df} b USING (n)": 2, "WITH x AS (SELECT * FROM {df}), y AS (SELECT n FROM x WHERE n > (SELECT min(n) FROM x)) SELECT * FROM y": 1,
+        "SELECT n, row_number() OVER (PARTITION BY s ORDER BY n) AS r, transform(array(n), v -> v + 1) AS t FROM {df} WHERE EXISTS (SELECT 1 FROM {df} b WHERE b.n = 2) AND n IN (SELECT n FROM {df})": 2,
+        "SELECT s, x FROM {df} LATERAL VIEW explode(split(s, ';')) t AS x": 3, "SELECT s, count(*) FROM {df} GROUP BY s HAVING count(*) > 0 ORDER BY s LIMIT 1": 1,
+        "SELECT n FROM {df} UNION ALL SELECT * FROM VALUES (1), (2)": 4, "SELECT * FROM {df} PIVOT (sum(n) FOR s IN ('c', 'd'))": 1, "SELECT 1": 1,
+    }
+    for sql, n in good.items():
+        assert pipeline.custom_sql(df, sql).count() == n, sql
+    bad = [
+        "DROP TABLE x", "SELECT 1; SELECT 2", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT TRANSFORM(n) USING 'rm' FROM {df}", f"SELECT * FROM parquet.`{tmp_path}/t`",
+        "SELECT * FROM a_view", "SELECT * FROM {df} WHERE n IN (SELECT n FROM a_view)", "SELECT (SELECT max(n) FROM a_view) FROM {df}", "WITH x AS (SELECT * FROM a_view) SELECT * FROM x", "TABLE a_view",
+        "SELECT * FROM range(5)", "SELECT input_file_name() FROM {df}", "SELECT * FROM IDENTIFIER('a_view')", "SELECT IDENTIFIER('reflect')('java.lang.System', 'exit', 1)", "SELECT * FROM {df} JOIN LATERAL (SELECT * FROM a_view)",
+        "INSERT INTO a_view SELECT * FROM {df}", "SET spark.x = 1", "SELECT spark_catalog.default.f(n) FROM {df}", "SELECT java_method('a', 'b')", "SELECT {other}", "", "SELECT sum(CASE WHEN EXISTS (SELECT 1 FROM a_view) THEN 1 END) FROM {df}",
+        "FROM {df} |> JOIN a_view USING (n)", "SELECT array(n, (SELECT min(n) FROM a_view)) FROM {df}", "EXPLAIN SELECT 1", "SELECT * FROM a_view.files",
+    ]
+    for sql in bad:
         with pytest.raises(ValueError):
-            pipeline.custom_sql(df, bad)
+            pipeline.custom_sql(df, sql)
+
+
+def test_texts_that_contain_parts(spark):
+    """Against all pairs: repeated rows, parts with one beginning, short, empty and null ones, texts shorter than a run."""
+    rnd = random.Random(6)
+    say = lambda n: "".join(rnd.choice("abé/") for _ in range(n))
+    texts = [f"site/{say(rnd.choice([0, 3, 12, 40]))}" for _ in range(120)] + ["", None, "a", "ab"] * 2 + ["site/x"] * 3
+    parts = ["site/", *(f"site/{say(2)}" for _ in range(30)), *(say(k) for k in (1, 2, 3, 4, 5, 6) for _ in range(6)), "", None, "nowhere at all"]
+    left = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "n int, text string").repartition(4)
+    right = spark.createDataFrame([(p, len(p or "")) for p in parts], "part string, size int").repartition(3)
+    found = sorted(map(tuple, joins.containing(left, right, "text", "part").collect()), key=str)
+    want = [(i % 50, t, p, len(p)) for i, t in enumerate(texts) if t is not None for p in [min((p for p in parts if p and p in t), default=None)] if p is not None]
+    assert found == sorted(want, key=str)
+
+
+@pytest.mark.parametrize(("block", "most"), [(10**6, 1), (8 * 3 * 7, 1), (8 * 3 * 7, 5), (1, 3)])
+def test_closest_in_blocks(spark, block, most):
+    """Coarse vectors in matrices of bounded size give what all pairs give, with ties to the smaller id."""
+    rng = np.random.default_rng(3)
+    fine, coarse = rng.integers(-2, 3, (60, 3)).astype(float), rng.integers(-2, 3, (25, 3)).astype(float)
+    unit = lambda v: v / np.linalg.norm(v) if v.any() else v * np.nan
+    frames = [spark.createDataFrame([(f"{name}{i:02}", v.tolist()) for i, v in enumerate(x)], f"{name} string, embedding array<double>").repartition(4) for name, x in (("f", fine), ("c", coarse))]
+    got = {r.f: [(x.away, x.c) for x in r.near] for r in clustering.closest(*frames, "f", "c", most, block_bytes=block).collect()}
+    for i, v in enumerate(fine):
+        away = [(2.0 if np.isnan(s := unit(v) @ unit(c)) else -round(float(s), 9) + 0.0, f"c{j:02}") for j, c in enumerate(coarse)]
+        assert [c for _, c in got[f"f{i:02}"]] == [c for _, c in sorted(away)[:most]]
+    assert clustering.nearest(frames[0], frames[1].limit(0), "f", "c").collect() == []
+
+
+def test_requests_to_match_hold_few_options(spark, tmp_path):
+    """However many labels there are, a request shows the closest ones alone."""
+    from lumentrace.operators import naming
+
+    fine = spark.createDataFrame([(f"word{i} shared",) for i in range(30)], "label string")
+    coarse = spark.createDataFrame([(f"word{i} group",) for i in range(40)] + [(None,)], "label string")
+
+    def provider(request):
+        options = request.split("[options]\n", 1)[1].split("\n\n")[0].strip().split("\n")
+        assert len(options) <= 5
+        word = request.rsplit("\n", 1)[-1].split()[0]
+        return next((o for o in options if o.split()[0] == word), "Outliers")
+
+    got = {r.label: r.coarse for r in naming.matched(fine, coarse, provider, providers.CallCache(spark, f"file://{tmp_path}/m"), most=5).collect()}
+    assert sum(got[f"word{i} shared"] == f"word{i} group" for i in range(30)) >= 28 and len(got) == 30
 
 
 def test_prompts(spark):
