@@ -328,24 +328,29 @@ def strata_trees(points: DataFrame, reduce_to: int = spanning.REDUCE) -> DataFra
     return tree
 
 
-def cluster_strata(values: DataFrame, min_cluster_size: int, min_samples: int = 1, scale: bool = True, block: int = BLOCK, epsilon: float = 0.0, reduce_to: int = spanning.REDUCE) -> DataFrame:
-    """(stratum, value, cluster): density clusters of each stratum's distinct values (stratum, value, embedding); -1 is noise.
-
-    All values take part, whatever their number. Clusters are numbered from 0 in order of their first value. A null stratum
-    is a stratum of its own; values without an embedding are noise. Clusters that are closer than ``epsilon`` stay together;
-    it is a distance of the standardised vectors if they are scaled.
-    """
+def prepared(values: DataFrame, min_samples: int = 1, scale: bool = True, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the distinct values under numbers, and of their points (sid, vid, stratum, x, n, k, blocks, blk), which are scaled."""
     one = values.groupBy("stratum", "value").agg(F.first("embedding", ignorenulls=True).alias("x"))
     rows = written(loaders.indexed(one, "stratum", "value").withColumnRenamed("row_idx", "vid"), "values")
     strata = rows.where("x is not null").groupBy("stratum").agg(F.min("vid").alias("sid"), F.count("*").alias("n"))
     strata = strata.withColumns({"blocks": F.ceil(F.col("n") / block).cast("int"), "k": F.least(F.lit(min_samples), F.col("n") - 1).cast("int")})
     of = strata.withColumnRenamed("stratum", "_s")
     points = rows.where("x is not null").join(of, F.col("stratum").eqNullSafe(F.col("_s"))).where("n > 1")
-    points = points.select("sid", "vid", F.col("x").cast("array<double>").alias("x"), "n", "k", "blocks", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("blk"))
+    points = points.select("sid", "vid", "stratum", F.col("x").cast("array<double>").alias("x"), "n", "k", "blocks", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("blk"))
     if scale:
         by = _moments(points).join(strata.select("sid", "blocks"), "sid").withColumn("blk", F.explode(F.expr("sequence(0, blocks - 1)")))
         points = points.groupBy("sid", "blk").cogroup(by.groupBy("sid", "blk")).applyInPandas(_scaled, points.schema)
-    points = written(points, "points")
+    return rows, written(points, "points")
+
+
+def cluster_strata(values: DataFrame, min_cluster_size: int, min_samples: int = 1, scale: bool = True, block: int = BLOCK, epsilon: float = 0.0, reduce_to: int = spanning.REDUCE) -> DataFrame:
+    """(stratum, value, cluster): density clusters of each stratum's distinct values (stratum, value, embedding); -1 is noise.
+
+    All values take part, whatever their number. Clusters are numbered from 0 in order of their first value. A null stratum
+    is a stratum of its own; values without an embedding are noise. Clusters that are closer than ``epsilon`` stay together;
+    it is a distance of the standardised vectors if they are scaled.
+    """
+    rows, points = prepared(values, min_samples, scale, block)
     tree = strata_trees(points, reduce_to)
     labels = written(tree.groupBy("sid").applyInPandas(lambda g: _labels(g, min_cluster_size, epsilon), "vid long, cluster long"), "labels")
     discard(points, tree)

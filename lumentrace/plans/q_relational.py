@@ -140,6 +140,16 @@ def join_substring_theta(spark, sf_dir):
     return joins.containing(pages, pages.select(F.substring("url", 9, 12).alias("item")).distinct(), "url", "item")
 
 
+@query("""WITH p AS (SELECT DISTINCT substr(event_type, 1 + (event_id % 3)::BIGINT, 2 + (event_id % 5)::BIGINT) AS part FROM events WHERE event_id % 7 <> 3),
+    t AS (SELECT event_type, min(part) AS part FROM (SELECT DISTINCT event_type FROM events) JOIN p ON part <> '' AND contains(event_type, part) GROUP BY 1)
+    SELECT event_type || user_id % 3 AS text, part FROM events JOIN t USING (event_type)""")
+def join_substring_repeats(spark, sf_dir):
+    """Texts that many rows share with the smallest of the parts that they hold, short parts and longer ones; each row has its own."""
+    e = table(spark, sf_dir, "events")
+    parts = e.where("event_id % 7 <> 3").select(F.substr("event_type", (F.col("event_id") % 3 + 1).cast("int"), (F.col("event_id") % 5 + 2).cast("int")).alias("part")).distinct()
+    return joins.containing(e.select(F.concat("event_type", (F.col("user_id") % 3).cast("string")).alias("text")), parts, "text", "part")
+
+
 @query("""SELECT doc_id, lang AS prompt, source AS model FROM documents WHERE lang IN
     (SELECT lang FROM documents WHERE source IN ('src1', 'src2') GROUP BY lang HAVING count(DISTINCT source) = 2)""")
 def join_semi_paired(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumentrace.functions import json_repair, messages, text
@@ -200,6 +201,34 @@ def hdbscan_labels(spark, sf_dir):
     return clustering.cluster_strata(values, min_cluster_size=5)
 
 
+_BLOBS = """c AS (SELECT n_regionkey AS stratum, c_custkey AS value, CASE WHEN c_custkey > 20 THEN c_custkey % 3 END AS blob FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    b AS (SELECT stratum, blob, row_number() OVER (PARTITION BY stratum ORDER BY min(value)) - 1 AS cluster FROM c WHERE blob IS NOT NULL GROUP BY stratum, blob)"""
+
+
+def _blobs(spark, sf_dir):
+    """Customers of a region in a plane: three lines of customers one apart, far from each other, and twenty customers alone, ever farther."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.select(F.col("n_regionkey").alias("stratum"), F.col("c_custkey").alias("value"), F.when(F.col("c_custkey") > 20, F.col("c_custkey") % 3).alias("blob"))
+    place = F.row_number().over(Window.partitionBy("stratum", "blob").orderBy("value")).cast("double")
+    at = F.when(F.col("blob").isNull(), F.array(F.lit(0.0), F.pow(F.lit(2.0), place) * 1e9)).otherwise(F.array(F.col("blob") * 1e7, place))
+    return c.select("stratum", "value", at.alias("embedding"))
+
+
+@query(f"WITH {_BLOBS} SELECT c.stratum, value, coalesce(cluster, -1) AS cluster FROM c LEFT JOIN b ON c.stratum = b.stratum AND c.blob = b.blob")
+def density_clusters(spark, sf_dir):
+    """Clusters that stand apart: the parts into which links shorter than the way between the lines tie the customers; those alone are noise."""
+    return clustering.cluster_strata(_blobs(spark, sf_dir), min_cluster_size=5, scale=False)
+
+
+@query(f"WITH {_BLOBS} SELECT stratum, count(*) - 1 AS n_edges, count(*) FILTER (blob IS NULL) + count(DISTINCT blob) - 1 AS long_edges FROM c GROUP BY stratum")
+def spanning_trees(spark, sf_dir):
+    """The tree of each region's customers by rounds over all links that blocks of them leave: its links, and the long ones."""
+    points = clustering.prepared(_blobs(spark, sf_dir), scale=False)[1]
+    tree = clustering.strata_trees(points, reduce_to=1000)
+    names = points.groupBy("sid").agg(F.first("stratum").alias("stratum"))
+    return tree.groupBy("sid").agg(F.count("*").alias("n_edges"), F.sum((F.col("d") > 2).cast("long")).alias("long_edges")).join(names, "sid").select("stratum", "n_edges", "long_edges")
+
+
 @query("SELECT doc_id AS property_id, CASE WHEN lang IN ('de', 'en') THEN lang ELSE 'Other' END AS cluster_label, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END::BIGINT AS cluster_id FROM documents")
 def taxonomy_assign(spark, sf_dir):
     taxonomy = spark.createDataFrame([("de", 0), ("en", 1)], "label string, id long")
