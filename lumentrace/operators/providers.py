@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import time
-import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumentrace.operators.call_runs import MOST_RUNS, STALE, Runs
+
 Provider = Callable[[str], str | None]
 Embedder = Callable[[str], np.ndarray]
 
@@ -48,29 +49,34 @@ def called(requests: DataFrame, provider: Provider, workers: int = 8) -> DataFra
 
 
 class CallCache:
-    """A folder of Parquet tables of (key, request, response), one for each round of calls; failures are not kept, so they are tried again.
+    """Answers under hashes of their requests in a shared folder; failures are not kept, so they are tried again.
 
-    A frame reads the tables that there were when it was made, by their own paths: Spark takes two reads of one path for the
-    same scan, and a plan with an older read in it would answer the newer one with the older files.
+    A frame reads the runs that there were when it was made. Several sessions may share a cache: each request is called by
+    one of them, and the others wait for the answer (``call_runs``).
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, most_runs: int = MOST_RUNS, stale: float = STALE):
+        self.spark, self.path, self.most_runs = spark, path, most_runs
+        self.runs = Runs(spark, path, buckets, stale)
 
     def table(self) -> DataFrame:
-        schema = "key string, request string, response string"
-        pattern = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/calls-*/_SUCCESS")
-        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-        paths = sorted(str(f.getPath().getParent()) for f in found or ())
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.runs.table()
 
     def complete(self, df: DataFrame, request: str, provider: Provider, to: str = "response") -> DataFrame:
         """``df`` with the response to each request; null where the provider failed or the request is null."""
         keyed = df.withColumn("_key", F.sha2(F.col(request), 256))
         wanted = keyed.where(F.col(request).isNotNull()).select(F.col("_key").alias("key"), F.col(request).alias("request")).distinct()
-        todo = wanted.join(self.table().select("key"), "key", "left_anti")
-        called(todo, provider).where("response is not null").write.parquet(f"{self.path}/calls-{uuid.uuid4().hex}")
-        return keyed.join(self.table().select(F.col("key").alias("_key"), F.col("response").alias(to)), "_key", "left").drop("_key")
+        claim, own, others = self.runs.claim(wanted)
+        try:
+            if not own.isEmpty():
+                self.runs.write(called(own, provider).where("response is not null"))
+        finally:
+            self.runs.release(claim)
+        if others:
+            self.runs.wait()
+            return self.complete(df, request, provider, to)
+        self.runs.compact(self.most_runs)
+        return self.runs.answers(keyed, "_key", to).drop("_key")
 
 
 def hashing_embedder(size: int = 64) -> Callable[[str], np.ndarray]:

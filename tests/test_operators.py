@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import json_repair, messages, text
 from lumentrace.operators import bootstrap, clustering, filters, grouping, joins, metrics, naming, prompts, providers, ranking, reshape
 from lumentrace.plans import pipeline
+from lumentrace.session import setting
 from lumentrace.sources import loaders, traces
 
 
@@ -253,6 +254,67 @@ def test_call_cache_calls_once(spark, tmp_path):
     assert sorted(r.response or "" for r in again) == ["", "A", "A", "B"]
 
 
+def test_call_cache_compacts_and_moves_only_the_requests(spark, tmp_path):
+    """Runs are merged, each request is called once in all, and no plan exchanges or sorts a run."""
+    cache = providers.CallCache(spark, f"file://{tmp_path}/calls", buckets=3, most_runs=2)
+    log = tmp_path / "log"
+
+    def provider(request):
+        with log.open("a") as f:
+            f.write(request + "\n")
+        return None if request == "r3" else request.upper()
+
+    frames = []
+    for k in range(5):
+        df = spark.createDataFrame([(f"r{i}",) for i in range(k, k + 4)], "request string")
+        frames.append(cache.complete(df, "request", provider))
+        assert len(cache.runs.names()) <= 2
+    calls = log.read_text().split()
+    assert sorted(set(calls)) == [f"r{i}" for i in range(8)] and all(calls.count(f"r{i}") == 1 for i in range(8) if i != 3) and calls.count("r3") > 1
+    for k, frame in enumerate(frames):  # also those whose runs have been merged since
+        assert {r.request: r.response for r in frame.collect()} == {f"r{i}": None if i == 3 else f"R{i}" for i in range(k, k + 4)}
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"), setting(spark, "spark.sql.adaptive.enabled", "false"):
+        plan = cache.complete(df, "request", provider)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Bucketed: true") == len(cache.runs.names())
+    assert plan.count("Exchange hashpartitioning") == 1
+    cache.runs.vacuum()
+    assert len(list((tmp_path / "calls").glob("run-*"))) == len(cache.runs.names())
+    assert {r.response for r in providers.CallCache(spark, f"file://{tmp_path}/calls").complete(df, "request", provider).collect()} == {"R4", "R5", "R6", "R7"}
+
+
+def test_two_writers_call_each_request_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def provider(request):
+        import time
+        import uuid
+
+        (log / f"{request}-{uuid.uuid4().hex}").touch()
+        time.sleep(0.3)
+        return request.upper()
+
+    df = spark.createDataFrame([(f"r{i}",) for i in range(12)], "request string")
+
+    def work(part):
+        return {r.request: r.response for r in providers.CallCache(spark, f"file://{tmp_path}/calls", 2).complete(part, "request", provider).collect()}
+
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(work, (df, df.where("request <> 'r0'")))
+    assert a == {f"r{i}": f"R{i}" for i in range(12)} and len(b) == 11
+    assert sorted(p.name.split("-")[0] for p in log.iterdir()) == sorted(a)
+
+
+def test_locks_and_claims_that_were_left_behind(spark, tmp_path):
+    cache = providers.CallCache(spark, f"file://{tmp_path}/calls", 2, stale=1.0)
+    df = spark.createDataFrame([("a",)], "request string")
+    cache.runs.claim(df.selectExpr("sha2(request, 256) as key", "request"))
+    (tmp_path / "calls" / "lock").touch()
+    assert cache.complete(df, "request", lambda r: r.upper()).first().response == "A"
+
+
 def test_explain_side_by_side(spark, tmp_path):
     rows = [(str(i), "p", "m1", "m2", f"red apple {i % 2}", "blue pear", "m1") for i in range(12)]
     df = spark.createDataFrame(rows, "question_id string, prompt string, model_a string, model_b string, model_a_response string, model_b_response string, winner string")
