@@ -140,6 +140,37 @@ def test_classifier_queries(spark, docs, name, label, parts, fold, limit):
         assert r.held_out == (zlib.crc32(str(d).encode()) % parts == fold) and 0 <= r.score <= 1 and r.predicted == int(r.score >= limit)
 
 
+def test_scores_restated(spark, docs):
+    """Scores of documents from the fitted models, said again without the operators' batches, memos and tables."""
+    import pickle
+
+    import zstandard
+
+    tables = [queries.table(spark, SF, t) for t in ("documents", "labels")]
+    base, extra, ratio, weights = pickle.loads(toxicity.model(*tables))
+
+    def size(content, window):
+        parameters = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, search_log=8, min_match=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters).compress(window + bytes(64)))
+
+    def toxic(text):
+        told = {w: b" " + w + b" " for w in set(text.encode().lower().split())}
+        gain = {w: min(31, max(0, size(base, x) - size(base + extra, x) + 2)) for w, x in told.items()}
+        logs = [ratio[min(len(told[w]), 31) * 32 + gain[w]] for w in text.encode().lower().split()]
+        z = np.log(1 + sum(r for r in logs if r > 1)) * weights[0] + (max(logs) if logs else 0.0) * weights[1] + weights[2]
+        return 1 / (1 + np.exp(-z))
+
+    scores = {r.doc_id: r.score for r in rows_of(spark, "op7_toxicity")}
+    some = sorted(docs, key=lambda d: (len(docs[d]) > 2000, -scores[d]))[:12]
+    assert [scores[d] for d in some] == pytest.approx([toxic(docs[d]) for d in some], abs=1e-9)
+    weight, square, b, slope, constant = pickle.loads(quality.model(*tables))
+    scores = {r.doc_id: r.score for r in rows_of(spark, "op10_quality")}
+    for d in sorted(docs)[::10]:
+        x = next(iter(quality.features(pa.array([docs[d]])))).tolist()
+        margin = sum(float(weight[i]) for i in x) / max(1e-9, sum(float(square[i]) for i in x) ** 0.5) + b if x else b
+        assert scores[d] == pytest.approx(1 / (1 + np.exp(-(slope * margin + constant))), abs=1e-4)
+
+
 def test_quality_separates_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = dict(duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet' where quality is not null").fetchall())
