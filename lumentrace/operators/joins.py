@@ -85,6 +85,16 @@ def answered_by_all(df: DataFrame, models: list[str], prompt: str = "prompt") ->
     return df.join(done.select(prompt), prompt, "left_semi")
 
 
+def with_row_index(properties: DataFrame, rows: DataFrame, side_by_side: bool = False, index: str = "row_idx") -> DataFrame:
+    """Properties with the index of the row that they come from, by question and model; side by side both models of a row lead to it.
+
+    Of rows that share a question and model the last counts; a property without a row has no index.
+    """
+    models = F.explode(F.array_distinct(F.array("model_a", "model_b"))) if side_by_side else F.col("model")
+    keyed = rows.select("question_id", models.alias("model"), F.col(index)).groupBy("question_id", "model").agg(F.max(index).alias(index))
+    return properties.drop(index).join(keyed, ["question_id", "model"], "left")
+
+
 def without_properties(conversations: DataFrame, properties: DataFrame) -> DataFrame:
     return conversations.join(properties.select("question_id", "model").distinct(), ["question_id", "model"], "left_anti")
 

@@ -102,10 +102,17 @@ class Pipeline:
 
 
 def prepare(df: DataFrame, method: str, mapping: dict[str, str] | None = None, score_columns: list[str] | None = None, sample_size: int | None = None) -> DataFrame:
-    """Renamed, scored, sampled and checked input, with question_id filled in and row_idx in order of prompt."""
+    """Renamed, scored, sampled and checked input, with question_id filled in and row_idx in order of prompt.
+
+    Side by side a metric ``m`` of ``score_columns`` is in two columns, ``m_a`` and ``m_b``.
+    """
     if mapping:
         df = reshape.rename(df, mapping, [])
-    if score_columns:
+    if score_columns and method == "side_by_side":
+        filters.require_columns(df, [f"{c}_{s}" for c in score_columns for s in "ab"])
+        for s in "ab":
+            df = reshape.scores_to_map(df, [f"{c}_{s}" for c in score_columns], f"_{s}", f"score_{s}")
+    elif score_columns:
         df = reshape.scores_to_map(df, score_columns)
     if method == "single_model" and "model" not in df.columns:
         df = df.withColumn("model", F.lit("model"))
@@ -137,6 +144,18 @@ def dataset(df: DataFrame, method: str) -> Dataset:
     return Dataset(df.select(*kept), battles, scores)
 
 
+def wide(data: Dataset) -> DataFrame:
+    """One row for each property of each conversation, with the conversation's scores and the property's cluster; all conversations stay."""
+    out = data.conversations
+    if data.scores is not None:
+        out = out.join(data.scores.withColumnRenamed("conversation_id", "question_id"), ["question_id", "model"], "left")
+    rows = data.members if data.members is not None else data.properties
+    if rows is not None:
+        taken = set(out.columns) - {"question_id", "model"}
+        out = out.join(rows.select(*[c for c in rows.columns if c not in taken]), ["question_id", "model"], "left")
+    return out
+
+
 def extraction(provider: Provider, cache: CallCache, instructions: str = INSTRUCTIONS, pair_instructions: str = PAIR_INSTRUCTIONS) -> Stage:
     """One model call for each conversation, or for each battle, which shows both answers and neither model's name."""
 

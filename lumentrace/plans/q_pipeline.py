@@ -138,9 +138,10 @@ def filter_type_and_impact(spark, sf_dir):
     return filters.of_type_and_impact(rows, "C").select("id")
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+@query("SELECT conv_id, coalesce(string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (text IS NOT NULL), '') AS text FROM conversations GROUP BY conv_id")
 def trajectory_texts(spark, sf_dir):
-    rows = messages.conversations(table(spark, sf_dir, "conversations").where("text is not null"))
+    """All turns of a conversation as lines; a turn without text gives none, a conversation without any an empty text."""
+    rows = messages.conversations(table(spark, sf_dir, "conversations"))
     return rows.select("conv_id", traces.trajectory_text(F.col("messages")).alias("text"))
 
 

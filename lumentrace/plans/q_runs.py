@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from lumentrace.functions import json_repair, messages, text
-from lumentrace.operators import clustering, filters, grouping, naming, providers, reports, reshape
+from lumentrace.operators import clustering, filters, grouping, joins, naming, providers, reports, reshape
 from lumentrace.plans import pipeline, q_metrics, q_pipeline, q_text, runs
 from lumentrace.plans.facts import obs, rounded
 from lumentrace.session import shared_path, table
@@ -391,3 +391,95 @@ def report_payload(spark, sf_dir):
     shown = reports.payload(tables)
     assert shown["metrics"] == ["discount", "quantity"]
     return rounded(spark.createDataFrame(shown["model_scores"], tables["model_scores"].schema))
+
+
+# --- shapes of whole datasets ---
+
+_PAIRED = """SELECT o_orderkey::VARCHAR AS id, o_totalprice::DOUBLE AS price_a, (o_totalprice * (1 + o_orderkey % 3))::DOUBLE AS price_b, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 END::DOUBLE AS rank_a, 1.5::DOUBLE AS rank_b FROM orders"""
+
+
+def _sides(spark, sf_dir):
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("double")
+    return o.select(
+        key.cast("string").alias("question_id"), F.lit("?").alias("prompt"), F.lit("x").alias("model_a"), F.lit("y").alias("model_b"), F.lit("yes").alias("model_a_response"), F.lit("no").alias("model_b_response"),
+        price.alias("price_a"), (price * (1 + key % 3)).alias("price_b"), F.when(key % 5 > 0, key % 7).alias("rank_a"), F.lit(1.5).alias("rank_b"),
+    )
+
+
+@query(f"WITH p AS ({_PAIRED}) SELECT id AS conversation_id, 'x' AS model, round(price_a, 3) AS price, rank_a AS rank FROM p UNION ALL SELECT id, 'y', round(price_b, 3), rank_b FROM p")
+def scores_side_by_side(spark, sf_dir):
+    """Scores of both sides from columns that end in _a and _b."""
+    rows = pipeline.prepare(_sides(spark, sf_dir), "side_by_side", score_columns=["price", "rank"])
+    return rounded(pipeline.dataset(rows, "side_by_side").scores, 3)
+
+
+@query("""WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey::VARCHAR) - 1 AS row_idx FROM orders)
+    SELECT l_orderkey AS question_id, l_linenumber AS n, CASE WHEN l_linenumber % 3 < 2 THEN row_idx END AS row_idx FROM lineitem JOIN i ON l_orderkey = o_orderkey""")
+def property_row_index(spark, sf_dir):
+    """Properties of both models of a battle with the battle's row; those of another model have none."""
+    rows = pipeline.prepare(_sides(spark, sf_dir).select("question_id", "prompt", "model_a", "model_b", "model_a_response", "model_b_response"), "side_by_side")
+    side = F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("question_id"), side.alias("model"), F.col("l_linenumber").alias("n"))
+    return joins.with_row_index(found, rows, side_by_side=True).select(F.col("question_id").cast("long").alias("question_id"), "n", "row_idx")
+
+
+@query("""SELECT d.doc_id::VARCHAR AS question_id, source AS model, quality::DOUBLE AS quality, CASE WHEN d.doc_id % 3 > 0 THEN lang END AS cluster_label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def wide_dataset(spark, sf_dir):
+    """Conversations with their scores, properties and clusters in one frame; those without a property stay."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("question_id"), F.col("source").alias("model"), "doc_id", "lang")
+    scores = d.join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("question_id").alias("conversation_id"), "model", F.col("quality").cast("double").alias("quality"))
+    members = d.where("doc_id % 3 > 0").select("question_id", "model", F.col("lang").alias("cluster_label"))
+    data = pipeline.Dataset(d.select("question_id", "model"), scores=scores, members=members)
+    return pipeline.wide(data).select("question_id", "model", "quality", "cluster_label")
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 4 > 0 THEN '{"n_regionkey":' || n_regionkey || ',"n_name":"' || n_name || '"}' ELSE '{"n_regionkey":' || n_regionkey || '}' END AS meta FROM nation""")
+def unknown_columns(spark, sf_dir):
+    """Columns that are not known as one JSON text, without those that are null."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.when(F.col("n_nationkey") % 4 > 0, F.col("n_name")).alias("n_name"))
+    return loaders.meta(n, ["n_nationkey"])
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN value END AS value, event_id % 4 = 0 AS finite FROM events")
+def json_safe_numbers(spark, sf_dir):
+    """Numbers that JSON lacks as null, read back from JSON lines."""
+    path, x = shared_path(spark, "numbers"), F.col("event_id") % 4
+    odd = F.when(x == 0, F.col("value")).when(x == 1, F.lit(float("nan"))).when(x == 2, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    loaders.save(table(spark, sf_dir, "events").select("event_id", odd.alias("value")), path, "jsonl")
+    return spark.read.schema("event_id long, value double").json(path).select("event_id", "value", F.col("value").isNotNull().alias("finite"))
+
+
+def _pretty(request: str) -> str | None:
+    name = request.rsplit("\n", 1)[-1]
+    return None if name.startswith("B") else f'"{name.lower()[:3]}*": {name}'
+
+
+@query("SELECT c_custkey AS cluster_id, CASE WHEN c_mktsegment LIKE 'B%' THEN c_mktsegment ELSE '**' || lower(c_mktsegment[1:3]) || ':** ' || c_mktsegment END AS label FROM customer")
+def pretty_labels(spark, sf_dir):
+    """Labels with a summary before them, asked for once each; a label whose call fails stays."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cluster_id"), F.col("c_mktsegment").alias("label"))
+    return naming.prettified(names, _pretty, q_pipeline._cache(spark))
+
+
+@query(q_metrics.ORACLE_SQL["metrics_model"])
+def chosen_metrics(spark, sf_dir):
+    """Metric tables by the stage that the registry has for the method."""
+    facts, scores = obs(spark, sf_dir)
+    members = facts.withColumnsRenamed({"conversation_id": "question_id", "cluster": "cluster_label"})
+    made = pipeline.chosen(pipeline.METRICS, "single_model")(pipeline.Dataset(members, scores=scores, members=members))
+    return rounded(made.tables["model_scores"])
+
+
+@query("""WITH b AS (SELECT conv_id, turn // 2, max(CASE WHEN turn % 2 = 0 THEN text END) AS first, max(CASE WHEN turn % 2 = 1 THEN text END) AS second FROM conversations GROUP BY 1, 2)
+    SELECT model, count(*) AS n FROM (SELECT unnest(['one', 'two']) AS model FROM b WHERE first IS NOT NULL AND second IS NOT NULL) GROUP BY model""")
+def tidy_run(spark, sf_dir):
+    """A configured run over a tidy table that compares two models: the prompts that both answered become battles."""
+    path = shared_path(spark, "run")
+    rows = table(spark, sf_dir, "conversations")
+    rows = rows.select(F.concat_ws("-", "conv_id", F.expr("turn div 2")).alias("prompt"), F.when(F.col("turn") % 2 == 0, "one").otherwise("two").alias("model"), F.col("text").alias("model_response"))
+    loaders.save(rows, f"{path}/in.parquet")
+    config = {"data_path": f"{path}/in.parquet", "output_dir": f"{path}/out", "model_a": "one", "model_b": "two"}
+    provider = lambda request: json.dumps([{"model": f"Model {x}", "property_description": "says something", "behavior_type": "Style"} for x in "AB"])
+    out = runs.run(spark, config, provider)
+    return out.tables["model_scores"].select("model", "size").withColumnRenamed("size", "n")

@@ -120,15 +120,18 @@ def save_metrics(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def load_metrics(spark: SparkSession, path: str) -> dict[str, DataFrame | None]:
-    """The metric tables that are there, None for the others."""
+    """The metric tables that are there, from JSON lines or else from a JSON array, None for the others."""
     from pyspark.sql.utils import AnalysisException
 
     out: dict[str, DataFrame | None] = {}
     for name in ("model_cluster_scores", "cluster_scores", "model_scores"):
-        try:
-            out[name] = spark.read.json(f"{path}/{name}_df.jsonl")
-        except AnalysisException:
-            out[name] = None
+        out[name] = None
+        for suffix, array in (("_df.jsonl", False), ("_df.json", True), (".json", True)):
+            try:
+                out[name] = spark.read.json(f"{path}/{name}{suffix}", multiLine=array)
+                break
+            except AnalysisException:
+                continue
     return out
 
 
