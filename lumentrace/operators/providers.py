@@ -6,6 +6,7 @@ Model calls never stand inside a plan that may be recomputed: what the cache lac
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentrace.operators.call_runs import MOST_RUNS, STALE, Runs
+from lumentrace.session import written
 
 Provider = Callable[[str], str | None]
 Embedder = Callable[[str], np.ndarray]
@@ -36,11 +38,37 @@ def retried(provider: Provider, tries: int = 3, wait: float = 0.0) -> Provider:
     return call
 
 
-def called(requests: DataFrame, provider: Provider, workers: int = 8) -> DataFrame:
+class Pace:
+    """Waits so that at most ``per_second`` calls begin in a second, whatever the number of threads."""
+
+    def __init__(self, per_second: float):
+        self.gap, self.next, self.lock = 1 / per_second, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        with self.lock:
+            at = max(self.next, time.monotonic())
+            self.next = at + self.gap
+        time.sleep(max(0.0, at - time.monotonic()))
+
+
+def paced(provider: Provider, per_second: float) -> Provider:
+    """The provider at a bounded pace in each task; attempts that ``retried`` repeats count too."""
+    made: list[Pace] = []
+
+    def call(request: str) -> str | None:
+        if not made:
+            made.append(Pace(per_second))
+        made[0].wait()
+        return provider(request)
+
+    return call
+
+
+def called(requests: DataFrame, provider: Provider, workers: int = 8, tries: int = 3) -> DataFrame:
     """(key, request, response) of distinct requests (key, request), with a bounded pool of threads in each task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = retried(provider)
+        call = retried(provider, tries)
         for rows in batches:
             with ThreadPoolExecutor(workers) as pool:
                 yield rows.assign(response=list(pool.map(call, rows["request"])))
@@ -79,6 +107,21 @@ class CallCache:
         return self.runs.answers(keyed, "_key", to).drop("_key")
 
 
+def embedded_by_calls(df: DataFrame, text: str, provider: Provider, cache: CallCache, to: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Rows with the vectors that a provider answers as JSON arrays, and the dead letters (text, reason) of texts without one.
+
+    Each distinct text is called once in all: answers are in the cache, so a run after a failure calls only what failed, and
+    an answer that is not an array of numbers counts as one, which is not called again. Null texts are neither.
+    """
+    said = cache.complete(df.select(text).where(F.col(text).isNotNull()).distinct(), text, provider, "_said")
+    vector = F.from_json("_said", "array<float>")
+    sound = vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    told = written(said.select(text, F.when(sound, vector).alias(to), F.when(F.col("_said").isNull(), "no answer").when(~F.coalesce(sound, F.lit(False)), "no vector").alias("reason")), "vectors")
+    keyed = lambda rows: rows.withColumn("_hash", F.xxhash64(text))
+    out = keyed(df).join(keyed(told.select(text, to)), ["_hash", text], "left").select(*df.columns, to)
+    return out, told.where("reason is not null").select(text, "reason")
+
+
 def hashing_embedder(size: int = 64) -> Callable[[str], np.ndarray]:
     """A deterministic embedding without a model: signed counts of hashed words, at unit length."""
 

@@ -262,6 +262,27 @@ def cached_calls(spark, sf_dir):
     return cache.complete(rows, "event_type", _gone, "answer").select("event_id", "answer")
 
 
+def _vector(request: str) -> str:
+    return json.dumps([float(len(request)), 1.0])
+
+
+def _weak_vector(request: str) -> str | None:
+    """As ``_vector``, but out of service for names with a u, and in the wrong shape for those that begin with C."""
+    if "U" in request:
+        raise ConnectionError
+    return "[1, x" if request.startswith("C") else _vector(request)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_name NOT LIKE 'C%' OR n_name LIKE '%U%' THEN length(n_name)::DOUBLE END AS first, CASE WHEN n_name LIKE '%U%' THEN 'no answer' WHEN n_name LIKE 'C%' THEN 'no vector' END AS reason FROM nation")
+def embeddings_by_calls(spark, sf_dir):
+    """Vectors of names after a run that fails in part and one that is whole, with what the first could not embed."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    cache = q_pipeline._cache(spark)
+    _, dead = providers.embedded_by_calls(rows, "n_name", _weak_vector, cache)
+    out, _ = providers.embedded_by_calls(rows, "n_name", providers.paced(_vector, 500), cache)
+    return out.join(dead, "n_name", "left").select("n_nationkey", F.col("embedding")[0].cast("double").alias("first"), "reason")
+
+
 # --- streams ---
 
 

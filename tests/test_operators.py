@@ -307,6 +307,51 @@ def test_two_writers_call_each_request_once(spark, tmp_path):
     assert sorted(p.name.split("-")[0] for p in log.iterdir()) == sorted(a)
 
 
+def test_vectors_by_calls_that_fail(spark, tmp_path):
+    """A provider that fails every third text: the rest of the rows is whole after a second run, and each text is answered once."""
+    log = tmp_path / "log"
+
+    def provider(request):
+        if request.endswith(("0", "3", "6", "9")) and not (tmp_path / "sound").exists():
+            raise TimeoutError
+        with log.open("a") as f:
+            f.write(request + "\n")
+        return "[1.0, 2.5]" if request != "t1" else "none"
+
+    df = spark.createDataFrame([(i, f"t{i % 10}") for i in range(30)] + [(30, None)], "id int, text string")
+    cache = providers.CallCache(spark, f"file://{tmp_path}/calls", 2)
+    out, dead = providers.embedded_by_calls(df, "text", provider, cache)
+    assert {tuple(r) for r in dead.collect()} == {("t1", "no vector"), *((f"t{i}", "no answer") for i in (0, 3, 6, 9))}
+    assert out.where("embedding is null").count() == 16
+    (tmp_path / "sound").touch()
+    out, dead = providers.embedded_by_calls(df, "text", provider, cache)
+    assert [tuple(r) for r in dead.collect()] == [("t1", "no vector")] and out.where("embedding is null").count() == 4
+    assert sorted(log.read_text().split()) == [f"t{i}" for i in range(10)]
+
+
+def test_calls_keep_their_pace():
+    import time
+
+    began = time.monotonic()
+    call = providers.paced(lambda r: r, 50)
+    assert [call(str(i)) for i in range(11)] == [str(i) for i in range(11)] and time.monotonic() - began >= 0.19
+
+
+def test_shapes_of_datasets(spark, tmp_path):
+    rows = [("q1", "p", "a", "b", "x", "y", 1.0, 2.0), ("q2", "p", "a", "a", "x", "y", None, 3.0)]
+    df = spark.createDataFrame(rows, "question_id string, prompt string, model_a string, model_b string, model_a_response string, model_b_response string, acc_a double, acc_b double")
+    ready = pipeline.prepare(df, "side_by_side", score_columns=["acc"])
+    assert {(r.conversation_id, r.model): r.acc for r in pipeline.dataset(ready.where("question_id = 'q1'"), "side_by_side").scores.collect()} == {("q1", "a"): 1.0, ("q1", "b"): 2.0}
+    with pytest.raises(ValueError, match="other_a"):
+        pipeline.prepare(df, "side_by_side", score_columns=["other"])
+    properties = spark.createDataFrame([("q1", "a", 9), ("q1", "b", 9), ("q2", "a", 9), ("q2", "c", 9)], "question_id string, model string, row_idx int")
+    index = {(r.question_id, r.model): r.row_idx for r in joins.with_row_index(properties, ready, side_by_side=True).collect()}
+    assert index == {("q1", "a"): 0, ("q1", "b"): 0, ("q2", "a"): 1, ("q2", "c"): None}
+    (tmp_path / "cluster_scores.json").write_text('[{"cluster": "x",\n "size": 2}]')
+    found = loaders.load_metrics(spark, f"file://{tmp_path}")
+    assert [tuple(r) for r in found["cluster_scores"].collect()] == [("x", 2)] and found["model_scores"] is None
+
+
 def test_locks_and_claims_that_were_left_behind(spark, tmp_path):
     cache = providers.CallCache(spark, f"file://{tmp_path}/calls", 2, stale=1.0)
     df = spark.createDataFrame([("a",)], "request string")
