@@ -51,17 +51,30 @@ def payload(tables: dict[str, DataFrame]) -> dict:
     }
 
 
-def summary_text(cells: DataFrame, models: DataFrame, questions: int, k: int = 3) -> str:
-    """A plain text: models by their first quality metric and the most frequent clusters of each."""
+def summary_lines(cells: DataFrame, models: DataFrame, questions: int, k: int = 3) -> DataFrame:
+    """(part, place, line) of a plain text: a heading, models by their first quality metric, and the k most frequent clusters of each model."""
     names = quality_metrics(models.columns)
-    lines = [f"{questions} conversations, {models.count()} models"]
+    size = models.agg(F.format_string(f"{questions} conversations, %d models", F.count("*")).alias("line"))
+    out = size.select(F.lit(0).alias("part"), F.lit(1).alias("place"), "line")
     if names:
-        first = f"quality_{names[0]}"
-        lines += [f"{i + 1}. {r.model}: {names[0]} {r[first]:.3f}" for i, r in enumerate(models.where(F.col(first).isNotNull()).orderBy(F.col(first).desc(), "model").collect())]
+        first = F.col(f"quality_{names[0]}")
+        # as many rows as there are models
+        ranked = models.where(first.isNotNull()).withColumn("place", F.row_number().over(Window.orderBy(first.desc(), "model")))
+        out = out.unionByName(ranked.select(F.lit(1).alias("part"), "place", F.format_string(f"%d. %s: {names[0]} %.3f", "place", "model", first).alias("line")))
     w = Window.partitionBy("model").orderBy(F.col("proportion").desc(), "cluster")
-    for r in cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).orderBy("model", "rank").collect():
-        lines.append(f"{r.model}: {r.cluster} in {r.proportion:.1%}")
-    return "\n".join(lines)
+    top = cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = top.withColumn("place", F.row_number().over(Window.orderBy("model", "rank")))
+    return out.unionByName(top.select(F.lit(2).alias("part"), "place", F.format_string("%s: %s in %.1f%%", "model", "cluster", F.col("proportion") * 100).alias("line")))
+
+
+def summary_text(cells: DataFrame, models: DataFrame, questions: int, k: int = 3) -> str:
+    """The lines of ``summary_lines``, of which there are k + 1 for each model, as one text."""
+    return "\n".join(r.line for r in summary_lines(cells, models, questions, k).orderBy("part", "place").collect())
+
+
+def save_summary(lines: DataFrame, path: str) -> None:
+    """The lines as a text file."""
+    lines.coalesce(1).sortWithinPartitions("part", "place").select("line").write.mode("overwrite").text(path)
 
 
 def file_counts(spark, paths: dict[str, str]) -> dict[str, int]:

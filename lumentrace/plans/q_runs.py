@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from lumentrace.functions import json_repair, messages, text
-from lumentrace.operators import clustering, filters, grouping, joins, naming, providers, reports, reshape
+from lumentrace.operators import clustering, filters, grouping, joins, metrics, naming, providers, reports, reshape
 from lumentrace.plans import pipeline, q_metrics, q_pipeline, q_text, runs
 from lumentrace.plans.facts import obs, rounded
 from lumentrace.session import shared_path, table
@@ -504,3 +504,17 @@ def tidy_run(spark, sf_dir):
     provider = lambda request: json.dumps([{"model": f"Model {x}", "property_description": "says something", "behavior_type": "Style"} for x in "AB"])
     out = runs.run(spark, config, provider)
     return out.tables["model_scores"].select("model", "size").withColumnRenamed("size", "n")
+
+
+@query(f"""WITH m AS (SELECT * FROM ({q_metrics.ORACLE_SQL["metrics_model"]})), c AS (SELECT * FROM ({q_metrics.ORACLE_SQL["metrics_model_cluster"]})),
+    t AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY proportion DESC, cluster) AS rank FROM c)
+    SELECT (SELECT count(DISTINCT l_orderkey) FROM lineitem) || ' conversations, ' || count(*) || ' models' AS value FROM m
+    UNION ALL SELECT printf('%d. %s: discount %.3f', row_number() OVER (ORDER BY quality_discount DESC, model), model, quality_discount) FROM m
+    UNION ALL SELECT printf('%s: %s in %.1f%%', model, cluster, proportion * 100) FROM t WHERE rank <= 3""")
+def summary_lines(spark, sf_dir):
+    """A plain text of the models and their most frequent clusters, saved and read back."""
+    facts, scores = obs(spark, sf_dir)
+    path, n = shared_path(spark, "summary"), facts.select("conversation_id").distinct().count()
+    cells, models = rounded(metrics.model_cluster_metrics(facts, scores)), rounded(metrics.model_metrics(facts, scores))
+    reports.save_summary(reports.summary_lines(cells, models, n), path)
+    return spark.read.text(path)
