@@ -26,7 +26,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int]
     """(doc_id, text, y): at most rows[0] documents of label 0 and rows[1] of label 1, the first by a hash of doc_id.
 
     Only ``labels`` rows for which ``train`` holds are used; null labels and ids are not. The ids are few by these
-    bounds, so they are broadcast and the documents are not shuffled.
+    bounds, so they are broadcast and the documents are not shuffled. Labels without a document count against the bounds,
+    and an id that several documents have brings all of them.
     """
     one = _labelled(labels, label, train)
     order = F.xxhash64("doc_id", F.lit(17))

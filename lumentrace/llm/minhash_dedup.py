@@ -279,8 +279,8 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     100 * intersection >= ``percent`` * union of their full sets. Documents without words, null text among them, are
     linked with nothing. component_id is the smallest doc_id reachable, kept whether it is the document itself; a null
     doc_id counts as smaller than all others. Rows that repeat a doc_id each get a row; with different texts they are
-    documents of their own, linked by what each of them says. Other columns are not read; an empty table gives an empty
-    result.
+    documents of their own, linked by what each of them says. Groups whose smallest document has no id all have a null
+    component_id, so it does not tell them apart. Other columns are not read; an empty table gives an empty result.
     """
     rows = with_text(docs)
     own, keys = one_a_text(rows)

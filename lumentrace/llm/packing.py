@@ -224,7 +224,8 @@ def packed(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1
     doc_tokens, sequence_id and offset (place in the sequence, gapless from 0). Documents are dealt to tasks by ranges of
     doc_id and packed in order; sequences never span tasks, and the rest of a task's tokens closes with sequences whose
     size is a power of two where that is cheaper than padding. Null or empty text gives the end id alone; a null doc_id
-    comes first; repeated rows are packed each; other columns are not read; an empty table gives no rows.
+    comes first; repeated rows are packed each; rows that share an id, or have none, are one range and so one task, which
+    streams through them; other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
