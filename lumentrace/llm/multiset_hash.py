@@ -91,7 +91,8 @@ def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1: the cosine of the sums behind two vectors, 0 where it is negative; 1 for equal vectors, 0 if just one is of zeros."""
 
     def of(pair: Column) -> Column:
-        size = F.sqrt((product(pair["x"], pair["x"]) * product(pair["y"], pair["y"])).cast("double"))
+        # either product fits a word, their product does not where both texts repeat a piece thousands of times
+        size = F.sqrt(product(pair["x"], pair["x"]).cast("double") * product(pair["y"], pair["y"]).cast("double"))
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(product(pair["x"], pair["y"]).cast("double"), size), F.lit(0.0))))
 
     return F.when(a == b, 1.0).otherwise(let(F.struct(signs(a).alias("x"), signs(b).alias("y")), of))

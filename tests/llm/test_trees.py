@@ -113,6 +113,16 @@ def test_pieces_join_and_sums_add_up(spark):
     assert all(r.joined == r.a and r.sum and r.difference and r.edit for r in rows)
 
 
+def test_fingerprints_of_texts_that_repeat_a_piece_thousands_of_times(spark):
+    """The squares of both lengths fit a word; their product does not."""
+    docs = {1: "ok.\n" * 7000 + "end", 2: "ok.\n" * 6000, 3: "a b c"}
+    edits, after = plain_edits(docs)
+    got = {r.doc_id: r for r in multiset_hash.fingerprinted(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    for d, text in docs.items():
+        assert got[d].near_edited == pytest.approx(plain_likeness(text, edits[d]))
+        assert got[d].near_next == pytest.approx(plain_likeness(text, docs[after[d]]))
+
+
 # --- trie ---
 
 
