@@ -123,13 +123,17 @@ def embedded_by_calls(df: DataFrame, text: str, provider: Provider, cache: CallC
 
 
 def hashing_embedder(size: int = 64) -> Callable[[str], np.ndarray]:
-    """A deterministic embedding without a model: signed counts of hashed words, at unit length."""
+    """A deterministic embedding without a model: signed counts of hashed words, at unit length.
+
+    Where the signed counts of all words cancel, the words are counted without signs; only a text without words has zeros.
+    """
 
     def embed(text: str) -> np.ndarray:
-        v = np.zeros(size)
-        for word in text.lower().split():
-            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-            v[h % size] += 1 if h >> 63 else -1
+        h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in text.lower().split()], dtype=np.uint64)
+        at = (h % np.uint64(size)).astype(np.int64)
+        v = np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), size)
+        if len(at) and not v.any():
+            v = np.bincount(at, minlength=size).astype(np.float64)
         n = np.linalg.norm(v)
         return v / n if n else v
 

@@ -1,5 +1,6 @@
 """Hand-made cases of the metric, filter, join, JSON, text and clustering operators."""
 
+import hashlib
 import json
 import random
 
@@ -611,3 +612,15 @@ def test_metrics_of_saved_members_keep_their_scores(spark):
     members = spark.createDataFrame([("q1", "m", "c", "p1"), ("q2", "m", "c", "p2")], "question_id string, model string, cluster_label string, property_id string")
     scores = spark.createDataFrame([("q1", "m", 1.0), ("q2", "m", 2.0)], "conversation_id string, model string, good double")
     assert pipeline.metrics_only(members, scores)["model_scores"].first().quality_good == 1.5
+
+
+def test_hashed_vectors_of_words_that_cancel():
+    """Words of one dimension and opposite signs; a text with words never has zeros."""
+    embed = providers.hashing_embedder(2)
+    found = {}
+    for i in range(20):
+        h = int.from_bytes(hashlib.blake2b(f"w{i}".encode(), digest_size=8).digest(), "little")
+        found.setdefault((h % 2, h >> 63), f"w{i}")
+    for d in (0, 1):
+        assert np.linalg.norm(embed(f"{found[d, 0]} {found[d, 1]}")) == pytest.approx(1)
+    assert not embed(" ").any() and embed(found[0, 0]).tolist() == [-1, 0]
