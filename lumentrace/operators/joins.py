@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lumentrace.session import written
 
+#: Characters of texts that are broadcast at most with what was found for them.
+SMALL = 1 << 20
+
 
 def conversations_with_properties(conversations: DataFrame, properties: DataFrame, side_by_side: bool = False) -> DataFrame:
     """Every conversation with its properties; those without keep a row of nulls.
@@ -58,12 +61,12 @@ def containing(left: DataFrame, right: DataFrame, text: str, part: str, gram: in
     A containment join has no equality to hash, so rows meet on runs of ``gram`` characters. Each part goes by its rarest one,
     by how many texts hold it, so parts with a common beginning don't meet all texts that share it; one that no text holds
     rules the part out. Parts shorter than that meet the texts on all runs of their own length, which is equality. Empty and
-    null parts are in no text.
+    null parts are in no text. Texts that rows share meet the parts once.
     """
-    rows = written(left.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    rows = written(left.select(F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct().withColumn("_row", F.monotonically_increasing_id()), "texts")
     parts = written(right.where(F.length(part) > 0).distinct().withColumn("_part", F.monotonically_increasing_id()), "parts")
     own = parts.where(F.length(part) >= gram).select("_part", F.explode(_grams(F.col(part), gram)).alias("_at"))
-    seen = rows.select("_row", F.explode(_grams(F.col(text), gram)).alias("_at"))
+    seen = rows.select("_row", F.explode(_grams(F.col("_text"), gram)).alias("_at"))
     counts = seen.join(own.select("_at").distinct(), "_at", "left_semi").groupBy("_at").agg(F.count("*").alias("_n"))
     # a run without a count is in no text
     rarest = own.join(counts, "_at", "left").groupBy("_part").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_at").alias("at"))).alias("k")).where("k.n > 0")
@@ -72,11 +75,14 @@ def containing(left: DataFrame, right: DataFrame, text: str, part: str, gram: in
     sizes = brief.agg(F.sort_array(F.collect_set("_size"))).first()[0]
     pairs = long
     for size in sizes:
-        held = rows.select("_row", F.explode(_grams(F.col(text), size)).alias("_at"))
+        held = rows.select("_row", F.explode(_grams(F.col("_text"), size)).alias("_at"))
         pairs = pairs.unionByName(held.join(brief.where(F.col("_size") == size), "_at").select("_row", "_part"))
-    met = pairs.join(rows.select("_row", text), "_row").join(parts, "_part").where(F.contains(F.col(text), F.col(part)))
-    best = met.groupBy("_row").agg(F.min(F.struct(F.col(part).alias("_by"), *[F.col(c).alias(f"_{c}") for c in right.columns])).alias("_best"))
-    return rows.join(best, "_row").select(*[rows[c] for c in left.columns], *[F.col("_best")[f"_{c}"].alias(c) for c in right.columns])
+    met = pairs.join(rows.hint("merge"), "_row").join(parts.hint("merge"), "_part").where(F.contains(F.col("_text"), F.col(part)))
+    best = met.groupBy("_row", "_text").agg(F.min(F.struct(F.col(part).alias("_by"), *[F.col(c).alias(f"_{c}") for c in right.columns])).alias("_best"))
+    best = written(best.select("_text", "_best"), "found")
+    size = best.agg(F.coalesce(F.sum(F.length("_text") + F.length(F.col("_best._by"))), F.lit(0))).first()[0]
+    few = F.broadcast(best) if size <= SMALL else best.hint("merge")
+    return left.join(few, left[text] == few["_text"]).select(*[left[c] for c in left.columns], *[F.col("_best")[f"_{c}"].alias(c) for c in right.columns])
 
 
 def answered_by_all(df: DataFrame, models: list[str], prompt: str = "prompt") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions import json_repair, messages, text
 from lumentrace.operators import bootstrap, clustering, filters, grouping, joins, metrics, naming, prompts, providers, ranking, reshape
 from lumentrace.plans import pipeline
-from lumentrace.session import setting
+from lumentrace.session import setting, written
 from lumentrace.sources import loaders, traces
 
 
@@ -624,3 +624,18 @@ def test_hashed_vectors_of_words_that_cancel():
     for d in (0, 1):
         assert np.linalg.norm(embed(f"{found[d, 0]} {found[d, 1]}")) == pytest.approx(1)
     assert not embed(" ").any() and embed(found[0, 0]).tolist() == [-1, 0]
+
+
+def test_repeated_texts_meet_parts_once(spark):
+    """A text that many rows share is one row of what is joined, and rows are not sent through the driver."""
+    left = written(spark.range(300_000).select(F.concat(F.lit("text"), (F.col("id") % 3).cast("string")).alias("text"), "id"), "repeats")
+    right = spark.createDataFrame([("xt1",), ("xt",), ("zz",)], "part string")
+    made = []
+    keep = joins.written
+    joins.written = lambda df, name: made.append(keep(df, name)) or made[-1]
+    try:
+        out = joins.containing(left, right, "text", "part")
+    finally:
+        joins.written = keep
+    assert made[0].count() == 3
+    assert out.groupBy("part").count().collect()[0]["count"] == 300_000
