@@ -98,7 +98,8 @@ def with_row_index(properties: DataFrame, rows: DataFrame, side_by_side: bool =
     """
     models = F.explode(F.array_distinct(F.array("model_a", "model_b"))) if side_by_side else F.col("model")
     keyed = rows.select("question_id", models.alias("model"), F.col(index)).groupBy("question_id", "model").agg(F.max(index).alias(index))
-    return properties.drop(index).join(keyed, ["question_id", "model"], "left")
+    # files of rows with constant models are small, and a plan would broadcast them for that
+    return properties.drop(index).join(keyed.hint("merge"), ["question_id", "model"], "left")
 
 
 def without_properties(conversations: DataFrame, properties: DataFrame) -> DataFrame:

@@ -626,6 +626,20 @@ def test_hashed_vectors_of_words_that_cancel():
     assert not embed(" ").any() and embed(found[0, 0]).tolist() == [-1, 0]
 
 
+def _planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_compress_well_are_not_broadcast(spark):
+    """Rows of a few distinct values have files of a few kilobytes, by which a plan would send them whole through the driver."""
+    battles = spark.range(200_000).select(F.col("id").cast("string").alias("question_id"), F.lit("x").alias("model_a"), F.lit("y").alias("model_b"), F.col("id").alias("row_idx"))
+    battles = written(battles, "battles")
+    found = spark.range(200_000).select(F.col("id").cast("string").alias("question_id"), F.lit("y").alias("model"), "id")
+    out = joins.with_row_index(found, battles, side_by_side=True)
+    assert "BroadcastHashJoin" not in _planned(out)
+    assert out.where("row_idx = id").count() == 200_000
+
+
 def test_repeated_texts_meet_parts_once(spark):
     """A text that many rows share is one row of what is joined, and rows are not sent through the driver."""
     left = written(spark.range(300_000).select(F.concat(F.lit("text"), (F.col("id") % 3).cast("string")).alias("text"), "id"), "repeats")
