@@ -1,9 +1,9 @@
 """Bootstrap confidence intervals of the behaviour metrics.
 
 A replicate draws as many conversations, with replacement, as there are. Draws come from a hash of (replicate, draw), so
-they are the same whatever the partitions. They are turned once into an array of weights for each conversation, one number
-a replicate, which facts meet in a join of their own size. A group's rows are summed as such arrays, so a cell is one row
-with all its replicates, and only the draws themselves are shuffled once for each replicate. Proportions of undrawn cells
+they are the same whatever the partitions. They are shuffled as places in blocks of conversations, two bytes a draw, and
+counted by block into a byte for each replicate of each conversation; facts meet these weights in a join of their own size.
+A group's rows are summed as arrays, so a cell is one row with all its replicates. Proportions of undrawn cells
 are 0; means of undrawn cells are missing and are left out of the intervals, with ``n_valid`` telling how many replicates
 remain.
 """
@@ -11,6 +11,7 @@ remain.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import sin
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,11 @@ from lumentrace.sources import loaders
 LOW, HIGH = 0.025, 0.975
 #: Bytes of sums that a task holds before it passes them on.
 HELD = 64 << 20
+#: Conversations of a block, whose places fit two bytes; draws that a task packs at a time, and that it hashes at a time.
+BLOCK, GATHERED, HASHED = 1 << 14, 1 << 21, 1 << 14
+#: Constants of MD5: what each step adds, and by how much it turns.
+_SINES = [np.uint32(int(abs(sin(i + 1)) * 2**32)) for i in range(64)]
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 
 
 def numbered(facts: DataFrame) -> DataFrame:
@@ -33,46 +39,129 @@ def numbered(facts: DataFrame) -> DataFrame:
     return loaders.indexed(facts.select("conversation_id").distinct(), "conversation_id").withColumnRenamed("row_idx", "conv_idx")
 
 
-def trials(spark, n: int, replicates: int) -> DataFrame:
-    """(rep, conv_idx): one row for each draw of each replicate from ``n`` conversations."""
-    if not n:
-        return spark.createDataFrame([], "rep long, conv_idx long")
-    trial = spark.range(n * replicates).select(F.expr(f"id div {n}").alias("rep"), (F.col("id") % n).alias("d"))
-    at = F.conv(F.substring(F.md5(F.concat(F.col("rep").cast("string"), F.lit("-"), F.col("d").cast("string"))), 1, 8), 16, 10).cast("long") % n
-    return trial.select("rep", at.alias("conv_idx"))
+def md5_heads(rep: int, low: int, high: int) -> np.ndarray:
+    """The first four bytes, as one number, of the MD5 digests of the texts ``rep-d`` for d from ``low`` to ``high``.
 
+    The texts have the same length and take one block of the digest, so its 64 steps are done on arrays of them.
+    """
+    d, head, size = np.arange(low, high), f"{rep}-".encode(), len(f"{rep}-{low}")
+    text = np.zeros((len(d), 64), dtype=np.uint8)
+    text[:, : len(head)] = np.frombuffer(head, dtype=np.uint8)
+    for place in range(size - 1, len(head) - 1, -1):
+        d, digit = np.divmod(d, 10)
+        text[:, place] = digit + 48
+    text[:, size], text[:, 56], text[:, 57] = 128, 8 * size & 255, 8 * size >> 8
+    words = text.view("<u4")
+    words = [words[:, j].copy() if j <= size // 4 else words[0, j] for j in range(16)]
+    a, b, c, d = (np.full(len(text), x, dtype=np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    with np.errstate(over="ignore"):
+        for i in range(64):
+            turn, place = divmod(i, 16)
+            f = _mixed(turn, b, c, d)
+            f = f + a + _SINES[i] + words[(place, (5 * i + 1) % 16, (3 * i + 5) % 16, 7 * i % 16)[turn]]
+            left = _TURNS[turn][i % 4]
+            a, d, c, b = d, c, b, b + ((f << np.uint32(left)) | (f >> np.uint32(32 - left)))
+        return (a + np.uint32(0x67452301)).byteswap()
+
+
+def _mixed(turn: int, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    if turn == 0:
+        return d ^ (b & (c ^ d))
+    if turn == 1:
+        return c ^ (d & (b ^ c))
+    return b ^ c ^ d if turn == 2 else c ^ (b | ~d)
+
+
+def drawn_places(rep: int, low: int, high: int, n: int) -> np.ndarray:
+    """Which of ``n`` conversations the draws from ``low`` to ``high`` of a replicate take, in steps of texts of one length."""
+    out = np.empty(high - low, dtype=np.int64)
+    at = low
+    while at < high:
+        end = min(high, at + HASHED, 10 ** len(str(at)))
+        out[at - low : end - low] = md5_heads(rep, at, end)
+        at = end
+    return out % n
+
+
+def _packed(n: int, replicates: int) -> Callable:
+    """Of stretches of draws (rep, low) rows (block, rep, at): places in a block of ``BLOCK`` conversations, two bytes each."""
+
+    def pack(rep: int, low: int) -> pa.RecordBatch:
+        places = drawn_places(rep, low, min(n, low + GATHERED), n)
+        block = places // BLOCK
+        # few blocks are sorted by their digits
+        order = np.argsort(block.astype(np.uint16) if n <= BLOCK << 16 else block, kind="stable")
+        block = block[order]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = pa.array(2 * np.append(starts, len(block)).astype(np.int32)).buffers()[1]
+        at = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer((places % BLOCK).astype("<u2")[order])])
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(np.full(len(starts), rep)), at], names=["block", "rep", "at"])
 
-def draws(spark, n: int, replicates: int) -> DataFrame:
-    """(rep, conv_idx, w): how often each replicate draws each of ``n`` conversations; undrawn ones have no row."""
-    return trials(spark, n, replicates).groupBy("rep", "conv_idx").agg(F.count("*").alias("w"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, low in zip(batch.column("rep").to_pylist(), batch.column("low").to_pylist(), strict=True):
+                yield pack(rep, low)
 
+    return run
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows of a binary column, one after the other, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]], np.diff(ends)
 
-def _weights(replicates: int) -> Callable:
-    """Of sorted draws (conv_idx, rep) a row for each conversation, with how often each replicate draws it."""
+
+def _counted(replicates: int, out: Callable[[int, np.ndarray], Iterator[pa.RecordBatch]]) -> Callable:
+    """Of packed draws in order of block what ``out`` makes of a block and its counts (conversation, replicate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, dtype=np.int64), np.zeros((0, replicates), dtype=np.int32)
+        at, counts = None, np.zeros(BLOCK * replicates, dtype=np.int32)
         for batch in batches:
-            ids, spot = np.unique(batch.column("conv_idx").to_numpy(), return_inverse=True)
-            counts = np.zeros((len(ids), replicates), dtype=np.int32)
-            np.add.at(counts, (spot, batch.column("rep").to_numpy()), 1)
-            if len(held[0]) and len(ids) and held[0][-1] == ids[0]:
-                counts[0] += held[1][-1]
-                held = held[0][:-1], held[1][:-1]
-            ids, counts = np.concatenate([held[0], ids]), np.concatenate([held[1], counts])
-            # the last conversation may go on in the next batch
-            if len(ids) > 1:
-                yield batch_of(ids[:-1], counts[:-1])
-            held = ids[-1:], counts[-1:]
-        if len(held[0]):
-            yield batch_of(*held)
-
-    def batch_of(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids), _lists(counts)], names=["conv_idx", "weights"])
+            blocks, reps = (batch.column(c).to_numpy() for c in ("block", "rep"))
+            for low in np.flatnonzero(np.diff(blocks, prepend=-1)).tolist():
+                n = int(np.searchsorted(blocks[low:], blocks[low], side="right"))
+                if at is not None and at != blocks[low]:
+                    yield from out(at, counts.reshape(BLOCK, replicates))
+                    counts[:] = 0
+                at = int(blocks[low])
+                places, sizes = _bytes(batch.column("at").slice(low, n))
+                np.add.at(counts, np.frombuffer(places.tobytes(), dtype="<u2").astype(np.int64) * replicates + np.repeat(reps[low : low + n], sizes // 2), 1)
+        if at is not None:
+            yield from out(at, counts.reshape(BLOCK, replicates))
 
     return run
 
 
+def _by_block(spark, n: int, replicates: int) -> DataFrame:
+    """(block, rep, at): all draws, n for each replicate, packed and in order of block within a partition."""
+    each = -(-n // GATHERED)
+    tasks = max(1, min(each * replicates, max(spark.sparkContext.defaultParallelism, each * replicates // 8)))
+    stretches = spark.range(0, each * replicates, 1, tasks).select(F.floor(F.col("id") / max(1, each)).alias("rep"), (F.col("id") % max(1, each) * GATHERED).alias("low"))
+    packed = stretches.mapInArrow(_packed(n, replicates), "block long, rep long, at binary")
+    return packed.repartition("block").sortWithinPartitions("block")
+
+
+def draws(spark, n: int, replicates: int) -> DataFrame:
+    """(rep, conv_idx, w): how often each replicate draws each of ``n`` conversations; undrawn ones have no row."""
+
+    def rows(block: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, rep = np.nonzero(counts)
+        whole = pa.RecordBatch.from_arrays([pa.array(rep), pa.array(block * BLOCK + at), pa.array(counts[at, rep].astype(np.int64))], names=["rep", "conv_idx", "w"])
+        yield from (whole.slice(low, 1 << 16) for low in range(0, whole.num_rows, 1 << 16))
+
+    return _by_block(spark, n, replicates).mapInArrow(_counted(replicates, rows), "rep long, conv_idx long, w long")
+
+
+def _weights(block: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(conv_idx, weights) of a block's drawn conversations, a byte for each replicate."""
+    at = np.flatnonzero(counts.any(axis=1))
+    if len(at) and counts.max() > 255:
+        raise OverflowError("a replicate draws a conversation more than 255 times")
+    ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * counts.shape[1]).buffers()[1]
+    lists = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(counts[at].astype(np.uint8))])
+    yield pa.RecordBatch.from_arrays([pa.array(block * BLOCK + at), lists], names=["conv_idx", "weights"])
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     """The rows of a matrix as an array of lists."""
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
@@ -83,13 +172,13 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 
 
 def drawn(facts: DataFrame, replicates: int) -> DataFrame:
-    """(conversation_id, weights): how often each replicate draws each conversation, as an array; undrawn ones have no row.
+    """(conversation_id, weights): how often each replicate draws each conversation, a byte for each; undrawn ones have no row.
 
     Written, so that the interval tables of an analysis may share it.
     """
     ids = numbered(facts)
-    draws = trials(facts.sparkSession, ids.count(), replicates).repartition("conv_idx").sortWithinPartitions("conv_idx")
-    return written(draws.mapInArrow(_weights(replicates), "conv_idx long, weights array<int>").join(ids, "conv_idx").select("conversation_id", "weights"), "drawn")
+    weights = _by_block(facts.sparkSession, ids.count(), replicates).mapInArrow(_counted(replicates, _weights), "conv_idx long, weights binary")
+    return written(weights.join(ids.hint("merge"), "conv_idx").select("conversation_id", "weights"), "drawn")
 
 
 class Sums:
@@ -130,14 +219,14 @@ def group_sums(rows: DataFrame, by: list[str], names: list[str], lists: DataFram
     """
     width = replicates * (1 + 2 * len(names))
     most = max(64, HELD // (8 * width))
-    weights = F.coalesce("weights", F.array_repeat(F.lit(0), replicates)).alias("weights")
-    joined = rows.select("conversation_id", *by, *(F.col(m).cast("double").alias(m) for m in names)).join(lists, "conversation_id", "left").select(*by, *names, weights)
+    weights = F.coalesce("weights", F.lit(bytes(replicates))).alias("weights")
+    joined = rows.select("conversation_id", *by, *(F.col(m).cast("double").alias(m) for m in names)).join(lists.hint("merge"), "conversation_id", "left").select(*by, *names, weights)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for batch in batches:
             sums = sums or Sums(by, batch.schema)
-            w = _matrix(batch.column("weights"))
+            w = _bytes(batch.column("weights"))[0].reshape(batch.num_rows, -1).astype(np.float64) if batch.num_rows else np.zeros((0, replicates))
             x = [batch.column(m).to_numpy(zero_copy_only=False) for m in names]
 
             def added(order: np.ndarray, starts: np.ndarray, w=w, x=x) -> np.ndarray:

@@ -653,3 +653,21 @@ def test_repeated_texts_meet_parts_once(spark):
         joins.written = keep
     assert made[0].count() == 3
     assert out.groupBy("part").count().collect()[0]["count"] == 300_000
+
+
+def test_draws_are_hashes_of_replicate_and_draw(spark, monkeypatch):
+    """Against plain hashes over several stretches and blocks, across lengths of the texts; a draw is shuffled as two bytes."""
+    plain = lambda rep, d, n: int(hashlib.md5(f"{rep}-{d}".encode()).hexdigest()[:8], 16) % n
+    for low, high in ((0, 30), (95, 1105), (10**9 - 3, 10**9 + 3)):
+        assert bootstrap.drawn_places(12, low, high, 10**9 + 7).tolist() == [plain(12, d, 10**9 + 7) for d in range(low, high)]
+    monkeypatch.setattr(bootstrap, "GATHERED", 700)
+    n, replicates = 40_000, 2
+    want = {}
+    for rep in range(replicates):
+        for d in range(n):
+            key = rep, plain(rep, d, n)
+            want[key] = want.get(key, 0) + 1
+    assert {(r.rep, r.conv_idx): r.w for r in bootstrap.draws(spark, n, replicates).collect()} == want
+    packed = bootstrap._by_block(spark, n, replicates)
+    assert packed.agg(F.sum(F.length("at"))).first()[0] == 2 * n * replicates
+    assert bootstrap.draws(spark, 0, 5).collect() == []
