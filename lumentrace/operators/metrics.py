@@ -37,8 +37,13 @@ def other_models_mean(value: str, *by: str) -> Column:
 
 
 def scored_triples(facts: DataFrame, scores: DataFrame) -> DataFrame:
-    """Distinct (conversation, model, cluster) rows with the score columns."""
-    return facts.select(*PAIR, "cluster").distinct().join(scores, PAIR, "left")
+    """Distinct (conversation, model, cluster) rows with the score columns.
+
+    Rows are dealt by conversation and model into as many partitions as shuffles have, which serve the distinct rows, the join
+    and the pairs. A given number is not made smaller by the size of the shuffled files, which tells little of a task's memory.
+    """
+    n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return facts.select(*PAIR, "cluster").repartition(n, *PAIR).distinct().join(scores, PAIR, "left")
 
 
 def pairs_of(triples: DataFrame, names: list[str]) -> DataFrame:

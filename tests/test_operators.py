@@ -671,3 +671,8 @@ def test_draws_are_hashes_of_replicate_and_draw(spark, monkeypatch):
     packed = bootstrap._by_block(spark, n, replicates)
     assert packed.agg(F.sum(F.length("at"))).first()[0] == 2 * n * replicates
     assert bootstrap.draws(spark, 0, 5).collect() == []
+
+
+def test_scored_triples_are_not_coalesced_by_the_size_of_files(spark, cells):
+    """As many tasks as shuffles have partitions, however small the shuffled rows are when they are compressed."""
+    assert metrics.scored_triples(*cells).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
