@@ -1,21 +1,25 @@
 """Vectors and text clusters.
 
-Density clusters are found by all pairs of blocks of points: core distances from the nearest neighbours in each pair, then
-the minimum spanning tree under mutual reachability from the trees of all pairs, since an edge that is not in the tree of
-some pair is the longest of a circle and in no tree of the whole. Borůvka's rounds over these edges give the tree of the
-whole (``spanning``). Work grows with the square of a stratum's distinct values, in tasks of bounded size; only the tree,
-which has one edge less than the stratum has values, is walked in one task for each stratum.
+Density clusters are found by blocks of points that lie close together, and pairs of them: core distances from the nearest
+neighbours, then the minimum spanning tree under mutual reachability from the trees of blocks and pairs, since an edge that
+is not in the tree of some pair is the longest of a circle and in no tree of the whole. Borůvka's rounds over these edges
+give the tree of the whole (``spanning``). A pair is left out where the boxes or balls around its blocks are so far apart that
+it can change nothing: beyond the neighbours that its points have, or not nearer than the longest edge on a way that
+already joins the two. So work follows the number of blocks where places are spread in few dimensions and grows with its square
+where all blocks lie near all others. Tasks compare the points of two blocks, or one row for each block of a stratum; only the
+tree, which has one edge less than the stratum has values, is walked in one task for each stratum.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +29,11 @@ from lumentrace.sources import loaders
 
 #: Values of a block; a task compares those of two blocks.
 BLOCK = 1500
+#: Places of a block's size from which the cuts between blocks are made, and how often one lies half way, not at the median.
+PLACES, HALVES = 64, 64
 #: Bytes of vectors that are broadcast at a time, and products that a task makes in one step.
 BROADCAST, PRODUCTS = 32 << 20, 1 << 22
+PAIRS = "sid long, t long, u long, span double"
 
 
 def norm(v: Column) -> Column:
@@ -286,15 +293,13 @@ def _scaled(key: tuple, rows: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(x=list(x))
 
 
-def _tile_cores(g: pd.DataFrame) -> pd.DataFrame:
-    t, u, k = int(g["t"].iloc[0]), int(g["u"].iloc[0]), int(g["k"].iloc[0])
-    x, a, b = np.stack(g["x"].to_numpy()), (g["blk"] == t).to_numpy(), (g["blk"] == u).to_numpy()
-    vid = g["vid"].to_numpy()
-    if t == u:
-        return pd.DataFrame({"vid": vid, "near": list(nearest_distances(x, x, k, True))})
-    if not a.any() or not b.any():
-        return pd.DataFrame({"vid": vid[:0], "near": []})
-    return pd.DataFrame({"vid": np.concatenate([vid[a], vid[b]]), "near": [*nearest_distances(x[a], x[b], k, False), *nearest_distances(x[b], x[a], k, False)]})
+def _pair_cores(g: pd.DataFrame) -> pd.DataFrame:
+    """Nearest distances to another block of the points that reach as far as that (``span``)."""
+    x, vid, k = np.stack(g["x"].to_numpy()), g["vid"].to_numpy(), int(g["k"].iloc[0])
+    a, far = (g["blk"] == g["t"]).to_numpy(), (g["reach"] > g["span"]).to_numpy()
+    sides = [(p, q) for p, q in ((a & far, ~a), (~a & far, a)) if p.any() and q.any()]
+    near = [row for p, q in sides for row in nearest_distances(x[p], x[q], k, False)]
+    return pd.DataFrame({"vid": np.concatenate([vid[p] for p, _ in sides]) if sides else vid[:0], "near": near})
 
 
 def _tile_tree(g: pd.DataFrame) -> pd.DataFrame:
@@ -307,6 +312,189 @@ def _kept_edges(g: pd.DataFrame) -> pd.DataFrame:
     return g.iloc[shortest_tree(*(g[c].to_numpy() for c in "pqd"))][["sid", "a", "b", "d"]]
 
 
+def cuts(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree (dim, at, below, above) of cuts across the widest dimension until a part has at most ``most`` places; leaves have dim -1."""
+    dim, at, below, above, todo = [-1], [0.0], [0], [0], [(0, np.arange(len(x)), 0)]
+    while todo:
+        node, some, depth = todo.pop()
+        if len(some) <= most:
+            continue
+        y = x[some]
+        low, high = y.min(axis=0), y.max(axis=0)
+        k = int(np.argmax(high - low))
+        cut = low[k] / 2 + high[k] / 2 if depth < HALVES else np.median(y[:, k])
+        under = y[:, k] <= cut
+        if under.all() or not under.any():
+            continue
+        dim[node], at[node], below[node], above[node] = k, float(cut), len(dim), len(dim) + 1
+        todo += [(len(dim), some[under], depth + 1), (len(dim) + 1, some[~under], depth + 1)]
+        dim, at, below, above = dim + [-1, -1], at + [0.0, 0.0], below + [0, 0], above + [0, 0]
+    return np.array(dim), np.array(at), np.array(below), np.array(above)
+
+
+def leaves_of(x: np.ndarray, dim: np.ndarray, at: np.ndarray, below: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """The leaf of the tree of cuts that each place is in."""
+    node = np.zeros(len(x), dtype=np.int64)
+    live = np.flatnonzero(dim[node] >= 0)
+    while len(live):
+        on = node[live]
+        node[live] = np.where(x[live, dim[on]] <= at[on], below[on], above[on])
+        live = live[dim[node[live]] >= 0]
+    return node
+
+
+def _placed(key: tuple, rows: pd.DataFrame, by: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows) or not len(by):
+        return rows
+    tree = [np.asarray(by[c].iloc[0]) for c in ("dim", "at", "below", "above")]
+    return rows.assign(blk=leaves_of(np.stack(rows["x"].to_numpy()), *tree))
+
+
+def by_place(points: DataFrame, block: int) -> DataFrame:
+    """Points with blocks of at most about ``block`` points by place, where there are several.
+
+    The cuts are made from some of the points, which only decides how even the blocks are; a part that comes out larger is dealt
+    into several blocks by a hash.
+    """
+    one_in = max(1, block // PLACES)
+    most = max(1, int(0.8 * block / one_in))
+    some = points.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("vid", F.lit("place")), F.lit(one_in)) == 0)).select("sid", "blocks", "x")
+
+    def tree(g: pd.DataFrame) -> pd.DataFrame:
+        dim, at, below, above = cuts(np.stack(g["x"].to_numpy()), most)
+        return pd.DataFrame({"sid": [g["sid"].iloc[0]], "blocks": [g["blocks"].iloc[0]], "dim": [dim.tolist()], "at": [at.tolist()], "below": [below.tolist()], "above": [above.tolist()]})
+
+    trees = some.groupBy("sid").applyInPandas(tree, "sid long, blocks int, dim array<int>, at array<double>, below array<int>, above array<int>")
+    trees = trees.withColumn("blk", F.explode(F.expr("sequence(0, blocks - 1)")))
+    held = written(points.groupBy("sid", "blk").cogroup(trees.groupBy("sid", "blk")).applyInPandas(_placed, points.schema), "placed")
+    parts = held.groupBy("sid", "blk").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = F.shiftleft(F.col("blk").cast("long"), 32) + F.pmod(F.xxhash64("vid"), F.col("parts"))
+    out = written(held.join(F.broadcast(parts), ["sid", "blk"]).withColumn("blk", dealt).select(*points.columns), "points")
+    discard(held)
+    return out
+
+
+def _inside(g: pd.DataFrame) -> pd.DataFrame:
+    """Nearest distances within a block; ``reach`` is how far others may be to count."""
+    x, k = np.stack(g["x"].to_numpy()), int(g["k"].iloc[0])
+    near = nearest_distances(x, x, k, True)
+    reach = near[:, k - 1] if near.shape[1] >= k else np.full(len(x), np.inf)
+    return g.assign(near=list(near), reach=reach)
+
+
+def _shape(g: pd.DataFrame) -> pd.DataFrame:
+    """The box and the ball around a block."""
+    x = np.stack(g["x"].to_numpy())
+    centre = x.mean(axis=0)
+    radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max())
+    return pd.DataFrame({"sid": [g["sid"].iloc[0]], "blk": [g["blk"].iloc[0]], "low": [x.min(axis=0).tolist()], "high": [x.max(axis=0).tolist()], "centre": [centre.tolist()], "radius": [radius]})
+
+
+class _Shapes:
+    """The blocks of a stratum, in order of their numbers."""
+
+    def __init__(self, g: pd.DataFrame):
+        g = g.sort_values("blk")
+        self.blk = g["blk"].to_numpy()
+        self.low, self.high, self.centre = (np.stack(g[c].to_numpy()) for c in ("low", "high", "centre"))
+        self.radius = g["radius"].to_numpy()
+
+    def apart(self, i: int, rest: np.ndarray) -> np.ndarray:
+        """Distances below which no point of block i and of the others can be."""
+        gap = np.maximum(np.maximum(self.low[rest] - self.high[i], self.low[i] - self.high[rest]), 0)
+        far = np.sqrt(((self.centre[rest] - self.centre[i]) ** 2).sum(axis=1))
+        return np.maximum(np.sqrt((gap * gap).sum(axis=1)), far * (1 - 1e-12) - (self.radius[rest] + self.radius[i]) * (1 + 1e-12))
+
+    def pairs(self, sid: int, found: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        i = np.repeat([i for i, _, _ in found], [len(j) for _, j, _ in found]).astype(int)
+        j, span = (np.concatenate([x[k] for x in found]) if found else np.zeros(0) for k in (1, 2))
+        return pd.DataFrame({"sid": sid, "t": self.blk[np.minimum(i, j.astype(int))], "u": self.blk[np.maximum(i, j.astype(int))], "span": span})
+
+
+def _near_pairs(g: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of blocks of which one may hold neighbours of the other's points."""
+    shapes, reach, found = _Shapes(g), g.sort_values("blk")["reach"].to_numpy(), []
+    for i in range(len(g)):
+        rest = np.arange(i + 1, len(g))
+        apart = shapes.apart(i, rest)
+        near = apart < np.maximum(reach[i], reach[rest])
+        found.append((i, rest[near], apart[near]))
+    return shapes.pairs(g["sid"].iloc[0], found)
+
+
+def _links(g: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of blocks that join all of a stratum by ways that promise to be short (Prim); blocks with long edges inside come last."""
+    shapes, g = _Shapes(g), g.sort_values("blk")
+    width, least, every = g["width"].to_numpy(), g["least"].to_numpy(), np.arange(len(g))
+    best, source, out, at, found = np.full(len(g), np.inf), np.zeros(len(g), dtype=int), np.zeros(len(g), dtype=bool), 0, []
+    out[0] = True
+    for _ in range(len(g) - 1):
+        away = np.maximum(np.maximum(shapes.apart(at, every), np.maximum(width, least)), max(width[at], least[at]))
+        closer = ~out & ((away < best) | np.isinf(best))
+        best[closer], source[closer] = away[closer], at
+        at = int(np.argmin(np.where(out, np.inf, best))) if not np.isinf(best[~out]).all() else int(np.flatnonzero(~out)[0])
+        out[at] = True
+        found.append((int(source[at]), np.array([at]), np.maximum(width[at], width[source[at]])[None]))
+    return shapes.pairs(g["sid"].iloc[0], found)
+
+
+def _open_pairs(key: tuple, g: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of blocks that may hold an edge shorter than the longest of the way that ``links`` and the blocks' own trees make."""
+    shapes, g = _Shapes(g), g.sort_values("blk")
+    width, least = g["width"].to_numpy(), g["least"].to_numpy()
+    ways: list[list[tuple[float, int]]] = [[] for _ in range(len(g))]
+    t, u = (np.searchsorted(shapes.blk, links[c].to_numpy()) for c in "tu")
+    for i, j, d in zip(t.tolist(), u.tolist(), np.maximum(np.maximum(width[t], width[u]), links["d"].to_numpy()).tolist(), strict=True):
+        ways[i].append((d, j)), ways[j].append((d, i))
+    # in the order in which Prim's algorithm reaches blocks, the longest step between two is the longest of the way
+    order, steps, seen, todo = [], [], np.zeros(len(g), dtype=bool), [(0.0, 0)]
+    while todo:
+        d, i = heapq.heappop(todo)
+        if seen[i]:
+            continue
+        seen[i] = True
+        order.append(i), steps.append(d)
+        for way in ways[i]:
+            heapq.heappush(todo, way)
+    place, longest, found = np.array(order), np.array(steps), []
+    for p, i in enumerate(order[:-1]):
+        rest, way = place[p + 1 :], np.maximum.accumulate(longest[p + 1 :])
+        apart = np.maximum(np.maximum(shapes.apart(i, rest), least[rest]), least[i])
+        some = rest[(way > apart) & ~np.isin(rest, [j for _, j in ways[i]])]
+        found.append((i, some, np.maximum(width[some], width[i])))
+    return shapes.pairs(key[0], found)
+
+
+def spread(rows: DataFrame, groups: int, *keys: str) -> GroupedData:
+    """Rows grouped by keys, in a partition for every few groups: bytes tell little of how long the groups take."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, min(most, -(-groups // 4))), *keys).groupBy(*keys)
+
+
+def members(pairs: DataFrame, points: DataFrame) -> GroupedData:
+    """The points of both blocks of each pair (sid, t, u), grouped by pair."""
+    return spread(pairs.withColumn("blk", F.explode(F.array("t", "u"))).join(points, ["sid", "blk"]), pairs.count(), "sid", "t", "u")
+
+
+def _block_tree(g: pd.DataFrame) -> pd.DataFrame:
+    return _tile_tree(g).assign(blk=g["blk"].iloc[0])
+
+
+def _cross_edges(g: pd.DataFrame) -> pd.DataFrame:
+    """The edges between two blocks of the tree of both: the shortest only, if none inside them is longer (``span``)."""
+    first, x, core, vid = (g["blk"] == g["t"]).to_numpy(), np.stack(g["x"].to_numpy()), g["core"].to_numpy(), g["vid"].to_numpy()
+    a, b = np.flatnonzero(first), np.flatnonzero(~first)
+    reach = np.maximum(np.maximum(distances(x[a], x[b]), core[a][:, None]), core[b][None, :])
+    i, j = np.unravel_index(int(np.argmin(reach)), reach.shape)
+    if reach[i, j] >= g["span"].iloc[0]:
+        out = pd.DataFrame({"sid": g["sid"].iloc[:1].to_numpy(), "a": vid[a[i]], "b": vid[b[j]], "d": reach[i, j]})
+    else:
+        home = pd.Series(first, index=vid)
+        out = _tile_tree(g)
+        out = out[home.loc[out["a"]].to_numpy() != home.loc[out["b"]].to_numpy()]
+    return out.assign(t=g["t"].iloc[0], u=g["u"].iloc[0])
+
+
 def _labels(g: pd.DataFrame, min_cluster_size: int, epsilon: float) -> pd.DataFrame:
     """(vid, cluster) of a stratum from the edges of its tree."""
     g = g.sort_values(["d", "a", "b"])
@@ -317,14 +505,28 @@ def _labels(g: pd.DataFrame, min_cluster_size: int, epsilon: float) -> pd.DataFr
 
 def strata_trees(points: DataFrame, reduce_to: int = spanning.REDUCE) -> DataFrame:
     """(sid, a, b, d): the spanning tree of each stratum of points (sid, vid, x, k, blocks, blk), one edge less than points."""
-    tiles = points.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"t": F.least("blk", "other"), "u": F.greatest("blk", "other")})
-    near = tiles.groupBy("sid", "t", "u").applyInPandas(_tile_cores, "vid long, near array<double>")
-    core = near.groupBy("vid").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    core = written(points.select("vid", "k").join(core, "vid").select("vid", F.col("near")[F.col("k") - 1].alias("core")), "cores")
-    pairs = tiles.where("t < u or blocks = 1").join(core, "vid")
-    edges = written(pairs.groupBy("sid", "t", "u").applyInPandas(_tile_tree, "sid long, a long, b long, d double"), "edges")
+    points = points.select("sid", "blk", "vid", "x", "k").withColumn("blk", F.col("blk").cast("long"))
+    n = points.select("sid", "blk").distinct().count()
+    near = written(spread(points, n, "sid", "blk").applyInPandas(_inside, "sid long, blk long, vid long, x array<double>, k int, near array<double>, reach double"), "near")
+    shapes = near.groupBy("sid", "blk").applyInPandas(_shape, "sid long, blk long, low array<double>, high array<double>, centre array<double>, radius double")
+    shapes = written(shapes.join(near.groupBy("sid", "blk").agg(F.max("reach").alias("reach")), ["sid", "blk"]), "shapes")
+    pairs = written(shapes.groupBy("sid").applyInPandas(_near_pairs, PAIRS), "pairs")
+    found = members(pairs, near.drop("near")).applyInPandas(_pair_cores, "vid long, near array<double>")
+    core = near.select("vid", "near").unionByName(found).groupBy("vid").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    core = core.join(near.select("vid", "k"), "vid").select("vid", F.col("near")[F.col("k") - 1].alias("core"))
+    points = written(near.select("sid", "blk", "vid", "x").join(core, "vid"), "cores")
+    own = written(spread(points, n, "sid", "blk").applyInPandas(_block_tree, "sid long, a long, b long, d double, blk long"), "edges")
+    facts = points.groupBy("sid", "blk").agg(F.min("core").alias("least")).join(own.groupBy("sid", "blk").agg(F.max("d").alias("width")), ["sid", "blk"], "left")
+    blocks = written(shapes.join(facts.fillna(0.0, ["width"]), ["sid", "blk"]), "blocks")
+    cross = "sid long, a long, b long, d double, t long, u long"
+    joining = written(blocks.groupBy("sid").applyInPandas(_links, PAIRS), "pairs")
+    first = written(members(joining, points).applyInPandas(_cross_edges, cross), "edges")
+    ways = first.groupBy("sid", "t", "u").agg(F.min("d").alias("d"))
+    unsure = written(blocks.groupBy("sid").cogroup(ways.groupBy("sid")).applyInPandas(_open_pairs, PAIRS), "pairs")
+    rest = written(members(unsure, points).applyInPandas(_cross_edges, cross), "edges")
+    edges = own.drop("blk").unionByName(first.drop("t", "u")).unionByName(rest.drop("t", "u"))
     tree = written(spanning.forest(edges, _kept_edges, reduce_to), "trees")
-    discard(core, edges)
+    discard(near, shapes, pairs, points, own, blocks, joining, first, unsure, rest)
     return tree
 
 
@@ -340,7 +542,7 @@ def prepared(values: DataFrame, min_samples: int = 1, scale: bool = True, block:
     if scale:
         by = _moments(points).join(strata.select("sid", "blocks"), "sid").withColumn("blk", F.explode(F.expr("sequence(0, blocks - 1)")))
         points = points.groupBy("sid", "blk").cogroup(by.groupBy("sid", "blk")).applyInPandas(_scaled, points.schema)
-    return rows, written(points, "points")
+    return rows, by_place(points, block)
 
 
 def cluster_strata(values: DataFrame, min_cluster_size: int, min_samples: int = 1, scale: bool = True, block: int = BLOCK, epsilon: float = 0.0, reduce_to: int = spanning.REDUCE) -> DataFrame:

@@ -676,3 +676,18 @@ def test_draws_are_hashes_of_replicate_and_draw(spark, monkeypatch):
 def test_scored_triples_are_not_coalesced_by_the_size_of_files(spark, cells):
     """As many tasks as shuffles have partitions, however small the shuffled rows are when they are compressed."""
     assert metrics.scored_triples(*cells).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_blocks_far_apart_are_not_compared(spark, monkeypatch):
+    """Three lines and some places alone: pairs of blocks follow the blocks, not their square, and the tree is that of one pass."""
+    met, members = [], clustering.members
+    monkeypatch.setattr(clustering, "members", lambda pairs, points: (met.append(pairs.count()), members(pairs, points))[1])
+    x = np.array([(1e4 * k, i) for k in range(3) for i in range(700)] + [(0, 2.0**i * 1e6) for i in range(1, 6)], dtype=float)
+    rows = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "stratum string, value long, embedding array<double>")
+    points = clustering.prepared(rows, scale=False, block=30)[1]
+    sizes = [r[0] for r in points.groupBy("blk").count().select("count").collect()]
+    assert sum(sizes) == len(x) and max(sizes) <= 60 and len(sizes) > 60
+    tree = clustering.strata_trees(points, reduce_to=1000).toPandas()
+    want = clustering.mutual_tree(x, clustering.nearest_distances(x, x, 1, True)[:, 0])[2]
+    assert len(tree) == len(x) - 1 and tree["d"].sum() == pytest.approx(want.sum()) and (tree["d"] > 2).sum() == 7
+    assert len(met) == 3 and sum(met) < 6 * len(sizes) < len(sizes) * (len(sizes) - 1) / 2
