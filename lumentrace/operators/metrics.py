@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrace.session import dealt
+
 #: Cluster labels that form no group of their own, though their rows stay in the denominators.
 NO_CLUSTER = ("", "No properties")
 PAIR = ["conversation_id", "model"]
@@ -39,11 +41,9 @@ def other_models_mean(value: str, *by: str) -> Column:
 def scored_triples(facts: DataFrame, scores: DataFrame) -> DataFrame:
     """Distinct (conversation, model, cluster) rows with the score columns.
 
-    Rows are dealt by conversation and model into as many partitions as shuffles have, which serve the distinct rows, the join
-    and the pairs. A given number is not made smaller by the size of the shuffled files, which tells little of a task's memory.
+    Rows are dealt by conversation and model, which serves the distinct rows, the join and the pairs.
     """
-    n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return facts.select(*PAIR, "cluster").repartition(n, *PAIR).distinct().join(scores, PAIR, "left")
+    return dealt(facts.select(*PAIR, "cluster"), *PAIR).distinct().join(scores, PAIR, "left")
 
 
 def pairs_of(triples: DataFrame, names: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrace.session import dealt
+
 # Words in the names of numeric columns that are taken for scores, and columns that never are.
 SCORE_WORDS = ("score", "rating", "quality", "helpfulness", "accuracy", "correctness", "fluency", "coherence", "relevance")
 NO_SCORES = ("question_id", "id", "size", "cluster_id")
@@ -84,8 +86,9 @@ def sanitized_names(names: list[str]) -> dict[str, str]:
 
 
 def wide(long: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
-    """One column for each metric of a long (by..., metric, value) table."""
-    return long.groupBy(*by).pivot("metric", metrics).agg(F.first("value"))
+    """One column for each metric of a long (by..., metric, value) table, in one aggregation of rows dealt by ``by``."""
+    values = [F.first(F.when(F.col("metric") == m, F.col("value")), ignorenulls=True).alias(m) for m in metrics]
+    return dealt(long, *by).groupBy(*by).agg(*values)
 
 
 def long(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

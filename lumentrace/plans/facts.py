@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrace.session import table
+from lumentrace.session import dealt, table
 
 
 def obs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -18,7 +18,7 @@ def obs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.col("p_brand").alias("cluster"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("property_id"),
     )
-    scores = items.groupBy(F.col("l_orderkey").alias("conversation_id"), F.col("l_returnflag").alias("model")).agg(
+    scores = dealt(items, "l_orderkey", "l_returnflag").groupBy(F.col("l_orderkey").alias("conversation_id"), F.col("l_returnflag").alias("model")).agg(
         F.avg(F.col("l_discount").cast("double")).alias("discount"), F.avg(F.col("l_quantity").cast("double")).alias("quantity")
     )
     return facts, scores
