@@ -14,7 +14,7 @@ from lumentrace.functions import json_repair, text
 from lumentrace.operators import bootstrap, clustering, filters, grouping, metrics, naming, ranking, reshape
 from lumentrace.operators.providers import CallCache, Provider, embedded, hashing_embedder
 from lumentrace.plans.expressions import custom_sql
-from lumentrace.session import written
+from lumentrace.session import dealt, written
 from lumentrace.sources import loaders
 
 # Columns that each method needs.
@@ -139,8 +139,11 @@ def dataset(df: DataFrame, method: str) -> Dataset:
     scores = None
     if "score" in df.columns and dict(df.dtypes)["score"].startswith("map"):
         long = df.select(F.col("question_id").alias("conversation_id"), "model", F.explode("score").alias("metric", "value")).where("value is not null")
-        names = sorted(r[0] for r in long.select("metric").distinct().collect())
-        scores = long.groupBy("conversation_id", "model").pivot("metric", names or ["score"]).agg(F.avg(F.col("value").cast("double")))
+        names = sorted(r[0] for r in long.select("metric").distinct().collect()) or ["score"]
+        means = [F.avg(F.col("score")[n].cast("double")).alias(n) for n in names]
+        rows = df.select(F.col("question_id").alias("conversation_id"), "model", "score")
+        # the columns' names may hold any sign, dots too
+        scores = dealt(rows, "conversation_id", "model").groupBy("conversation_id", "model").agg(*means).where(F.coalesce(*[F.col("`" + n.replace("`", "``") + "`") for n in names]).isNotNull())
     return Dataset(df.select(*kept), battles, scores)
 
 

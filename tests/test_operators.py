@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumentrace.functions import json_repair, messages, text
 from lumentrace.operators import bootstrap, clustering, filters, grouping, joins, metrics, naming, prompts, providers, ranking, reshape
-from lumentrace.plans import pipeline
+from lumentrace.plans import facts, pipeline
 from lumentrace.session import setting, written
 from lumentrace.sources import loaders, traces
 
@@ -678,6 +678,20 @@ def test_scored_triples_are_not_coalesced_by_the_size_of_files(spark, cells):
     assert metrics.scored_triples(*cells).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_wide_scores_are_not_coalesced_by_the_size_of_files(spark):
+    """As many tasks as shuffles have partitions, one shuffle for each step, and the values that a pivot gives."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    long = spark.createDataFrame([("c", "m", "a", 1.0), ("c", "m", "b.x", 2.0), ("d", "m", "a", 3.0), ("e", None, "z", 4.0)], "id string, model string, metric string, value double")
+    out = reshape.wide(long, ["id", "model"], ["a", "b.x"])
+    assert {tuple(r) for r in out.collect()} == {("c", "m", 1.0, 2.0), ("d", "m", 3.0, None), ("e", None, None, None)} and out.rdd.getNumPartitions() == parts
+    assert facts.obs(spark, "/root/testdata/sf0.001")[1].rdd.getNumPartitions() == parts
+    rows = spark.createDataFrame([("p", "a", "b", "x", "y", 1.0, None, 2.0, None), ("q", "a", "b", "x", "y", 5.0, 4.0, 3.0, None)], "prompt string, model_a string, model_b string, model_a_response string, model_b_response string, `s.1_a` double, `s.1_b` double, t_a double, t_b double")
+    ready = pipeline.prepare(rows.withColumnsRenamed({"s.1_a": "s1_a", "s.1_b": "s1_b"}), "side_by_side", score_columns=["s1", "t"])
+    scores = pipeline.dataset(ready, "side_by_side").scores
+    assert scores.columns == ["conversation_id", "model", "s1", "t"] and scores.rdd.getNumPartitions() == parts
+    assert {tuple(r) for r in scores.collect()} == {("0", "a", 1.0, 2.0), ("1", "a", 5.0, 3.0), ("1", "b", 4.0, None)}
+
+
 def test_blocks_far_apart_are_not_compared(spark, monkeypatch):
     """Three lines and some places alone: pairs of blocks follow the blocks, not their square, and the tree is that of one pass."""
     met, members = [], clustering.members
